@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonegrid.session import materialize
+
 
 def _chain(p: np.ndarray, gap: float) -> np.ndarray:
     """Index of the next pick after each point."""
@@ -29,6 +31,7 @@ def spaced_points(points: DataFrame, keys: Sequence[str], pos: str, gap: float,
         raise ValueError("a chunk must be at least as wide as the gap")
     d = (points.select(*keys, F.col(pos).cast("double").alias("_p")).distinct()
          .withColumn("_chunk", F.floor(F.col("_p") / width).cast("bigint")))
+    d = materialize(d, "spaced-points")
     key_fields = [f for f in d.schema.fields if f.name in keys]
     names = list(keys)
 

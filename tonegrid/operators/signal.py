@@ -15,6 +15,7 @@ from tonegrid.functions.scalars import clip, hz_to_midi, to_db
 from tonegrid.operators.intervals import interval_join
 from tonegrid.operators.ordered import (CHUNK, argmax_first, carry, dense_index, halo_window, quantiles,
                                         runs, with_group_stats, with_quantiles)
+from tonegrid.session import materialize
 
 
 # ---- levels -------------------------------------------------------------------------------------
@@ -142,7 +143,8 @@ def combined_novelty(df: DataFrame, keys: Sequence[str], order: str, mfcc: str,
     """
     parts = [f"{c}_novelty" for c in (mfcc, chroma, rms)]
     n = vector_novelty(df, keys, order, [mfcc, chroma], [rms], chunk).select(*keys, order, *parts)
-    n = minmax_normalize(moving_average(n, keys, order, parts, k, chunk), keys, parts)
+    n = materialize(moving_average(n, keys, order, parts, k, chunk), "novelty")
+    n = minmax_normalize(n, keys, parts)
     n = n.select(*keys, order, (F.col(parts[0]) * 0.40 + F.col(parts[1]) * 0.35 + F.col(parts[2]) * 0.25).alias("novelty"))
     n = n.join(quantiles(n, keys, F.col("novelty"), {"_med": 0.5}, F.stddev_pop("_v").alias("_sd")), list(keys))
     return n.select(*keys, order, "novelty", (F.col("_med") + 0.5 * F.col("_sd")).alias("threshold"))
@@ -178,9 +180,11 @@ def change_points(df: DataFrame, keys: Sequence[str], order: str, label: str, ch
 
 def activity_rms(df: DataFrame, keys: Sequence[str], order: str, x: str) -> DataFrame:
     """Adds level (x over series maximum), threshold and active."""
-    d = with_group_stats(df, keys, F.max(x).alias("_max"))
-    d = d.withColumn("level", F.when(F.col("_max") >= 1e-6, F.col(x) / F.col("_max")).otherwise(0.0))
-    d = with_quantiles(d, keys, F.when(F.col("level") > 0.01, F.col("level")), {"_med": 0.5})
+    peak = df.groupBy(*keys).agg(F.max(x).alias("_max"))
+    level = F.when(F.col("_max") >= 1e-6, F.col(x) / F.col("_max")).otherwise(0.0)
+    audible = df.select(*keys, x).join(peak, list(keys)).select(*keys, level.alias("_l")).where(F.col("_l") > 0.01)
+    limits = materialize(peak.join(quantiles(audible, keys, F.col("_l"), {"_med": 0.5}), list(keys), "left"), "limits")
+    d = df.join(limits, list(keys)).withColumn("level", level)
     d = d.withColumn("threshold", F.greatest(F.lit(0.10), F.coalesce("_med", F.lit(0.1)) * 0.5))
     return d.withColumn("active", (F.col("_max") >= 1e-6) & (F.col("level") > F.col("threshold"))).drop("_max", "_med")
 
@@ -239,7 +243,7 @@ def active_phrases(frames: DataFrame, keys: Sequence[str], order: str, x: str, h
     a = activity_rms(frames, keys, order, x)
     a = bridge_gaps(a, keys, order, "active", chunk=chunk)
     a = drop_short_runs(a, keys, order, "activity", 2, chunk=chunk)
-    return islands(a, keys, order, "activity", x, hop_s, chunk=chunk)
+    return materialize(islands(a, keys, order, "activity", x, hop_s, chunk=chunk), "phrases")
 
 
 def db_gate_phrases(frames: DataFrame, keys: Sequence[str], order: str, x: str, sr: int = SAMPLE_RATE,
@@ -301,7 +305,7 @@ def keep_top_ratio(phrases: DataFrame, keys: Sequence[str], quality: str, energy
 
     Equal quality keeps the louder, then lower ``tie``. Ranking is split by quality band.
     """
-    p = phrases.withColumn("_q", F.when(scoreable, F.col(quality)))
+    p = materialize(phrases.withColumn("_q", F.when(scoreable, F.col(quality))), "scored-phrases")
     p = with_group_stats(p, keys, F.count("_q").alias("_n"))
     d = p.where(F.col("_q").isNotNull()).withColumn("_nq", -F.col("_q")).withColumn("_ne", -F.col(energy))
     ranked = dense_index(d, keys, ["_nq", "_ne", tie], F.floor(F.col("_nq") * 4096), "_rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegrid.constants import BEATS_PER_BAR, SAMPLE_RATE
@@ -13,6 +13,7 @@ from tonegrid.operators.folds import spaced_points
 from tonegrid.operators.intervals import interval_join, nearest
 from tonegrid.operators.ordered import (CHUNK, argmax_first, dense_index, halo_window, quantiles,
                                         with_group_stats, with_quantiles)
+from tonegrid.session import materialize
 from tonegrid.operators.signal import combined_novelty, local_maxima, max_normalize, smooth3
 
 
@@ -45,7 +46,7 @@ def downbeat_phase(beats: DataFrame, keys: Sequence[str], beat_idx: str, strengt
     b = beats if limit is None else beats.where(F.col(beat_idx) < limit)
     by = b.groupBy(*keys, F.pmod(F.col(beat_idx), F.lit(BEATS_PER_BAR)).cast("int").alias("phase")).agg(
         F.avg(strength).alias("_s"), F.count(F.lit(1)).alias("_c"))
-    by = with_group_stats(by, keys, F.sum("_c").alias("_n"))
+    by = by.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))  # at most four rows each
     score = F.when(F.col("_n") >= BEATS_PER_BAR, F.round("_s", 12)).otherwise(-F.col("phase"))
     return argmax_first(by, keys, score, F.col("phase"), {"phase": F.col("phase")})
 
@@ -69,9 +70,11 @@ def first_strong_beat(beats: DataFrame, keys: Sequence[str], beat_idx: str, stre
 def snap_nearest(points: DataFrame, grid: DataFrame, beats: DataFrame, keys: Sequence[str], t: str,
                  grid_t: str, beat_t: str, out: str) -> DataFrame:
     """Nearest downbeat, else nearest beat, else unchanged."""
-    d = nearest(points, grid, keys, t, grid_t, "_down")
-    d = nearest(d, beats, keys, t, beat_t, "_beat")
-    return d.withColumn(out, F.coalesce("_down", "_beat", F.col(t).cast("double"))).drop("_down", "_beat")
+    marks = grid.select(*keys, F.col(grid_t).alias("_mark"))
+    bare = beats.join(marks.select(*keys).distinct(), list(keys), "left_anti")
+    marks = materialize(marks.unionByName(bare.select(*keys, F.col(beat_t).alias("_mark"))), "snap-grid")
+    d = nearest(points, marks, keys, t, "_mark", "_near")
+    return d.withColumn(out, F.coalesce("_near", F.col(t).cast("double"))).drop("_near")
 
 
 def beats_in_range(sections: DataFrame, beats: DataFrame, keys: Sequence[str], section_idx: str, start: str,
@@ -102,7 +105,7 @@ def clean_boundaries(points: DataFrame, lengths: DataFrame, keys: Sequence[str],
     Zero and the end are added. Points closer than ``min_gap`` to the last kept one go; an end that
     is too close takes the place of the last kept point.
     """
-    inner = points.select(*keys, F.col(t).cast("double").alias(t))
+    inner = materialize(points.select(*keys, F.col(t).cast("double").alias(t)), "inner-edges")
     ends = lengths.select(*keys, F.col(duration).cast("double").alias(t))
     starts = lengths.select(*keys, F.lit(0.0).alias(t))
     edge = inner.unionByName(ends).groupBy(*keys).agg(F.max(t).alias("_end"))
@@ -226,8 +229,9 @@ def label_bars(bars: DataFrame, keys: Sequence[str], energy: str = "energy") ->
 
 def analyze_bars(samples: DataFrame, keys: Sequence[str], pos: str, stem: str, x: str, bar_samples: int) -> DataFrame:
     """Bar energies (weighted, smoothed, scaled to 1) and labels: keys, bar, energy, label."""
-    b = adaptive_bar_energy(bar_rms(samples, keys, pos, stem, x, bar_samples), keys).select(*keys, "bar", "energy")
-    b = max_normalize(smooth3(b, keys, "bar", "energy"), keys, "energy", "energy")
+    b = materialize(bar_rms(samples, keys, pos, stem, x, bar_samples), "bar-levels")
+    b = smooth3(adaptive_bar_energy(b, keys).select(*keys, "bar", "energy"), keys, "bar", "energy")
+    b = materialize(max_normalize(b, keys, "energy", "energy"), "bar-energy")
     return label_bars(b, keys)
 
 

@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 
 from tonegrid.constants import NOTE_NAMES
 from tonegrid.operators.ordered import dense_index
+from tonegrid.session import materialize
 
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str) -> DataFrame:
+        """A derived table written once, for queries that read it several times."""
+        if name not in self._stored:
+            self._stored[name] = materialize(getattr(self, name), name)
+        return self._stored[name]
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return self.raw("embeddings").select(F.col("vec_id").alias("song_id"), "embedding", "label")
@@ -159,7 +167,7 @@ CTE = {
 NEEDS = {"beats": ["frames"], "sections": ["frames"]}
 
 
-def sql(tables: str, body: str, **ctes: str) -> str:
+def sql(tables: str, body: str, /, **ctes: str) -> str:
     """A WITH query: the named adapter tables, then extra CTEs in order, then the body."""
     names: list[str] = []
     for t in tables.split():

@@ -21,7 +21,7 @@ LEN = "select song_id, max(pos)+1 as len from samples group by song_id"
 @query("d01_window_rms", sql("samples", """select song_id, frame, round(rms,6) as rms from win join lens using(song_id)
  where (frame+1)*16<=len or frame=0""", win=WIN, lens=LEN))
 def _(t):
-    return X.window_rms(t.samples, SONG, "pos", "x", 16).select("song_id", "frame", r6("rms").alias("rms"))
+    return X.window_rms(t.stored("samples"), SONG, "pos", "x", 16).select("song_id", "frame", r6("rms").alias("rms"))
 
 
 @query("d01_window_rms_open_end", sql("samples", """select song_id, frame, round(rms,6) as rms from win join lens using(song_id)
@@ -58,7 +58,7 @@ def _(t):
  roll="""select song_id, s, len, sum(e) over(partition by song_id order by s rows between current row and 9 following) as e
  from sec join lens using(song_id)"""))
 def _(t):
-    return X.loudest_window(t.samples, SONG, "pos", "x", 10, sr=16)
+    return X.loudest_window(t.stored("samples"), SONG, "pos", "x", 10, sr=16)
 
 
 @query("c12_beat_energy", sql("samples beats", """select song_id, beat_idx, round(t,6) as t, round(case when mx>0 then e/mx else e end,6) as energy
@@ -72,7 +72,7 @@ def _(t):
  on_windows="""select song_id, pos//20 as beat_idx, (pos//20)*0.5e0 as t, sqrt(avg(x*x)) as e from samples join lens using(song_id)
  where song_id not in (select song_id from spans) and ((pos//20+1)*20<=len or pos<20) group by song_id, pos//20"""))
 def _(t):
-    b = X.beat_energy(t.samples, t.beats, SONG, "pos", "x", "t", "beat_idx", sr=40)
+    b = X.beat_energy(t.stored("samples"), t.stored("beats"), SONG, "pos", "x", "t", "beat_idx", sr=40)
     return b.select("song_id", "beat_idx", r6("t").alias("t"), r6("energy").alias("energy"))
 
 
@@ -151,26 +151,26 @@ def upto(last):
 @query("e06_active_phrases", sql("frames", """select song_id, round(start_time,6) as start_time, round(end_time,6) as end_time,
  round(energy,6) as energy, energy>0.03 as is_strong from ph""", **upto("ph")))
 def _(t):
-    p = X.active_phrases(t.frames, SONG, "frame", "rms")
+    p = X.active_phrases(t.stored("frames"), SONG, "frame", "rms")
     return p.select("song_id", r6("start_time").alias("start_time"), r6("end_time").alias("end_time"),
                     r6("energy").alias("energy"), "is_strong")
 
 
 @query("e07_bridge_gaps", sql("frames", "select song_id, frame, activity from br", **upto("br")))
 def _(t):
-    a = X.activity_rms(t.frames, SONG, "frame", "rms")
+    a = X.activity_rms(t.stored("frames"), SONG, "frame", "rms")
     return X.bridge_gaps(a, SONG, "frame", "active").select("song_id", "frame", "activity")
 
 
 @query("e08_drop_short_runs", sql("frames", "select song_id, frame, activity from sh", **upto("sh")))
 def _(t):
-    a = X.bridge_gaps(X.activity_rms(t.frames, SONG, "frame", "rms"), SONG, "frame", "active")
+    a = X.bridge_gaps(X.activity_rms(t.stored("frames"), SONG, "frame", "rms"), SONG, "frame", "active")
     return X.drop_short_runs(a, SONG, "frame", "activity", 2).select("song_id", "frame", "activity")
 
 
 @query("e09_activity_rms", sql("frames", "select song_id, frame, round(level,6) as level, round(threshold,6) as threshold, active from act", **upto("act")))
 def _(t):
-    a = X.activity_rms(t.frames, SONG, "frame", "rms")
+    a = X.activity_rms(t.stored("frames"), SONG, "frame", "rms")
     return a.select("song_id", "frame", r6("level").alias("level"), r6("threshold").alias("threshold"), "active")
 
 
@@ -183,7 +183,7 @@ def _(t):
  grp="select *, sum(case when frame-pf<=3 then 0 else 1 end) over(partition by song_id order by frame) as g from onf",
  ph="select song_id, min(frame) as s, max(frame) as e from grp group by song_id, g having max(frame)-min(frame)+1>=4"))
 def _(t):
-    p = X.db_gate_phrases(t.frames, SONG, "frame", "rms", sr=100, hop=10, bridge_s=0.2, min_s=0.4)
+    p = X.db_gate_phrases(t.stored("frames"), SONG, "frame", "rms", sr=100, hop=10, bridge_s=0.2, min_s=0.4)
     return p.select("song_id", "start", "end", r6("duration").alias("duration"), r6("energy").alias("energy"))
 
 
@@ -192,12 +192,12 @@ def _(t):
  when rms<coalesce(p,0.001e0)*0.6e0 then 0 end as sw from frames left join (select song_id, quantile_cont(rms,0.2) as p from frames
  where rms>0.001e0 group by song_id) q using(song_id)) w"""))
 def _(t):
-    return X.hysteresis(t.frames, SONG, "frame", "rms").select("song_id", "frame", "active")
+    return X.hysteresis(t.stored("frames"), SONG, "frame", "rms").select("song_id", "frame", "active")
 
 
 @query("e12_ramp_mask")
 def _(t):
-    m = X.hysteresis(t.frames, SONG, "frame", "rms").withColumn("mask", F.col("active").cast("double"))
+    m = X.hysteresis(t.stored("frames"), SONG, "frame", "rms").withColumn("mask", F.col("active").cast("double"))
     return X.ramp_mask(m, SONG, "frame", "mask", 6).select("song_id", "frame", r6("mask").alias("mask"))
 
 
@@ -209,7 +209,7 @@ PHQ = dict(q="""select *, case when end_time-start_time>=0.5e0 then 0.5e0*(1-ene
 @query("e17_keep_top_ratio", sql("frames", """select song_id, round(start_time,6) as start_time, round(quality,6) as quality
  from rk where rn<=greatest(1,cast(trunc(n*0.7e0) as int)) union all select song_id, round(start_time,6), null from n where n=0""", **upto("ph"), **PHQ))
 def _(t):
-    p = X.active_phrases(t.frames, SONG, "frame", "rms")
+    p = X.active_phrases(t.stored("frames"), SONG, "frame", "rms")
     d = F.col("end_time") - F.col("start_time")
     p = p.withColumn("quality", 0.5 * (1 - F.col("energy")) + 0.5 * F.least(F.lit(1.0), d / 8))
     p = p.withColumn("quality", F.when(d >= 0.5, F.col("quality")))
@@ -224,7 +224,7 @@ def _(t):
  select *, frame-row_number() over(partition by song_id order by frame) as g from (select song_id, frame, rms*400 as f0 from frames where stem<>'noise' and rms>0) a) b
  group by song_id, g) c"""))
 def _(t):
-    f0 = t.frames.select("song_id", "frame", (F.col("frame") * 0.25).alias("t"),
+    f0 = t.stored("frames").select("song_id", "frame", (F.col("frame") * 0.25).alias("t"),
                          F.when(F.col("stem") != "noise", F.col("rms") * 400).otherwise(0.0).alias("f0"))
     n = X.notes(f0, SONG, "frame", "t", "f0")
     return n.select("song_id", "note_id", *[r6(c).alias(c) for c in n.columns if c not in ("song_id", "note_id")])
@@ -237,7 +237,7 @@ def _(t):
  select song_id, quantile_cont(rms,0.4) as p from frames group by song_id) q using(song_id) where rms>p) a) b
  group by song_id, g having count(*)>=3 and max(frame)*0.4e0-min(frame)*0.4e0>0.5e0) c"""))
 def _(t):
-    f = t.frames.withColumn("t", F.col("frame") * 0.4)
+    f = t.stored("frames").withColumn("t", F.col("frame") * 0.4)
     p = X.energy_phrases(f, SONG, "frame", "t", "rms")
     return p.select("song_id", "phrase_id", *[r6(c).alias(c) for c in p.columns if c not in ("song_id", "phrase_id")])
 

@@ -7,6 +7,7 @@ from tonegrid.operators import structure as B
 from tonegrid.operators.folds import spaced_points
 from tonegrid.plans.adapters import sql
 from tonegrid.plans.registry import query
+from tonegrid.session import materialize
 from tonegrid.plans.series_queries import COMBINED, SONG, r6, upto, vector_frames
 
 IV = dict(iv="select *, t-lag(t) over(partition by song_id order by beat_idx) as d from beats")
@@ -15,7 +16,7 @@ IV = dict(iv="select *, t-lag(t) over(partition by song_id order by beat_idx) as
 @query("d21_tempo_from_beats", sql("beats", """select song_id, round(coalesce(case when x<70 then x*2 when x>180 then x/2 else x end,120e0),6) as tempo
  from (select song_id, 60e0/nullif(quantile_cont(d,0.5),0) as x from iv group by song_id) q""", **IV))
 def _(t):
-    return B.tempo_from_beats(t.beats, SONG, "beat_idx", "t").select("song_id", r6("tempo").alias("tempo"))
+    return B.tempo_from_beats(t.stored("beats"), SONG, "beat_idx", "t").select("song_id", r6("tempo").alias("tempo"))
 
 
 @query("d22_tempo_stable", sql("beats", """select song_id, case when count(*)>4 then (case when avg(d)>0 then stddev_pop(d)/avg(d) else 1 end)<0.6e0 else true end as stable
@@ -31,15 +32,15 @@ PHASE = lambda extra="": f"""select song_id, phase from (select *, row_number()
 @query("d23_downbeat_phase", sql("beats", "select a.song_id, a.phase as phase_first16, b.phase as phase_all from p16 a join pall b using(song_id)",
                                  p16=PHASE("where beat_idx<16"), pall=PHASE()))
 def _(t):
-    a = B.downbeat_phase(t.beats, SONG, "beat_idx", "strength", 16).withColumnRenamed("phase", "phase_first16")
-    b = B.downbeat_phase(t.beats, SONG, "beat_idx", "strength").withColumnRenamed("phase", "phase_all")
+    a = B.downbeat_phase(t.stored("beats"), SONG, "beat_idx", "strength", 16).withColumnRenamed("phase", "phase_first16")
+    b = B.downbeat_phase(t.stored("beats"), SONG, "beat_idx", "strength").withColumnRenamed("phase", "phase_all")
     return a.join(b, "song_id")
 
 
 @query("d23_downbeats", sql("beats", """select song_id, beat_idx, t from beats join (select song_id, count(*) as n from beats group by song_id) c using(song_id)
  join pall using(song_id) where n<4 or beat_idx%4=phase""", pall=PHASE()))
 def _(t):
-    return B.downbeats(t.beats, SONG, "beat_idx", "strength").select("song_id", "beat_idx", "t")
+    return B.downbeats(t.stored("beats"), SONG, "beat_idx", "strength").select("song_id", "beat_idx", "t")
 
 
 @query("d24_first_strong_beat", sql("beats", """select song_id, beat_idx from (select *, row_number() over(partition by song_id order by strength desc, beat_idx) as rn
@@ -56,15 +57,15 @@ DOWN = dict(pall=PHASE(), dn="""select song_id, t from beats join (select song_i
  select s.song_id, s.section_idx, s.end_time, d.t as g, row_number() over(partition by s.song_id, s.section_idx order by abs(d.t-s.end_time), d.t) as rn
  from sections s left join dn d on s.song_id=d.song_id) q where rn=1""", **DOWN))
 def _(t):
-    p = t.sections.select("song_id", "section_idx", "end_time")
-    d = B.downbeats(t.beats, SONG, "beat_idx", "strength")
-    return B.snap_nearest(p, d, t.beats, SONG, "end_time", "t", "t", "snapped").select("song_id", "section_idx", "snapped")
+    p = t.stored("sections").select("song_id", "section_idx", "end_time")
+    d = B.downbeats(t.stored("beats"), SONG, "beat_idx", "strength")
+    return B.snap_nearest(p, d, t.stored("beats"), SONG, "end_time", "t", "t", "snapped").select("song_id", "section_idx", "snapped")
 
 
 @query("c07_beats_in_range", sql("sections beats", """select s.song_id, s.section_idx, count(b.t) as n_beats, cast(floor(count(b.t)/4e0) as bigint) as n_bars
  from sections s left join beats b on s.song_id=b.song_id and b.t>=s.start_time and b.t<=s.end_time group by s.song_id, s.section_idx"""))
 def _(t):
-    return B.beats_in_range(t.sections, t.beats, SONG, "section_idx", "start_time", "end_time", "t").select(
+    return B.beats_in_range(t.stored("sections"), t.stored("beats"), SONG, "section_idx", "start_time", "end_time", "t").select(
         "song_id", "section_idx", "n_beats", "n_bars")
 
 
@@ -72,8 +73,8 @@ def _(t):
  coalesce(avg(case when b.activity>0 then 1e0 else 0e0 end) filter(where b.frame is not null),0)>0.25 as has_vocals from sections s left join br b on b.song_id=s.song_id
  and b.frame>=cast(trunc(s.start_time/0.25e0) as bigint) and b.frame<cast(trunc(s.end_time/0.25e0) as bigint) group by s.song_id, s.section_idx""", **upto("br")))
 def _(t):
-    a = X.bridge_gaps(X.activity_rms(t.frames, SONG, "frame", "rms"), SONG, "frame", "active")
-    return B.vocal_density(t.sections, a, SONG, "frame", "activity").select(
+    a = X.bridge_gaps(X.activity_rms(t.stored("frames"), SONG, "frame", "rms"), SONG, "frame", "active")
+    return B.vocal_density(t.stored("sections"), a, SONG, "frame", "activity").select(
         "song_id", "section_idx", r6("vocal_density").alias("vocal_density"), "has_vocals")
 
 
@@ -83,7 +84,7 @@ def _(t):
  left join beats b on b.song_id=s.song_id and b.beat_idx>=greatest(0,cast(trunc(s.start_time/d.dur*w.n) as bigint))
  and b.beat_idx<least(cast(trunc(s.end_time/d.dur*w.n) as bigint), w.n) group by s.song_id, s.section_idx, w.mean) q"""))
 def _(t):
-    return B.drum_dominance(t.sections, t.beats, SONG, "beat_idx", "strength").select("song_id", "section_idx", "drum_dominant")
+    return B.drum_dominance(t.stored("sections"), t.stored("beats"), SONG, "beat_idx", "strength").select("song_id", "section_idx", "drum_dominant")
 
 
 @query("d09_section_energy", sql("sections", """select song_id, section_idx, round(case when mx>0 then e/mx else e end,6) as energy, round(c,6) as spectral_centroid
@@ -92,7 +93,7 @@ def _(t):
  where s.end_time-s.start_time>=2 group by s.song_id, s.section_idx) a) b"""))
 def _(t):
     f = t.frames.select("song_id", (F.col("frame") * 0.25).alias("t"), "rms", (1000 + F.col("rms") * 5000).alias("centroid"))
-    s = t.sections.select("song_id", "section_idx", "start_time", "end_time")
+    s = t.stored("sections").select("song_id", "section_idx", "start_time", "end_time")
     return B.section_energy(s, f, SONG, "t", "rms", "centroid").select(
         "song_id", "section_idx", r6("energy").alias("energy"), r6("spectral_centroid").alias("spectral_centroid"))
 
@@ -100,13 +101,13 @@ def _(t):
 @query("e13_label_bars", sql("frames", """select song_id, frame as bar, case when rms>=p75 then 'drop' when rms>=p40 then 'groove' when rms>=p20 then 'build' else 'breakdown' end as label
  from frames join (select song_id, quantile_cont(rms,0.75) as p75, quantile_cont(rms,0.4) as p40, quantile_cont(rms,0.2) as p20 from frames group by song_id) q using(song_id)"""))
 def _(t):
-    return B.label_bars(t.frames.select("song_id", F.col("frame").alias("bar"), F.col("rms").alias("energy")), SONG).select("song_id", "bar", "label")
+    return B.label_bars(t.stored("frames").select("song_id", F.col("frame").alias("bar"), F.col("rms").alias("energy")), SONG).select("song_id", "bar", "label")
 
 
 @query("e14_label_phrases", sql("frames", """select song_id, round(start_time,6) as start_time, case when energy>=p75 then 'hook' when energy>=p50 then 'groove' else 'atmosphere' end as type
  from ph join (select song_id, quantile_cont(energy,0.75) as p75, quantile_cont(energy,0.5) as p50 from ph group by song_id) q using(song_id)""", **upto("ph")))
 def _(t):
-    return B.label_phrases(X.active_phrases(t.frames, SONG, "frame", "rms"), SONG).select("song_id", r6("start_time").alias("start_time"), "type")
+    return B.label_phrases(X.active_phrases(t.stored("frames"), SONG, "frame", "rms"), SONG).select("song_id", r6("start_time").alias("start_time"), "type")
 
 
 CLASSIFIED = """select *, case when pos<0.08 and energy<p40 then 'intro' when pos>0.90 and energy<p40 then 'outro' when energy<=p20 then 'breakdown'
@@ -119,14 +120,14 @@ CLASSIFIED = """select *, case when pos<0.08 and energy<p40 then 'intro' when po
 
 @query("e15_classify_sections", sql("sections", "select song_id, section_idx, classification from cl", cl=CLASSIFIED))
 def _(t):
-    return B.classify_sections(t.sections, SONG).select("song_id", "section_idx", "classification")
+    return B.classify_sections(t.stored("sections"), SONG).select("song_id", "section_idx", "classification")
 
 
 @query("e16_label_sections_median", sql("sections", """select song_id, section_idx, case when section_idx=0 and energy<m*0.75e0 then 'intro' when section_idx=top and energy<m*0.75e0 then 'outro'
  when energy>m*1.3e0 then 'chorus' when energy<m*0.65e0 then 'breakdown' else 'verse' end as label from sections join (
  select song_id, quantile_cont(energy,0.5) as m, max(section_idx) as top from sections group by song_id) q using(song_id)"""))
 def _(t):
-    return B.label_sections_median(t.sections, SONG).select("song_id", "section_idx", "label")
+    return B.label_sections_median(t.stored("sections"), SONG).select("song_id", "section_idx", "label")
 
 
 LABELLED = "select song_id, floor(frame/4e0) as bar, avg(rms) as energy from frames group by song_id, floor(frame/4e0)"
@@ -136,7 +137,7 @@ LBL = """select song_id, cast(bar as bigint) as bar, case when energy>=p75 then
 
 def labelled_bars(t):
     b = t.frames.groupBy("song_id", F.floor(F.col("frame") / 4).alias("bar")).agg(F.avg("rms").alias("energy"))
-    return B.label_bars(b, SONG)
+    return B.label_bars(materialize(b, "bars"), SONG)
 
 
 @query("e18_drop_starts", sql("frames", """select song_id, bar from (select *, lag(label) over(partition by song_id order by bar) as p from lbl) q
@@ -181,10 +182,10 @@ def _(t):
  on k.song_id=p.song_id and k.t-p.t>=2.25 group by p.song_id, p.t""",
  keep="select p.*, f.fin, max(p.t) over(partition by p.song_id) as last from pick p join fin f using(song_id)"))
 def _(t):
-    lens = t.sections.groupBy("song_id").agg(F.max("end_time").alias("duration"))
-    inner = t.sections.join(lens, "song_id").where(F.col("end_time") < F.col("duration")).select("song_id", "end_time")
-    d = B.downbeats(t.beats, SONG, "beat_idx", "strength")
-    s = B.snap_nearest(inner, d, t.beats, SONG, "end_time", "t", "t", "t").select("song_id", "t")
+    lens = t.stored("sections").groupBy("song_id").agg(F.max("end_time").alias("duration"))
+    inner = t.stored("sections").join(lens, "song_id").where(F.col("end_time") < F.col("duration")).select("song_id", "end_time")
+    d = B.downbeats(t.stored("beats"), SONG, "beat_idx", "strength")
+    s = B.snap_nearest(inner, d, t.stored("beats"), SONG, "end_time", "t", "t", "t").select("song_id", "t")
     return B.clean_boundaries(s, lens, SONG, "t", "duration", 2.25)
 
 
@@ -201,13 +202,13 @@ BARS = dict(per="""select song_id, pos//20 as bar, sqrt(avg(case when stem='drum
 
 @query("d03_bar_rms", sql("samples", "select song_id, bar, round(drums,6) as drums, round(bass,6) as bass, round(other,6) as other from br3", **{k: BARS[k] for k in ("per", "ln", "br3")}))
 def _(t):
-    b = B.bar_rms(t.samples, SONG, "pos", "stem", "x", 20)
+    b = B.bar_rms(t.stored("samples"), SONG, "pos", "stem", "x", 20)
     return b.select("song_id", "bar", *[r6(c).alias(c) for c in ("drums", "bass", "other")])
 
 
 @query("d04_adaptive_bar_energy", sql("samples", "select song_id, bar, round(energy,6) as energy from abe", **{k: BARS[k] for k in ("per", "ln", "br3", "w", "abe")}))
 def _(t):
-    b = B.adaptive_bar_energy(B.bar_rms(t.samples, SONG, "pos", "stem", "x", 20), SONG)
+    b = B.adaptive_bar_energy(B.bar_rms(t.stored("samples"), SONG, "pos", "stem", "x", 20), SONG)
     return b.select("song_id", "bar", r6("energy").alias("energy"))
 
 
@@ -215,14 +216,14 @@ def _(t):
  when energy>=p20 then 'build' else 'breakdown' end as label from nm join (select song_id, quantile_cont(energy,0.75) as p75, quantile_cont(energy,0.4) as p40,
  quantile_cont(energy,0.2) as p20 from nm group by song_id) q using(song_id)""", **BARS))
 def _(t):
-    return B.analyze_bars(t.samples, SONG, "pos", "stem", "x", 20).select("song_id", "bar", r6("energy").alias("energy"), "label")
+    return B.analyze_bars(t.stored("samples"), SONG, "pos", "stem", "x", 20).select("song_id", "bar", r6("energy").alias("energy"), "label")
 
 
 @query("d37_strength_flags", sql("frames", """select song_id, coalesce(bool_or(energy>0.5),false) as has_strong_vocals, coalesce(max(d)>0.02,false) as has_strong_drums from (
  select song_id, energy, null as d from ph union all select song_id, null, sqrt(avg(case when stem='drums' then rms*rms end)) from frames group by song_id) u group by song_id""", **upto("ph")))
 def _(t):
-    p = X.active_phrases(t.frames, SONG, "frame", "rms").withColumn("is_strong", F.col("energy") > 0.5)
-    return B.strength_flags(p, t.frames, SONG, "stem", "rms")
+    p = X.active_phrases(t.stored("frames"), SONG, "frame", "rms").withColumn("is_strong", F.col("energy") > 0.5)
+    return B.strength_flags(p, t.stored("frames"), SONG, "stem", "rms")
 
 
 @query("d38_music_summary", sql("beats", """select f.song_id, round(loudness,6) as loudness, round(dance,6) as danceability, round(coalesce(n,0)/dur,6) as onset_rate,
