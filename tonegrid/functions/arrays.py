@@ -62,19 +62,45 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
 
 
-def rotate(a: Column, by: int) -> Column:
-    """Element i moves to position i+by, wrapping around (12 pitch classes)."""
-    by %= 12
-    return a if by == 0 else F.concat(F.slice(a, 12 - by + 1, by), F.slice(a, 1, 12 - by))
+def _centred(a: Column) -> Column:
+    m = mean_of(a)
+    return F.transform(a, lambda x: x.cast("double") - m)
 
 
 def chroma_compatibility(a: Column, b: Column, otherwise: Column) -> Column:
     """Best correlation over 12 rotations, (r+.5)/1.5 clipped to 0..1; other widths give ``otherwise``."""
-    best = F.array_max(F.array(*[correlation(a, rotate(b, s)) for s in range(12)]))
+    ca, cb = _centred(a), _centred(b)
+    scale = norm(ca) * norm(cb)
+    turned = lambda s: F.concat(F.slice(cb, 13 - s, s), F.slice(cb, 1, 12 - s))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(11)),
+                       lambda s: _sum(F.zip_with(ca, turned(s), lambda x, y: x * y)))
+    best = F.when(scale > 0, F.array_max(sums) / scale)
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (best + 0.5) / 1.5))
     return F.when((F.size(a) == 12) & (F.size(b) == 12), F.coalesce(score, F.lit(0.0))).otherwise(otherwise)
 
 
+def detect_key(chroma: Column) -> Column:
+    """struct(key, corr): best of 24 rotated key profiles; root-major before root-minor, first wins."""
+    from tonegrid.constants import MAJOR_PROFILE, MINOR_PROFILE, NOTE_NAMES
+
+    def unit(p):
+        m = sum(p) / 12
+        size = sum((v - m) ** 2 for v in p) ** 0.5
+        return [(v - m) / size for v in p]
+
+    modes = [("major", unit(MAJOR_PROFILE)), ("minor", unit(MINOR_PROFILE))]
+    table = F.array(*[F.struct(F.lit(f"{NOTE_NAMES[r]} {mode}").alias("key"), F.lit(-(2 * r + i)).alias("rank"),
+                               F.array(*[F.lit(z[(p - r) % 12]) for p in range(12)]).alias("z"))
+                      for r in range(12) for i, (mode, z) in enumerate(modes)])
+    c = _centred(chroma)
+    size = norm(c)
+    fits = F.transform(table, lambda t: F.struct(
+        F.round(_sum(F.zip_with(c, t["z"], lambda x, y: x * y)) / size, 12).alias("corr"), t["rank"].alias("rank"),
+        t["key"].alias("key")))
+    best = F.when(size > 0, F.array_max(fits))
+    return F.struct(F.coalesce(best["key"], F.lit("C major")).alias("key"), best["corr"].alias("corr"))
+
+
 def simple_key(chroma: Column) -> Column:
     """Name of the strongest pitch class; the first one on ties."""
     from tonegrid.constants import NOTE_NAMES

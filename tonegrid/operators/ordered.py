@@ -155,10 +155,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, ps: dict[str, f
     binned = (j.withColumn("_in", inside.cast("int"))
               .withColumn("_anchor", F.when(F.col("_in") == 1, F.col("_v")).otherwise(above))
               .where(F.col("_anchor") != F.lit(float("inf")))
-              .groupBy(*keys, "_anchor", "_in").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"),
+              .groupBy(*keys, "_anchor", "_in").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_n").alias("_n"),
                                                     *[F.max(c).alias(c) for c in more]))
     upto = Window.partitionBy(*keys).orderBy("_anchor", "_in").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = binned.withColumn("_cum", F.sum("_c").over(upto)).where(F.col("_in") == 1)
+    ranked = binned.withColumn("_cum", F.sum("_cnt").over(upto)).where(F.col("_in") == 1)
     picks = []
     for i, p in enumerate(ps.values()):
         pos = (F.col("_n") - 1) * F.lit(float(p))
