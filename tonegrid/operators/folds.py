@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonegrid.session import materialize
+from tonegrid.session import materialize, plain
 
 
 def _chain(p: np.ndarray, gap: float) -> np.ndarray:
@@ -47,7 +47,7 @@ def spaced_points(points: DataFrame, keys: Sequence[str], pos: str, gap: float,
         out = p[last[:k]] + gap
         edge = np.append(out[1:] != out[:-1], True)
         row = {n: [pdf[n].iloc[0]] for n in [*names, "_chunk"]}
-        return pd.DataFrame({**row, "_upto": [p[:k][edge].tolist()], "_exit": [out[edge].tolist()]})
+        return plain(pd.DataFrame({**row, "_upto": [p[:k][edge].tolist()], "_exit": [out[edge].tolist()]}))
 
     steps = d.groupBy(*keys, "_chunk").applyInPandas(step_table, T.StructType([
         *key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_upto", T.ArrayType(T.DoubleType())),
@@ -72,7 +72,7 @@ def spaced_points(points: DataFrame, keys: Sequence[str], pos: str, gap: float,
         while i < len(p):
             taken.append(p[i])
             i = int(np.searchsorted(p, p[i] + gap, side="left"))
-        return pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(taken) for n in names}, "_p": taken})
+        return plain(pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(taken) for n in names}, "_p": taken}))
 
     picked = d.join(entry, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
         pick, T.StructType([*key_fields, T.StructField("_p", T.DoubleType())]))

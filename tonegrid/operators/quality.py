@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tonegrid import constants as K
 from tonegrid.functions.scalars import clip
 from tonegrid.operators.ordered import CHUNK, halo_window, quantiles, with_group_stats
-from tonegrid.session import materialize
+from tonegrid.session import materialize, plain
 
 
 def _keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -68,7 +68,7 @@ def lag_products(df: DataFrame, keys: Sequence[str], order: str, x: str, max_lag
         v[pdf["_o"].to_numpy() - start + max_lag] = pdf["_x"].to_numpy()
         home = v[max_lag:]
         total = [float(home @ v[max_lag - lag:max_lag - lag + len(home)]) for lag in range(max_lag + 1)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * (max_lag + 1) for k in keys}, "lag": range(max_lag + 1), "total": total})
+        return plain(pd.DataFrame({**{k: [pdf[k].iloc[0]] * (max_lag + 1) for k in keys}, "lag": range(max_lag + 1), "total": total}))
 
     part = d.groupBy(*keys, "_chunk").applyInPandas(multiply, T.StructType([
         *fields, T.StructField("lag", T.IntegerType()), T.StructField("total", T.DoubleType())]))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tonegrid import constants as K
 from tonegrid.functions.scalars import parse_key_relative
-from tonegrid.session import materialize
+from tonegrid.session import fresh, materialize
 
 MAX_PIVOTS = 256
 BLOCK_ROWS = 4096
@@ -136,8 +136,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
         base_side = b.join(needed, "cell")
         query_side = routed.join(b.select("cell", "bpart").distinct(), "cell")
         on = ["cell", "bpart", "qpart"]
-        query_side, base_side = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (query_side, base_side))
-        return query_side.groupBy(*on).cogroup(base_side.groupBy(*on)).applyInPandas(search, hit)
+        return fresh(query_side).groupBy(*on).cogroup(fresh(base_side).groupBy(*on)).applyInPandas(search, hit)
 
     def best_of(hits: DataFrame) -> DataFrame:
         order = Window.partitionBy("rep").orderBy(F.desc("score"), "match")

@@ -19,6 +19,7 @@ from tonegrid.functions.scalars import clip
 from tonegrid.operators.intervals import interval_join
 from tonegrid.operators.ordered import CHUNK, argmax_first, halo_window, with_group_stats
 from tonegrid.operators.structure import label_phrases
+from tonegrid.session import fresh, plain
 
 
 def _ramp(i: Column, n: Column) -> Column:
@@ -240,13 +241,13 @@ def place_phrases(phrases: DataFrame, bars: DataFrame, pair: str, bar_s: float)
     out = T.StructType([key, T.StructField("phrase_idx", T.LongType()), T.StructField("bar", T.LongType()), T.StructField("type", T.StringType())])
 
     def lay(name, ph: pd.DataFrame, bl: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({pair: [], "phrase_idx": [], "bar": [], "type": []})
+        empty = plain(pd.DataFrame({pair: [], "phrase_idx": [], "bar": [], "type": []}))
         if not len(ph):
             return empty
         n = int(bl["bar"].max()) + 1 if len(bl) else 0
         if n < 12:
             top = ph.sort_values(["energy", "phrase_idx"], ascending=[False, True]).iloc[0]
-            return pd.DataFrame({pair: [name[0]], "phrase_idx": [top["phrase_idx"]], "bar": [0], "type": [top["type"]]})
+            return plain(pd.DataFrame({pair: [name[0]], "phrase_idx": [top["phrase_idx"]], "bar": [0], "type": [top["type"]]}))
         first, last = min(max(8, n // 8), 16), n - min(max(8, n // 10), 12)
         label = dict(zip(bl["bar"], bl["label"]))
         free = [first <= i < last and label.get(i) != "breakdown" for i in range(n)]
@@ -264,9 +265,9 @@ def place_phrases(phrases: DataFrame, bars: DataFrame, pair: str, bar_s: float)
             spot = min(pool, key=lambda i: (rank.get(label.get(i), len(wanted)) if on_grid else 0, i))
             free[spot:spot + need] = [False] * need
             rows.append((name[0], r.phrase_idx, spot, r.type))
-        return pd.DataFrame(rows, columns=[pair, "phrase_idx", "bar", "type"]) if rows else empty
+        return plain(pd.DataFrame(rows, columns=[pair, "phrase_idx", "bar", "type"])) if rows else empty
 
-    return p.groupBy(pair).cogroup(b.groupBy(pair)).applyInPandas(lay, out)
+    return fresh(p).groupBy(pair).cogroup(fresh(b).groupBy(pair)).applyInPandas(lay, out)
 
 
 def place_sections(vox: DataFrame, beat: DataFrame, mixes: DataFrame, pair: str, sr: int = K.SAMPLE_RATE) -> DataFrame:
@@ -307,9 +308,9 @@ def place_sections(vox: DataFrame, beat: DataFrame, mixes: DataFrame, pair: str,
                 continue
             open_slots.pop(best)
             rows.append((name[0], r.vocal_start, r.vocal_end, slot["dest_start"], r.vox_type, slot["beat_type"]))
-        return pd.DataFrame(rows, columns=names)
+        return plain(pd.DataFrame(rows, columns=names))
 
-    return v.groupBy(pair).cogroup(slots.groupBy(pair)).applyInPandas(choose, out)
+    return fresh(v).groupBy(pair).cogroup(fresh(slots).groupBy(pair)).applyInPandas(choose, out)
 
 
 # ---- searches -----------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import importlib
 
 from tonegrid.plans.registry import QUERIES, SQL
 
-MODULES = ["scalars", "series", "structure", "similarity", "pairing", "quality", "timeline"]
+MODULES = ["scalars", "series", "structure", "similarity", "pairing", "quality", "timeline", "catalogue", "learning"]
 
 
 

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -51,3 +53,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """Same columns under new identities, so that two sides from one table can be cogrouped."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def plain(pdf):
+    """String and empty columns as plain objects, which every Arrow conversion accepts."""
+    if not len(pdf):
+        return pdf.astype(object)
+    return pdf.astype({c: object for c, kind in pdf.dtypes.items() if isinstance(kind, pd.StringDtype)})
