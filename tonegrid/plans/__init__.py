@@ -6,7 +6,8 @@ import importlib
 
 from tonegrid.plans.registry import QUERIES, SQL
 
-MODULES = ["scalars", "series", "structure", "similarity", "pairing", "quality", "timeline", "catalogue", "learning"]
+MODULES = ["scalars", "series", "structure", "similarity", "pairing", "quality", "timeline", "catalogue", "learning",
+           "spectral", "streams"]
 
 
 

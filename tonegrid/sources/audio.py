@@ -22,7 +22,8 @@ def _name(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(F.replace(path, F.lit("+"), F.lit("%2B")), r"([^/]+)$", 1))
 
 
-def _with_identity(files: DataFrame) -> DataFrame:
+def with_identity(files: DataFrame) -> DataFrame:
+    """Adds name and song_id (the file stem) and keeps audio files only."""
     name = _name(F.col("path"))
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     return (files.withColumn("name", name).withColumn("song_id", F.regexp_replace(name, r"\.[^.]+$", ""))
@@ -33,7 +34,7 @@ def scan_audio(spark: SparkSession, path: str, content: bool = False) -> DataFra
     """Audio files of a folder (not below it) by name: path, name, song_id[, content]."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
     cols = ["path", "name", "song_id", "modificationTime", "length", *(["content"] if content else [])]
-    return _with_identity(files).select(*cols).orderBy("name")
+    return with_identity(files).select(*cols).orderBy("name")
 
 
 def stream_audio(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def stream_audio(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return _with_identity(reader.load(path))
+    return with_identity(reader.load(path))
 
 
 def _mono(data: bytes, sr: int) -> np.ndarray:
