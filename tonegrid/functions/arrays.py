@@ -10,6 +10,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` computed once; inside another lambda it would be computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _dbl(a: Column) -> Column:
     return F.transform(a, lambda v: v.cast("double"))
 
@@ -29,8 +34,8 @@ def cosine(a: Column, b: Column, eps: float = 1e-10) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 1e-10, x.cast("double") / n).otherwise(x.cast("double")))
+    scale = lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 1e-10, x / n).otherwise(x)))
+    return let(_dbl(a), scale)
 
 
 def pad(a: Column, n: int) -> Column:
@@ -52,29 +57,19 @@ def mean_of(a: Column) -> Column:
     return _sum(a) / F.size(a)
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two equally wide arrays; null where either one is constant."""
-    a, b = _dbl(a), _dbl(b)
-    ma, mb = mean_of(a), mean_of(b)
-    cov = _sum(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va = _sum(F.transform(a, lambda x: (x - ma) * (x - ma)))
-    vb = _sum(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    return F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
-
-
 def _centred(a: Column) -> Column:
-    m = mean_of(a)
-    return F.transform(a, lambda x: x.cast("double") - m)
+    return let(mean_of(_dbl(a)), lambda m: F.transform(a, lambda x: x.cast("double") - m))
 
 
 def chroma_compatibility(a: Column, b: Column, otherwise: Column) -> Column:
     """Best correlation over 12 rotations, (r+.5)/1.5 clipped to 0..1; other widths give ``otherwise``."""
-    ca, cb = _centred(a), _centred(b)
-    scale = norm(ca) * norm(cb)
-    turned = lambda s: F.concat(F.slice(cb, 13 - s, s), F.slice(cb, 1, 12 - s))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(11)),
-                       lambda s: _sum(F.zip_with(ca, turned(s), lambda x, y: x * y)))
-    best = F.when(scale > 0, F.array_max(sums) / scale)
+    def fit(ca, cb):
+        turned = lambda s: F.concat(F.slice(cb, 13 - s, s), F.slice(cb, 1, 12 - s))
+        sums = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda s: _sum(F.zip_with(ca, turned(s), lambda x, y: x * y)))
+        scale = norm(ca) * norm(cb)
+        return F.when(scale > 0, F.array_max(sums) / scale)
+
+    best = let(_centred(a), lambda ca: let(_centred(b), lambda cb: fit(ca, cb)))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (best + 0.5) / 1.5))
     return F.when((F.size(a) == 12) & (F.size(b) == 12), F.coalesce(score, F.lit(0.0))).otherwise(otherwise)
 
@@ -92,12 +87,14 @@ def detect_key(chroma: Column) -> Column:
     table = F.array(*[F.struct(F.lit(f"{NOTE_NAMES[r]} {mode}").alias("key"), F.lit(-(2 * r + i)).alias("rank"),
                                F.array(*[F.lit(z[(p - r) % 12]) for p in range(12)]).alias("z"))
                       for r in range(12) for i, (mode, z) in enumerate(modes)])
-    c = _centred(chroma)
-    size = norm(c)
-    fits = F.transform(table, lambda t: F.struct(
-        F.round(_sum(F.zip_with(c, t["z"], lambda x, y: x * y)) / size, 12).alias("corr"), t["rank"].alias("rank"),
-        t["key"].alias("key")))
-    best = F.when(size > 0, F.array_max(fits))
+
+    def fit(c, size):
+        fits = F.transform(table, lambda t: F.struct(
+            F.round(_sum(F.zip_with(c, t["z"], lambda x, y: x * y)) / size, 12).alias("corr"), t["rank"].alias("rank"),
+            t["key"].alias("key")))
+        return F.when(size > 0, F.array_max(fits))
+
+    best = let(_centred(chroma), lambda c: let(norm(c), lambda size: fit(c, size)))
     return F.struct(F.coalesce(best["key"], F.lit("C major")).alias("key"), best["corr"].alias("corr"))
 
 

@@ -75,6 +75,7 @@ def nearest_rated(pairs: DataFrame, rated: DataFrame, k: int = 5, **opts) -> Dat
     shape = (F.size("emb_a") * 100000 + F.size("emb_b")).alias("shape")
     q = pairs.where(has).select(F.col("pair_id").alias("id"), _pair_vector("emb_a", "emb_b").alias("vec"), shape)
     b = rated.where(has).select(F.col("mix_id").alias("id"), _pair_vector("emb_a", "emb_b").alias("vec"), shape)
+    q, b = materialize(q, "pair-vectors"), materialize(b, "rated-vectors")
     widest = lambda d: d.agg(F.max(F.size("vec")).alias("w")).collect()[0]["w"] or 0
     w = max(widest(q), widest(b))
     fit = lambda d: d.withColumn("vec", F.slice(F.concat("vec", F.array_repeat(F.lit(0.0), w)), 1, w)) if w else d

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonegrid import constants as K
+from tonegrid.functions.arrays import let
 from tonegrid.functions.scalars import clip
 from tonegrid.operators.ordered import CHUNK, halo_window, quantiles, with_group_stats
 from tonegrid.session import materialize, plain
@@ -131,13 +132,16 @@ def chroma_profile(frames: DataFrame, keys: Sequence[str], chroma: str) -> DataF
 
 def harmonic_clarity(profile: Column) -> Column:
     """Concentration of a pitch-class profile minus clashes of loud neighbouring semitones."""
-    total = F.aggregate(profile, F.lit(0.0), lambda s, v: s + v)
-    c = F.transform(profile, lambda v: v / total)
-    top3 = F.aggregate(F.slice(F.sort_array(c, asc=False), 1, 3), F.lit(0.0), lambda s, v: s + v)
-    nxt = F.concat(F.slice(c, 2, 11), F.slice(c, 1, 1))
-    clash = F.aggregate(F.zip_with(c, nxt, lambda a, b: F.when((a > 0.1) & (b > 0.1), a * b).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
-    score = clip((top3 - 0.30) / 0.35, 0, 1) - clip(clash * 10, 0, 0.4)
-    return F.when(total < 1e-10, 0.5).otherwise(clip(score, 0, 1))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+
+    def score(c):
+        top3 = add(F.slice(F.sort_array(c, asc=False), 1, 3))
+        nxt = F.concat(F.slice(c, 2, 11), F.slice(c, 1, 1))
+        clash = add(F.zip_with(c, nxt, lambda a, b: F.when((a > 0.1) & (b > 0.1), a * b).otherwise(0.0)))
+        return clip(clip((top3 - 0.30) / 0.35, 0, 1) - clip(clash * 10, 0, 0.4), 0, 1)
+
+    shares = lambda total: F.when(total < 1e-10, 0.5).otherwise(let(F.transform(profile, lambda v: v / total), score))
+    return let(add(profile), shares)
 
 
 def vocal_clarity_mix(spectra: DataFrame, keys: Sequence[str], mag: str, bin_hz: float, n_bins: int) -> DataFrame:

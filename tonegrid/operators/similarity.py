@@ -67,7 +67,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
     if n == 0:
         return spark.createDataFrame([], T.StructType([
             T.StructField("id", id_type), T.StructField("match", id_type), T.StructField("score", T.DoubleType())]))
-    p = pivots or max(1, min(MAX_PIVOTS, int(np.ceil(np.sqrt(n)))))
+    p = pivots or max(1, min(MAX_PIVOTS, -(-n // (block_rows // 2))))
     picked = b.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(p).collect()  # at most MAX_PIVOTS rows
     piv = np.array([r["vec"] for r in picked], dtype=np.float64)
     piv = piv / np.maximum(np.linalg.norm(piv, axis=1), 1e-300)[:, None]
@@ -96,6 +96,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
     qparts = max(1, -(-reps.count() // block_rows))
     reps = reps.withColumn("qpart", F.pmod(F.xxhash64(*features), F.lit(qparts)).cast("int"))
 
+    reps = reps.withColumn("_floor", F.lit(float("-inf")))
     route = T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType())])
     hit = T.StructType([T.StructField("rep", id_type), T.StructField("match", id_type), T.StructField("score", T.DoubleType())])
 
@@ -115,21 +116,25 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
             ub = reachable(_matrix(pdf["vec"]))
             go = (ub >= pdf["_floor"].to_numpy()[:, None]) & (cells[None, :] != pdf["_done"].to_numpy()[:, None])
             row, col = np.nonzero(go)
-            out = pdf.drop(columns=["_floor", "_done"]).iloc[row]
+            out = pdf.drop(columns=["_done"]).iloc[row]
             yield out.assign(cell=cells[col].astype("int32"))
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"rep": [], "match": [], "score": []})
         s = np.round(score(left, right, _matrix(left["vec"]) @ _matrix(right["vec"]).T), 9)
-        ids = right["ids"].tolist()
         keep = min(want, s.shape[1])
-        out = []
-        for i, rep in enumerate(left["rep"]):
-            edge = np.partition(s[i], -keep)[-keep]
-            best = [(-s[i, j], m) for j in np.nonzero(s[i] >= edge)[0] for m in ids[j]]
-            out += [(rep, m, -v) for v, m in sorted(best)[:want]]
-        return pd.DataFrame(out, columns=["rep", "match", "score"])
+        edge = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+        edge = np.maximum(edge, left["_floor"].to_numpy())
+        row, col = np.nonzero(s >= edge[:, None])
+        # every base row stands for a few equal ones
+        ids = right["ids"].to_numpy()
+        n_ids = np.array([len(m) for m in ids])[col]
+        match = np.concatenate([ids[c] for c in col]) if len(col) else np.array([], dtype=np.int64)
+        out = pd.DataFrame({"rep": np.repeat(left["rep"].to_numpy()[row], n_ids), "match": match, "score": np.repeat(s[row, col], n_ids)})
+        if len(out) > 4 * want * len(left):  # many equal scores: keep the lowest ids
+            out = out.sort_values(["rep", "score", "match"], ascending=[True, False, True]).groupby("rep").head(want)
+        return out
 
     def run(routed: DataFrame) -> DataFrame:
         needed = routed.select("cell", "qpart").distinct()
@@ -151,11 +156,11 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
         other = near.where(F.col("rep") != F.col("match")) if skip_same else near
         kth = other.orderBy(F.desc("score")).limit(2 * k).collect()  # 2k rows: a pair may be seen from both ends
         lowest = kth[-1]["score"] if len(kth) == 2 * k else lowest
-    todo = started.join(floor, "rep", "left").withColumn(
+    todo = started.drop("_floor").join(floor, "rep", "left").withColumn(
         "_floor", F.greatest(F.coalesce("_floor", F.lit(float("-inf"))), F.lit(lowest)) - 1e-9)
     todo = todo.withColumn("_done", F.col("cell")).drop("cell")
-    route2 = T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType())])
-    rest = materialize(todo.mapInPandas(other_cells, route2), "match-rest")
+    todo = todo.select(*[c for c in reps.columns], "_done")
+    rest = materialize(todo.mapInPandas(other_cells, route), "match-rest")
     found = materialize(best_of(near.unionByName(run(rest))), "match-found")
 
     per_query = q.join(reps.select(*features, "rep"), features).select("id", "rep").join(found, "rep").drop("rep")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonegrid.constants import SAMPLE_RATE
-from tonegrid.functions.arrays import clip_array, pad
+from tonegrid.functions.arrays import clip_array, let, pad
 from tonegrid.functions.scalars import clip, fold_tempo
 from tonegrid.operators.ordered import argmax_first, dense_index, with_quantiles
 from tonegrid.operators.quality import beat_coherence
@@ -217,16 +217,19 @@ def harmonic_energy_ratio(mag: Column, n_bins: int) -> Column:
 
     Bins are evenly spaced, so the bin nearest to a multiple of the peak frequency is that multiple of its bin.
     """
-    m = F.transform(mag, lambda v: v.cast("double"))
-    power = F.transform(m, lambda v: v * v)
-    floor = F.array_max(m) * 0.1
-    peaks = F.filter(F.sequence(F.lit(2), F.lit(n_bins // 2 - 1)), lambda i: (F.element_at(m, i) > F.element_at(m, i - 1))
-                     & (F.element_at(m, i) > F.element_at(m, i + 1)) & (F.element_at(m, i) >= floor))
-    base = F.get(peaks, F.lit(0)) - 1
-    hits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda h: h * base), lambda i: i < n_bins - 1)
-    energy = _total(F.transform(hits, lambda i: F.element_at(power, i + 1)))
-    total = _total(power)
-    return F.when(base.isNull() | (total <= 0), 0.0).otherwise(energy / F.when(total > 0, total))
+    def share(m, floor):
+        at = lambda i: F.element_at(m, i)
+        peaks = F.filter(F.sequence(F.lit(2), F.lit(n_bins // 2 - 1)),
+                         lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) >= floor))
+        total = _total(F.transform(m, lambda v: v * v))
+
+        def energy(base):
+            hits = F.filter(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda h: h * base), lambda i: i < n_bins - 1)
+            return _total(F.transform(hits, lambda i: at(i + 1) * at(i + 1)))
+
+        return let(F.get(peaks, F.lit(0)) - 1, lambda base: F.when(base.isNull() | (total <= 0), 0.0).otherwise(energy(base) / total))
+
+    return let(F.transform(mag, lambda v: v.cast("double")), lambda m: let(F.array_max(m) * 0.1, lambda floor: share(m, floor)))
 
 
 # ---- structure and beats ------------------------------------------------------------------------

@@ -114,3 +114,22 @@ def _(t):
 def _(t):
     s = t.sections
     return s.select("song_id", F.col("start_time").alias("t")).unionByName(s.select("song_id", F.col("end_time").alias("t"))).dropDuplicates(["song_id", "t"])
+
+
+@query("a05_read_ratings", sql("mix_params", """select cast(mix_id as varchar) as mix_id, cast(song_a as varchar) as song_a, direction, key_shift, round(vox_rms,6) as vox_rms, cast(1+mix_id%5 as int) as rating from mix_params"""))
+def _(t):
+    path = scratch_path(t.spark, "ratings-json")
+    p = t.mix_params.select(F.col("mix_id").cast("string").alias("mix_id"), F.col("song_a").cast("string").alias("song_a"), F.col("song_b").cast("string").alias("song_b"),
+                            "direction", "key_shift", "vox_rms", "inst_rms", (1 + F.col("mix_id") % 5).cast("int").alias("rating"))
+    p.write.json(path)
+    r = IO.read_ratings(t.spark, path, lines=True)
+    return r.select("mix_id", "song_a", "direction", "key_shift", F.round("vox_rms", 6).alias("vox_rms"), "rating")
+
+
+@query("a05_read_mix_params", sql("mix_params", """select cast(mix_id as varchar) as mix_id, cast(song_a as varchar) as song_a, direction, key_shift, round(vox_rms,6) as vox_rms from mix_params"""))
+def _(t):
+    path = scratch_path(t.spark, "params-json")
+    entry = F.struct(F.col("song_a").cast("string").alias("song_a"), F.col("song_b").cast("string").alias("song_b"), "direction", "key_shift", "vox_rms")
+    t.mix_params.select(F.to_json(F.create_map(F.col("mix_id").cast("string"), entry)).alias("value")).write.text(path)
+    r = IO.read_mix_params(t.spark, path, lines=True)
+    return r.select("mix_id", "song_a", "direction", "key_shift", F.round("vox_rms", 6).alias("vox_rms"))

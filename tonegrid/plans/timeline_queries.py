@@ -8,9 +8,8 @@ from tonegrid.operators import signal as X
 from tonegrid.operators import structure as B
 from tonegrid.operators import timeline as L
 from tonegrid.plans.adapters import sql
-from tonegrid.plans.pairing_queries import pairings  # noqa: F401
 from tonegrid.plans.registry import query
-from tonegrid.plans.structure_queries import SONG, labelled_bars
+from tonegrid.plans.structure_queries import SONG
 from tonegrid.session import materialize
 
 
@@ -190,9 +189,14 @@ def song_phrases(t):
     return materialize(d.withColumn("duration", F.col("end_time") - F.col("start_time")), "song-phrases")
 
 
+def frame_bars(t):
+    """Every frame as one bar of a quarter second."""
+    return materialize(B.label_bars(t.stored("frames").select("song_id", F.col("frame").alias("bar"), F.col("rms").alias("energy")), SONG), "frame-bars")
+
+
 @query("g03_place_phrases")
 def _(t):
-    return L.place_phrases(song_phrases(t), labelled_bars(t), "song_id", 0.5)
+    return L.place_phrases(song_phrases(t), frame_bars(t), "song_id", 2.0)
 
 
 def mixes(t):
@@ -215,9 +219,9 @@ def _(t):
 @query("g04_place_vocals")
 def _(t):
     ph = song_phrases(t)
-    by_bar = L.place_phrases(ph, labelled_bars(t), "song_id", 0.5).join(ph, ["song_id", "phrase_idx"])
+    by_bar = L.place_phrases(ph, frame_bars(t), "song_id", 2.0).join(ph, ["song_id", "phrase_idx"])
     by_bar = by_bar.select("song_id", (F.col("start_time") * 1000).cast("bigint").alias("vocal_start"), (F.col("end_time") * 1000).cast("bigint").alias("vocal_end"),
-                           (F.col("bar") * 500).alias("dest_start"))
+                           (F.col("bar") * 2000).alias("dest_start"))
     return L.place_vocals(placed_sections(t), by_bar, "song_id")
 
 
@@ -246,3 +250,9 @@ def _(t):
     f = t.stored("frames").select("song_id", (F.col("frame") * 0.25).alias("t"), "rms")
     score = lambda rows, keys: rows.groupBy(*keys).agg(F.avg("rms").alias("score"))
     return L.region_scan(f, SONG, "t", 10.0, 4.0, score, step=1.0)
+
+
+@query("f04_argmax_first", sql("samples", """select song_id, pos, round(x,6) as x from (select *, row_number() over(partition by song_id order by x desc, pos) as rn from samples) q where rn=1"""))
+def _(t):
+    d = L.argmax_first(xs(t), SONG, F.col("x"), F.col("pos"), {"pos": F.col("pos"), "x": F.col("x")})
+    return d.select("song_id", "pos", r6("x").alias("x"))

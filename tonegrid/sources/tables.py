@@ -38,20 +38,20 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
         return _empty(spark, S.EMBEDDING)
 
 
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
-    """Ratings from a JSON list; missing or broken files give no rows."""
+def read_ratings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Ratings from JSON lists (or one JSON object per line); missing or broken files give no rows."""
     try:
         schema = T.StructType([*S.RATING.fields, T.StructField("_corrupt_record", T.StringType())])
-        d = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=True)
+        d = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=not lines)
         return d.where(F.col("_corrupt_record").isNull() & F.col("mix_id").isNotNull()).drop("_corrupt_record")
     except AnalysisException:
         return _empty(spark, S.RATING)
 
 
-def read_mix_params(spark: SparkSession, path: str) -> DataFrame:
-    """Pending parameters from JSON objects keyed by mix id; missing or broken files give no rows."""
+def read_mix_params(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pending parameters from JSON objects keyed by mix id, one per file (or line); missing or broken ones give no rows."""
     try:
-        d = spark.read.text(path, wholetext=True)
+        d = spark.read.text(path, wholetext=not lines)
     except AnalysisException:
         return _empty(spark, S.MIX_PARAMS)
     entries = F.from_json("value", T.MapType(T.StringType(), S.PARAMS))
