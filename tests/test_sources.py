@@ -46,7 +46,7 @@ def test_scan_decode_and_features(spark, tmp_path):
 def test_key_of_an_ideal_profile(spark):
     from tonegrid.constants import MINOR_PROFILE
 
-    d = spark.createDataFrame([(list(np.roll(MINOR_PROFILE, 9)),), ([1.0] * 12,)], "c array<double>")
+    d = spark.createDataFrame([(np.roll(MINOR_PROFILE, 9).tolist(),), ([1.0] * 12,)], "c array<double>")
     assert [r.k.key for r in d.select(detect_key(F.col("c")).alias("k")).collect()] == ["A minor", "C major"]
 
 

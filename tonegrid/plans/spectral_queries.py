@@ -157,3 +157,13 @@ def _(t):
     tempo = f.select("song_id").distinct().withColumn("tempo", 100.0 + F.col("song_id"))
     d = Z.handcrafted_embedding(f, tempo)
     return d.select("song_id", F.size("embedding").alias("width"), r6(F.element_at("embedding", 53)).alias("tempo_value"), F.round(total("embedding"), 4).alias("total"))
+
+
+@query("d35_vibrato")
+def _(t):
+    from tonegrid.operators.vibrato import vibrato
+
+    f0 = t.stored("frames").select("song_id", "frame", (F.col("frame") * 0.05).alias("t"),
+                                   F.when(F.col("stem") != "noise", 200 + F.col("rms") * 20).otherwise(0.0).alias("f0"))
+    d = vibrato(f0, SONG, "frame", "t", "f0")
+    return d.select("song_id", "detected", r6("rate_hz").alias("rate_hz"), r6("depth_cents").alias("depth_cents"), r6("regularity").alias("regularity"))
