@@ -80,8 +80,8 @@ def _(t):
     return framed(t).select("song_id", "frame", F.size("wave").cast("bigint").alias("n"), F.round(total("wave"), 4).alias("total"))
 
 
-@query("i02_spectrum", sql("samples", """select song_id, frame, cast(33 as bigint) as bins, round(sqrt(re*re+im*im),3) as bin5 from (select fr.song_id, fr.frame, sum(x*w*cos(2*pi()*5*i/64)) as re, sum(x*w*sin(2*pi()*5*i/64)) as im from (
- select fr.song_id, fr.frame, s.x, s.pos-fr.frame*32 as i, 0.5e0-0.5e0*cos(2*pi()*(s.pos-fr.frame*32)/64) as w from fr join samples s on s.song_id=fr.song_id and s.pos>=fr.frame*32 and s.pos<fr.frame*32+64) fr group by 1,2) q""", **FRAMED))
+@query("i02_spectrum", sql("samples", """select song_id, frame, cast(33 as bigint) as bins, round(cast(cast(sqrt(re*re+im*im) as float) as double),3) as bin5 from (select fr.song_id, fr.frame, sum(x*w*cos(2*pi()*5*i/64)) as re, sum(x*w*sin(2*pi()*5*i/64)) as im from (
+ select fr.song_id, fr.frame, cast(cast(s.x as float) as double) as x, s.pos-fr.frame*32 as i, 0.5e0-0.5e0*cos(2*pi()*(s.pos-fr.frame*32)/64) as w from fr join samples s on s.song_id=fr.song_id and s.pos>=fr.frame*32 and s.pos<fr.frame*32+64) fr group by 1,2) q""", **FRAMED))
 def _(t):
     return spectra(t).select("song_id", "frame", F.size("mag").cast("bigint").alias("bins"), F.round(F.col("mag")[5].cast("double"), 3).alias("bin5"))
 
