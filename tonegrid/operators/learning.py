@@ -272,16 +272,23 @@ def predict_directional(model: DataFrame, pairs: DataFrame) -> DataFrame:
 
 # ---- session chain ------------------------------------------------------------------------------
 
-def session_chain(next_of: DataFrame, starts: DataFrame, count: int) -> DataFrame:
+def session_chain(next_of: DataFrame, starts: DataFrame, count: int, no_repeat: bool = False) -> DataFrame:
     """Follow each start's best next song ``count`` times: start_id, step, song_id.
 
-    One join per step serves all starts at once. Chains may come back to earlier songs.
+    ``next_of``: song_id, next_id, score. One join per step serves all starts at once. Chains may come back to
+    earlier songs unless ``no_repeat``; that needs the best ``count`` + 1 follow-ups per song, of which a chain can
+    have used at most ``count``.
     """
-    hop = next_of.where(F.col("next_id").isNotNull()).select(F.col("song_id").alias("_from"), F.col("next_id").alias("_to"))
-    at = starts.select(F.col("song_id").alias("start_id"), F.col("song_id").alias("song_id"))
+    hop = next_of.where(F.col("next_id").isNotNull()).select("song_id", "next_id", "score")
+    at = starts.select(F.col("song_id").alias("start_id"), "song_id", F.array("song_id").alias("seen"))
     steps = []
     for i in range(1, count + 1):
-        at = materialize(at.join(hop, at["song_id"] == hop["_from"]).select("start_id", F.col("_to").alias("song_id")), "chain")
+        to = at.join(hop, "song_id")
+        if no_repeat:
+            to = to.where(~F.array_contains("seen", F.col("next_id")))
+        best = F.max_by(F.struct("next_id", "seen"), F.struct(F.col("score"), -F.col("next_id")))
+        to = to.groupBy("start_id").agg(best.alias("_b"))
+        at = materialize(to.select("start_id", F.col("_b.next_id").alias("song_id"), F.array_append("_b.seen", F.col("_b.next_id")).alias("seen")), "chain")
         steps.append(at.select("start_id", F.lit(i).alias("step"), "song_id"))
     out = steps[0]
     for s in steps[1:]:

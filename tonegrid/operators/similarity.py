@@ -227,8 +227,8 @@ def _chroma_scores(a: pd.Series, b: pd.Series, fallback: np.ndarray) -> np.ndarr
     return out
 
 
-def next_song(songs: DataFrame, emb: DataFrame, ids: DataFrame | None = None, **opts) -> DataFrame:
-    """Best follow-up per song: half embedding similarity, .3 key and .2 tempo compatibility.
+def next_song(songs: DataFrame, emb: DataFrame, ids: DataFrame | None = None, k: int = 1, **opts) -> DataFrame:
+    """Best follow-up (or best k) per song: half embedding similarity, .3 key and .2 tempo compatibility.
 
     ``songs`` has song_id, tempo, key and optionally key_chroma. A song without tempo and key counts as
     not comparable (+.25 flat), one without embedding gets no similarity part.
@@ -251,6 +251,6 @@ def next_song(songs: DataFrame, emb: DataFrame, ids: DataFrame | None = None, **
         return 0.5 * dots + np.where(both, 0.3 * key + 0.2 * tempo, 0.25)
 
     asked = s if ids is None else s.join(ids.select(F.col("song_id").cast("bigint").alias("id")), "id", "left_semi")
-    m = top_matches(asked, s, 1, ["tempo", "root", "known", "chroma"], score, lambda dot: 0.5 * dot + 0.5, skip_same=True, **opts)
+    m = top_matches(asked, s, k, ["tempo", "root", "known", "chroma"], score, lambda dot: 0.5 * dot + 0.5, skip_same=True, **opts)
     return asked.select("id").join(m, "id", "left").select(
         F.col("id").alias("song_id"), F.col("match").alias("next_id"), "score")

@@ -146,13 +146,23 @@ def _(t):
     return R.predict_directional(m, p).select("pair_id", "direction", r6("compatibility").alias("compatibility"))
 
 
-@query("g05_session_chain", sql("songs", "select song_id as start_id, step, s as song_id from chain where step>0",
- cand=f"""select x.song_id as a, y.song_id as b, list_dot_product(cast(ex.embedding as double[]), cast(ey.embedding as double[])) as dot,
+CAND = f"""select x.song_id as a, y.song_id as b, list_dot_product(cast(ex.embedding as double[]), cast(ey.embedding as double[])) as dot,
  greatest(x.tempo,y.tempo)/greatest(least(x.tempo,y.tempo),1e0) as r, abs({REL('x.key')}-{REL('y.key')}) as iv
- from songs x join songs y on x.song_id<>y.song_id join embeddings ex on ex.vec_id=x.song_id join embeddings ey on ey.vec_id=y.song_id""",
- nxt=f"""select a, b from (select *, row_number() over(partition by a order by round(score,9) desc, b) as rn from (
- select a, b, 0.5e0*dot+0.3e0*({INTERVAL_CASE})+0.2e0*({TEMPO_CASE}) as score from cand) q) w where rn=1""",
+ from songs x join songs y on x.song_id<>y.song_id join embeddings ex on ex.vec_id=x.song_id join embeddings ey on ey.vec_id=y.song_id"""
+SCORED_NEXT = f"select a, b, round(0.5e0*dot+0.3e0*({INTERVAL_CASE})+0.2e0*({TEMPO_CASE}),9) as score from cand"
+
+
+@query("g05_session_chain", sql("songs", "select song_id as start_id, step, s as song_id from chain where step>0", cand=CAND, sc=SCORED_NEXT,
+ nxt="select a, b from (select *, row_number() over(partition by a order by score desc, b) as rn from sc) w where rn=1",
  chain="select song_id, song_id as s, 0 as step from songs union all select c.song_id, n.b, c.step+1 from chain c join nxt n on n.a=c.s where c.step<5"))
 def _(t):
     nxt = materialize(M.next_song(t.songs, t.embeddings), "next-song")
     return R.session_chain(nxt, t.songs.select("song_id"), 5)
+
+
+@query("g05_session_chain_no_repeat", sql("songs", "select st as start_id, step, s as song_id from chain where step>0", cand=CAND, sc=SCORED_NEXT,
+ chain="""select song_id as st, song_id as s, [song_id] as seen, 0 as step from songs union all select st, b, list_append(seen, b), step+1 from (
+ select c.st, c.seen, c.step, first(k.b order by k.score desc, k.b) as b from chain c join sc k on k.a=c.s where c.step<4 and not list_contains(c.seen, k.b) group by c.st, c.seen, c.step) q"""))
+def _(t):
+    nxt = materialize(M.next_song(t.songs, t.embeddings, k=5), "next-songs")
+    return R.session_chain(nxt, t.songs.select("song_id"), 4, no_repeat=True)
