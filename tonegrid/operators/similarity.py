@@ -38,9 +38,10 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _representatives(df: DataFrame, features: Sequence[str], keep: int) -> DataFrame:
     """One row per distinct feature tuple with its ``keep`` lowest ids (enough for any top list)."""
-    rank = F.row_number().over(Window.partitionBy(*features).orderBy("id"))
-    return (df.select("id", *features).withColumn("_r", rank).where(F.col("_r") <= keep)
-            .groupBy(*features).agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    # the hash leads the sort keys, so vectors are compared only when it is equal
+    rank = F.row_number().over(Window.partitionBy("_h", *features).orderBy("id"))
+    return (df.select("id", F.xxhash64(*features).alias("_h"), *features).withColumn("_r", rank).where(F.col("_r") <= keep)
+            .groupBy("_h", *features).agg(F.sort_array(F.collect_list("id")).alias("ids")).drop("_h"))
 
 
 def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str] = (),
@@ -90,8 +91,8 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
     part = F.create_map(*[F.lit(int(v)) for c, m in parts.items() for v in (c, m)])
     b = b.withColumn("bpart", F.pmod(F.xxhash64(*features), F.element_at(part, F.col("cell"))).cast("int"))
 
-    q = queries.select("id", *features)
-    reps = q.groupBy(*features).agg(F.min("id").alias("rep"))
+    q = queries.select("id", F.xxhash64(*features).alias("_h"), *features)
+    reps = q.groupBy("_h", *features).agg(F.min("id").alias("rep"))
     reps = materialize(reps, "match-queries")
     qparts = max(1, -(-reps.count() // block_rows))
     reps = reps.withColumn("qpart", F.pmod(F.xxhash64(*features), F.lit(qparts)).cast("int"))
@@ -163,7 +164,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
     rest = materialize(todo.mapInPandas(other_cells, route), "match-rest")
     found = materialize(best_of(near.unionByName(run(rest))), "match-found")
 
-    per_query = q.join(reps.select(*features, "rep"), features).select("id", "rep").join(found, "rep").drop("rep")
+    per_query = q.join(reps.select("_h", *features, "rep"), ["_h", *features]).select("id", "rep").join(found, "rep").drop("rep")
     if skip_same:
         per_query = per_query.where(F.col("id") != F.col("match"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "match")
