@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,24 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per session, so that they find it from any working folder."""
+    context = spark.sparkContext
+    if getattr(context, "_tonegrid_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(top):  # not when this module itself came from the archive
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "tonegrid.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(top):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.join("tonegrid", os.path.relpath(path, top)))
+        context.addPyFile(archive)
+    context._tonegrid_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
