@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs
+from tonegrid.llm import byte_pairs, secret_scan
 from tonegrid.llm.common import hex_digest, table
 
 
@@ -29,5 +29,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_byte_bpe": op3}
+def span_digests(found: DataFrame) -> DataFrame:
+    """Counts, digest and list of the spans that a scan gave."""
+    base = F.filter("spans", lambda s: s["base"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: lambda s: s["kind"] == kind
+    counts = [F.size(F.filter(base, of(k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select("doc_id", *counts, hex_digest(text(base)).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return span_digests(secret_scan.scan(docs, secret_scan.learn_formats(docs)))
+
+
+QUERIES = {"op3_byte_bpe": op3, "op6_secret_scan": op6}
 SQL: dict[str, str] = {}
