@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs, chat_format, digests, max_score, secret_scan
-from tonegrid.llm.common import hex_digest, table
+from tonegrid.llm import byte_pairs, chat_format, digests, max_score, secret_scan, toxicity
+from tonegrid.llm.common import fold, hex_digest, table
+
+
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    scored = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(F.col("text"), machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def byte_ranks() -> tuple[str, str]:
@@ -102,5 +109,5 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
-QUERIES = {"op3_byte_bpe": op3, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8}
+QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8}
 SQL = {"op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL}
