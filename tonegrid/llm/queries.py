@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs, chat_format, digests, max_score, secret_scan, toxicity
+from tonegrid.llm import byte_pairs, chat_format, digests, max_score, mixing, secret_scan, toxicity
 from tonegrid.llm.common import fold, hex_digest, table
 
 
@@ -50,6 +50,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(secret_scan.scan(docs, secret_scan.learn_formats(docs)))
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def edited_digests(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how near they and the next text's are."""
     rows = digests.with_next(digests.fingerprints(docs), "doc_id", ("text", "fingerprint"))
@@ -109,5 +114,5 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
-QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8}
+QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8}
 SQL = {"op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL}
