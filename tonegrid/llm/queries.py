@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs, chat_format, digests, max_score, mixing, secret_scan, toxicity
+from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, secret_scan, toxicity
 from tonegrid.llm.common import fold, hex_digest, table
 
 
@@ -114,5 +114,9 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
-QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8}
-SQL = {"op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL}
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matched")
+
+
+QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op10_license_scan": op10}
+SQL = {"op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql()}
