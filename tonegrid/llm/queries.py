@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, secret_scan, toxicity
+from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, near_join, secret_scan, toxicity
 from tonegrid.llm.common import fold, hex_digest, table
 
 
@@ -114,9 +114,25 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(table(spark, sf_dir, "documents")).drop("_row")
+
+
+NEAR_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), lambda x: x <> '') as w from documents),
+ g as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+   when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as gram from w),
+ n as (select doc_id, count(*) as n from g group by doc_id),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as both from g a join g b using (gram) where a.doc_id <> b.doc_id group by 1, 2),
+ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where p.both >= 0.8 * (x.n + y.n - p.both) - 1e-9),
+ c as (select doc_id, doc_id as r from documents union select e.b, c.r from c join e on e.a = c.doc_id)
+select d.doc_id, (select min(r) from c where c.doc_id = d.doc_id) as class_id, (select count(*) from e where e.a = d.doc_id) as n_links from documents d
+"""
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matched")
 
 
-QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op10_license_scan": op10}
-SQL = {"op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql()}
+QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}
+SQL = {"op9_near_join": NEAR_SQL, "op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql()}
