@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, near_join, secret_scan, toxicity
+from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, near_join, ngram_scores, secret_scan, toxicity
 from tonegrid.llm.common import fold, hex_digest, table
 
 
@@ -16,6 +16,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("learns", fold(F.col("doc_id"), 7) != 2)
+    scored = ngram_scores.score(docs, "learns")
+    return scored.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def byte_ranks() -> tuple[str, str]:
     """Rank file and split pattern of the installed vocabulary package."""
     import public_tokenizers
@@ -134,5 +140,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matched")
 
 
-QUERIES = {"op1_toxicity": op1, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}
+QUERIES = {"op1_toxicity": op1, "op2_ngram_scores": op2, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}
 SQL = {"op9_near_join": NEAR_SQL, "op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql()}
