@@ -226,6 +226,14 @@ class Automaton:
         return {"n_tokens": lengths, "n_known": sums((self.counts[1] > 0).astype(np.int64)), "base_score": sums(base), "score": sums(runs)}
 
 
+def best_weights(fits: list[dict], order: int) -> np.ndarray:
+    """Per order and class the likeliest weight; classes without training tokens are like the nearest smaller one, else larger."""
+    weights = np.full((order + 1, CLASSES), np.nan)
+    for row in fits:
+        weights[row["order"], row["class"]] = GRID[int(np.argmax(row["fit"]))]
+    return pd.DataFrame(weights).ffill(axis=1).bfill(axis=1).fillna(0.0).to_numpy()
+
+
 def score(docs: DataFrame, learns_col: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Log10 probabilities of all whole texts under an automaton learnt from those with ``learns_col``.
 
@@ -234,7 +242,7 @@ def score(docs: DataFrame, learns_col: str, order: int = 2, id_col: str = "doc_i
     training texts are counted; nothing is pruned. The weights of the arcs are chosen per order and class of states, as
     the likeliest for training tokens left out of the counts. Texts travel once as packed blocks; counts come back by
     ``exchange``. Repeated rows are scored one by one; a null in ``learns_col`` means no. Words and n-grams are known by
-    64-bit hashes. The driver holds a table of orders x classes and three totals.
+    64-bit hashes. The driver holds three totals.
     """
     spark = docs.sparkSession
     blocks = write_blocks(docs, id_col, text_col, learns_col)
@@ -264,24 +272,21 @@ def score(docs: DataFrame, learns_col: str, order: int = 2, id_col: str = "doc_i
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                yield Automaton(Block(row, order), row["answers"], totals)
+                yield row, Automaton(Block(row, order), row["answers"], totals)
 
     def trial(batches):
-        for automaton in automata(batches):
+        for _, automaton in automata(batches):
             found = automaton.trials()
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in found], pa.int32()), pa.array([c for _, c, _ in found], pa.int32()), pa.array([f.tolist() for _, _, f in found], pa.list_(pa.float64()))], ["order", "class", "fit"])
 
-    fits = met.mapInArrow(trial, "order int, class int, fit array<double>").groupBy("order", "class").agg(F.array(*[F.sum(F.col("fit")[i]) for i in range(len(GRID))]).alias("fit"))
-    weights = np.full((order + 1, CLASSES), np.nan)
-    for row in fits.collect():
-        weights[row["order"], row["class"]] = GRID[int(np.argmax(row["fit"]))]
-    # classes no training token shows are like the nearest smaller one, else the nearest larger
-    weights = pd.DataFrame(weights).ffill(axis=1).bfill(axis=1).fillna(0.0).to_numpy()
-
     def run(batches):
-        for automaton in automata(batches):
-            out = automaton.scores(weights)
+        for row, automaton in automata(batches):
+            out = automaton.scores(best_weights(row["fits"], order))
             yield pa.RecordBatch.from_arrays([pa.array(automaton.block.ids), *(pa.array(out[c]) for c in ("n_tokens", "n_known", "base_score", "score"))], ["_id", "n_tokens", "n_known", "base_score", "score"])
 
+    fits = met.mapInArrow(trial, "order int, class int, fit array<double>").groupBy("order", "class").agg(F.array(*[F.sum(F.col("fit")[i]) for i in range(len(GRID))]).alias("fit"))
+    # one row of at most orders x classes trials, joined in one plan, so that the blocks are dealt to their answers once
+    fits = fits.agg(F.collect_list(F.struct("order", "class", "fit")).alias("fits")).withColumn("_all", F.lit(1))
+    met = met.withColumn("_all", F.lit(1)).join(F.broadcast(fits), "_all").drop("_all")
     scored = met.mapInArrow(run, f"_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("_id").alias(id_col), "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
