@@ -221,7 +221,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``_row``, ``class_id`` and ``n_links``.
+    """One row per document: id, ``_row``, ``_set``, ``class_id`` and ``n_links``.
 
     ``n_links`` counts the other documents whose n-gram sets have at least the similarity, copies included; ``class_id``
     is the smallest id that links, one after another, lead to. Documents of equal sets are one member with a count, so
@@ -230,7 +230,8 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     reaches, never pairs. A large group of near copies is so verified in full by matrix products.
 
     Texts without words have no links and their own class; null texts are empty. Repeated ids are separate documents;
-    rows with a null id keep it as class id if nothing else is linked to them. ``_row`` hashes id and text.
+    rows with a null id keep it as class id if nothing else is linked to them. ``_row`` hashes id and text; ``_set`` names the class also where
+    several have the same smallest id, and is null for texts without words.
     """
     spark = docs.sparkSession
     bands, rows = banding(threshold, recall)
@@ -278,7 +279,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.
     counts = links.groupBy(F.col("_a").alias("_key")).agg(F.sum("links").alias("_links"))
     labels = components(links).join(members.select("_key", "_first"), "_key")
     firsts = labels.groupBy("_root").agg(F.min("_first").alias("_class"))
-    labels = labels.join(firsts, "_root").select("_key", "_class")
+    labels = labels.join(firsts, "_root").select("_key", "_root", "_class")
     classes = members.select("_key", "_first", "_copies").join(labels, "_key", "left").join(counts, "_key", "left")
-    classes = classes.select("_key", F.coalesce("_class", "_first").alias("_class"), (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
-    return signs.join(classes, "_key", "left").select(F.col("_id").alias(id_col), "_row", F.coalesce("_class", "_id").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = classes.select("_key", F.coalesce("_root", "_key").alias("_set"), F.coalesce("_class", "_first").alias("_class"), (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("_links"))
+    return signs.join(classes, "_key", "left").select(F.col("_id").alias(id_col), "_row", "_set", F.coalesce("_class", "_id").alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))

@@ -121,7 +121,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.join(table(spark, sf_dir, "documents")).drop("_row")
+    return near_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 NEAR_SQL = r"""
