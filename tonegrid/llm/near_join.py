@@ -66,7 +66,8 @@ def gram_sets(texts: pa.Array, n: int):
     words = hashes[indices[used]]
     grams = words.copy()
     for k in range(1, n):
-        grams[: len(words) - k] = mixed(grams[: len(words) - k] * MIX[0] + words[k:])
+        m = max(len(words) - k, 0)
+        grams[:m] = mixed(grams[:m] * MIX[0] + words[k : k + m])
     start = 0
     for end in ends:
         if end - start >= n:
