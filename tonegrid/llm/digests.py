@@ -94,7 +94,7 @@ def with_next(rows: DataFrame, id_col: str, columns: tuple[str, ...], parts: int
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx(F.col(id_col).cast("double"), [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("c")).head()["c"] or []
-    cut = Bucketizer(splits=[-math.inf, *sorted(set(cuts)), math.inf], inputCol="_at", outputCol="_range", handleInvalid="keep")
+    cut = Bucketizer(splits=[-math.inf, *(sorted(set(cuts)) or [0.0]), math.inf], inputCol="_at", outputCol="_range", handleInvalid="keep")
 
     def ranged(df: DataFrame) -> DataFrame:
         placed = cut.transform(df.withColumn("_at", F.coalesce(F.col(id_col).cast("double"), F.lit(-math.inf))))
