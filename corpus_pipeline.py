@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.llm import byte_pairs, mixing, near_join, secret_scan, toxicity
-from tonegrid.llm.common import hex_digest, table
+from tonegrid.llm.common import hex_digest, table, unused
 from tonegrid.llm.queries import byte_ranks
 from tonegrid.session import materialize, ship
 
@@ -31,9 +31,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(F.col("doc_id").alias("id"), F.col("_row").alias("row"))
     linked = groups.where(F.col("_set").isNotNull()).groupBy("_set").agg(F.min(row).alias("_kept")).select("_kept.row")
     wordless = groups.where(F.col("_set").isNull()).select(F.col("_row").alias("row"))
-    kept = linked.unionByName(wordless).distinct().withColumnRenamed("row", "_kept_row")
-    marked = docs.withColumn("_kept_row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return marked.join(kept, "_kept_row", "left_semi").dropDuplicates(["_kept_row"]).select(*docs.columns)
+    mark = unused(docs, "_kept_row")
+    kept = linked.unionByName(wordless).distinct().withColumnRenamed("row", mark)
+    marked = docs.withColumn(mark, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    return marked.join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

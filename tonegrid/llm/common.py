@@ -27,6 +27,14 @@ def hex_digest(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as keep it apart from the columns there are."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(lengths, limit: int):
     """Cut consecutive rows into runs (start, stop) whose lengths sum to at most ``limit``, or of one row."""
     start = total = 0

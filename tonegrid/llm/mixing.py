@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegrid.llm.common import WORD, whole
+from tonegrid.llm.common import WORD, unused, whole
 from tonegrid.session import materialize
 
 #: Steps of the rounding order; finer only splits its windows further.
@@ -127,10 +127,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, each as often as it has copies, with all their columns."""
     mixed = mix(docs, id_col, text_col, source_col, identity=tuple(docs.columns), **options)
-    taken = mixed.groupBy(F.col(id_col).alias("_mix_id"), F.col("_hash").alias("_mix_hash")).agg(F.sum("copies").cast("int").alias("_mix_copies"))
-    hashed = docs.withColumn("_mix_hash", F.xxhash64(id_col, text_col, *docs.columns)).withColumn("_mix_id", F.col(id_col))
-    single = hashed.dropDuplicates(["_mix_id", "_mix_hash"]).withColumn("_mix_key", F.struct("_mix_id"))
-    taken = taken.withColumn("_mix_key", F.struct("_mix_id")).drop("_mix_id")
+    key, place, copies, turn = (unused(docs, f"_mix_{x}") for x in ("key", "hash", "copies", "turn"))
     # equal rows are one row here, which has the copies of all of them; structs of null ids are equal
-    joined = single.join(taken, ["_mix_key", "_mix_hash"]).where("_mix_copies > 0")
-    return joined.withColumn("_mix_j", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    taken = mixed.groupBy(F.struct(F.col(id_col).alias("id")).alias(key), F.col("_hash").alias(place)).agg(F.sum("copies").cast("int").alias(copies))
+    single = docs.select("*", F.struct(F.col(id_col).alias("id")).alias(key), F.xxhash64(id_col, text_col, *docs.columns).alias(place)).dropDuplicates([key, place])
+    joined = single.join(taken, [key, place]).where(F.col(copies) > 0)
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
