@@ -43,12 +43,17 @@ class Tables:
             (1 + v % 9).cast("int").alias("n_sections"),
             (1500 + (v * 29) % 2000).cast("double").alias("vocal_centroid"))
 
+    @cached_property
+    def n_songs(self) -> int:
+        """Song ids run from 0 to this number, less one."""
+        return max(self.raw("embeddings").count(), 1)
+
     @cached_property
     def song_pairs(self) -> DataFrame:
         """One partner per song, picked by arithmetic; the table grows with the songs."""
         return self.raw("embeddings").select(
             F.col("vec_id").alias("pair_id"), F.col("vec_id").alias("song_a"),
-            ((F.col("vec_id") * 31 + 7) % 500).alias("song_b"))
+            ((F.col("vec_id") * 31 + 7) % self.n_songs).alias("song_b"))
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -90,7 +95,7 @@ class Tables:
     def mix_params(self) -> DataFrame:
         k, c = F.col("o_orderkey"), F.col("o_custkey")
         return self.raw("orders").select(
-            k.alias("mix_id"), (c % 500).alias("song_a"), ((k * 31) % 500).alias("song_b"),
+            k.alias("mix_id"), (c % self.n_songs).alias("song_a"), ((k * 31) % self.n_songs).alias("song_b"),
             F.when(F.col("o_orderstatus") == "F", "a_vocals").otherwise("b_vocals").alias("direction"),
             (k % 13 - 6).cast("int").alias("key_shift"), (0.07 + (k % 7) * 0.01).alias("vox_rms"),
             (0.10 + (k % 4) * 0.02).alias("inst_rms"), F.lit(0.3).alias("duck_depth"),
@@ -134,7 +139,7 @@ CTE = {
  list_extract({NOTES_SQL}, cast(1+(vec_id*5)%12 as int)) || case when label%2=0 then ' major' else ' minor' end as key,
  cast(((vec_id*7)%100)/100.0e0 as double) as overall_energy, cast(1+vec_id%9 as int) as n_sections,
  cast(1500+(vec_id*29)%2000 as double) as vocal_centroid from embeddings""",
-    "song_pairs": """select vec_id as pair_id, vec_id as song_a, (vec_id*31+7)%500 as song_b from embeddings""",
+    "song_pairs": """select vec_id as pair_id, vec_id as song_a, (vec_id*31+7)%(select count(*) from embeddings) as song_b from embeddings""",
     "frames": """select user_id as song_id,
  cast(row_number() over(partition by user_id order by ts,event_id)-1 as bigint) as frame, value/500e0 as rms,
  case event_type when 'view' then 'vocals' when 'click' then 'drums' when 'purchase' then 'bass'
@@ -148,7 +153,7 @@ CTE = {
     "samples": """select l_suppkey as song_id, cast(row_number() over(partition by l_suppkey
  order by l_orderkey,l_linenumber,l_partkey,l_extendedprice)-1 as bigint) as pos, (l_quantity-25.5e0)/25.5e0 as x,
  case l_linenumber%4 when 0 then 'vocals' when 1 then 'drums' when 2 then 'bass' else 'other' end as stem from lineitem""",
-    "mix_params": """select o_orderkey as mix_id, o_custkey%500 as song_a, (o_orderkey*31)%500 as song_b,
+    "mix_params": """select o_orderkey as mix_id, o_custkey%(select count(*) from embeddings) as song_a, (o_orderkey*31)%(select count(*) from embeddings) as song_b,
  case when o_orderstatus='F' then 'a_vocals' else 'b_vocals' end as direction, cast(o_orderkey%13-6 as int) as key_shift,
  0.07e0+(o_orderkey%7)*0.01e0 as vox_rms, 0.10e0+(o_orderkey%4)*0.02e0 as inst_rms, 0.3e0 as duck_depth,
  -18e0 as comp_threshold from orders""",

@@ -37,7 +37,7 @@ def total(c):
 
 
 FRAMED = dict(ln="select song_id, max(pos)+1 as len from samples group by song_id",
-              fr="select song_id, cast(f.f as bigint) as frame from ln join range(0,100000) f(f) on f.f*32+64<=len")
+              fr="select song_id, cast(f.f as bigint) as frame from (select song_id, unnest(range(0, greatest(0, (len-64)//32+1))) as f from ln) f")
 
 
 def wav_files(t):

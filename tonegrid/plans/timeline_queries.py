@@ -7,6 +7,7 @@ from tonegrid.operators import quality as Q
 from tonegrid.operators import signal as X
 from tonegrid.operators import structure as B
 from tonegrid.operators import timeline as L
+from tonegrid.operators.ordered import dense_index
 from tonegrid.plans.adapters import sql
 from tonegrid.plans.registry import query
 from tonegrid.plans.structure_queries import SONG
@@ -82,24 +83,31 @@ def _(t):
     return L.label_gain(xs(t), bars, SONG, "pos", "x", 16).select("song_id", "pos", r6("x").alias("x"))
 
 
-# placements: three spans per song, copied to overlapping places
-PLACE = """select song_id as pair_id, song_id, o.o as ord, o.o*100 as vocal_start, o.o*100+90 as vocal_end, 40+o.o*60 as dest_start, 40+o.o*60+50 as dest_end
- from (select distinct song_id from samples) s, range(0,3) o(o)"""
+# placements: a span for every hundred positions of a song, copied to overlapping places
+PLACE = """select song_id as pair_id, song_id, o as ord, o*100 as vocal_start, o*100+90 as vocal_end, 40+o*60 as dest_start, 40+o*60+50 as dest_end, len
+ from (select song_id, max(pos)+1 as len, unnest(range(0, max(pos)//100+1)) as o from samples group by song_id) o"""
+REACH = "(select 100+60*(max(pos)//100) from samples)"
 _EDGE = lambda i, n, f: f"(case when {i}<least({f},{n}//4) then {_ramp(i, f'least({f},{n}//4)')} else 1e0 end*case when {i}>={n}-least({f},{n}//4) then 1-{_ramp(f'({i}-({n}-least({f},{n}//4)))', f'least({f},{n}//4)')} else 1e0 end)"
 
 
+def reach(t):
+    """Positions of a mix that ends with the last placement of the longest song."""
+    return 100 + 60 * (xs(t, "pos").agg(F.max("pos")).head()[0] // 100)
+
+
 def placements(t):
     o = F.col("ord")
-    return (xs(t, "pos").select("song_id").distinct().withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    spans = xs(t, "pos").groupBy("song_id").agg(F.floor(F.max("pos") / 100).alias("_last"))
+    return (spans.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
             .select(F.col("song_id").alias("pair_id"), "song_id", "ord", (o * 100).alias("vocal_start"), (o * 100 + 90).alias("vocal_end"),
                     (40 + o * 60).alias("dest_start"), (40 + o * 60 + 50).alias("dest_end")))
 
 
-@query("c20_place", sql("samples", f"""select pair_id, pos, round(x,6) as x from (select pair_id, p.dest_start+s.pos-p.vocal_start as pos, s.x*{_EDGE('(s.pos-p.vocal_start)', 'least(90,220-p.dest_start)', 12)} as x,
+@query("c20_place", sql("samples", f"""select pair_id, pos, round(x,6) as x from (select pair_id, p.dest_start+s.pos-p.vocal_start as pos, s.x*{_EDGE('(s.pos-p.vocal_start)', f'least(90,p.len-p.vocal_start,{REACH}-p.dest_start)', 12)} as x,
  row_number() over(partition by pair_id, p.dest_start+s.pos-p.vocal_start order by ord desc) as rn from samples s join pl p on p.song_id=s.song_id and s.pos>=p.vocal_start and s.pos<p.vocal_end
- where s.pos-p.vocal_start<220-p.dest_start) q where rn=1""", pl=PLACE))
+ where s.pos-p.vocal_start<{REACH}-p.dest_start) q where rn=1""", pl=PLACE))
 def _(t):
-    d = L.place(xs(t), placements(t), "pair_id", "song_id", "pos", "x", 220, fade=12)
+    d = L.place(xs(t), placements(t), "pair_id", "song_id", "pos", "x", reach(t), fade=12)
     return d.select("pair_id", "pos", r6("x").alias("x"))
 
 
@@ -109,9 +117,10 @@ def _(t):
     return L.edge_fades(xs(t), placements(t), SONG, "pos", "x", 9).select("song_id", "pos", r6("x").alias("x"))
 
 
-@query("f03_order_placements", sql("samples", "select pair_id, ord, dest_start from pl order by dest_start desc, pair_id limit 50", pl=PLACE))
+@query("f03_order_placements", sql("samples", "select pair_id, ord, dest_start, row_number() over(order by dest_start desc, pair_id)-1 as place from pl", pl=PLACE))
 def _(t):
-    return placements(t).select("pair_id", "ord", "dest_start").orderBy(F.desc("dest_start"), "pair_id").limit(50)
+    p = placements(t).select("pair_id", "ord", "dest_start").withColumn("_down", -F.col("dest_start"))
+    return dense_index(p, [], ["_down", "pair_id"], F.col("_down"), "place").drop("_down")
 
 
 @query("h09_mixdown", sql("samples", "select song_id, pos//4 as pos, round(case when bool_or(pos%97=0) then 0e0 else sum(x) end,6) as x from samples group by song_id, pos//4"))
@@ -170,15 +179,15 @@ def _(t):
     return d.select("song_id", "pos", r6("left").alias("left"), r6("right").alias("right"))
 
 
-@query("h15_echo_tails", sql("samples", """select song_id, pos, round(sum(x),6) as x from (select song_id, pos, x from samples union all
- select song_id, pos, t*src*0.2e0/tr from (select *, sqrt(avg(t*t) filter(where t<>0) over(partition by song_id, ord))+1e-8 as tr from tl) w join lv using(song_id, ord) where pos<600) u group by song_id, pos""", pl=PLACE,
+@query("h15_echo_tails", sql("samples", f"""select song_id, pos, round(sum(x),6) as x from (select song_id, pos, x from samples union all
+ select song_id, pos, t*src*0.2e0/tr from (select *, sqrt(avg(t*t) filter(where t<>0) over(partition by song_id, ord))+1e-8 as tr from tl) w join lv using(song_id, ord) where pos<{REACH}) u group by song_id, pos""", pl=PLACE,
  sr="select s.song_id, p.ord, s.pos-(p.dest_end-30) as i, p.dest_end as e, s.x from samples s join pl p on p.song_id=s.song_id and s.pos>=p.dest_end-30 and s.pos<p.dest_end",
  lv="select song_id, ord, sqrt(avg(x*x))+1e-8 as src from sr group by song_id, ord",
  tl="select song_id, ord, e+r.r*20+i as pos, sum(x*0.3e0*power(0.5e0,r.r-1)) as t from sr, range(1,3) r(r) group by song_id, ord, e+r.r*20+i"))
 def _(t):
     p = placements(t).select("song_id", "ord", "dest_start", "dest_end")
     # 100 positions per second at 300 beats per minute: echoes every 20 positions, shorter than the 30-position source
-    return L.echo_tails(xs(t), p, SONG, "pos", "x", 300.0, 600, sr=100).select("song_id", "pos", r6("x").alias("x"))
+    return L.echo_tails(xs(t), p, SONG, "pos", "x", 300.0, reach(t), sr=100).select("song_id", "pos", r6("x").alias("x"))
 
 
 # ---- ordered placement and searches -------------------------------------------------------------
@@ -243,9 +252,9 @@ def _(t):
 
 
 @query("g07_region_scan", sql("frames", """select song_id, case when dur<=10 then 5e0 else 5+ord*1e0 end as start_s, case when dur<=10 then greatest(10e0,dur-5) else 15+ord*1e0 end as end_s from d join (
- select song_id, ord from (select *, row_number() over(partition by song_id order by s desc, ord) as rn from (select d.song_id, o.o as ord, round(avg(f.rms),12) as s from d join range(0,1000) o(o)
- on o.o<ceil((greatest(6e0,dur-15)-5)/1e0) join frames f on f.song_id=d.song_id and f.frame*0.25e0>=10+o.o-2 and f.frame*0.25e0<10+o.o+2 where dur>10 group by d.song_id, o.o) a) b where rn=1 union all
- select song_id, 0 from d where dur<=10) c using(song_id)""", d="select song_id, max(frame)*0.25e0 as dur from frames group by song_id"))
+ select song_id, ord from (select *, row_number() over(partition by song_id order by s desc, ord) as rn from (select d.song_id, g.o as ord, round(avg(f.rms),12) as s from d join g on g.song_id=d.song_id join frames f on f.song_id=d.song_id and f.frame*0.25e0>=10+g.o-2 and f.frame*0.25e0<10+g.o+2 where dur>10 group by d.song_id, g.o) a) b where rn=1 union all
+ select song_id, 0 from d where dur<=10) c using(song_id)""", d="select song_id, max(frame)*0.25e0 as dur from frames group by song_id",
+ g="select song_id, unnest(range(0, cast(ceil(greatest(6e0,dur-15)-5) as bigint))) as o from d"))
 def _(t):
     f = t.stored("frames").select("song_id", (F.col("frame") * 0.25).alias("t"), "rms")
     score = lambda rows, keys: rows.groupBy(*keys).agg(F.avg("rms").alias("score"))
