@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tonegrid.operators import ordered
 from tonegrid.operators import signal as X
 from tonegrid.operators.folds import spaced_points
 from tonegrid.operators.intervals import interval_join, nearest
@@ -159,3 +160,14 @@ def test_ramp_mask_like_the_loop(spark):
                 lo, hi = max(0, p - 3), min(len(m), p + 3)
                 want[lo:hi] = np.linspace(a, b, hi - lo)
         assert np.allclose(got[k], want), k
+
+
+def test_quantiles_keep_infinities_and_check_ranks(spark, monkeypatch):
+    inf = float("inf")
+    groups = {1: [1.0, 2.0, inf, inf, inf], 2: [1.0, 2.0, 3.0, 4.0, inf], 3: [-inf, 0.0, 0.0, 5.0], 4: [7.0] * 3000 + [8.0] * 100 + [inf] * 20}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k int, v double")
+    got = {r["k"]: (r["lo"], r["mid"], r["top"]) for r in ordered.quantiles(df, ["k"], F.col("v"), {"lo": 0.0, "mid": 0.5, "top": 1.0}).collect()}
+    assert got == {1: (1.0, inf, inf), 2: (1.0, 3.0, inf), 3: (-inf, 0.0, 5.0), 4: (7.0, 7.0, inf)}
+    monkeypatch.setattr(ordered, "_WIDTHS", (0.0, 0.0))  # brackets too narrow to hold the rank between two values
+    with pytest.raises(Exception, match="outside its bracket"):
+        ordered.quantiles(df.where("k = 2"), ["k"], F.col("v"), {"q": 0.6}).collect()

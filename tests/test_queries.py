@@ -12,9 +12,7 @@ from check import TABLES, compare  # noqa: E402
 from tonegrid import plans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-# long-running ones: set TONEGRID_ALL=1 to include them
-SLOW = {"j01_train_quality", "j04_suggest_params", "c15_nearest_rated", "d26_weighted_suggestion", "d18_evaluate_mix", "g04_place_vocals", "g05_session_chain", "k02_stream_best_match"}
-NAMES = [n for n in plans.queries() if n not in SLOW or os.environ.get("TONEGRID_ALL")]
+NAMES = list(plans.queries())
 
 
 @pytest.fixture(scope="module")

@@ -48,3 +48,24 @@ def test_top_matches_lists(vectors):
     for i, g in got.groupby("id"):
         want = sorted((-s[i, j], j) for j in range(300) if j != i)[:4]
         assert sorted(g.match) == sorted(j for _, j in want), i
+
+
+def test_mixed_widths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 if i % 3 else 5).round(3).tolist()) for i in range(40)] + [(40, None), (41, [1.0, 2.0])]
+    emb = spark.createDataFrame(rows, "song_id long, embedding array<double>")
+    dot = lambda a, b: round(float(np.dot(a, b)), 9) if a and b and len(a) == len(b) else None
+    got = M.best_match(emb).toPandas().set_index("song_id")
+    pairs = []
+    for i, a in rows:
+        scored = sorted((-s, j) for j, b in rows if j != i and (s := dot(a, b)) is not None)
+        assert (got.loc[i].match_id == scored[0][1]) if scored else pd.isna(got.loc[i].match_id)
+        pairs += [(s, min(i, j), max(i, j)) for s, j in scored if i < j]
+    top = M.top_pairs(emb, 7).toPandas()
+    assert list(zip(top.song_a, top.song_b)) == [(a, b) for _, a, b in sorted(pairs)[:7]]
+    songs = spark.createDataFrame([(i, 120.0, "C major") for i, _ in rows], "song_id long, tempo double, key string")
+    following = M.next_song(songs, emb).toPandas().set_index("song_id")
+    for i, a in rows:
+        # equal keys and tempos: the embedding decides, another width counts as none
+        best = min((-(dot(a, b) or 0.0), j) for j, b in rows if j != i)
+        assert following.loc[i].next_id == best[1]

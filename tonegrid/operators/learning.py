@@ -170,7 +170,7 @@ def train_layers(features: DataFrame, x: str, y: str, hidden: Sequence[int] = (6
     n, width = head["n"], head["w"]
     if n < K.MIN_RATINGS_TO_TRAIN:
         return None
-    parts = max(1, min(-(-n // rows_per_block), d.sparkSession.sparkContext.defaultParallelism * 4))
+    parts = max(1, -(-n // rows_per_block))
     packed = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
 
     def pack(batches):
@@ -204,7 +204,7 @@ def train_layers(features: DataFrame, x: str, y: str, hidden: Sequence[int] = (6
                     yield pd.DataFrame({"g": [total.tobytes()]})
 
             sums = blocks.mapInPandas(gradient, _SUM)
-            if parts > 16:
+            if groups > 1:
                 sums = sums.repartition(groups).mapInPandas(add, _SUM)
             flat = sum(np.frombuffer(r["g"]) for r in sums.collect())
             layers = _step(layers, flat, lr)

@@ -114,7 +114,10 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataF
     return df.join(df.groupBy(*keys).agg(*aggs), list(keys), "left")
 
 
+#: The sketch's ranks are off by at most one part in so many.
 _ACCURACY = 100_000
+#: Half widths of the brackets, as shares of the ranks; the last holds the whole group.
+_WIDTHS = (5e-5, 2e-3, 5e-2, 1.0)
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column, ps: dict[str, float],
@@ -125,51 +128,54 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, ps: dict[str, f
 
     A mergeable sketch brackets each wanted rank; values outside the brackets only get counted, so
     what reaches the final ranking is a thin slice of the group, and repeated values travel as one
-    row with a count. Nulls are skipped, groups without values are absent.
+    row with a count. The bracket is the narrowest that is wider than the sketch's error by three
+    ranks, so by the sketch's bound it holds the rank; a rank outside is an error, never a value.
+    Nulls are skipped, groups without values are absent, infinities are values like others.
     """
     d = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     names = list(ps)
     n = F.col("_n")
+    edges = [p + side * e for p in ps.values() for e in _WIDTHS for side in (-1, 1)]
     sketch = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx(
-            "_v",
-            F.array(*[F.lit(float(min(max(p + e, 0.0), 1.0)))
-                      for p in ps.values() for e in (-2e-3, 2e-3, -5e-5, 5e-5)]),
-            F.lit(_ACCURACY)).alias("_q"), *extra)
-    more = [c for c in sketch.columns if c not in {*keys, "_n", "_min", "_max", "_q"}]
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_v", F.array(*[F.lit(float(min(max(q, 0.0), 1.0))) for q in edges]),
+                            F.lit(_ACCURACY)).alias("_q"), *extra)
+    more = [c for c in sketch.columns if c not in {*keys, "_n", "_q"}]
+    rung = F.lit(len(_WIDTHS) - 1)
+    for r in range(len(_WIDTHS) - 2, -1, -1):
+        rung = F.when(n * (_WIDTHS[r] - 1 / _ACCURACY) >= 3, r).otherwise(rung)
+    sketch = sketch.withColumn("_r", 2 * rung)
     for i, _ in enumerate(names):
-        # below 1,000 values the whole group is the bracket, then +-0.2 %, then +-0.005 %
-        sketch = (sketch
-                  .withColumn(f"_lo{i}", F.when(n <= 1000, F.col("_min"))
-                              .when(n <= 1_000_000, F.col("_q")[4 * i]).otherwise(F.col("_q")[4 * i + 2]))
-                  .withColumn(f"_hi{i}", F.when(n <= 1000, F.col("_max"))
-                              .when(n <= 1_000_000, F.col("_q")[4 * i + 1]).otherwise(F.col("_q")[4 * i + 3])))
-    sketch = sketch.drop("_q", "_min", "_max")
+        at = 2 * len(_WIDTHS) * i + 1 + F.col("_r")
+        sketch = sketch.withColumn(f"_lo{i}", F.element_at("_q", at)).withColumn(f"_hi{i}", F.element_at("_q", at + 1))
+    sketch = sketch.drop("_q", "_r")
     j = d.join(sketch, list(keys))
     inside = reduce(lambda a, b: a | b,
                     [F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(names))])
     # a counted-only value is filed just below the nearest bracket above it
-    above = F.least(F.lit(float("inf")), *[
-        F.when(F.col("_v") < F.col(f"_lo{i}"), F.col(f"_lo{i}")) for i in range(len(names))])
+    below = [F.when(F.col("_v") < F.col(f"_lo{i}"), F.col(f"_lo{i}")) for i in range(len(names))]
+    above = F.least(*below) if len(below) > 1 else below[0]
     binned = (j.withColumn("_in", inside.cast("int"))
               .withColumn("_anchor", F.when(F.col("_in") == 1, F.col("_v")).otherwise(above))
-              .where(F.col("_anchor") != F.lit(float("inf")))
+              .where(F.col("_anchor").isNotNull())
               .groupBy(*keys, "_anchor", "_in").agg(F.count(F.lit(1)).alias("_cnt"), F.max("_n").alias("_n"),
                                                     *[F.max(c).alias(c) for c in more]))
     upto = Window.partitionBy(*keys).orderBy("_anchor", "_in").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = binned.withColumn("_cum", F.sum("_cnt").over(upto)).where(F.col("_in") == 1)
+    ranked = binned.withColumn("_cum", F.sum("_cnt").over(upto)).withColumn("_at", F.struct("_anchor", "_in"))
     picks = []
     for i, p in enumerate(ps.values()):
         pos = (F.col("_n") - 1) * F.lit(float(p))
-        picks += [F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_anchor"))).alias(f"_a{i}"),
-                  F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_anchor"))).alias(f"_b{i}")]
+        picks += [F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_at"))).alias(f"_a{i}"),
+                  F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_at"))).alias(f"_b{i}")]
     out = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[F.max(c).alias(c) for c in more], *picks)
     cols = []
     for i, (name, p) in enumerate(ps.items()):
         pos = (F.col("_n") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
-        cols.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * frac).alias(name))
+        a, b = F.col(f"_a{i}._anchor"), F.col(f"_b{i}._anchor")
+        held = F.coalesce((F.col(f"_a{i}._in") == 1) & (F.col(f"_b{i}._in") == 1), F.lit(False))
+        between = F.when(a == b, a).otherwise(a + (b - a) * frac)
+        cols.append(F.when(held, between).otherwise(F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")).alias(name))
     return out.select(*keys, *cols, *more)
 
 

@@ -8,7 +8,9 @@ inside a task that hands back only the best few per query. Equal rows are search
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,6 @@ from tonegrid import constants as K
 from tonegrid.functions.scalars import parse_key_relative
 from tonegrid.session import fresh, materialize
 
-MAX_PIVOTS = 256
 BLOCK_ROWS = 4096
 # an angle bound is loosened by this much so rounding can never hide a match
 SLACK = 1e-6
@@ -49,13 +50,20 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
                 global_top: bool = False, block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
     """Best ``k`` base rows per query by vector score: id, match, score.
 
-    Both inputs carry ``id`` (bigint) and ``vec`` (array<double>, equal widths) plus ``extra`` columns.
+    Both inputs carry ``id`` (bigint) and ``vec`` (array<double>) plus ``extra`` columns. Only vectors of one width
+    meet: each width that occurs is a search of its own.
     ``score(q, b, dots)`` turns a block of dot products into scores (default: the dot product) and
     ``bound(dot)`` is the highest score any pair with at most that dot product may have. Scores are
     compared at nine decimals, equal ones go to the lower match id. ``skip_same`` leaves out a row
     matching its own id. With ``global_top`` only pairs that can reach the overall best ``k`` are
     searched and lists may be incomplete below that.
     """
+    widths = [r["w"] for r in base.select(F.size("vec").alias("w")).distinct().collect()]  # one row per vector width
+    if len(widths) > 1:
+        each = [top_matches(*[d.where(F.size("vec") == w) for d in (queries, base)], k, extra, score, bound, skip_same, global_top, block_rows, pivots) for w in widths]
+        return reduce(DataFrame.unionByName, each)
+    if widths:
+        queries = queries.where(F.size("vec") == widths[0])
     score = score or (lambda q, b, dots: dots)
     bound = bound or (lambda dot: dot)
     features = ["vec", *extra]
@@ -68,8 +76,9 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
     if n == 0:
         return spark.createDataFrame([], T.StructType([
             T.StructField("id", id_type), T.StructField("match", id_type), T.StructField("score", T.DoubleType())]))
-    p = pivots or max(1, min(MAX_PIVOTS, -(-n // (block_rows // 2))))
-    picked = b.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(p).collect()  # at most MAX_PIVOTS rows
+    # one per half block, and no more than the root of the rows, so that neither cells nor pivots outgrow the other
+    p = pivots or max(1, min(math.isqrt(n), -(-n // (block_rows // 2))))
+    picked = b.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(p).collect()
     piv = np.array([r["vec"] for r in picked], dtype=np.float64)
     piv = piv / np.maximum(np.linalg.norm(piv, axis=1), 1e-300)[:, None]
 
@@ -84,7 +93,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
 
     b = materialize(b.mapInPandas(place, placed), "match-cells")
     info = b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
-                                 F.max("size").alias("size")).collect()  # at most MAX_PIVOTS rows
+                                 F.max("size").alias("size")).collect()  # one row per pivot
     cells = np.array([r["cell"] for r in info])
     lo, hi, top = (np.array([r[c] for r in info], dtype=np.float64) for c in ("lo", "hi", "size"))
     parts = {r["cell"]: -(-r["n"] // block_rows) for r in info}
@@ -133,9 +142,8 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
         n_ids = np.array([len(m) for m in ids])[col]
         match = np.concatenate([ids[c] for c in col]) if len(col) else np.array([], dtype=np.int64)
         out = pd.DataFrame({"rep": np.repeat(left["rep"].to_numpy()[row], n_ids), "match": match, "score": np.repeat(s[row, col], n_ids)})
-        if len(out) > 4 * want * len(left):  # many equal scores: keep the lowest ids
-            out = out.sort_values(["rep", "score", "match"], ascending=[True, False, True]).groupby("rep").head(want)
-        return out
+        # of equal scores the lowest ids
+        return out.sort_values(["rep", "score", "match"], ascending=[True, False, True]).groupby("rep").head(want)
 
     def run(routed: DataFrame) -> DataFrame:
         needed = routed.select("cell", "qpart").distinct()
@@ -232,13 +240,15 @@ def next_song(songs: DataFrame, emb: DataFrame, ids: DataFrame | None = None, k:
     """Best follow-up (or best k) per song: half embedding similarity, .3 key and .2 tempo compatibility.
 
     ``songs`` has song_id, tempo, key and optionally key_chroma. A song without tempo and key counts as
-    not comparable (+.25 flat), one without embedding gets no similarity part.
+    not comparable (+.25 flat), one without embedding or with one of another width gets no similarity part.
     """
     chroma = F.col("key_chroma") if "key_chroma" in songs.columns else F.array().cast("array<double>")
-    width = emb.select(F.max(F.size("embedding")).alias("w")).collect()[0]["w"] or 1
+    widths = sorted(r["w"] for r in emb.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("w")).distinct().collect()) or [1]
     s = songs.select(F.col("song_id").cast("bigint").alias("id"), "tempo", "key", F.coalesce(chroma.cast("array<double>"), F.array().cast("array<double>")).alias("chroma"))
     s = s.join(emb.select(F.col("song_id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("e")), "id", "left")
-    s = s.select("id", F.coalesce("e", F.array_repeat(F.lit(0.0), width)).alias("vec"),
+    # each width has places of its own, so that products between widths are zero
+    own = F.concat(*[F.when(F.size("e") == w, F.col("e")).otherwise(F.array_repeat(F.lit(0.0), w)) for w in widths])
+    s = s.select("id", own.alias("vec"),
                  F.coalesce(F.col("tempo").cast("double"), F.lit(120.0)).alias("tempo"),
                  parse_key_relative(F.coalesce("key", F.lit("C major"))).alias("root"),
                  (F.col("tempo").isNotNull() | F.col("key").isNotNull()).alias("known"), "chroma")

@@ -30,11 +30,18 @@ def missing_songs(pairs: DataFrame, songs: DataFrame) -> DataFrame:
     return absent[0].unionByName(absent[1]).distinct()
 
 
+def absent(error: AnalysisException) -> bool:
+    """Nothing is stored at the path yet; any other fault is the caller's to see."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """Cached embeddings; nothing stored yet gives an empty table."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return _empty(spark, S.EMBEDDING)
 
 
@@ -44,7 +51,9 @@ def read_ratings(spark: SparkSession, path: str, lines: bool = False) -> DataFra
         schema = T.StructType([*S.RATING.fields, T.StructField("_corrupt_record", T.StringType())])
         d = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path, multiLine=not lines)
         return d.where(F.col("_corrupt_record").isNull() & F.col("mix_id").isNotNull()).drop("_corrupt_record")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return _empty(spark, S.RATING)
 
 
@@ -52,7 +61,9 @@ def read_mix_params(spark: SparkSession, path: str, lines: bool = False) -> Data
     """Pending parameters from JSON objects keyed by mix id, one per file (or line); missing or broken ones give no rows."""
     try:
         d = spark.read.text(path, wholetext=not lines)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return _empty(spark, S.MIX_PARAMS)
     entries = F.from_json("value", T.MapType(T.StringType(), S.PARAMS))
     return d.select(F.explode(entries).alias("mix_id", "_p")).where(F.col("_p").isNotNull()).select("mix_id", "_p.*")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from tonegrid.functions.scalars import clamp_rating
 from tonegrid.operators.learning import latest_ratings
 from tonegrid.operators.similarity import top_matches
+from tonegrid.sources.tables import absent
 
 POLL = "5 seconds"
 
@@ -27,7 +28,9 @@ def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A Parquet table that may not exist yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not absent(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -43,8 +46,9 @@ def stream_new(stream: DataFrame, done_path: str, key: str, process: Callable[[D
         fresh = batch.dropDuplicates([key])
         try:
             fresh = fresh.join(spark.read.parquet(done_path).select(key), key, "left_anti")
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if not absent(error):
+                raise
         process(fresh).write.mode("append").parquet(done_path)
 
     return _start(stream.writeStream.foreachBatch(handle), checkpoint, once)
