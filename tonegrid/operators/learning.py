@@ -54,10 +54,17 @@ def pair_history(rated: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "song_a", "song_b").join(r.unionByName(swapped), ["song_a", "song_b"]).drop("song_a", "song_b")
 
 
-def best_direction_by_rating(history: DataFrame) -> DataFrame:
-    """Direction with the best mean rating per pair; on a tie the one seen first: pair_id, direction, mean_rating."""
-    by = history.groupBy("pair_id", "direction").agg(F.avg("rating").alias("_m"), F.min("mix_id").alias("_first"))
-    return argmax_first(by, ["pair_id"], F.round("_m", 12), F.col("_first"), {"direction": F.col("direction"), "mean_rating": F.col("_m")})
+def best_direction_by_rating(rated: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Direction with the best mean rating per pair; on a tie the one seen first: pair_id, direction, mean_rating.
+
+    Ratings are summed per songs and direction before pairs meet them, so a pair rated and asked for many times is a few rows.
+    """
+    flip = F.when(F.col("direction") == "a_vocals", "b_vocals").otherwise("a_vocals")
+    sums = rated.groupBy("song_a", "song_b", "direction").agg(F.sum("rating").alias("_s"), F.count("rating").alias("_n"), F.min("mix_id").alias("_first"))
+    swapped = sums.where(F.col("song_a") != F.col("song_b")).select(F.col("song_b").alias("song_a"), F.col("song_a").alias("song_b"), flip.alias("direction"), "_s", "_n", "_first")
+    by = sums.unionByName(swapped).groupBy("song_a", "song_b", "direction").agg((F.sum("_s") / F.sum("_n")).alias("_m"), F.min("_first").alias("_first"))
+    best = argmax_first(by, ["song_a", "song_b"], F.round("_m", 12), F.col("_first"), {"direction": F.col("direction"), "mean_rating": F.col("_m")})
+    return pairs.select("pair_id", "song_a", "song_b").join(best, ["song_a", "song_b"]).select("pair_id", "direction", "mean_rating")
 
 
 def _pair_vector(a: str, b: str) -> Column:
@@ -112,7 +119,7 @@ def suggest_params(pairs: DataFrame, rated: DataFrame, k: int = 5, **opts) -> Da
     enough = ratings_count(rated).where("can_train").select(F.lit(1).alias("_on"))
     near = nearest_rated(pairs, rated, k, **opts)
     by_vector = materialize(weighted_suggestion(near.join(rated.drop("emb_a", "emb_b", "song_a", "song_b"), "mix_id")), "suggested")
-    own = best_direction_by_rating(pair_history(rated, pairs)).join(by_vector, "pair_id", "left_anti").select("pair_id", "direction")
+    own = best_direction_by_rating(rated, pairs).join(by_vector, "pair_id", "left_anti").select("pair_id", "direction")
     both = by_vector.unionByName(own, allowMissingColumns=True)
     return both.withColumn("_on", F.lit(1)).join(enough, "_on", "left_semi").drop("_on")
 

@@ -319,13 +319,20 @@ def level_grid(vocals: DataFrame, inst: DataFrame, keys: Sequence[str], pos: str
     """Best of 4 x 4 vocal and beat levels per pair: keys, vox_rms, inst_rms, score; the first maximum wins.
 
     ``scorer(mix, keys)`` gets the levelled mixes (keys plus vox_rms, inst_rms, ord) and returns one score row each.
+    Both sides are measured and joined once; gains are linear, so the sixteen mixes are made of the joined samples.
     """
-    combos = F.array(*[F.struct(F.lit(v).alias("vox_rms"), F.lit(i).alias("inst_rms"), F.lit(n).alias("ord"))
-                       for n, (v, i) in enumerate((v, i) for v in K.VOCAL_LEVELS for i in K.BEAT_LEVELS)])
-    grid = [*keys, "vox_rms", "inst_rms", "ord"]
-    spread = lambda d: d.select(*keys, pos, x, F.explode(combos).alias("_c")).select(*keys, "_c.*", pos, x)
-    mix = quick_mix(spread(vocals), spread(inst), grid, pos, x, F.col("vox_rms"), F.col("inst_rms"))
-    return argmax_first(scorer(mix, grid), keys, F.round("score", 12), F.col("ord"),
+    levels = [(v, i) for v in K.VOCAL_LEVELS for i in K.BEAT_LEVELS]
+    level = F.sqrt(F.avg(F.col(x) * F.col(x)))
+    both = (vocals.select(*keys, pos, F.col(x).alias("_v")).join(inst.select(*keys, pos, F.col(x).alias("_i")), [*keys, pos])
+            .join(vocals.groupBy(*keys).agg(level.alias("_rv")), list(keys)).join(inst.groupBy(*keys).agg(level.alias("_ri")), list(keys)))
+    gain = lambda target, rms: F.when(F.col(rms) < 1e-8, 1.0).otherwise(F.least(F.lit(float(target)) / F.col(rms), F.lit(8.0)))
+    mixed = lambda v, i: F.col("_v") * gain(v, "_rv") + F.col("_i") * gain(i, "_ri")
+    peaks = both.groupBy(*keys).agg(F.array(*[F.max(F.abs(mixed(v, i))) for v, i in levels]).alias("_peaks"))
+    scaled = lambda n, v, i: mixed(v, i) * F.when(F.col("_peaks")[n] > 0.95, 0.95 / F.col("_peaks")[n]).otherwise(1.0)
+    combos = F.array(*[F.struct(F.lit(v).alias("vox_rms"), F.lit(i).alias("inst_rms"), F.lit(n).alias("ord"), scaled(n, v, i).alias(x))
+                       for n, (v, i) in enumerate(levels)])
+    mix = both.join(peaks, list(keys)).select(*keys, pos, F.explode(combos).alias("_c")).select(*keys, "_c.*", pos)
+    return argmax_first(scorer(mix, [*keys, "vox_rms", "inst_rms", "ord"]), keys, F.round("score", 12), F.col("ord"),
                         {c: F.col(c) for c in ("vox_rms", "inst_rms", "score")})
 
 

@@ -85,7 +85,7 @@ def _(t):
 
 @query("d27_best_direction_by_rating", sql("ratings_in mix_params", "select pair_id, direction, round(m,6) as mean_rating from bdir", mixpairs=MIXPAIRS, **HIST))
 def _(t):
-    d = R.best_direction_by_rating(R.pair_history(rated(t, False), mix_pairs(t)))
+    d = R.best_direction_by_rating(rated(t, False), mix_pairs(t))
     return d.select("pair_id", "direction", r6("mean_rating").alias("mean_rating"))
 
 
