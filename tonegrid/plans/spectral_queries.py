@@ -149,11 +149,16 @@ def _(t):
 
 @query("d31_handcrafted_embedding")
 def _(t):
-    s = Z.mfcc_chroma(spectra(t), 20, SR, N_FFT, 24)
-    s = Z.spectral_features(s, SR / N_FFT).select("song_id", "frame", "mfcc", "chroma", "centroid")
-    w = Z.frame_levels(Z.zero_crossing_rate(framed(t))).select("song_id", "frame", "rms", "zcr")
-    f = s.join(w, ["song_id", "frame"]).withColumn("t", F.col("frame") * HOP / SR)
-    f = f.withColumn("stem", F.explode(F.array(F.lit("mix"), F.lit("vocals"))))
+    # the mix has every sample, a stem its own and silence in between
+    heard = F.array(F.lit("mix"), *[F.lit(s) for s in ("vocals", "drums", "bass", "other")])
+    tracks = t.stored("samples").withColumn("track", F.explode(heard))
+    tracks = tracks.withColumn("x", F.when(F.col("track").isin("mix") | (F.col("track") == F.col("stem")), F.col("x")).otherwise(0.0))
+    keys = ["song_id", "track"]
+    waves = Z.frame_samples(Z.pack_samples(tracks.select(*keys, "pos", "x"), keys, "pos", "x", CHUNK), keys, CHUNK, N_FFT, HOP)
+    s = Z.mfcc_chroma(Z.spectrum(waves, N_FFT), 20, SR, N_FFT, 24)
+    s = Z.spectral_features(s, SR / N_FFT).select(*keys, "frame", "mfcc", "chroma", "centroid")
+    w = Z.frame_levels(Z.zero_crossing_rate(waves)).select(*keys, "frame", "rms", "zcr")
+    f = s.join(w, [*keys, "frame"]).withColumn("t", F.col("frame") * HOP / SR).withColumnRenamed("track", "stem")
     tempo = f.select("song_id").distinct().withColumn("tempo", 100.0 + F.col("song_id"))
     d = Z.handcrafted_embedding(f, tempo)
     return d.select("song_id", F.size("embedding").alias("width"), r6(F.element_at("embedding", 53)).alias("tempo_value"), F.round(total("embedding"), 4).alias("total"))

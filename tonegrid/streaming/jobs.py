@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,20 +59,24 @@ def stream_best_match(stream: DataFrame, emb_path: str, out_path: str, embed: Ca
                       once: bool = False) -> StreamingQuery:
     """Embed each arriving song, store it, and report its best match among all songs stored so far.
 
-    ``embed`` maps a batch to song_id (bigint), embedding; the first song has no match.
+    ``embed`` maps a batch to song_id (bigint), embedding. Songs of a batch arrive in the order of their ids, each once;
+    the first song has no match, a song that is stored already is left out. Every batch has a folder of its own, so a
+    batch repeated after a failure sees what it saw before.
     """
-    schema = T.StructType([T.StructField("song_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField("song_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("batch", T.LongType())])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = stored(spark, emb_path, schema)
+        known = stored(spark, emb_path, schema).where(F.col("batch") < batch_id)
         new = embed(batch).select(F.col("song_id").cast("bigint").alias("song_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-        new.join(known.select("song_id"), "song_id", "left_anti").write.mode("append").parquet(emb_path)
-        everything = spark.read.schema(schema).parquet(emb_path)
-        v = everything.select(F.col("song_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-        ids = new.select(F.col("song_id").alias("id"))
-        m = top_matches(v.join(ids, "id", "left_semi"), v, 1, skip_same=True)
-        res = ids.join(m, "id", "left").select(F.col("id").alias("song_id"), F.col("match").alias("match_id"), F.col("score").alias("similarity"))
+        new.dropDuplicates(["song_id"]).join(known.select("song_id"), "song_id", "left_anti").write.mode("overwrite").parquet(f"{emb_path}/batch={batch_id}")
+        new = stored(spark, emb_path, schema).where(F.col("batch") == batch_id)
+        # stored songs came before any of the batch
+        placed = lambda d, at: d.where(F.col("embedding").isNotNull()).select(F.col("song_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), at.alias("came"))
+        asked = placed(new, F.col("song_id"))
+        earlier = lambda q, b, dots: np.where(b["came"].to_numpy()[None, :] < q["came"].to_numpy()[:, None], dots, -np.inf)
+        m = top_matches(asked, asked.unionByName(placed(known, F.lit(-(1 << 62)))), 1, ["came"], earlier).where(F.col("score") > float("-inf"))
+        res = new.select(F.col("song_id").alias("id")).join(m, "id", "left").select(F.col("id").alias("song_id"), F.col("match").alias("match_id"), F.col("score").alias("similarity"))
         res.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return _start(stream.writeStream.foreachBatch(handle), checkpoint, once)
