@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.llm import byte_pairs, mixing, near_join, secret_scan, toxicity
-from tonegrid.llm.common import hex_digest, table, unused
+from tonegrid.llm.common import bounded_batches, hex_digest, table, unused
 from tonegrid.llm.queries import byte_ranks
 from tonegrid.session import materialize, ship
 
@@ -62,11 +62,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", keep_one),
-    ("secrets", cut_secrets),
-    ("mixing", mix_sources),
-    ("encoding", encode),
+    ("toxicity", bounded_batches(drop_toxic)),
+    ("near_duplicates", bounded_batches(keep_one)),
+    ("secrets", bounded_batches(cut_secrets)),
+    ("mixing", bounded_batches(mix_sources)),
+    ("encoding", bounded_batches(encode)),
 ]
 
 #: Fitted scores, MinHash bands and token merges are beyond SQL; the tests hold the stages against brute force.

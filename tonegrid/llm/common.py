@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,21 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch: whole texts of any length go through Python in such portions.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(query):
+    """Run a query or stage with Arrow batches bounded by bytes; memory per task is then the same for short and long texts."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from tonegrid.llm.common import slices, whole
 from tonegrid.session import materialize
 
 #: Characters worked on at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Mean documents of a block of candidates, and mean n-grams.
 BLOCK, BLOCK_GRAMS = 256, 200_000
 #: Odd multipliers that mix 64 bits.

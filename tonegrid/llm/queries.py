@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, near_join, ngram_scores, secret_scan, toxicity
-from tonegrid.llm.common import fold, hex_digest, table
+from tonegrid.llm.common import bounded_batches, fold, hex_digest, table
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,5 +140,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matched")
 
 
-QUERIES = {"op1_toxicity": op1, "op2_ngram_scores": op2, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}
+QUERIES = {name: bounded_batches(query) for name, query in {"op1_toxicity": op1, "op2_ngram_scores": op2, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}.items()}
 SQL = {"op9_near_join": NEAR_SQL, "op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql()}

@@ -18,7 +18,7 @@ BUCKETS = 1 << 20
 #: Besides whole words, their beginnings of these lengths are terms: compounds and inflections share them.
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Characters worked on at once.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def word_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
