@@ -11,7 +11,7 @@ from tonegrid import constants as K
 from tonegrid.functions.arrays import chroma_compatibility, cosine
 from tonegrid.functions.scalars import clip, key_interval_score, tempo_score
 from tonegrid.operators.intervals import interval_join
-from tonegrid.operators.ordered import argmax_first
+from tonegrid.operators.ordered import argmax_first, carry, dense_index, halo_window
 
 
 def attach_songs(pairs: DataFrame, songs: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -132,14 +132,25 @@ def shift_positions(samples: DataFrame, offsets: DataFrame, keys: Sequence[str],
 
 
 def beat_f_measure(ref: DataFrame, est: DataFrame, keys: Sequence[str], t: str, tol: float = 0.07) -> DataFrame:
-    """F-measure of estimated beats: one-to-one mutual nearest matches within ``tol`` seconds."""
-    r = ref.select(*keys, F.col(t).alias("_r"), (F.col(t) - tol).alias("_lo"), (F.col(t) + tol).alias("_hi"))
-    e = est.select(*keys, F.col(t).alias("_e"))
-    near = interval_join(e, r, keys, "_e", "_lo", "_hi", 1.0, closed_end=True)
-    dist = F.abs(F.col("_e") - F.col("_r"))
-    by_ref = near.groupBy(*keys, "_r").agg(F.min_by("_e", F.struct(dist, F.col("_e"))).alias("_e"))
-    by_est = near.groupBy(*keys, "_e").agg(F.min_by("_r", F.struct(dist, F.col("_r"))).alias("_r"))
-    hits = by_ref.join(by_est, [*keys, "_r", "_e"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    """F-measure of estimated beats: the largest one-to-one matching within ``tol`` seconds.
+
+    Beats of both kinds in order of time fall apart into stretches without a gap above ``tol``, a few beats each. Within
+    one, a beat takes the earliest beat of the other kind that is still open and near enough, which no matching beats.
+    """
+    kind = lambda d, k: d.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(k).alias("_k"))
+    beats = dense_index(kind(ref, 0).unionByName(kind(est, 1)), keys, ["_t", "_k"], F.floor(F.col("_t") / 64), "_i")
+    near = halo_window(beats, keys, "_i", 1, 0, {"_gap": lambda w: F.col("_t") - F.lag("_t").over(w)})
+    parts = carry(near, keys, "_i", F.when(F.col("_gap").isNull() | (F.col("_gap") > tol), F.col("_i")), "_part")
+    stretches = parts.groupBy(*keys, "_part").agg(F.sort_array(F.collect_list(F.struct("_t", "_k"))).alias("_b"))
+
+    def step(state, beat):
+        open_ = F.filter(state["open"], lambda o: beat["_t"] - o["_t"] <= tol)
+        hit = F.coalesce(F.get(open_, F.lit(0))["_k"] != beat["_k"], F.lit(False))
+        left = F.when(hit, F.slice(open_, 2, F.greatest(F.size(open_) - 1, F.lit(0)))).otherwise(F.concat(open_, F.array(beat)))
+        return F.struct(left.alias("open"), (state["hits"] + hit.cast("bigint")).alias("hits"))
+
+    none = F.struct(F.array().cast("array<struct<_t:double,_k:int>>").alias("open"), F.lit(0).cast("bigint").alias("hits"))
+    hits = stretches.select(*keys, F.aggregate("_b", none, step)["hits"].alias("_h")).groupBy(*keys).agg(F.sum("_h").alias("_m"))
     count = lambda d, c: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(c))
     d = count(ref, "_nr").join(count(est, "_ne"), list(keys), "full_outer").join(hits, list(keys), "left").na.fill(0, ["_nr", "_ne", "_m"])
     p, q = F.col("_m") / F.when(F.col("_ne") > 0, F.col("_ne")), F.col("_m") / F.when(F.col("_nr") > 0, F.col("_nr"))
