@@ -55,10 +55,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with their number, their digest and that of the bytes they decode to."""
     ship(spark)
     ranks, pattern = byte_ranks()
-    ids = byte_pairs.encode(docs, ranks, pattern)
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_digest(F.array_join("ids", ",")).alias("ids_sha256"), "ids")
-    back = byte_pairs.decode(told, ranks, pattern, keep=("n_tokens", "ids_sha256", "ids"))
-    return back.select("doc_id", "ids", "n_tokens", "ids_sha256", hex_digest(F.col("decoded")).alias("decoded_sha256"))
+    back = byte_pairs.round_trip(docs, ranks, pattern)
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), hex_digest(F.array_join("ids", ",")).alias("ids_sha256"), hex_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -50,6 +50,10 @@ def test_bpe_digests(spark, enc):
         want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert queries.bpe_digests(odd_docs(spark).limit(0)).count() == 0
+    ids = byte_pairs.encode(odd_docs(spark), *queries.byte_ranks())
+    apart = byte_pairs.decode(ids, *queries.byte_ranks(), keep=("ids",)).collect()
+    together = byte_pairs.round_trip(odd_docs(spark), *queries.byte_ranks()).collect()
+    assert sorted(map(repr, apart)) == sorted(map(repr, together))
 
 
 def base_by_rule(text):

@@ -87,6 +87,25 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     return rows.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode and decode again in one pass: the id column, ``ids`` and ``decoded`` (the bytes those ids stand for).
+
+    The same rows as ``decode`` over ``encode``, without handing the ids to the workers a second time.
+    """
+
+    def run(batches):
+        enc = encoding(ranks, pattern)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices([len(t) for t in texts], 1 << 21):
+                ids = [encode_text(enc, t) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode_bytes(x) for x in ids], pa.binary())], ["_id", "ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_id {kind}, ids array<int>, decoded binary").withColumnRenamed("_id", id_col)
+
+
 def decode(tokens: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw bytes of every id list: the id column, the columns named in ``keep``, and ``decoded`` (binary).
 

@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Bytes of an Arrow batch: whole texts of any length go through Python in such portions.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(query):

@@ -32,10 +32,8 @@ def byte_ranks() -> tuple[str, str]:
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode, digest the ids, decode, digest the bytes."""
     ranks, pattern = byte_ranks()
-    ids = byte_pairs.encode(docs, ranks, pattern)
-    digests = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_digest(F.array_join("ids", ",")).alias("ids_sha256"), "ids")
-    back = byte_pairs.decode(digests, ranks, pattern, keep=("n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", hex_digest(F.col("decoded")).alias("decoded_sha256"))
+    back = byte_pairs.round_trip(docs, ranks, pattern)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hex_digest(F.array_join("ids", ",")).alias("ids_sha256"), hex_digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
