@@ -1,13 +1,16 @@
 """Encoding, secrets, chats and fingerprints against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tonegrid.llm import byte_pairs, chat_format, digests, queries, secret_scan
 
@@ -100,6 +103,23 @@ def test_scan_adds_spans_and_keeps_the_rules(spark):
     assert secret_scan.redact_text("a key b", [("hex", 2, 5), ("assign", 2, 4)]) == "a [hex] b"
 
 
+def test_formats_come_from_all_documents(spark):
+    """A kind that three of 120,000 documents hold, all outside any half of them taken by the hash of the text."""
+    late = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) >= 500_000
+    rare = spark.range(200).select(F.concat(F.lit("key "), F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, 40)).alias("text")).where(late).limit(3)
+    common = spark.range(119_997).select(F.concat(F.lit("ordinarywordinprose "), F.col("id").cast("string")).alias("text"))
+    formats = secret_scan.learn_formats(common.union(rare))
+    assert list(formats["kinds"]) == ["hex"]
+    pairs = Counter(map("".join, itertools.pairwise("$" + "ordinarywordinprose".translate(secret_scan.TO_CLASS) + "$")))
+    assert formats["plain"] == secret_scan.plain_table({p: n * 119_997 for p, n in pairs.items()})
+
+
+def test_examples_do_not_depend_on_partitions(spark):
+    docs = spark.range(3000).select(F.concat(F.lit("token="), F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, F.col("id").cast("int") % 20 + 6)).alias("text"))
+    some, others = (secret_scan.learn_formats(docs.repartition(n), max_examples=30) for n in (2, 9))
+    assert some == others and some["kinds"]["assign"]
+
+
 def test_secret_queries_on_odd_rows(spark):
     docs = odd_docs(spark)
     formats = secret_scan.learn_formats(docs)

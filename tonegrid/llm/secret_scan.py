@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -202,38 +204,46 @@ def plain_table(counts: dict[str, int]) -> dict:
     }
 
 
-def learn_formats(docs: DataFrame, text_col: str = "text", max_docs: int = 60_000, max_examples: int = 400, alpha: float = 0.01) -> dict:
+def smallest(hashes: dict[str, str], most: int) -> dict[str, str]:
+    """The entries of the ``most`` smallest hashes."""
+    return dict(sorted(hashes.items(), key=lambda e: (e[1], e[0]))[:most])
+
+
+def learn_formats(docs: DataFrame, text_col: str = "text", max_examples: int = 400, alpha: float = 0.01) -> dict:
     """Infer one automaton per kind from the credentials that the rules label.
 
-    Labels come from a sample of about ``max_docs`` documents taken by the hash of the text (all, if there are fewer),
-    and at most ``max_examples`` different credentials of a kind, by their hash. Each prefix tree is merged into a
-    probabilistic automaton; ordinary runs of the same sample give the chain they are compared with. A kind without
-    labels gets no automaton. The result is a small plain table: at most max_examples x longest credential states.
+    The rules run over all documents; of each kind the ``max_examples`` different credentials of smallest hash are kept,
+    by each task first and then of what the tasks kept. Each prefix tree is merged into a probabilistic automaton; all
+    ordinary runs give the chain they are compared with. A kind without labels gets no automaton. The result is a small
+    plain table: at most max_examples x longest credential states.
     """
-    total = docs.count()
-    if not total:
-        return {"kinds": {}, "plain": plain_table({})}
-    share = min(1.0, max_docs / total)
-    sample = docs.select(whole(F.col(text_col)).alias("_text"))
-    sample = sample.where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < round(share * 1_000_000)) if share < 1 else sample
 
     def run(batches):
+        plain: Counter = Counter()
+        kept: dict[str, dict[str, str]] = {kind: {} for kind in KINDS}
         for batch in batches:
-            seen: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 spans = rule_spans(text)
                 for kind, _, _, value in spans:
-                    seen[kind, value] += 1
+                    if value not in kept[kind]:
+                        kept[kind][value] = hashlib.blake2b(value.encode(), digest_size=8).hexdigest()
+                        if len(kept[kind]) >= 2 * max_examples + 100:
+                            kept[kind] = smallest(kept[kind], max_examples)
                 for m in RUN.finditer(text):
                     if not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
                         word = END + m[0].translate(TO_CLASS) + END
-                        seen.update((END, word[i : i + 2]) for i in range(len(word) - 1))
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([v for _, v in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], ["kind", "value", "n"])
-
-    seen = sample.mapInArrow(run, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    rows = seen.withColumn("k", F.row_number().over(by_hash)).where((F.col("kind") == END) | (F.col("k") <= max_examples)).collect()
+                        plain.update(map("".join, itertools.pairwise(word)))
+        rows = [(END, pair, "", n) for pair, n in plain.items()]
+        rows += [(kind, value, h, 0) for kind in KINDS for value, h in smallest(kept[kind], max_examples).items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("kind", "value", "h", "n"), r, strict=True)) for r in rows], pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.string()), ("n", pa.int64())]))
+
+    texts = docs.select(whole(F.col(text_col)).alias("_text"))
+    seen = texts.mapInArrow(run, "kind string, value string, h string, n long").groupBy("kind", "value", "h").agg(F.sum("n").alias("n"))
+    by_hash = Window.partitionBy("kind").orderBy("h", "value")
+    # one bound for all kinds, the pairs of classes included, so that Spark cuts the groups before they are dealt by kind
+    most = max(max_examples, (len(CLASSES) + 1) ** 2)
+    rows = seen.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= most).collect()
+    rows = [r for r in rows if r["kind"] == END or r["k"] <= max_examples]
     plain = plain_table({r["value"]: r["n"] for r in rows if r["kind"] == END})
     kinds = {}
     for kind in KINDS:
