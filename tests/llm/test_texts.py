@@ -120,6 +120,38 @@ def test_examples_do_not_depend_on_partitions(spark):
     assert some == others and some["kinds"]["assign"]
 
 
+def spans_beside(text, keys):
+    """Where the keys lie in the text."""
+    return sorted((text.index(k), text.index(k) + len(k)) for k in keys)
+
+
+@pytest.mark.parametrize(("chars", "size"), [("0123456789ABCDEF", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40), ("0123456789", 12)])
+def test_keys_attached_to_other_text(spark, chars, size):
+    """Keys after a name, in a path and before a full stop, and keys that are shorter than 16 characters."""
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice(chars) for _ in range(size))
+    prose = "Ordinary words, some/of/them/in-paths.html and CONSTANT_NAMES=values; understanding the remaining documentation."
+    keys = [key() for _ in range(7)]
+    hidden = [f"export AWS_SECRET_ACCESS_KEY={keys[0]} now", f"see https://host.example.org/get?k={keys[1]}&page=two", f"it is {keys[2]}.", f"var/lib/{keys[3]}/files", f"first.{keys[4]}", f"bare {keys[5]} here", f"token=abcdefgh, next.{keys[6]}"]
+    texts = [f"{prose} token = {key()} and so on" for _ in range(300)] + hidden + [prose]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    formats = secret_scan.learn_formats(docs)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs, formats).collect()}
+    # an automaton leaves out the least likely hundredth; an attached key is found as it is alone
+    alone = [k for k in keys if [s[1:3] for s in secret_scan.text_spans(k, formats)] == [(0, size)]]
+    assert len(alone) >= 5
+    for i, (text, k) in enumerate(zip(hidden, keys, strict=True)):
+        assert [(s["start"], s["end"]) for s in got[300 + i] if not s["base"]] == spans_beside(text, [k] if k in alone else []), text
+    assert got[307] == [] and all(s["base"] for i in range(300) for s in got[i])
+
+
+def test_rests_are_whole():
+    text = "x" * 20 + "token=abcdef" + " " + "y" * 8 + "/AKIA" + "B" * 16 + "-tail-tail token:123456"
+    base = secret_scan.rule_spans(text)
+    left = "".join(c if not any(a <= i < b for _, a, b, _ in base) else " " for i, c in enumerate(text))
+    assert [text[a:b] for a, b in secret_scan.rests(text, base, 6)] == [w for w in left.split() if len(w) >= 6]
+
+
 def test_secret_queries_on_odd_rows(spark):
     docs = odd_docs(spark)
     formats = secret_scan.learn_formats(docs)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,14 +24,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
-#: Candidates of the automata: every maximal run of so many credential characters.
+#: A maximal run of credential characters; of 16 and more, it is a candidate of the automata whatever its marks.
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+LONG = 16
+#: Least length of a labelled credential.
+SHORT = 6
 
 #: Symbols of the automata: digits, hexadecimal and other letters of either case, and the marks themselves.
 CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "+": "+", "/": "/", "_": "_", ".": ".", "=": "=", "-": "-"}
 TO_CLASS = str.maketrans({c: k for k, chars in CLASSES.items() for c in chars})
 SYMBOLS = {k: i for i, k in enumerate(CLASSES)}
 END = "$"
+MARKS = "+/_.=-"
+PIECE = re.compile(f"[^{re.escape(MARKS)}]+")
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
 
@@ -47,6 +53,36 @@ def rule_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+@functools.cache
+def runs_of(least: int) -> re.Pattern:
+    """Maximal runs of so many credential characters."""
+    return re.compile(rf"[A-Za-z0-9+/_.=-]{{{least},}}")
+
+
+def rests(text: str, spans: list[tuple[str, int, int, str]], least: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of what the spans leave of every run, where it has the least length."""
+    i, ends = 0, list(itertools.accumulate((s[2] for s in spans), max))
+    for m in runs_of(least).finditer(text):
+        a, end = m.span()
+        while i < len(spans) and ends[i] <= a:
+            i += 1
+        for _, start, stop, _ in itertools.takewhile(lambda s: s[1] < end, itertools.islice(spans, i, None)):
+            if start - a >= least:
+                yield a, start
+            a = max(a, stop)
+        if end - a >= least:
+            yield a, end
+
+
+def add_pairs(pairs: Counter, words: Counter) -> None:
+    """Count the class pairs of words and of their pieces between marks, by length (LONG stands for all from there)."""
+    for word, n in words.items():
+        for part in {m.span(): m[0] for m in [re.match(".*", word), *PIECE.finditer(word)]}.values():
+            if len(part) >= SHORT:
+                for pair in map("".join, itertools.pairwise(END + part + END)):
+                    pairs[min(len(part), LONG), pair] += n
+
+
 class Automaton:
     """A deterministic probabilistic automaton over symbols: per state its visits, its ends and its arcs."""
 
@@ -213,27 +249,33 @@ def learn_formats(docs: DataFrame, text_col: str = "text", max_examples: int = 4
     """Infer one automaton per kind from the credentials that the rules label.
 
     The rules run over all documents; of each kind the ``max_examples`` different credentials of smallest hash are kept,
-    by each task first and then of what the tasks kept. Each prefix tree is merged into a probabilistic automaton; all
-    ordinary runs give the chain they are compared with. A kind without labels gets no automaton. The result is a small
-    plain table: at most max_examples x longest credential states.
+    by each task first and then of what the tasks kept. Each prefix tree is merged into a probabilistic automaton. All
+    ordinary runs and their pieces, of the shortest of these credentials or of LONG characters at least, give the chain
+    they are compared with; their number to that of the labels of a kind is the ``prior`` against it. A kind without
+    labels gets no automaton. The result is a small plain table: at most max_examples x longest credential states.
     """
 
     def run(batches):
         plain: Counter = Counter()
+        words: Counter = Counter()
+        labels: Counter = Counter()
         kept: dict[str, dict[str, str]] = {kind: {} for kind in KINDS}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 spans = rule_spans(text)
                 for kind, _, _, value in spans:
+                    labels[kind] += 1
                     if value not in kept[kind]:
                         kept[kind][value] = hashlib.blake2b(value.encode(), digest_size=8).hexdigest()
                         if len(kept[kind]) >= 2 * max_examples + 100:
                             kept[kind] = smallest(kept[kind], max_examples)
-                for m in RUN.finditer(text):
-                    if not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
-                        word = END + m[0].translate(TO_CLASS) + END
-                        plain.update(map("".join, itertools.pairwise(word)))
-        rows = [(END, pair, "", n) for pair, n in plain.items()]
+                words.update(text[a:b].translate(TO_CLASS) for a, b in rests(text, spans, SHORT))
+            if len(words) > 100_000:
+                add_pairs(plain, words)
+                words.clear()
+        add_pairs(plain, words)
+        rows = [(f"{END}{length}", pair, "", n) for (length, pair), n in plain.items()]
+        rows += [(END, kind, "", n) for kind, n in labels.items()]
         rows += [(kind, value, h, 0) for kind in KINDS for value, h in smallest(kept[kind], max_examples).items()]
         yield pa.RecordBatch.from_pylist([dict(zip(("kind", "value", "h", "n"), r, strict=True)) for r in rows], pa.schema([("kind", pa.string()), ("value", pa.string()), ("h", pa.string()), ("n", pa.int64())]))
 
@@ -243,11 +285,18 @@ def learn_formats(docs: DataFrame, text_col: str = "text", max_examples: int = 4
     # one bound for all kinds, the pairs of classes included, so that Spark cuts the groups before they are dealt by kind
     most = max(max_examples, (len(CLASSES) + 1) ** 2)
     rows = seen.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= most).collect()
-    rows = [r for r in rows if r["kind"] == END or r["k"] <= max_examples]
-    plain = plain_table({r["value"]: r["n"] for r in rows if r["kind"] == END})
+    labelled = {kind: [r["value"] for r in rows if r["kind"] == kind and r["k"] <= max_examples] for kind in KINDS}
+    labels = {r["value"]: r["n"] for r in rows if r["kind"] == END}
+    shortest = min((len(v) for values in labelled.values() for v in values), default=LONG)
+    pairs: Counter = Counter()
+    for r in rows:
+        if r["kind"][0] == END and r["kind"] != END and int(r["kind"][1:]) >= min(shortest, LONG):
+            pairs[r["value"]] += r["n"]
+    plain = plain_table(pairs)
+    ordinary = sum(n for pair, n in pairs.items() if pair[0] == END)
     kinds = {}
     for kind in KINDS:
-        words: Counter = Counter(r["value"].translate(TO_CLASS) for r in rows if r["kind"] == kind)
+        words: Counter = Counter(value.translate(TO_CLASS) for value in labelled[kind])
         if not words:
             continue
         tree = Automaton(words)
@@ -255,36 +304,87 @@ def learn_formats(docs: DataFrame, text_col: str = "text", max_examples: int = 4
         table = tree.table(words)
         rates = sorted(likelihood(table, w) / len(w) for w in words)
         # as likely as all but the least likely hundredth of the labelled credentials
-        kinds[kind] = table | {"least": rates[len(rates) // 100] - 1e-9}
+        kinds[kind] = table | {"least": rates[len(rates) // 100] - 1e-9, "shortest": min(map(len, words)), "longest": max(map(len, words)), "prior": math.log(max(1.0, ordinary / labels[kind]))}
     return {"kinds": kinds, "plain": plain}
 
 
-def text_spans(text: str, formats: dict, margin: float = 2.0) -> list[tuple[str, int, int, bool, float]]:
-    """Rule spans and, apart from them, candidate runs that an automaton finds likely: (kind, start, end, base, score)."""
+def likely_parts(word: str, formats: dict, margin: float) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, score) of the parts of a class word that an automaton finds likely, the best without overlap.
+
+    Parts are the word, its pieces between marks, and neighbouring pieces with the marks between and around them up to
+    the longest labelled credential. All but a whole word of LONG characters must also outweigh the prior.
+    """
+    size = len(word)
+    cuts = [0, *(i for i in range(1, size) if word[i] in MARKS or word[i - 1] in MARKS), size]
+    stops = set(cuts)
+    found: dict[tuple[int, int], tuple[float, str]] = {}
+
+    def offer(kind: str, a: int, b: int, of: float) -> None:
+        if of / (b - a) >= formats["kinds"][kind]["least"] and ((a, b) not in found or of > found[a, b][0]):
+            found[a, b] = of, kind
+
+    for kind, table in formats["kinds"].items():
+        lo, hi = table["shortest"], table["longest"]
+        for a in cuts[:-1]:
+            state, of = table["start"], 0.0
+            for b in range(a, min(size, a + hi)) if size - a >= lo else ():
+                arc = table["arcs"][state].get(word[b])
+                if arc:
+                    state = arc[0]
+                    of += arc[1]
+                else:
+                    of += table["lost"][state] - math.log(len(CLASSES[word[b]]))
+                if of < table["least"] * hi:  # no longer part can make up for it
+                    break
+                if b + 1 in stops and b + 1 - a >= lo:
+                    offer(kind, a, b + 1, of + table["ends"][state])
+        longer = {(a, b) for a, b in [(0, size), *(m.span() for m in PIECE.finditer(word))] if b - a > hi}
+        for a, b in longer | ({(0, size)} if LONG <= size < lo else set()):
+            offer(kind, a, b, likelihood(table, word[a:b]))
+    good = []
+    for (a, b), (of, kind) in found.items():
+        score = of - likelihood(formats["plain"], word[a:b])
+        if score >= margin + (0.0 if b - a == size >= LONG else formats["kinds"][kind]["prior"]):
+            good.append((kind, a, b, score))
+    taken: list[tuple[str, int, int, float]] = []
+    for part in sorted(good, key=lambda g: (-g[3], g[1], g[2])):
+        if not any(part[1] < b and a < part[2] for _, a, b, _ in taken):
+            taken.append(part)
+    return taken
+
+
+def text_spans(text: str, formats: dict, margin: float = 2.0, known: dict | None = None) -> list[tuple[str, int, int, bool, float]]:
+    """Rule spans and, apart from them, parts of runs that an automaton finds likely: (kind, start, end, base, score).
+
+    ``known`` keeps the results of class words, most of which come again.
+    """
     base = rule_spans(text)
     spans = [(kind, a, b, True, 0.0) for kind, a, b, _ in base]
-    for m in RUN.finditer(text):
-        if any(a < m.end() and m.start() < b for _, a, b, _ in base):
-            continue
-        word = m[0].translate(TO_CLASS)
-        best = None
-        for kind, table in formats["kinds"].items():
-            of = likelihood(table, word)
-            if of / len(word) >= table["least"] and (best is None or of > best[1]):
-                best = kind, of
-        if best and (score := best[1] - likelihood(formats["plain"], word)) >= margin:
-            spans.append((best[0], m.start(), m.end(), False, score))
+    if not formats["kinds"]:
+        return spans
+    known = {} if known is None else known
+    for start, end in rests(text, base, min(LONG, *(table["shortest"] for table in formats["kinds"].values()))):
+        word = text[start:end].translate(TO_CLASS)
+        parts = known.get(word)
+        if parts is None:
+            parts = likely_parts(word, formats, margin)
+            if len(word) <= 200:
+                if len(known) >= 100_000:
+                    known.clear()
+                known[word] = parts
+        spans += [(kind, start + a, start + b, False, score) for kind, a, b, score in parts]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def span_column(formats: dict):
     """Function from a text column to its spans."""
+    known: dict = {}
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("score", pa.float64())])
         names = ("kind", "start", "end", "base", "score")
-        return pa.array([[dict(zip(names, s, strict=True)) for s in text_spans(t, formats)] for t in texts.to_pylist()], pa.list_(kind))
+        return pa.array([[dict(zip(names, s, strict=True)) for s in text_spans(t, formats, known=known)] for t in texts.to_pylist()], pa.list_(kind))
 
     return spans
 
@@ -299,10 +399,11 @@ def scan(docs: DataFrame, formats: dict, id_col: str = "doc_id", text_col: str =
 
 def redact(text: Column, formats: dict) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one. Null stays null."""
+    known: dict = {}
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else redact_text(t, text_spans(t, formats)) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else redact_text(t, text_spans(t, formats, known=known)) for t in texts.to_pylist()], pa.string())
 
     return clean(text)
 
