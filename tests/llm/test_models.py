@@ -268,3 +268,19 @@ def test_license_scan(spark):
     got = license_scan.scan(frame(spark, rows)).collect()
     assert Counter((r["doc_id"], r["unit"], r["place"], r["licence"], round(r["dice"], 9)) for r in got) == dice_rows([(i, t) for i, t, _ in rows])
     assert license_scan.scan(frame(spark, [])).count() == 0
+
+
+def test_licences_inside_longer_texts(spark):
+    """Comment headers, sentences that share a line, wrapped notices."""
+    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and t.startswith("Permission"))
+    words = mit.split(" ")
+    wrapped = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+    header = "/*\n * Copyright 2020 Some Body\n *\n" + "".join(f" * {x}\n" for x in wrapped) + " *\n */\n" + "".join(f"int helper{i}(void) {{ return value{i} + argument{i}; }}\n" for i in range(12))
+    rows = [(1, header, None), (2, "See the manual for details. Released under the MIT License. Contact us for more.", None), (3, "some words go here first and Licensed under\nthe Apache License, Version\n2.0. and " + "more words " * 40, None),
+            (4, "Released under the MIT License.", None), (5, "Released under the trees, a license to walk. " * 5, None), *ODD]
+    plain = license_scan.scan(frame(spark, rows)).collect()
+    got = license_scan.scan(frame(spark, rows), windows=True).collect()
+    assert {(r["doc_id"], r["unit"]) for r in plain} == {(4, "line")}
+    found = sorted((r["doc_id"], r["unit"], r["place"], r["licence"], round(r["dice"], 6)) for r in got)
+    assert found == [(1, "window", 5, "MIT", 1.0), (2, "window", 6, "MIT", 1.0), (3, "window", 7, "Apache-2.0", 1.0), (4, "line", 1, "MIT", 1.0)]
+    assert license_scan.scan(frame(spark, []), windows=True).count() == 0

@@ -76,7 +76,7 @@ def needles(sets: list[tuple[str, list[str]]], least: float) -> list[str]:
     return list(found)
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
     """Matches: id, ``unit`` (line or paragraph), ``place`` (from 1), ``licence``, ``dice``, ``matched`` (its text).
 
     Units are the lines of a text and its paragraphs of several lines (between blank lines), of any length. The
@@ -84,6 +84,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     that can still reach ``least``: smaller / larger >= least / (2 - least). Per unit and licence the best template
     counts. Texts without any bigram that a match must have are not split at all. Null and empty texts and units of one
     word match nothing; repeated rows are scanned one by one. The templates are a fixed list of literals; no row moves.
+    With ``windows``, notices inside something longer are found too: see ``window_rows``.
     """
     sets = template_sets(templates)
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(len(pairs)).alias("size")) for name, pairs in sets])
@@ -102,7 +103,69 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     scored = units.where(F.col("_n") > 0).withColumn("_hits", F.transform(fitting, lambda t: F.struct(t["licence"].alias("licence"), dice(t).alias("dice"))))
     ordered = scored.withColumn("_hits", F.sort_array(F.filter("_hits", lambda h: h["dice"] >= least), asc=False))
     best = F.filter("_hits", lambda h, i: (i == 0) | (h["licence"] != F.element_at(F.col("_hits.licence"), F.greatest(i, F.lit(1)))))
-    return ordered.withColumn("_hit", F.explode(best)).select(F.col("_id").alias(id_col), "_u.unit", "_u.place", "_hit.licence", "_hit.dice", F.col("_u.text").alias("matched"))
+    found = ordered.withColumn("_hit", F.explode(best)).select(F.col("_id").alias(id_col), "_u.unit", "_u.place", "_hit.licence", "_hit.dice", F.col("_u.text").alias("matched"))
+    return found.unionByName(window_rows(rows, sets, least).withColumnRenamed("_id", id_col)) if windows else found
+
+
+def window_rows(rows: DataFrame, sets: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """Matches of ``unit`` window in the words of whole texts, whatever lines, sentences and marks lie between them.
+
+    A window runs from one bigram of a template to another, as any best window does, and has one of the template's
+    needles. Per licence the best of overlapping windows counts; one within a line or paragraph that matches the licence
+    as a whole is that match and is left out. ``place`` is the number of its first word, ``matched`` its words.
+    """
+    narrow = least / (2 - least)
+    shared = [math.ceil(len(pairs) * narrow - 1e-9) for _, pairs in sets]
+    most = [math.floor(len(pairs) / narrow + 1e-9) for _, pairs in sets]
+    of = [F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(len(pairs)).alias("size"), F.lit(o).alias("shared"), F.lit(m).alias("most"), F.array(*map(F.lit, needles([(name, pairs)], least))).alias("needles")) for (name, pairs), o, m in zip(sets, shared, most, strict=True)]
+    table = F.array(*of)
+    once = lambda df, **columns: df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")).select(*df.columns, "_once.*")
+    numbered = F.flatten(F.transform(F.split("_text", "\n"), lambda x, i: F.transform(normal_words(x), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    texts = once(rows, _words=numbered).where(F.size("_words") > 1)
+    before, after = F.slice("_words.w", F.lit(1), F.size("_words") - 1), F.slice("_words.w", F.lit(2), F.size("_words") - 1)
+    texts = once(texts, _pairs=F.zip_with(before, after, lambda a, b: F.concat_ws(" ", a, b)))
+    texts = once(texts, _live=F.filter(table, lambda t: F.arrays_overlap(t["needles"], F.col("_pairs")))).where(F.size("_live") > 0)
+    hits = lambda t: F.filter(F.transform("_pairs", lambda p, i: F.when(F.array_contains(t["pairs"], p), i)), lambda i: i.isNotNull())
+    texts = once(texts, _hits=F.transform("_live", lambda t: F.struct(t.alias("t"), hits(t).alias("at"))))
+
+    def best_from(t, a, ends):
+        """The best window that begins at bigram a and ends at one of the given."""
+        def scored(e):
+            inside = F.slice("_pairs", a + 1, e - a + 1)
+            both = F.size(F.array_intersect(t["pairs"], inside))
+            return F.struct((2.0 * both / (F.size(F.array_distinct(inside)) + t["size"])).alias("dice"), e.alias("stop"))
+
+        return F.array_max(F.transform(F.filter(ends, lambda e: e - a + 1 >= t["shared"]), scored))
+
+    def of_template(h):
+        t, at = h["t"], h["at"]
+        reach = F.transform(at, lambda a, k: F.struct(a.alias("a"), F.filter(F.slice(at, k + 1, t["most"]), lambda e: e < a + t["most"]).alias("ends")))
+        full = F.filter(reach, lambda r: F.size(r["ends"]) >= t["shared"])
+        tried = F.transform(full, lambda r: F.struct(r["a"].alias("a"), best_from(t, r["a"], r["ends"]).alias("b")))
+        return F.transform(F.filter(tried, lambda w: w["b"]["dice"] >= least), lambda w: F.struct(t["licence"].alias("licence"), w["a"].alias("start"), w["b"]["stop"].alias("stop"), w["b"]["dice"].alias("dice")))
+
+    texts = once(texts, _found=F.array_sort(F.flatten(F.transform("_hits", of_template)))).where(F.size("_found") > 0)
+
+    def keep(kept, w):
+        last = F.element_at(kept, -1)
+        apart = (F.size(kept) == 0) | (last["licence"] != w["licence"]) | (last["stop"] < w["start"])
+        return F.when(apart, F.concat(kept, F.array(w))).when(last["dice"] < w["dice"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(w))).otherwise(kept)
+
+    none = F.array().cast("array<struct<licence:string,start:int,stop:int,dice:double>>")
+    wins = texts.select("_id", "_text", "_words", F.explode(F.aggregate("_found", none, keep)).alias("_w"))
+    first, last = F.col("_words.line")[F.col("_w.start")], F.col("_words.line")[F.col("_w.stop") + 1]
+    wins = once(wins, _first=first, _last=last)
+    # every cut between paragraphs has two line ends
+    lines_of = lambda p: F.size(F.split(p, "\n"))
+    parts = F.split("_text", r"\n[ \t\r]*\n")
+    ends = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(-1), lambda n, p: n + lines_of(p) + 1)
+    paragraphs = F.filter(parts, lambda p, i: (ends(i) >= F.col("_last")) & (ends(i) - lines_of(p) < F.col("_first")))
+    line = F.when(F.col("_first") == F.col("_last"), F.array(F.element_at(F.split("_text", "\n"), F.col("_first")))).otherwise(F.array().cast("array<string>"))
+    wins = once(wins, _units=F.transform(F.concat(line, paragraphs), lambda u: F.transform(F.array(normal_words(u)), bigrams)[0]))
+    whole_match = lambda p: F.exists(table, lambda t: (t["licence"] == F.col("_w.licence")) & (2.0 * F.size(F.array_intersect(t["pairs"], p)) / (F.size(p) + t["size"]) >= least))
+    wins = wins.where(~F.exists("_units", whole_match))
+    words = F.slice("_words.w", F.col("_w.start") + 1, F.col("_w.stop") - F.col("_w.start") + 2)
+    return wins.select("_id", F.lit("window").alias("unit"), (F.col("_w.start") + 1).alias("place"), "_w.licence", "_w.dice", F.concat_ws(" ", words).alias("matched"))
 
 
 def sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> str:

@@ -135,7 +135,7 @@ select d.doc_id, (select min(r) from c where c.doc_id = d.doc_id) as class_id, (
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matched")
+    return license_scan.scan(table(spark, sf_dir, "documents"), windows=True).drop("matched")
 
 
 QUERIES = {name: bounded_batches(query) for name, query in {"op1_toxicity": op1, "op2_ngram_scores": op2, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}.items()}
