@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegrid.llm import byte_pairs, chat_format, digests, license_scan, max_score, mixing, near_join, ngram_scores, secret_scan, toxicity
+from tonegrid.llm import byte_pairs, chat_format, digests, fill_middle, license_scan, max_score, mixing, near_join, ngram_scores, packing, secret_scan, toxicity, variants
 from tonegrid.llm.common import bounded_batches, fold, hex_digest, table
 
 
@@ -138,5 +138,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), windows=True).drop("matched")
 
 
-QUERIES = {name: bounded_batches(query) for name, query in {"op1_toxicity": op1, "op2_ngram_scores": op2, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10}.items()}
-SQL = {"op9_near_join": NEAR_SQL, "op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql()}
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.vocabulary(table(spark, sf_dir, "documents"), delete_every=31))
+
+
+def word_tokenizer() -> str:
+    """File of the installed word tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hex_digest(F.col("output")).alias("output_sha256"), hex_digest(fill_middle.restore()).alias("restored_sha256"))
+
+
+QUERIES = {name: bounded_batches(query) for name, query in {"op1_toxicity": op1, "op2_ngram_scores": op2, "op3_byte_bpe": op3, "op4_mixing": op4, "op5_fingerprint": op5, "op6_secret_scan": op6, "op7_chat_format": op7, "op8_max_score": op8, "op9_near_join": op9, "op10_license_scan": op10, "op11_spelling_variants": op11, "op12_packing": op12, "op13_fill_middle": op13}.items()}
+SQL = {"op9_near_join": NEAR_SQL, "op7_chat_format": CHAT_SQL, "op8_max_score": TOP_SQL, "op10_license_scan": license_scan.sql(), "op11_spelling_variants": variants.sql(), "op13_fill_middle": fill_middle.sql()}
