@@ -21,13 +21,13 @@ END = 2
 #: Bytes of an id (little-endian, unsigned).
 WIDTH = 4
 #: Words a worker remembers the ids of, and the longest of them.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 LONGEST = 64
 #: Characters cut into words at once.
 PART = 1 << 20
 
-#: Words end at ASCII blanks, and between a letter and ASCII punctuation.
-_WORDS = re.compile(r"[^\W\d_]+(?=[!-/:-@\[-`{-~])|[^ \t\n\r\f\v]+")
+#: Words end at ASCII blanks, and between a Latin letter and ASCII punctuation.
+_WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[!-/:-@\[-`{-~ \t\n\r\f\v]|\Z)|[^ \t\n\r\f\v]++")
 _BLANK = re.compile(r"[ \t\n\r\f\v]")
 
 
@@ -36,7 +36,8 @@ class Codes(dict):
 
     The vocabulary's tokenizer drops white space and never merges across it, nor from a letter to punctuation, and its
     normalisation composes no character with a following blank or ASCII mark. So the words' ids, end to end, are the
-    text's ids, and a word has to be encoded once. Strings of special tokens are ordinary text.
+    text's ids, and a word has to be encoded once, whatever the case of its ASCII letters. Strings of special tokens are
+    ordinary text.
     """
 
     def __init__(self, path: str):
@@ -47,7 +48,11 @@ class Codes(dict):
         self.tokenizer.encode_special_tokens = True
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower() if word.isascii() else word
+        if low != word and low in self:
+            ids = self[low]
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
