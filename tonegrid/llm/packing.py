@@ -111,9 +111,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "d
     """
     line = materialize(encode(docs, tokenizer, id_col, text_col), "line")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = line.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))  # one row per task of the first pass
+    totals = line.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))  # one row per task of the first pass: small against the texts a task reads, so broadcast
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = line.join(bases, "part").withColumn("first", F.col("base") + F.col("at"))
+    placed = line.join(F.broadcast(bases), "part").withColumn("first", F.col("base") + F.col("at"))
     end = F.col("first") + F.col("n")
 
     def piece(w):
