@@ -26,7 +26,7 @@ def scores(v):
 
 def test_best_match_with_copies(vectors):
     v, df = vectors
-    got = M.best_match(df, block_rows=32, pivots=9).toPandas().set_index("song_id")
+    got = M.best_match(df, block_rows=32).toPandas().set_index("song_id")
     s = scores(v)
     assert (got.loc[range(300)].match_id.to_numpy() == s.argmax(axis=1)).all()
 
@@ -34,7 +34,7 @@ def test_best_match_with_copies(vectors):
 def test_top_pairs_with_copies(vectors):
     v, df = vectors
     n = 150
-    got = M.top_pairs(df, n, block_rows=32, pivots=9).toPandas()
+    got = M.top_pairs(df, n, block_rows=32).toPandas()
     s = scores(v)
     pairs = sorted((-s[i, j], i, j) for i in range(300) for j in range(i + 1, 300))[:n]
     assert list(zip(got.song_a, got.song_b)) == [(i, j) for _, i, j in pairs]
@@ -43,7 +43,7 @@ def test_top_pairs_with_copies(vectors):
 def test_top_matches_lists(vectors):
     v, df = vectors
     q = M._vectors(df, "song_id", "embedding")
-    got = M.top_matches(q, q, 4, skip_same=True, block_rows=50, pivots=5).toPandas()
+    got = M.top_matches(q, q, 4, skip_same=True, block_rows=50).toPandas()
     s = scores(v)
     for i, g in got.groupby("id"):
         want = sorted((-s[i, j], j) for j in range(300) if j != i)[:4]

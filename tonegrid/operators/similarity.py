@@ -1,40 +1,22 @@
 """Exact similarity search over vectors without forming all pairs.
 
-Vectors are grouped into cells around pivots. A query first searches its most promising cell, which
-gives it a score to beat; afterwards it visits only cells whose best possible score could still reach
-that. Cells and query sets are cut into blocks of bounded size, every block pair is one matrix product
-inside a task that hands back only the best few per query. Equal rows are searched once.
+Equal rows are searched once; distinct ones are packed into blocks under balls, and pairs of blocks are searched best first
+(see ``balls``).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonegrid import constants as K
 from tonegrid.functions.scalars import parse_key_relative
-from tonegrid.session import fresh, materialize
-
-BLOCK_ROWS = 4096
-# an angle bound is loosened by this much so rounding can never hide a match
-SLACK = 1e-6
-
-
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
-
-
-def _angles(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.linalg.norm(x, axis=1)
-    unit = x / np.where(size > 0, size, 1.0)[:, None]
-    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0)), size
+from tonegrid.operators import balls
+from tonegrid.session import materialize
 
 
 def _representatives(df: DataFrame, features: Sequence[str], keep: int) -> DataFrame:
@@ -47,132 +29,30 @@ def _representatives(df: DataFrame, features: Sequence[str], keep: int) -> DataF
 
 def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str] = (),
                 score: Callable | None = None, bound: Callable | None = None, skip_same: bool = False,
-                global_top: bool = False, block_rows: int = BLOCK_ROWS, pivots: int | None = None) -> DataFrame:
+                global_top: bool = False, block_rows: int = balls.BLOCK_ROWS, trace: list | None = None) -> DataFrame:
     """Best ``k`` base rows per query by vector score: id, match, score.
 
     Both inputs carry ``id`` (bigint) and ``vec`` (array<double>) plus ``extra`` columns. Only vectors of one width
-    meet: each width that occurs is a search of its own.
-    ``score(q, b, dots)`` turns a block of dot products into scores (default: the dot product) and
-    ``bound(dot)`` is the highest score any pair with at most that dot product may have. Scores are
+    meet. ``score(q, b, dots)`` turns a block of dot products into scores (default: the dot product; minus infinity is
+    no match) and ``bound(dot)`` is the highest score any pair with at most that dot product may have. Scores are
     compared at nine decimals, equal ones go to the lower match id. ``skip_same`` leaves out a row
     matching its own id. With ``global_top`` only pairs that can reach the overall best ``k`` are
-    searched and lists may be incomplete below that.
+    searched and lists may be incomplete below that. ``trace`` gathers the node pairs that were searched.
     """
-    widths = [r["w"] for r in base.select(F.size("vec").alias("w")).distinct().collect()]  # one row per vector width
-    if len(widths) > 1:
-        each = [top_matches(*[d.where(F.size("vec") == w) for d in (queries, base)], k, extra, score, bound, skip_same, global_top, block_rows, pivots) for w in widths]
-        return reduce(DataFrame.unionByName, each)
-    if widths:
-        queries = queries.where(F.size("vec") == widths[0])
-    score = score or (lambda q, b, dots: dots)
-    bound = bound or (lambda dot: dot)
     features = ["vec", *extra]
     want = k + 1 if skip_same else k
-    spark = base.sparkSession
-
-    b = materialize(_representatives(base, features, want), "match-base")
-    n = b.count()
-    id_type = T.LongType()
-    if n == 0:
-        return spark.createDataFrame([], T.StructType([
-            T.StructField("id", id_type), T.StructField("match", id_type), T.StructField("score", T.DoubleType())]))
-    # one per half block, and no more than the root of the rows, so that neither cells nor pivots outgrow the other
-    p = pivots or max(1, min(math.isqrt(n), -(-n // (block_rows // 2))))
-    picked = b.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(p).collect()
-    piv = np.array([r["vec"] for r in picked], dtype=np.float64)
-    piv = piv / np.maximum(np.linalg.norm(piv, axis=1), 1e-300)[:, None]
-
-    fields = {f.name: f for f in b.schema.fields}
-    placed = T.StructType([*b.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType()),
-                           T.StructField("size", T.DoubleType())])
-
-    def place(batches):
-        for pdf in batches:
-            a, size = _angles(_matrix(pdf["vec"]), piv)
-            yield pdf.assign(cell=a.argmin(axis=1).astype("int32"), angle=a.min(axis=1), size=size)
-
-    b = materialize(b.mapInPandas(place, placed), "match-cells")
-    info = b.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
-                                 F.max("size").alias("size")).collect()  # one row per pivot
-    cells = np.array([r["cell"] for r in info])
-    lo, hi, top = (np.array([r[c] for r in info], dtype=np.float64) for c in ("lo", "hi", "size"))
-    parts = {r["cell"]: -(-r["n"] // block_rows) for r in info}
-    part = F.create_map(*[F.lit(int(v)) for c, m in parts.items() for v in (c, m)])
-    b = b.withColumn("bpart", F.pmod(F.xxhash64(*features), F.element_at(part, F.col("cell"))).cast("int"))
-
     q = queries.select("id", F.xxhash64(*features).alias("_h"), *features)
-    reps = q.groupBy("_h", *features).agg(F.min("id").alias("rep"))
-    reps = materialize(reps, "match-queries")
-    qparts = max(1, -(-reps.count() // block_rows))
-    reps = reps.withColumn("qpart", F.pmod(F.xxhash64(*features), F.lit(qparts)).cast("int"))
-
-    reps = reps.withColumn("_floor", F.lit(float("-inf")))
-    route = T.StructType([*reps.schema.fields, T.StructField("cell", T.IntegerType())])
-    hit = T.StructType([T.StructField("rep", id_type), T.StructField("match", id_type), T.StructField("score", T.DoubleType())])
-
-    def reachable(x: np.ndarray) -> np.ndarray:
-        a, size = _angles(x, piv)
-        a = a[:, cells]
-        gap = np.maximum(np.maximum(a - hi, lo - a) - SLACK, 0.0)
-        return bound(size[:, None] * top * np.maximum(np.cos(gap), 0.0) + SLACK)
-
-    def first_cell(batches):
-        for pdf in batches:
-            best = reachable(_matrix(pdf["vec"])).argmax(axis=1)
-            yield pdf.assign(cell=cells[best].astype("int32"))
-
-    def other_cells(batches):
-        for pdf in batches:
-            ub = reachable(_matrix(pdf["vec"]))
-            go = (ub >= pdf["_floor"].to_numpy()[:, None]) & (cells[None, :] != pdf["_done"].to_numpy()[:, None])
-            row, col = np.nonzero(go)
-            out = pdf.drop(columns=["_done"]).iloc[row]
-            yield out.assign(cell=cells[col].astype("int32"))
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"rep": [], "match": [], "score": []})
-        s = np.round(score(left, right, _matrix(left["vec"]) @ _matrix(right["vec"]).T), 9)
-        keep = min(want, s.shape[1])
-        edge = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-        edge = np.maximum(edge, left["_floor"].to_numpy())
-        row, col = np.nonzero(s >= edge[:, None])
-        # every base row stands for a few equal ones
-        ids = right["ids"].to_numpy()
-        n_ids = np.array([len(m) for m in ids])[col]
-        match = np.concatenate([ids[c] for c in col]) if len(col) else np.array([], dtype=np.int64)
-        out = pd.DataFrame({"rep": np.repeat(left["rep"].to_numpy()[row], n_ids), "match": match, "score": np.repeat(s[row, col], n_ids)})
-        # of equal scores the lowest ids
-        return out.sort_values(["rep", "score", "match"], ascending=[True, False, True]).groupby("rep").head(want)
-
-    def run(routed: DataFrame) -> DataFrame:
-        needed = routed.select("cell", "qpart").distinct()
-        base_side = b.join(needed, "cell")
-        query_side = routed.join(b.select("cell", "bpart").distinct(), "cell")
-        on = ["cell", "bpart", "qpart"]
-        return fresh(query_side).groupBy(*on).cogroup(fresh(base_side).groupBy(*on)).applyInPandas(search, hit)
-
-    def best_of(hits: DataFrame) -> DataFrame:
-        order = Window.partitionBy("rep").orderBy(F.desc("score"), "match")
-        return hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= want).drop("_r")
+    reps = materialize(q.groupBy("_h", *features).agg(F.min("id").alias("rep")), "match-queries")
+    asking = balls.pack(reps.drop("_h"), ["rep", *extra], "queries", block_rows)
+    packed = balls.pack(_representatives(base, features, want), ["ids", *extra], "base", block_rows)
 
-    started = materialize(reps.mapInPandas(first_cell, route), "match-route")
-    near = materialize(best_of(run(started)), "match-near")
-    floor = near.groupBy("rep").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_s"))
-    floor = floor.select("rep", F.when(F.col("_n") >= want, F.col("_s")).alias("_floor"))
-    lowest = float("-inf")
-    if global_top:
-        other = near.where(F.col("rep") != F.col("match")) if skip_same else near
-        kth = other.orderBy(F.desc("score")).limit(2 * k).collect()  # 2k rows: a pair may be seen from both ends
-        lowest = kth[-1]["score"] if len(kth) == 2 * k else lowest
-    todo = started.drop("_floor").join(floor, "rep", "left").withColumn(
-        "_floor", F.greatest(F.coalesce("_floor", F.lit(float("-inf"))), F.lit(lowest)) - 1e-9)
-    todo = todo.withColumn("_done", F.col("cell")).drop("cell")
-    todo = todo.select(*[c for c in reps.columns], "_done")
-    rest = materialize(todo.mapInPandas(other_cells, route), "match-rest")
-    found = materialize(best_of(near.unionByName(run(rest))), "match-found")
+    def kth(found: DataFrame) -> float:
+        other = found.where(F.col("rep") != F.col("match")) if skip_same else found
+        best = other.orderBy(F.desc("score")).limit(2 * k).collect()  # 2k rows: a pair may be seen from both ends
+        return best[-1]["score"] if len(best) == 2 * k else float("-inf")
 
-    per_query = q.join(reps.select("_h", *features, "rep"), ["_h", *features]).select("id", "rep").join(found, "rep").drop("rep")
+    found = balls.search(asking, packed, want, extra, score or (lambda q, b, dots: dots), bound or (lambda dot: dot), kth if global_top else None, trace)
+    per_query = q.join(reps, ["_h", *features]).select("id", "rep").join(found, "rep").drop("rep")
     if skip_same:
         per_query = per_query.where(F.col("id") != F.col("match"))
     order = Window.partitionBy("id").orderBy(F.desc("score"), "match")
