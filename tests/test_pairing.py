@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tonegrid.operators import pairing as P
 from tonegrid.operators.pairing import beat_f_measure
 
 
@@ -33,3 +37,34 @@ def test_beats_match_one_to_one(spark):
         m = most(ref, est, 5)
         p, q = m / len(est) if est else 0, m / len(ref)
         assert abs(got[s] - (2 * p * q / (p + q) if m else 0)) < 1e-9
+
+
+def test_summary_equals_the_pairings(spark, monkeypatch):
+    """Means and best pairings from blocks of seven against every pairing in a row of its own, missing values included."""
+    monkeypatch.setattr(P, "BLOCK", 7)
+    rng = np.random.default_rng(2)
+    kinds = ["verse", "chorus", "drop", "instrumental", "intro", None]
+    rows = []
+    for song, count in ((1, 30), (2, 25), (3, 1), (4, 8)):
+        for i in range(count):
+            energy = None if song == 4 and i == 3 else round(float(rng.random()), 1)
+            rows.append((song, i, energy, None if i == 5 else float(rng.integers(0, 5) * 500), bool(rng.random() < 0.5), kinds[rng.integers(0, 6)]))
+    sections = spark.createDataFrame(rows, "song_id long, section_idx long, energy double, spectral_centroid double, has_vocals boolean, classification string")
+    pairs = spark.createDataFrame([(10, 1, 2), (11, 2, 3), (12, 4, 1), (13, 1, 99), (14, 1, 1)], "pair_id long, song_a long, song_b long")
+    keys = pairs.select("pair_id", (F.col("pair_id") / 20).alias("key_score"))
+    every = P.section_pairings(pairs, sections, keys).toPandas()
+    summary = P.pairing_summary(pairs, sections, keys, n=6)
+    best = {r["pair_id"]: r for r in P.best_direction(summary).collect()}
+    means = every.groupby(["pair_id", "direction"]).overall_score.mean()
+    assert set(best) == {10, 11, 12, 14}
+    for pair, r in best.items():
+        assert abs(r["direction_score_a"] - means[pair, "a_vocals"]) < 1e-12 and abs(r["direction_score_b"] - means[pair, "b_vocals"]) < 1e-12
+    every["order"] = -every.overall_score.round(12)
+    for direction in ("a_vocals", "b_vocals", None):
+        got = P.top_pairings(summary, direction).toPandas()
+        for pair, rows in got.groupby("pair_id"):
+            chosen = direction or best[pair]["best_direction"]
+            want = every[(every.pair_id == pair) & (every.direction == chosen)].sort_values(["order", "section_a", "section_b"]).head(6)
+            rows = rows.sort_values("rank")
+            assert rows[["section_a", "section_b"]].values.tolist() == want[["section_a", "section_b"]].values.tolist()
+            assert np.allclose(rows.overall_score, want.overall_score) and set(rows.direction) == {chosen}

@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tonegrid.operators import balls
 from tonegrid.operators import similarity as M
 
 
@@ -69,3 +70,42 @@ def test_mixed_widths(spark):
         # equal keys and tempos: the embedding decides, another width counts as none
         best = min((-(dot(a, b) or 0.0), j) for j, b in rows if j != i)
         assert following.loc[i].next_id == best[1]
+
+
+def test_blocks_moved(spark):
+    """Clustered vectors: most node pairs are never joined, and what moves is blocks, not vectors times blocks."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(8, 12))
+    v = centre[np.arange(4000) % 8] + 0.02 * rng.normal(size=(4000, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(4000), "vec": v.tolist()}), "id long, vec array<double>")
+    trace = []
+    got = M.top_matches(df, df, 3, skip_same=True, block_rows=16, trace=trace).toPandas()
+    s = scores(v)
+    want = np.sort(s, axis=1)[:, :-4:-1]
+    assert np.allclose(got.sort_values(["id", "score"], ascending=[True, False]).score.to_numpy().reshape(4000, 3), want)
+    nodes = -(-4000 // (16 * balls.FAN))
+    pairs = sum(t.count() for t in trace)
+    assert len(trace) > 1 and pairs < 0.6 * nodes**2
+    assert 2 * balls.FAN * pairs < 4000 * nodes / 4  # blocks of both sides, against a row per vector and node
+
+
+def test_next_song_by_key_profiles(spark):
+    """With key profiles the key score is their best rotated correlation; songs without one fall back on the key's name."""
+    rng = np.random.default_rng(8)
+    e = rng.normal(size=(30, 6))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    profile = rng.random(size=(30, 12))
+    songs = spark.createDataFrame([(i, 120.0, "C major", None if i % 5 == 0 else profile[i].tolist()) for i in range(30)], "song_id long, tempo double, key string, key_chroma array<double>")
+    emb = spark.createDataFrame([(i, e[i].tolist()) for i in range(30)], "song_id long, embedding array<double>")
+    got = M.next_song(songs, emb, k=2).toPandas()
+
+    def key(i, j):
+        if i % 5 == 0 or j % 5 == 0:
+            return 1.0
+        best = max(np.corrcoef(profile[i], np.roll(profile[j], s))[0, 1] for s in range(12))
+        return min(1.0, max(0.0, (best + 0.5) / 1.5))
+
+    for i, rows in got.groupby("song_id"):
+        want = sorted((-round(0.5 * e[i] @ e[j] + 0.3 * key(i, j) + 0.2, 9), j) for j in range(30) if j != i)[:2]
+        assert rows.sort_values("score", ascending=False).next_id.tolist() == [j for _, j in want]

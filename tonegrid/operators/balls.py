@@ -225,17 +225,19 @@ def search(asking: DataFrame, base: DataFrame, want: int, extra: Sequence[str],
                 if ub[j] < floors.min() - 1e-9:
                     break
                 y = _list(right, "vecs", j).to_numpy().reshape(-1, w)
-                s = np.round(score(qx, frames(right, j), x @ y.T), 9)
-                s = np.where(np.isnan(s), -np.inf, s)
-                keep = min(want, s.shape[1])
-                edge = np.maximum(-np.partition(-s, keep - 1, axis=1)[:, keep - 1], floors)
-                row, col = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+                s = score(qx, frames(right, j), x @ y.T)
+                edge = floors.copy()
+                if len(bare := np.flatnonzero(edge == -np.inf)):  # no floor yet: the best few of this block
+                    keep = min(want, s.shape[1])
+                    edge[bare] = -np.partition(-s[bare], keep - 1, axis=1)[:, keep - 1]
+                row, col = np.nonzero(s >= np.maximum(edge - 1e-9, np.finfo(float).min)[:, None])
+                value = np.round(s[row, col], 9)
                 ids = _list(right, "ids", j)
                 sizes = np.diff(ids.offsets.to_numpy())[col]  # a base row stands for a few equal ones
                 starts = ids.offsets.to_numpy()[:-1][col] - ids.offsets[0].as_py()
                 at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 idx = np.repeat(row, sizes).astype(np.int32)
-                new = (idx, reps[idx], ids.flatten().to_numpy()[at], np.repeat(s[row, col], sizes))
+                new = (idx, reps[idx], ids.flatten().to_numpy()[at], np.repeat(value, sizes))
                 found = _trim(*(np.concatenate(p) for p in zip(found, new, strict=True)), want)
                 floors = np.maximum(before, _floors(found[0], found[3], n, want))
             if len(found[0]):

@@ -75,24 +75,18 @@ def _pair_vector(a: str, b: str) -> Column:
 def nearest_rated(pairs: DataFrame, rated: DataFrame, k: int = 5, **opts) -> DataFrame:
     """The k rated mixes most similar to each pair: pair_id, mix_id, similarity.
 
-    Both carry emb_a and emb_b; only mixes with the same two widths are comparable. Vectors are padded to a
-    common width for the search, which leaves dot products unchanged.
+    Both carry emb_a and emb_b; only mixes with the same two widths are comparable.
     """
     has = F.col("emb_a").isNotNull() & F.col("emb_b").isNotNull()
-    shape = (F.size("emb_a") * 100000 + F.size("emb_b")).alias("shape")
-    q = pairs.where(has).select(F.col("pair_id").alias("id"), _pair_vector("emb_a", "emb_b").alias("vec"), shape)
-    b = rated.where(has).select(F.col("mix_id").alias("id"), _pair_vector("emb_a", "emb_b").alias("vec"), shape)
-    q, b = materialize(q, "pair-vectors"), materialize(b, "rated-vectors")
-    widest = lambda d: d.agg(F.max(F.size("vec")).alias("w")).collect()[0]["w"] or 0
-    w = max(widest(q), widest(b))
-    fit = lambda d: d.withColumn("vec", F.slice(F.concat("vec", F.array_repeat(F.lit(0.0), w)), 1, w)) if w else d
+    vectors = lambda d, key: d.where(has).select(F.col(key).alias("id"), _pair_vector("emb_a", "emb_b").alias("vec"), F.size("emb_a").alias("shape"))
 
     def score(left, right, dots):
+        # vectors of one width meet; their halves have to be of one width too
         same = left["shape"].to_numpy()[:, None] == right["shape"].to_numpy()[None, :]
         return np.where(same, dots, -np.inf)
 
-    m = top_matches(fit(q), fit(b), k, ["shape"], score, **opts)
-    return m.where(F.col("score") > float("-inf")).select(F.col("id").alias("pair_id"), F.col("match").alias("mix_id"), F.col("score").alias("similarity"))
+    m = top_matches(materialize(vectors(pairs, "pair_id"), "pair-vectors"), vectors(rated, "mix_id"), k, ["shape"], score, **opts)
+    return m.select(F.col("id").alias("pair_id"), F.col("match").alias("mix_id"), F.col("score").alias("similarity"))
 
 
 def weighted_suggestion(neighbors: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid import constants as K
@@ -82,22 +84,97 @@ def section_pairings(pairs: DataFrame, sections: DataFrame, key_compat: DataFram
                     F.least(F.lit(1.0), base + F.col("type_bonus")).alias("overall_score"))
 
 
-def best_direction(pairings: DataFrame) -> DataFrame:
+#: Sections of a song that travel as one row.
+BLOCK = 512
+_SIDE = ["section_idx", "energy", "spectral_centroid", "has_vocals", "classification"]
+
+
+def _overall(vox: dict, beat: dict, vocal_first: bool, key: float) -> np.ndarray:
+    """Overall scores of two blocks of sections, rows by the sections of A; missing values count as in ``section_pairings``."""
+    at = (lambda v, b: (v[:, None], b[None, :])) if vocal_first else (lambda v, b: (v[None, :], b[:, None]))
+    ve, be = at(vox["energy"], beat["energy"])
+    vv, bv = at(vox["has_vocals"], beat["has_vocals"])
+    cv, cb = at(vox["spectral_centroid"], beat["spectral_centroid"])
+    fit = np.fmax(0.0, 1.0 - np.abs(ve - be) * 1.5)
+    energy = np.where(be > ve, np.fmin(1.0, fit + 0.1), fit)
+    roles = np.where(vv & ~bv, 1.0, np.where(vv, (0.5 + 0.3) * 0.5, np.where(~bv, 0.5 + 0.2, 0.5)))
+    spectral = np.fmin(1.0, np.abs(cv - cb) / np.fmax(np.fmax(cv, cb), 1.0) + 0.3)
+    bonus = np.zeros(energy.shape)
+    for v, b, s in K.SECTION_BONUS:
+        is_v, is_b = at(vox["classification"] == v, beat["classification"] == b)
+        bonus[is_v & is_b] = s
+    return np.fmin(1.0, energy * 0.25 + roles * 0.35 + spectral * 0.15 + key * 0.25 + bonus)
+
+
+def pairing_summary(pairs: DataFrame, sections: DataFrame, key_compat: DataFrame, n: int = 10) -> DataFrame:
+    """What the pairings of two songs come to, without a row per pairing: pair_id, song_a, song_b, the mean score by vocal
+    role (direction_score_a, direction_score_b) and the ``n`` best pairings of either role (top_a, top_b).
+
+    Sections travel as blocks of up to ``BLOCK`` of a song. Two blocks are one outer product in a task, which gives back two
+    sums and 2n pairings; these are merged first over the blocks of B, then over those of A, so one pair of long songs
+    spreads over its block pairs. ``top_*`` are arrays of (order, section_a, section_b, score), best first, equal
+    scores by section_a and section_b. Pairs without sections on one side drop out.
+    """
+    row = F.struct(*[F.col(c).cast(k).alias(c) for c, k in zip(_SIDE, ("bigint", "double", "double", "boolean", "string"), strict=True)])
+    blocks = sections.groupBy("song_id", F.floor(F.col("section_idx") / BLOCK).alias("_block")).agg(F.collect_list(row).alias("_rows"))
+    side = lambda s: blocks.select(F.col("song_id").alias(f"song_{s}"), F.col("_block").alias(f"_block_{s}"), F.col("_rows").alias(f"_{s}"))
+    d = pairs.select("pair_id", "song_a", "song_b").join(key_compat.select("pair_id", F.col("key_score").cast("double").alias("_key")), "pair_id").join(side("a"), "song_a").join(side("b"), "song_b")
+    kept = ["pair_id", "song_a", "song_b", "_block_a"]
+    top = "array<struct<`order`:double,section_a:bigint,section_b:bigint,score:double>>"
+
+    def columns(rows: pa.Scalar) -> dict:
+        flat = rows.values
+        got = {c: flat.field(c) for c in _SIDE}
+        return {"section_idx": got["section_idx"].to_numpy(), "has_vocals": got["has_vocals"].fill_null(False).to_numpy(zero_copy_only=False),
+                "classification": got["classification"].to_numpy(zero_copy_only=False), **{c: got[c].to_numpy(zero_copy_only=False).astype(float) for c in ("energy", "spectral_centroid")}}
+
+    def best(s: np.ndarray, a: dict, b: dict) -> list[dict]:
+        r = np.round(s, 12)
+        keep = min(n, r.size)
+        edge = -np.partition(-r, keep - 1, axis=None)[keep - 1]
+        i, j = np.nonzero(r >= edge)
+        first = np.lexsort((b["section_idx"][j], a["section_idx"][i], -r[i, j]))[:keep]
+        return [{"order": -r[x, y], "section_a": a["section_idx"][x], "section_b": b["section_idx"][y], "score": s[x, y]} for x, y in zip(i[first], j[first], strict=True)]
+
+    def multiply(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            kind = batch.schema.field("_a").type
+            for left, right, key in zip(batch.column("_a"), batch.column("_b"), batch.column("_key").to_pylist(), strict=True):
+                a, b = columns(left), columns(right)
+                key = np.nan if key is None else key
+                sa, sb = _overall(a, b, True, key), _overall(b, a, False, key)
+                for o, v in zip(out, (sa.sum(), sb.sum(), sa.size, best(sa, a, b), best(sb, a, b)), strict=True):
+                    o.append(v)
+            found = pa.list_(pa.struct([("order", pa.float64()), ("section_a", pa.int64()), ("section_b", pa.int64()), ("score", pa.float64())]))
+            arrays = [batch.column(c) for c in kept] + [pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64()), pa.array(out[3], found), pa.array(out[4], found)]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "_sum_a", "_sum_b", "_n", "top_a", "top_b"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    products = d.select(*kept, "_a", "_b", "_key").mapInArrow(multiply, ", ".join([*[f"{c} {kinds[c]}" for c in kept], "_sum_a double, _sum_b double, _n bigint", f"top_a {top}", f"top_b {top}"]))
+
+    def merged(rows: DataFrame, *keys: str) -> DataFrame:
+        few = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c))), 1, n).alias(c)
+        return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_sum_a", "_sum_b", "_n")], few("top_a"), few("top_b"))
+
+    whole = merged(merged(products, *kept), *kept[:3])
+    return whole.select("pair_id", "song_a", "song_b", (F.col("_sum_a") / F.col("_n")).alias("direction_score_a"), (F.col("_sum_b") / F.col("_n")).alias("direction_score_b"), "top_a", "top_b")
+
+
+def best_direction(summary: DataFrame) -> DataFrame:
     """Mean score by vocal role per pair; A is taken on a tie."""
-    mean = lambda d: F.coalesce(F.avg(F.when(F.col("direction") == d, F.col("overall_score"))), F.lit(0.0))
-    s = pairings.groupBy("pair_id").agg(mean("a_vocals").alias("direction_score_a"), mean("b_vocals").alias("direction_score_b"))
-    return s.withColumn("best_direction", F.when(
-        F.round("direction_score_a", 12) >= F.round("direction_score_b", 12), "a_vocals").otherwise("b_vocals"))
+    return summary.select("pair_id", "direction_score_a", "direction_score_b", _direction().alias("best_direction"))
+
+
+def _direction() -> Column:
+    return F.when(F.round("direction_score_a", 12) >= F.round("direction_score_b", 12), "a_vocals").otherwise("b_vocals")
 
 
-def top_pairings(pairings: DataFrame, direction: str | None = None, n: int = 10) -> DataFrame:
+def top_pairings(summary: DataFrame, direction: str | None = None) -> DataFrame:
     """Ranked pairings per pair in one direction (the pair's best one by default)."""
-    if direction is None:
-        d = pairings.join(best_direction(pairings).select("pair_id", F.col("best_direction").alias("direction")), ["pair_id", "direction"])
-    else:
-        d = pairings.where(F.col("direction") == direction)
-    order = Window.partitionBy("pair_id").orderBy(F.desc(F.round("overall_score", 12)), "section_a", "section_b")
-    return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    d = summary.withColumn("direction", F.lit(direction) if direction else _direction())
+    d = d.select("pair_id", "song_a", "song_b", "direction", F.posexplode(F.when(F.col("direction") == "a_vocals", F.col("top_a")).otherwise(F.col("top_b"))).alias("_i", "_p"))
+    return d.select("pair_id", "song_a", "song_b", "_p.section_a", "_p.section_b", "direction", F.col("_p.score").alias("overall_score"), (F.col("_i") + 1).alias("rank"))
 
 
 # ---- alignment ----------------------------------------------------------------------------------

@@ -21,10 +21,10 @@ from tonegrid.session import materialize
 
 def _representatives(df: DataFrame, features: Sequence[str], keep: int) -> DataFrame:
     """One row per distinct feature tuple with its ``keep`` lowest ids (enough for any top list)."""
-    # the hash leads the sort keys, so vectors are compared only when it is equal
-    rank = F.row_number().over(Window.partitionBy("_h", *features).orderBy("id"))
-    return (df.select("id", F.xxhash64(*features).alias("_h"), *features).withColumn("_r", rank).where(F.col("_r") <= keep)
-            .groupBy("_h", *features).agg(F.sort_array(F.collect_list("id")).alias("ids")).drop("_h"))
+    # the hash leads the sort keys, so vectors are compared only when it is equal; one sort serves both windows
+    order = Window.partitionBy("_h", *features).orderBy("id")
+    few = df.select("id", F.xxhash64(*features).alias("_h"), *features).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+    return few.withColumn("ids", F.collect_list("id").over(order.rowsBetween(0, keep - 1))).where(F.col("_r") == 1).select("ids", *features)
 
 
 def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str] = (),

@@ -50,21 +50,21 @@ PAIRED = dict(cl=CLASSIFIED, sp=SPAIRS, kc=KEYSC,
     bd="""select pair_id, avg(case when direction='a_vocals' then overall_score end) as sa, avg(case when direction='b_vocals' then overall_score end) as sb from s2 group by pair_id""")
 
 
-def pairings(t):
+def section_sides(t):
+    """Song pairs, classified sections and key scores."""
     s = materialize(B.classify_sections(t.stored("sections"), ["song_id"]), "classified")
-    ids = s.select("song_id").distinct().orderBy("song_id")
+    ids = s.select("song_id").distinct()
     # the partner is the next id: a self join on the dense rank of the id
     ranked = B.dense_index(ids, [], ["song_id"], F.floor(F.col("song_id") / 1024), "_r")
     nxt = ranked.select(F.col("song_id").alias("song_b"), (F.col("_r") - 1).alias("_r"))
     sp = ranked.join(nxt, "_r").select(F.col("song_id").alias("pair_id"), F.col("song_id").alias("song_a"), "song_b")
-    kc = sp.select("pair_id", ((F.col("pair_id") % 11) / F.lit(10.0)).alias("key_score"))
-    return P.section_pairings(sp, s, kc)
+    return sp, s, sp.select("pair_id", ((F.col("pair_id") % 11) / F.lit(10.0)).alias("key_score"))
 
 
 @query("c05_section_pairings", sql("sections", """select pair_id, song_a, song_b, section_a, section_b, direction, round(energy_score,6) as energy_score, round(role_score,6) as role_score,
  round(spectral_score,6) as spectral_score, round(key_score,6) as key_score, round(overall_score,6) as overall_score from s2""", **{k: v for k, v in PAIRED.items() if k != "bd"}))
 def _(t):
-    d = pairings(t)
+    d = P.section_pairings(*section_sides(t))
     return d.select(*[r6(c).alias(c) if c.endswith("_score") else c for c in d.columns])
 
 
@@ -80,7 +80,7 @@ def _(t):
 @query("d25_best_direction", sql("sections", """select pair_id, round(sa,6) as direction_score_a, round(sb,6) as direction_score_b,
  case when round(sa,12)>=round(sb,12) then 'a_vocals' else 'b_vocals' end as best_direction from bd""", **PAIRED))
 def _(t):
-    d = P.best_direction(pairings(t))
+    d = P.best_direction(P.pairing_summary(*section_sides(t)))
     return d.select("pair_id", r6("direction_score_a").alias("direction_score_a"), r6("direction_score_b").alias("direction_score_b"), "best_direction")
 
 
@@ -88,7 +88,7 @@ def _(t):
  select s.*, row_number() over(partition by s.pair_id order by round(overall_score,12) desc, section_a, section_b) as rank from s2 s join bd using(pair_id)
  where s.direction=case when round(sa,12)>=round(sb,12) then 'a_vocals' else 'b_vocals' end) q where rank<=10""", **PAIRED))
 def _(t):
-    return P.top_pairings(pairings(t)).select("pair_id", "section_a", "section_b", "direction", r6("overall_score").alias("overall_score"), "rank")
+    return P.top_pairings(P.pairing_summary(*section_sides(t))).select("pair_id", "section_a", "section_b", "direction", r6("overall_score").alias("overall_score"), "rank")
 
 
 @query("c16_beat_f_measure", sql("beats", """select song_id, round(case when p+q>0 then 2*p*q/(p+q) else 0 end,6) as f_measure from (
