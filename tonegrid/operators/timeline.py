@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonegrid import constants as K
+from tonegrid.functions.arrays import let
 from tonegrid.functions.scalars import clip
 from tonegrid.operators.intervals import interval_join
 from tonegrid.operators.ordered import CHUNK, argmax_first, halo_window, with_group_stats
@@ -229,43 +231,63 @@ def echo_tails(track: DataFrame, placements: DataFrame, keys: Sequence[str], pos
 
 # ---- ordered placement --------------------------------------------------------------------------
 
+def _lay(labels: np.ndarray, breakdown: np.ndarray, ranks: dict, kinds: Sequence[str], needs: np.ndarray) -> list[int | None]:
+    """First bar of every phrase in turn, or None.
+
+    ``run`` holds how many free bars follow each bar, itself included, so a stretch that is long enough is one comparison
+    for all bars; placing a phrase splits its stretch.
+    """
+    n = len(labels)
+    first, last = min(max(8, n // 8), 16), n - min(max(8, n // 10), 12)
+    at = np.arange(n)
+    blocked = breakdown | (at < first) | (at >= last)
+    run = np.minimum.accumulate(np.where(blocked, at, n)[::-1])[::-1] - at
+    grid = at[(at % 8 == 0) & (at >= first) & (at < last)]
+    liked = {k: r[labels[grid]] for k, r in ranks.items()}
+    spots: list[int | None] = []
+    for kind, need in zip(kinds, needs, strict=True):
+        fits = np.flatnonzero(run[grid] >= need)
+        if len(fits):
+            spot = int(grid[fits[liked[kind][fits].argmin()]])
+        else:
+            spot = int((run >= need).argmax())
+            if run[spot] < need:
+                spots.append(None)
+                continue
+        run[:spot] = np.minimum(run[:spot], spot - at[:spot])
+        run[spot:spot + need] = 0
+        spots.append(spot)
+    return spots
+
+
 def place_phrases(phrases: DataFrame, bars: DataFrame, pair: str, bar_s: float) -> DataFrame:
     """Phrases on an 8-bar grid of the beat, in song order, never overlapping: pair, phrase_idx, bar, type.
 
-    ``phrases``: pair, phrase_idx, start_time, duration, energy; ``bars``: pair, bar, label. One task handles the
-    bar line of one pair, which is as long as its mix; pairs run in parallel.
+    ``phrases``: pair, phrase_idx, start_time, duration, energy; ``bars``: pair, bar, label. Every choice depends on all
+    earlier ones of its mix, so one task handles the bar line of one pair, a few bytes per bar; pairs run in parallel.
     """
     p = label_phrases(phrases, [pair]).select(pair, "phrase_idx", "start_time", "duration", "energy", "type")
     b = bars.select(pair, "bar", "label")
     key = [f for f in p.schema.fields if f.name == pair][0]
     out = T.StructType([key, T.StructField("phrase_idx", T.LongType()), T.StructField("bar", T.LongType()), T.StructField("type", T.StringType())])
+    names = [*dict.fromkeys([*K.PHRASE_FALLBACK, *sum(K.PHRASE_PREFERENCES.values(), []), "breakdown"])]
+    ranks = {}
+    for kind, liked in K.PHRASE_PREFERENCES.items():
+        wanted = [*dict.fromkeys([*liked, *K.PHRASE_FALLBACK])]
+        ranks[kind] = np.array([wanted.index(x) if x in wanted else len(names) for x in [*names, None]])
 
     def lay(name, ph: pd.DataFrame, bl: pd.DataFrame) -> pd.DataFrame:
-        empty = plain(pd.DataFrame({pair: [], "phrase_idx": [], "bar": [], "type": []}))
-        if not len(ph):
-            return empty
         n = int(bl["bar"].max()) + 1 if len(bl) else 0
-        if n < 12:
-            top = ph.sort_values(["energy", "phrase_idx"], ascending=[False, True]).iloc[0]
-            return plain(pd.DataFrame({pair: [name[0]], "phrase_idx": [top["phrase_idx"]], "bar": [0], "type": [top["type"]]}))
-        first, last = min(max(8, n // 8), 16), n - min(max(8, n // 10), 12)
-        label = dict(zip(bl["bar"], bl["label"]))
-        free = [first <= i < last and label.get(i) != "breakdown" for i in range(n)]
-        rows = []
-        for r in ph.sort_values(["start_time", "phrase_idx"]).itertuples(index=False):
-            size = max(1, math.ceil(r.duration / bar_s))
-            need = size + max(1, min(3, size // 2))
-            fits = [i for i in range(first, last) if i + need <= n and all(free[i:i + need])]
-            on_grid = [i for i in fits if i % 8 == 0]
-            wanted = [*K.PHRASE_PREFERENCES[r.type], *K.PHRASE_FALLBACK]
-            rank = {lab: j for j, lab in reversed(list(enumerate(wanted)))}
-            pool = on_grid or fits
-            if not pool:
-                continue
-            spot = min(pool, key=lambda i: (rank.get(label.get(i), len(wanted)) if on_grid else 0, i))
-            free[spot:spot + need] = [False] * need
-            rows.append((name[0], r.phrase_idx, spot, r.type))
-        return plain(pd.DataFrame(rows, columns=[pair, "phrase_idx", "bar", "type"])) if rows else empty
+        if n < 12 or not len(ph):
+            top = ph.sort_values(["energy", "phrase_idx"], ascending=[False, True]).head(1)
+            return plain(top.assign(bar=0)[[pair, "phrase_idx", "bar", "type"]])
+        ph = ph.sort_values(["start_time", "phrase_idx"])
+        labels = np.full(n, len(names))
+        labels[bl["bar"].to_numpy()] = bl["label"].map({x: i for i, x in enumerate(names)}).fillna(len(names)).astype(int)
+        size = np.maximum(1, np.ceil(ph["duration"].to_numpy() / bar_s)).astype(int)
+        need = size + np.clip(size // 2, 1, 3)
+        spots = _lay(labels, labels == names.index("breakdown"), ranks, ph["type"], need)
+        return plain(ph.assign(bar=spots).dropna(subset=["bar"]).astype({"bar": "int64"})[[pair, "phrase_idx", "bar", "type"]])
 
     return fresh(p).groupBy(pair).cogroup(fresh(b).groupBy(pair)).applyInPandas(lay, out)
 
@@ -274,43 +296,47 @@ def place_sections(vox: DataFrame, beat: DataFrame, mixes: DataFrame, pair: str,
     """Whole vocal sections on matching beat sections: pair, vocal_start, vocal_end, dest_start, vox_type, beat_type.
 
     ``vox`` and ``beat``: pair, section_idx, start_time, end_time, classification; ``mixes``: pair, bar_s, region_start,
-    total_s, vocal_samples, stretch. Trimming and snapping are plain columns; only the one-slot-per-section choice
-    runs per pair.
+    total_s, vocal_samples, stretch. Beat sections of one type are open in their order, and a vocal section takes the
+    first open one of the type it likes best. So all a choice has to know is how many of each type are taken: a fold
+    over the vocal sections with one counter per type.
     """
     margin = F.least(8 * F.col("bar_s"), F.col("total_s") * 0.15)
     m = mixes.withColumn("_in", margin).withColumn("_out", F.col("total_s") - margin)
+    types = [*K.ALL_SECTION_TYPES, None]  # other types share the last place
+    prefs = lambda liked: F.array(*[F.lit(types.index(x)) for x in [*dict.fromkeys([*liked, *types])]])
+    wanted = F.coalesce(F.try_element_at(F.create_map(*[x for v, liked in K.SECTION_PREFERENCES.items() for x in (F.lit(v), prefs(liked))]), "classification"), prefs(K.DEFAULT_PREFERENCE))
     v = (vox.where(~F.col("classification").isin(K.NO_VOCAL_SECTIONS) & (F.col("end_time") - F.col("start_time") >= 4.0)).join(m, pair)
-         .select(pair, "section_idx", F.col("classification").alias("vox_type"), (F.col("start_time") * F.col("stretch") * sr).cast("bigint").alias("vocal_start"),
-                 F.least((F.col("end_time") * F.col("stretch") * sr).cast("bigint"), F.col("vocal_samples")).alias("vocal_end")))
+         .select(pair, F.struct("section_idx", F.col("classification").alias("vox_type"), (F.col("start_time") * F.col("stretch") * sr).cast("bigint").alias("vocal_start"),
+                                F.least((F.col("end_time") * F.col("stretch") * sr).cast("bigint"), F.col("vocal_samples")).alias("vocal_end"), wanted.alias("wanted")).alias("v")))
     d = beat.where(~F.col("classification").isin(K.NO_BEAT_SECTIONS)).join(m, pair)
     rel_s, rel_e = F.col("start_time") - F.col("region_start"), F.col("end_time") - F.col("region_start")
     d = d.where((rel_e > 0) & (rel_s < F.col("total_s")) & (rel_e > F.col("_in")) & (rel_s < F.col("_out")))
     s, e = F.greatest(rel_s, F.col("_in")), F.least(rel_e, F.col("_out"))
     snap = F.greatest(F.lit(0.0), F.bround(s / F.col("bar_s"))) * F.col("bar_s")
     d = d.where((e - s >= 4.0) & (snap < F.col("_out")))
-    slots = d.select(pair, F.col("section_idx").alias("slot"), F.col("classification").alias("beat_type"), (snap * sr).cast("bigint").alias("dest_start"),
-                     (F.col("total_s") * sr).cast("bigint").alias("_total"))
-    key = [f for f in v.schema.fields if f.name == pair][0]
-    names = [pair, "vocal_start", "vocal_end", "dest_start", "vox_type", "beat_type"]
-    out = T.StructType([key, *[T.StructField(c, T.LongType()) for c in names[1:4]], *[T.StructField(c, T.StringType()) for c in names[4:]]])
-
-    def choose(name, vs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
-        open_slots = bs.sort_values("slot").to_dict("records")
-        rows = []
-        for r in vs.sort_values("section_idx").itertuples(index=False):
-            liked = K.SECTION_PREFERENCES.get(r.vox_type, K.DEFAULT_PREFERENCE)
-            order = {t: j for j, t in reversed(list(enumerate([*liked, *K.ALL_SECTION_TYPES])))}
-            if not open_slots:
-                break
-            best = min(range(len(open_slots)), key=lambda j: (order.get(open_slots[j]["beat_type"], len(order) + 9), j))
-            slot = open_slots[best]
-            if slot["dest_start"] >= slot["_total"]:
-                continue
-            open_slots.pop(best)
-            rows.append((name[0], r.vocal_start, r.vocal_end, slot["dest_start"], r.vox_type, slot["beat_type"]))
-        return plain(pd.DataFrame(rows, columns=names))
-
-    return fresh(v).groupBy(pair).cogroup(fresh(slots).groupBy(pair)).applyInPandas(choose, out)
+    start = (snap * sr).cast("bigint")
+    kind = F.coalesce(F.try_element_at(F.create_map(*[x for i, k in enumerate(types[:-1]) for x in (F.lit(k), F.lit(i))]), "classification"), F.lit(len(types) - 1))
+    slots = d.select(pair, F.struct(F.col("section_idx").alias("slot"), kind.alias("kind"), F.col("classification").alias("beat_type"), start.alias("dest_start"),
+                                    (start < (F.col("total_s") * sr).cast("bigint")).alias("inside")).alias("s"))
+    of_kind = lambda i: lambda s: s["kind"] == i
+    rows = v.groupBy(pair).agg(F.sort_array(F.collect_list("v")).alias("_v")).join(slots.groupBy(pair).agg(F.sort_array(F.collect_list("s")).alias("_s")), pair)
+    rows = rows.withColumn("_open", F.array(*[F.filter("_s", of_kind(i)) for i in range(len(types))]))
+
+    def take(state, section, kind, slot):
+        # a slot behind the end stays open and the section is left out
+        row = F.struct(section["vocal_start"].alias("vocal_start"), section["vocal_end"].alias("vocal_end"), slot["dest_start"].alias("dest_start"),
+                       section["vox_type"].alias("vox_type"), slot["beat_type"].alias("beat_type"))
+        taken = F.transform(state["taken"], lambda n, i: F.when(i == kind, n + 1).otherwise(n))
+        return F.when(slot["inside"], F.struct(taken.alias("taken"), F.concat(state["rows"], F.array(row)).alias("rows"))).otherwise(state)
+
+    def choose(state, section):
+        open_kinds = F.filter(section["wanted"], lambda w: F.get(state["taken"], w) < F.size(F.get("_open", w)))
+        return let(F.get(open_kinds, F.lit(0)), lambda kind: let(F.get(F.get("_open", kind), F.get(state["taken"], kind)), lambda slot: take(state, section, kind, slot)))
+
+    none = F.struct(F.array_repeat(F.lit(0), len(types)).alias("taken"),
+                    F.array().cast("array<struct<vocal_start:bigint,vocal_end:bigint,dest_start:bigint,vox_type:string,beat_type:string>>").alias("rows"))
+    placed = rows.select(pair, F.explode(F.aggregate("_v", none, choose)["rows"]).alias("r"))
+    return placed.select(pair, "r.*")
 
 
 # ---- searches -----------------------------------------------------------------------------------

@@ -10,7 +10,8 @@ from tonegrid.operators import timeline as L
 from tonegrid.operators.ordered import dense_index
 from tonegrid.plans.adapters import sql
 from tonegrid.plans.registry import query
-from tonegrid.plans.structure_queries import SONG
+from tonegrid.plans.series_queries import upto
+from tonegrid.plans.structure_queries import BARS, CLASSIFIED, SONG
 from tonegrid.session import materialize
 
 
@@ -198,14 +199,35 @@ def song_phrases(t):
     return materialize(d.withColumn("duration", F.col("end_time") - F.col("start_time")), "song-phrases")
 
 
-def frame_bars(t):
-    """Every frame as one bar of a quarter second."""
-    return materialize(B.label_bars(t.stored("frames").select("song_id", F.col("frame").alias("bar"), F.col("rms").alias("energy")), SONG), "frame-bars")
+def beat_bars(t):
+    """Analysed bars of the beat song, one second each."""
+    return B.analyze_bars(t.stored("samples"), SONG, "pos", "stem", "x", 20).select("song_id", "bar", "label")
 
 
-@query("g03_place_phrases")
+def rank_case(column, wanted):
+    wanted = [*dict.fromkeys(wanted)]
+    return f"case {column} " + " ".join(f"when '{x}' then {i}" for i, x in enumerate(wanted)) + " else 99 end"
+
+
+PHRASE_RANK = "case type " + " ".join(f"when '{k}' then {rank_case('labels[i+1]', [*v, *K.PHRASE_FALLBACK])}" for k, v in K.PHRASE_PREFERENCES.items()) + " end"
+PHRASES_PLACED = dict(upto("ph"), **BARS,
+    lb=f"select song_id, bar, case when energy>=p75 then 'drop' when energy>=p40 then 'groove' when energy>=p20 then 'build' else 'breakdown' end as label from nm join (select song_id, quantile_cont(energy,0.75) as p75, quantile_cont(energy,0.4) as p40, quantile_cont(energy,0.2) as p20 from nm group by song_id) q using(song_id)",
+    ln2="select song_id, cast(max(bar)+1 as bigint) as n, list(label order by bar) as labels from lb group by song_id",
+    lim="select *, least(greatest(8,n//8),16) as lo, n-least(greatest(8,n//10),12) as hi from ln2",
+    typed="select p.song_id, row_number() over(partition by p.song_id order by start_time)-1 as phrase_idx, start_time, end_time, energy, case when energy>=p75 then 'hook' when energy>=p50 then 'groove' else 'atmosphere' end as type, cast(greatest(1,ceil((end_time-start_time)/1e0)) as bigint) as size from ph p join (select song_id, quantile_cont(energy,0.75) as p75, quantile_cont(energy,0.5) as p50 from ph group by song_id) q using(song_id)",
+    asked="select *, size+greatest(1,least(3,size//2)) as need from typed",
+    laid=f"""select song_id, cast(-1 as bigint) as phrase_idx, n, labels, list_transform(range(0,n), lambda i: i>=lo and i<hi and labels[i+1]<>'breakdown') as free, cast(null as bigint) as bar, '' as type from lim where n>=12 union all
+ select song_id, phrase_idx, n, labels, case when bar is null then free else list_transform(range(0,n), lambda i: free[i+1] and not (i>=bar and i<bar+need)) end, bar, type from (
+ select *, case when len(grid)>0 then list_min(list_transform(grid, lambda i: ({PHRASE_RANK})*1000000+i))%1000000 when len(fits)>0 then fits[1] end as bar from (
+ select *, list_filter(fits, lambda i: i%8=0) as grid from (
+ select l.song_id, a.phrase_idx, l.n, l.labels, l.free, a.type, a.need, list_filter(range(0,l.n), lambda i: i+a.need<=l.n and list_bool_and(l.free[i+1:i+a.need])) as fits from laid l join asked a on a.song_id=l.song_id and a.phrase_idx=l.phrase_idx+1) x) y) z""",
+    pp="""select song_id, phrase_idx, bar, type from laid where bar is not null union all
+ select song_id, phrase_idx, 0, type from (select a.*, row_number() over(partition by song_id order by energy desc, phrase_idx) as rn from asked a where song_id not in (select song_id from lim where n>=12)) q where rn=1""")
+
+
+@query("g03_place_phrases", sql("frames samples", "select song_id, phrase_idx, bar, type from pp", **PHRASES_PLACED))
 def _(t):
-    return L.place_phrases(song_phrases(t), frame_bars(t), "song_id", 2.0)
+    return L.place_phrases(song_phrases(t), beat_bars(t), "song_id", 1.0)
 
 
 def mixes(t):
@@ -220,17 +242,37 @@ def placed_sections(t):
     return L.place_sections(s, s, mixes(t).withColumn("total_s", F.col("total_s") * 2.5), "song_id", sr=1000)
 
 
-@query("g04_place_sections")
+def quoted(names):
+    return ",".join(f"'{n}'" for n in names)
+
+
+SECTION_RANK = "case vt " + " ".join(f"when '{k}' then {rank_case('slots[j].bt', [*v, *K.ALL_SECTION_TYPES])}" for k, v in K.SECTION_PREFERENCES.items()) + f" else {rank_case('slots[j].bt', [*K.DEFAULT_PREFERENCE, *K.ALL_SECTION_TYPES])} end"
+SECTIONS_PLACED = dict(cl=CLASSIFIED,
+    mx="select *, least(4e0,total_s*0.15e0) as mi, total_s-least(4e0,total_s*0.15e0) as mo from (select song_id, max(frame)*0.25e0*2.5e0 as total_s, max(frame)*250 as vocal_samples from frames group by song_id) q",
+    vs=f"""select song_id, row_number() over(partition by song_id order by section_idx) as ord, classification as vt, cast(trunc(start_time*2.5e0*1.02e0*1000) as bigint) as vocal_start,
+ least(cast(trunc(end_time*2.5e0*1.02e0*1000) as bigint), vocal_samples) as vocal_end from cl join mx using(song_id) where classification not in ({quoted(K.NO_VOCAL_SECTIONS)}) and end_time*2.5e0-start_time*2.5e0>=4""",
+    bs=f"""select *, greatest(0e0,round_even(greatest(rs,mi)/0.5e0,0))*0.5e0 as snap from (select song_id, section_idx, classification as bt, start_time*2.5e0-1 as rs, end_time*2.5e0-1 as re, total_s, mi, mo from cl join mx using(song_id)
+ where classification not in ({quoted(K.NO_BEAT_SECTIONS)})) q where re>0 and rs<total_s and re>mi and rs<mo and least(re,mo)-greatest(rs,mi)>=4""",
+    sl="""select song_id, list({'bt': bt, 'dest': cast(trunc(snap*1000) as bigint), 'total': cast(trunc(total_s*1000) as bigint)} order by section_idx) as slots from bs where snap<mo group by song_id""",
+    put=f"""select song_id, slots, cast([] as bigint[]) as used, cast(0 as bigint) as ord, cast(null as bigint) as j, '' as vt, cast(0 as bigint) as vocal_start, cast(0 as bigint) as vocal_end from sl union all
+ select song_id, slots, case when j is null or slots[j].dest>=slots[j].total then used else list_append(used, j) end, ord, case when slots[j].dest<slots[j].total then j end, vt, vocal_start, vocal_end from (
+ select song_id, slots, used, ord, vt, vocal_start, vocal_end, list_min(list_transform(list_filter(range(1,len(slots)+1), lambda j: not list_contains(used, j)), lambda j: ({SECTION_RANK})*1000000+j))%1000000 as j from (
+ select p.song_id, p.slots, p.used, v.ord, v.vt, v.vocal_start, v.vocal_end from put p join vs v on v.song_id=p.song_id and v.ord=p.ord+1) x) y""",
+    ps="select song_id, vocal_start, vocal_end, slots[j].dest as dest_start, vt as vox_type, slots[j].bt as beat_type from put where j is not null")
+
+
+@query("g04_place_sections", sql("frames sections", "select * from ps", **SECTIONS_PLACED))
 def _(t):
     return placed_sections(t)
 
 
-@query("g04_place_vocals")
+@query("g04_place_vocals", sql("frames sections samples", """select song_id, vocal_start, vocal_end, dest_start from ps where song_id in (select song_id from ps group by song_id having count(*)>=2) union all
+ select song_id, cast(trunc(start_time*1000) as bigint), cast(trunc(end_time*1000) as bigint), bar*1000 from pp join asked using(song_id, phrase_idx) where song_id not in (select song_id from ps group by song_id having count(*)>=2)""", **PHRASES_PLACED, **SECTIONS_PLACED))
 def _(t):
     ph = song_phrases(t)
-    by_bar = L.place_phrases(ph, frame_bars(t), "song_id", 2.0).join(ph, ["song_id", "phrase_idx"])
+    by_bar = L.place_phrases(ph, beat_bars(t), "song_id", 1.0).join(ph, ["song_id", "phrase_idx"])
     by_bar = by_bar.select("song_id", (F.col("start_time") * 1000).cast("bigint").alias("vocal_start"), (F.col("end_time") * 1000).cast("bigint").alias("vocal_end"),
-                           (F.col("bar") * 2000).alias("dest_start"))
+                           (F.col("bar") * 1000).alias("dest_start"))
     return L.place_vocals(placed_sections(t), by_bar, "song_id")
 
 
