@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tonegrid.operators import pairing as P
@@ -68,3 +69,30 @@ def test_summary_equals_the_pairings(spark, monkeypatch):
             rows = rows.sort_values("rank")
             assert rows[["section_a", "section_b"]].values.tolist() == want[["section_a", "section_b"]].values.tolist()
             assert np.allclose(rows.overall_score, want.overall_score) and set(rows.direction) == {chosen}
+
+
+def greedy(ref, est, tol):
+    """Matches of the plain loop over all beats."""
+    waiting, hits = [], 0
+    for t, k in sorted([(t, 0) for t in ref] + [(t, 1) for t in est]):
+        waiting = [w for w in waiting if t - w[0] <= tol]
+        if waiting and waiting[0][1] != k:
+            waiting.pop(0)
+            hits += 1
+        else:
+            waiting.append((t, k))
+    return hits
+
+
+@pytest.mark.parametrize("beats", [16, 4096])
+def test_one_stretch_over_a_whole_song(spark, monkeypatch, beats):
+    """Beats 10 ms apart: the song is one stretch, cut into chunks that hand their open beats on."""
+    monkeypatch.setattr(P, "BEATS", beats)
+    rng = random.Random(5)
+    songs = {1: ([i / 100 for i in range(400)], [i / 100 + 0.05 for i in range(0, 400, 3)]),
+             2: ([i / 50 + rng.random() / 200 for i in range(300)], [i / 40 + rng.random() / 100 for i in range(240)]),
+             3: ([0.5, 9.0], [0.52])}
+    make = lambda side: spark.createDataFrame([(k, t) for k, v in songs.items() for t in v[side]], "song_id long, t double")
+    got = {r["song_id"]: r["f_measure"] for r in P.beat_f_measure(make(0), make(1), ["song_id"], "t").collect()}
+    for song, (ref, est) in songs.items():
+        assert abs(got[song] - 2 * greedy(ref, est, 0.07) / (len(ref) + len(est))) < 1e-12

@@ -14,6 +14,7 @@ from tonegrid.functions.arrays import chroma_compatibility, cosine
 from tonegrid.functions.scalars import clip, key_interval_score, tempo_score
 from tonegrid.operators.intervals import interval_join
 from tonegrid.operators.ordered import argmax_first, carry, dense_index, halo_window
+from tonegrid.session import materialize
 
 
 def attach_songs(pairs: DataFrame, songs: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -208,17 +209,25 @@ def shift_positions(samples: DataFrame, offsets: DataFrame, keys: Sequence[str],
         F.col(pos) >= 0).drop("offset")
 
 
+#: Beats of a stretch that travel as one row.
+BEATS = 4096
+
+
 def beat_f_measure(ref: DataFrame, est: DataFrame, keys: Sequence[str], t: str, tol: float = 0.07) -> DataFrame:
     """F-measure of estimated beats: the largest one-to-one matching within ``tol`` seconds.
 
     Beats of both kinds in order of time fall apart into stretches without a gap above ``tol``, a few beats each. Within
     one, a beat takes the earliest beat of the other kind that is still open and near enough, which no matching beats.
+    A longer stretch is cut into chunks of ``BEATS``: a chunk turns the beats open before it into hits and the beats open
+    behind it. Chunks are folded at once, and again where the chunk before turned out to leave other beats open, until
+    none does; beats stay open for ``tol`` seconds only, so that is soon.
     """
     kind = lambda d, k: d.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(k).alias("_k"))
     beats = dense_index(kind(ref, 0).unionByName(kind(est, 1)), keys, ["_t", "_k"], F.floor(F.col("_t") / 64), "_i")
     near = halo_window(beats, keys, "_i", 1, 0, {"_gap": lambda w: F.col("_t") - F.lag("_t").over(w)})
     parts = carry(near, keys, "_i", F.when(F.col("_gap").isNull() | (F.col("_gap") > tol), F.col("_i")), "_part")
-    stretches = parts.groupBy(*keys, "_part").agg(F.sort_array(F.collect_list(F.struct("_t", "_k"))).alias("_b"))
+    part = [*keys, "_part"]
+    chunks = parts.groupBy(*part, F.floor((F.col("_i") - F.col("_part")) / BEATS).alias("_chunk")).agg(F.sort_array(F.collect_list(F.struct("_t", "_k"))).alias("_b"))
 
     def step(state, beat):
         open_ = F.filter(state["open"], lambda o: beat["_t"] - o["_t"] <= tol)
@@ -226,8 +235,24 @@ def beat_f_measure(ref: DataFrame, est: DataFrame, keys: Sequence[str], t: str,
         left = F.when(hit, F.slice(open_, 2, F.greatest(F.size(open_) - 1, F.lit(0)))).otherwise(F.concat(open_, F.array(beat)))
         return F.struct(left.alias("open"), (state["hits"] + hit.cast("bigint")).alias("hits"))
 
-    none = F.struct(F.array().cast("array<struct<_t:double,_k:int>>").alias("open"), F.lit(0).cast("bigint").alias("hits"))
-    hits = stretches.select(*keys, F.aggregate("_b", none, step)["hits"].alias("_h")).groupBy(*keys).agg(F.sum("_h").alias("_m"))
+    def folded(d: DataFrame, before: Column) -> DataFrame:
+        start = F.struct(before.alias("open"), F.lit(0).cast("bigint").alias("hits"))
+        return d.withColumn("_in", before).withColumn("_s", F.aggregate("_b", start, step)).select(*part, "_chunk", "_b", "_in", F.col("_s.open").alias("_out"), F.col("_s.hits").alias("_h"))
+
+    closed = F.array().cast("array<struct<_t:double,_k:int>>")
+    chunks = materialize(folded(chunks, closed), "beat-chunks")
+    behind = lambda d: d.select(*part, (F.col("_chunk") + 1).alias("_chunk"), F.col("_out").alias("_next"))
+    settled, followers = chunks.select(*part, "_h", "_chunk"), chunks.where(F.col("_chunk") > 0)
+    if followers.limit(1).count():  # only stretches of more than one chunk
+        several = chunks.join(followers.select(*part).distinct(), part, "left_semi")
+        while True:
+            told = several.join(behind(several), [*part, "_chunk"], "left").withColumn("_next", F.coalesce("_next", closed))
+            if not told.where(F.col("_next") != F.col("_in")).limit(1).count():
+                break
+            again = folded(told.where(F.col("_next") != F.col("_in")).drop("_in"), F.col("_next"))
+            several = materialize(told.where(F.col("_next") == F.col("_in")).drop("_next").unionByName(again), "beat-chunks")
+        settled = settled.join(several.select(*part).distinct(), part, "left_anti").unionByName(several.select(*part, "_h", "_chunk"))
+    hits = settled.groupBy(*keys).agg(F.sum("_h").alias("_m"))
     count = lambda d, c: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(c))
     d = count(ref, "_nr").join(count(est, "_ne"), list(keys), "full_outer").join(hits, list(keys), "left").na.fill(0, ["_nr", "_ne", "_m"])
     p, q = F.col("_m") / F.when(F.col("_ne") > 0, F.col("_ne")), F.col("_m") / F.when(F.col("_nr") > 0, F.col("_nr"))
