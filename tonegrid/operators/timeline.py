@@ -21,7 +21,7 @@ from tonegrid.functions.scalars import clip
 from tonegrid.operators.intervals import interval_join
 from tonegrid.operators.ordered import CHUNK, argmax_first, halo_window, with_group_stats
 from tonegrid.operators.structure import label_phrases
-from tonegrid.session import fresh, plain
+from tonegrid.session import fresh, materialize, plain
 
 
 def _ramp(i: Column, n: Column) -> Column:
@@ -208,25 +208,57 @@ def pan(samples: DataFrame, keys: Sequence[str], pos: str, x: str, pan: float =
     return d.withColumn("left", F.col(x) * math.cos(angle)).withColumn("right", F.col("_late") * math.sin(angle)).drop("_late")
 
 
+def _layers(phrases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds layer: one more than the highest of the earlier phrases whose echoes are heard at the end of this one.
+
+    ``phrases``: keys, ord, source span (_from, _end) and echo span (_lo, _hi). The spans of one mix are one row.
+    """
+    spans = phrases.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "_from", "_end", "_lo", "_hi"))).alias("_p"))
+
+    def step(seen, p):
+        heard = F.filter(seen, lambda e: (e["_lo"] < p["_end"]) & (p["_from"] < e["_hi"]))
+        layer = F.coalesce(F.array_max(F.transform(heard, lambda e: e["layer"])) + 1, F.lit(0))
+        return F.concat(seen, F.array(F.struct(p["ord"].alias("ord"), p["_lo"].alias("_lo"), p["_hi"].alias("_hi"), layer.alias("layer"))))
+
+    kinds = dict(phrases.dtypes)
+    none = F.array().cast(f"array<struct<ord:{kinds['ord']},_lo:{kinds['_lo']},_hi:{kinds['_hi']},layer:int>>")
+    layer = spans.select(*keys, F.explode(F.aggregate("_p", none, step)).alias("_l")).select(*keys, "_l.ord", "_l.layer")
+    return phrases.join(layer, [*keys, "ord"])
+
+
 def echo_tails(track: DataFrame, placements: DataFrame, keys: Sequence[str], pos: str, x: str, bpm: float, total: int,
                repeats: int = 2, sr: int = K.SAMPLE_RATE) -> DataFrame:
     """Add beat-spaced echoes of the last 300 ms of every phrase after its end.
 
     ``placements``: keys, ord, dest_start, dest_end. Echo i has gain .30*.5^(i-1); the tail is scaled to 20 % of
-    its source level. Sources are taken from the track as given.
+    its source level. A phrase hears the echoes of the phrases before it (by ord) that reach into its last 300 ms. So
+    phrases go by layers: those that hear no echo at once, then those that hear only echoes of these, and so on.
     """
-    beat = int(60.0 / max(bpm, 60.0) * sr)
+    beat, window = int(60.0 / max(bpm, 60.0) * sr), int(0.30 * sr)
     p = placements.withColumn("_end", F.least("dest_end", F.lit(total))).where(F.col("_end") > F.col("dest_start"))
-    p = p.withColumn("_from", F.col("_end") - F.least(F.lit(int(0.30 * sr)), F.col("_end") - F.col("dest_start")))
-    src = interval_join(track.select(*keys, pos, x), p.select(*keys, "ord", "_from", "_end"), keys, pos, "_from", "_end", 65536.0)
-    level = src.groupBy(*keys, "ord").agg((F.sqrt(F.avg(F.col(x) * F.col(x))) + 1e-8).alias("_src"), F.max(F.abs(F.col(x))).alias("_pk"))
-    tail = (src.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-            .groupBy(*keys, "ord", (F.col("_end") + F.col("_r") * beat + F.col(pos) - F.col("_from")).alias(pos))
-            .agg(F.sum(F.col(x) * 0.30 * F.pow(F.lit(0.5), F.col("_r") - 1)).alias("_t")))
-    heard = tail.where(F.col("_t") != 0).groupBy(*keys, "ord").agg((F.sqrt(F.avg(F.col("_t") * F.col("_t"))) + 1e-8).alias("_tr"))
-    scaled = (tail.join(level, [*keys, "ord"]).join(heard, [*keys, "ord"]).where((F.col("_pk") >= 1e-7) & (F.col(pos) < total))
-              .select(*keys, pos, (F.col("_t") * (F.col("_src") * 0.20 / F.col("_tr"))).alias(x)))
-    return track.select(*keys, pos, x).unionByName(scaled).groupBy(*keys, pos).agg(F.sum(x).alias(x))
+    p = p.select(*keys, "ord", (F.col("_end") - F.least(F.lit(window), F.col("_end") - F.col("dest_start"))).alias("_from"), "_end")
+    last = F.least(F.col("_end") + repeats * beat + F.col("_end") - F.col("_from"), F.lit(total))
+    p = materialize(_layers(p.withColumn("_lo", F.col("_end") + beat).withColumn("_hi", last), keys), "echo-phrases")
+    of = [*keys, "ord"]
+    dry = materialize(interval_join(track.select(*keys, pos, x), p.select(*of, "_from", "_end", "layer"), keys, pos, "_from", "_end", 65536.0), "echo-sources")
+    width, deepest = max(repeats * beat + window, 1), p.agg(F.max("layer").alias("n")).head()["n"]
+    echoes = track.select(*keys, F.lit(None).cast(dict(p.dtypes)["ord"]).alias("ord"), pos, x).limit(0)
+    for layer in range(0 if deepest is None else deepest + 1):
+        src = dry.where(F.col("layer") == layer).select(*of, "_from", "_end", pos, x)
+        if layer:
+            ready = p.where(F.col("layer") == layer).select(*keys, F.col("ord").alias("_ord"), "_from", "_end")
+            heard = interval_join(echoes, ready, keys, pos, "_from", "_end", width).where(F.col("ord") < F.col("_ord"))
+            src = src.unionByName(heard.drop("ord").withColumnRenamed("_ord", "ord").select(*src.columns)).groupBy(*of, "_from", "_end", pos).agg(F.sum(x).alias(x))
+        squares = F.sum(F.col(x) * F.col(x)) / F.first(F.col("_end") - F.col("_from"))
+        level = src.groupBy(*of).agg((F.sqrt(squares) + 1e-8).alias("_src"), F.max(F.abs(F.col(x))).alias("_pk"))
+        tail = (src.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+                .groupBy(*of, (F.col("_end") + F.col("_r") * beat + F.col(pos) - F.col("_from")).alias(pos))
+                .agg(F.sum(F.col(x) * 0.30 * F.pow(F.lit(0.5), F.col("_r") - 1)).alias("_t")))
+        heard = tail.where(F.col("_t") != 0).groupBy(*of).agg((F.sqrt(F.avg(F.col("_t") * F.col("_t"))) + 1e-8).alias("_tr"))
+        scaled = (tail.join(level, of).join(heard, of).where((F.col("_pk") >= 1e-7) & (F.col(pos) < total))
+                  .select(*of, pos, (F.col("_t") * (F.col("_src") * 0.20 / F.col("_tr"))).alias(x)))
+        echoes = echoes.unionByName(materialize(scaled, "echoes"))
+    return track.select(*keys, pos, x).unionByName(echoes.drop("ord")).groupBy(*keys, pos).agg(F.sum(x).alias(x))
 
 
 # ---- ordered placement --------------------------------------------------------------------------

@@ -180,11 +180,17 @@ def _(t):
     return d.select("song_id", "pos", r6("left").alias("left"), r6("right").alias("right"))
 
 
-@query("h15_echo_tails", sql("samples", f"""select song_id, pos, round(sum(x),6) as x from (select song_id, pos, x from samples union all
- select song_id, pos, t*src*0.2e0/tr from (select *, sqrt(avg(t*t) filter(where t<>0) over(partition by song_id, ord))+1e-8 as tr from tl) w join lv using(song_id, ord) where pos<{REACH}) u group by song_id, pos""", pl=PLACE,
- sr="select s.song_id, p.ord, s.pos-(p.dest_end-30) as i, p.dest_end as e, s.x from samples s join pl p on p.song_id=s.song_id and s.pos>=p.dest_end-30 and s.pos<p.dest_end",
- lv="select song_id, ord, sqrt(avg(x*x))+1e-8 as src from sr group by song_id, ord",
- tl="select song_id, ord, e+r.r*20+i as pos, sum(x*0.3e0*power(0.5e0,r.r-1)) as t from sr, range(1,3) r(r) group by song_id, ord, e+r.r*20+i"))
+# the whole track of a song as one list, echoed phrase by phrase
+@query("h15_echo_tails", sql("samples", "select song_id, i-1 as pos, round(tr[i],6) as x from (select song_id, tr, unnest(range(1, len(tr)+1)) as i from (select * from ec qualify row_number() over(partition by song_id order by ord desc)=1) e) u where tr[i] is not null", pl=PLACE,
+ tot=f"select {REACH} as total",
+ dr="select k.song_id, list(s.x order by k.g) as tr from (select song_id, unnest(range(0, greatest(max(pos)+1, any_value(total)))) as g from samples cross join tot group by song_id) k left join samples s on s.song_id=k.song_id and s.pos=k.g group by k.song_id",
+ ec="""select song_id, cast(-1 as bigint) as ord, tr from dr union all
+ select song_id, ord, case when pk>=1e-7 then list_transform(range(0,len(tr)), lambda i: case when i>=e+20 and i<least(e+70,total) then list_sum([tr[i+1], t[i-e-19]*(lv*0.2e0/te)]) else tr[i+1] end) else tr end from (
+ select *, sqrt(list_sum(list_transform(src, lambda x: x*x))/30)+1e-8 as lv, list_max(list_transform(src, lambda x: abs(x))) as pk,
+ sqrt(list_avg(list_transform(list_filter(t, lambda x: x<>0), lambda x: x*x)))+1e-8 as te from (
+ select *, list_transform(range(1,51), lambda k: list_sum([case when k<=30 then src[k]*0.3e0 end, case when k>20 then src[k-20]*0.15e0 end])) as t from (
+ select c.song_id, p.ord, c.tr, tot.total, p.dest_end as e, list_transform(range(0,30), lambda i: c.tr[p.dest_end-29+i]) as src
+ from ec c join pl p on p.song_id=c.song_id and p.ord=c.ord+1 cross join tot) a) b) z"""))
 def _(t):
     p = placements(t).select("song_id", "ord", "dest_start", "dest_end")
     # 100 positions per second at 300 beats per minute: echoes every 20 positions, shorter than the 30-position source
