@@ -1,14 +1,16 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from tonegrid.operators import learning as R
 
 
-def test_training_equals_whole_batch_descent(spark):
+@pytest.mark.parametrize("rows_per_task", [10, 1000])
+def test_training_equals_whole_batch_descent(spark, rows_per_task):
     rng = np.random.default_rng(0)
     x, y = rng.normal(size=(50, 6)), rng.random(50)
     df = spark.createDataFrame(pd.DataFrame({"x": x.tolist(), "y": y}))
-    got = R.train_layers(df, "x", "y", hidden=(5, 4), epochs=4, lr=0.1, rows_per_block=20)
+    got = R.train_layers(df, "x", "y", hidden=(5, 4), epochs=4, lr=0.1, rows_per_block=20, rows_per_task=rows_per_task)
     (w1, b1), (w2, b2), (w3, b3) = R.initial_layers(6, (5, 4))
     for _ in range(4):
         h1 = np.maximum(x @ w1 + b1, 0)

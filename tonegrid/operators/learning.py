@@ -160,10 +160,10 @@ _SUM = T.StructType([T.StructField("g", T.BinaryType())])
 
 
 def train_layers(features: DataFrame, x: str, y: str, hidden: Sequence[int] = (64, 32), epochs: int = 500, lr: float = 0.01, seed: int = 42,
-                 layers=None, rows_per_block: int = 8192) -> list[tuple[np.ndarray, np.ndarray]] | None:
+                 layers=None, rows_per_block: int = 8192, rows_per_task: int = 1 << 14) -> list[tuple[np.ndarray, np.ndarray]] | None:
     """Full-batch gradient descent; None with fewer than three rows.
 
-    Rows are packed once into blocks that stay cached on the executors; every epoch sends the weights out and
+    Up to ``rows_per_task`` rows are one task's work: it holds them and takes all steps without a job per epoch. More rows are packed once into blocks that stay cached on the executors; every epoch sends the weights out and
     adds up one gradient per partition. Only the gradient sum, whose size is that of the model, reaches the driver.
     """
     d = features.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("x").isNotNull())
@@ -179,8 +179,20 @@ def train_layers(features: DataFrame, x: str, y: str, hidden: Sequence[int] = (6
             m = np.array(pdf["x"].tolist(), dtype=np.float64)
             yield pd.DataFrame({"x": [m.tobytes()], "y": [pdf["y"].to_numpy(dtype=np.float64).tobytes()]})
 
-    blocks = d.repartition(parts).mapInPandas(pack, packed).persist()
     layers = layers or initial_layers(width, hidden, seed)
+
+    def all_epochs(batches):
+        held = [(np.array(pdf["x"].tolist(), dtype=np.float64), pdf["y"].to_numpy(dtype=np.float64)) for pdf in batches]
+        current = layers
+        for _ in range(epochs):
+            current = _step(current, sum(_gradient(current, bx, by, n) for bx, by in held), lr)
+        yield pd.DataFrame({"g": [np.concatenate([np.concatenate([w.ravel(), b]) for w, b in current]).tobytes()]})
+
+    if n <= rows_per_task:
+        flat = np.frombuffer(d.coalesce(1).mapInPandas(all_epochs, _SUM).collect()[0]["g"])
+        # a step of minus one from zero is the weights themselves
+        return _step([(np.zeros_like(w), np.zeros_like(b)) for w, b in layers], flat, -1.0)
+    blocks = d.repartition(parts).mapInPandas(pack, packed).persist()
     groups = int(np.ceil(np.sqrt(parts)))
 
     def add(batches):
