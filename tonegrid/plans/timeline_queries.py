@@ -167,7 +167,7 @@ def _(t):
 
 
 @query("h13_mask_blend", sql("samples", """select song_id, pos, round(case when ma>0.5 and mb>0.5 then a*ma*0.75e0+b*mb*0.35e0 when ma>0.5 then a*ma when mb>0.5 then b*mb else 0e0 end,6) as x from (
- select song_id, pos, coalesce(v.x,0) as a, coalesce(i.x,0) as b, case when v.x is null then 0e0 else (pos%4)/3e0 end as ma, case when i.x is null then 0e0 else (pos%3)/2e0 end as mb from v full join i using(song_id,pos)) q""", **VI))
+ select song_id, pos, coalesce(v.x,0) as a, coalesce(i.x,0) as b, case when v.x is null then 0e0 else (pos%4)/3e0 end as ma, case when i.x is null then 0e0 else (pos%3)/2e0 end as mb from v full join i using(song_id,pos)) q""", **VI).replace(" v as (", " v as materialized (").replace(" i as (", " i as materialized ("))
 def _(t):
     v, i = halves(t)
     d = L.mask_blend(v.withColumn("m", (F.col("pos") % 4) / 3), i.withColumn("m", (F.col("pos") % 3) / 2), SONG, "pos", "x", "m")
