@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tonegrid import constants as K
 from tonegrid.functions.arrays import chroma_compatibility, cosine
-from tonegrid.functions.scalars import clip, key_interval_score, tempo_score
+from tonegrid.functions.scalars import clip, key_interval_score, tempo_score, tempo_strategy
 from tonegrid.operators.intervals import interval_join
 from tonegrid.operators.ordered import argmax_first, carry, dense_index, halo_window
 from tonegrid.session import materialize
@@ -178,6 +178,23 @@ def top_pairings(summary: DataFrame, direction: str | None = None) -> DataFrame:
     return d.select("pair_id", "song_a", "song_b", "_p.section_a", "_p.section_b", "direction", F.col("_p.score").alias("overall_score"), (F.col("_i") + 1).alias("rank"))
 
 
+def match_songs(pairs: DataFrame, songs: DataFrame, sections: DataFrame, n: int = 10) -> DataFrame:
+    """The match of two songs as one row: pair_id, song_a, song_b, tempo_strategy, stretch_ratio, key_score, direction_score_a,
+    direction_score_b, best_direction and ``pairings``, the ``n`` best pairings of that direction.
+
+    ``songs``: song_id, tempo, key_chroma; ``sections``: classified sections. The key score is that of the key profiles, .5
+    where one has none; it enters every pairing.
+    """
+    d = attach_songs(pairs.select("pair_id", "song_a", "song_b"), songs, ["tempo", "key_chroma"])
+    tempo = tempo_strategy(F.col("a_tempo"), F.col("b_tempo"))
+    key = F.coalesce(chroma_compatibility(F.col("a_key_chroma"), F.col("b_key_chroma"), F.lit(0.5)), F.lit(0.5))
+    d = materialize(d.select("pair_id", "song_a", "song_b", tempo["name"].alias("tempo_strategy"), tempo["ratio"].alias("stretch_ratio"), key.alias("key_score")), "song-matches")
+    s = pairing_summary(d, sections, d, n)
+    best = s.select("pair_id", "direction_score_a", "direction_score_b", _direction().alias("best_direction"), "top_a", "top_b")
+    chosen = F.when(F.col("best_direction") == "a_vocals", F.col("top_a")).otherwise(F.col("top_b"))
+    return d.join(best.withColumn("pairings", F.transform(chosen, lambda p: p.dropFields("order"))).drop("top_a", "top_b"), "pair_id")
+
+
 # ---- alignment ----------------------------------------------------------------------------------
 
 def best_lag(a: DataFrame, b: DataFrame, keys: Sequence[str], frame: str, x: str, window: int) -> DataFrame:

@@ -91,6 +91,24 @@ def _(t):
     return P.top_pairings(P.pairing_summary(*section_sides(t))).select("pair_id", "section_a", "section_b", "direction", r6("overall_score").alias("overall_score"), "rank")
 
 
+MATCHED = dict({k: v for k, v in PAIRED.items() if k in ("cl", "sp")}, rot=ROT.replace("song_pairs", "sp"),
+    kc="select pair_id, greatest(0e0, least(1e0, (max(r)+0.5e0)/1.5e0)) as key_score from rot group by pair_id", **{k: PAIRED[k] for k in ("pr", "s1", "s2", "bd")},
+    tp="select p.pair_id, a.tempo as ta, b.tempo as tb from sp p join songs a on a.song_id=p.song_a join songs b on b.song_id=p.song_b",
+    ts="""select pair_id, name, ratio from (select *, row_number() over(partition by pair_id order by abs(ratio-1), ord) as rn from (
+ select pair_id, unnest(['direct','half_b','double_b','half_a','double_a']) as name, unnest([ta/tb,ta/(tb/2),ta/(tb*2),(ta/2)/tb,(ta*2)/tb]) as ratio, unnest(range(0,5)) as ord from tp) q) w where rn=1""",
+    rk="""select s.pair_id, first(round(key_score,6)) as key_score, first(round(sa,6)) as direction_score_a, first(round(sb,6)) as direction_score_b, first(s.direction) as best_direction,
+ string_agg(section_a || '/' || section_b, ',' order by rank) as best_pairings from (select s.*, sa, sb, row_number() over(partition by s.pair_id order by round(overall_score,12) desc, section_a, section_b) as rank
+ from s2 s join bd using(pair_id) where s.direction=case when round(sa,12)>=round(sb,12) then 'a_vocals' else 'b_vocals' end) s where rank<=10 group by s.pair_id""")
+
+
+@query("m01_match_songs", sql("songs sections chromas", "select sp.pair_id, song_a, song_b, ts.name as tempo_strategy, round(ts.ratio,6) as stretch_ratio, key_score, direction_score_a, direction_score_b, best_direction, best_pairings from sp join ts using(pair_id) join rk using(pair_id)", **MATCHED))
+def _(t):
+    sp, s, _ = section_sides(t)
+    d = P.match_songs(sp, t.songs.join(t.chromas.withColumnRenamed("chroma", "key_chroma"), "song_id"), s)
+    listed = F.array_join(F.transform("pairings", lambda p: F.concat_ws("/", p["section_a"], p["section_b"])), ",")
+    return d.select("pair_id", "song_a", "song_b", "tempo_strategy", *[r6(c).alias(c) for c in ("stretch_ratio", "key_score", "direction_score_a", "direction_score_b")], "best_direction", listed.alias("best_pairings"))
+
+
 @query("c16_beat_f_measure", sql("beats", """select song_id, round(case when p+q>0 then 2*p*q/(p+q) else 0 end,6) as f_measure from (
  select song_id, sum(hit)*1e0/nullif(sum(est),0) as p, sum(hit)*1e0/count(*) as q from (select song_id, case when beat_idx%3<>2 then 1 else 0 end as est,
  case when beat_idx%3=0 then 1 else 0 end as hit from beats) a group by song_id) b"""))
