@@ -37,6 +37,18 @@ def _(t):
     return M.next_song(t.songs, t.embeddings).withColumn("score", F.round("score", 6))
 
 
+@query("c04_next_song_chroma", sql("songs chromas", f"""select a as song_id, b as next_id, round(score,6) as score from (select *, row_number() over(partition by a order by round(score,9) desc, b) as rn from (
+ select x.song_id as a, y.song_id as b, 0.5e0*list_dot_product(cast(ex.embedding as double[]), cast(ey.embedding as double[]))+0.3e0*greatest(0e0,least(1e0,(k.best+0.5e0)/1.5e0))+0.2e0*({TEMPO_CASE}) as score
+ from ky k join tm x on x.song_id=k.a join tm y on y.song_id=k.b join embeddings ex on ex.vec_id=k.a join embeddings ey on ey.vec_id=k.b join rt on rt.a=k.a and rt.b=k.b) q) w where rn=1""",
+ ce="select song_id, list_transform(chroma, lambda x: x-list_avg(chroma)) as c from chromas", un="select song_id, list_transform(c, lambda x: x/sqrt(list_dot_product(c, c))) as u from ce",
+ tu="select song_id, list_concat(u[s.s+1:12], u[1:s.s]) as u from un, range(0,12) s(s)",
+ ky="select a.song_id as a, b.song_id as b, max(list_dot_product(a.u, b.u)) as best from un a join tu b on a.song_id<>b.song_id group by 1, 2",
+ tm="select song_id, tempo from songs", rt="select x.song_id as a, y.song_id as b, greatest(x.tempo,y.tempo)/greatest(least(x.tempo,y.tempo),1e0) as r from songs x join songs y on x.song_id<>y.song_id"))
+def _(t):
+    songs = t.songs.join(t.chromas.withColumnRenamed("chroma", "key_chroma"), "song_id")
+    return M.next_song(songs, t.embeddings).withColumn("score", F.round("score", 6))
+
+
 ROT = """select p.pair_id, s.s as shift, corr(list_extract(a.chroma, i.i+1), list_extract(b.chroma, (i.i-s.s+12)%12+1)) as r from song_pairs p
  join chromas a on a.song_id=p.song_a join chromas b on b.song_id=p.song_b, range(0,12) s(s), range(0,12) i(i) group by p.pair_id, s.s"""
 
