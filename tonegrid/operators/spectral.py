@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tonegrid.constants import SAMPLE_RATE
 from tonegrid.functions.arrays import clip_array, let, pad
 from tonegrid.functions.scalars import clip, fold_tempo
+from tonegrid.operators.clusters import series_kmeans
 from tonegrid.operators.ordered import argmax_first, dense_index, with_quantiles
 from tonegrid.operators.quality import beat_coherence
 from tonegrid.operators.signal import change_points
@@ -164,10 +165,18 @@ def frame_levels(frames: DataFrame, wave: str = "wave") -> DataFrame:
 
 # ---- phrase measures ----------------------------------------------------------------------------
 
-def _running_median(m: np.ndarray, k: int, axis: int) -> np.ndarray:
-    width = [(0, 0), (0, 0)]
-    width[axis] = (k // 2, k // 2)
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(m, width, mode="symmetric"), k, axis=axis), axis=-1)
+def _running_median(m: np.ndarray, k: int, axis: int, cells: int = 1 << 20) -> np.ndarray:
+    """Median of ``k`` (odd) neighbours with mirrored edges, in slices of at most ``cells`` window values."""
+    rows = m if axis == 1 else m.T
+    padded = np.pad(rows, ((0, 0), (k // 2, k // 2)), mode="symmetric")
+    out, width = np.empty(rows.shape), max(1, cells // k)
+    for at in range(0, rows.shape[1], width):
+        upto = min(at + width, rows.shape[1])
+        step = max(1, width // (upto - at))
+        for top in range(0, len(rows), step):
+            windows = np.lib.stride_tricks.sliding_window_view(padded[top:top + step, at:upto + k - 1], k, axis=1)
+            out[top:top + step, at:upto] = np.partition(windows, k // 2, axis=-1)[..., k // 2]
+    return out if axis == 1 else out.T
 
 
 def harmonic_ratio(frames: DataFrame, keys: Sequence[str], order: str, mag: str = "mag", kernel: int = 31, margin: float = 3.0,
@@ -234,18 +243,13 @@ def harmonic_energy_ratio(mag: Column, n_bins: int) -> Column:
 
 # ---- structure and beats ------------------------------------------------------------------------
 
-def cluster_structure(frames: DataFrame, keys: Sequence[str], order: str, vec: str, rms: str, k: int = 8, hop_s: float = 512 / SAMPLE_RATE,
-                      seed: int = 42) -> DataFrame:
+def cluster_structure(frames: DataFrame, keys: Sequence[str], order: str, vec: str, rms: str, dims: int = 13, hop_s: float = 512 / SAMPLE_RATE,
+                      rounds: int = 20) -> DataFrame:
     """Sections where the timbre cluster changes, labelled by level: keys, section_idx, start_time, end_time, energy, label.
 
-    Clusters are learnt over the whole catalogue with a bisecting k-means.
+    Every song is clustered by itself, one cluster per ten frames, two to eight (``series_kmeans``). ``order`` is the dense frame position.
     """
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
-    d = materialize(frames.select(*keys, order, rms, vec), "timbre").withColumn("_f", array_to_vector(vec))
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(d)
-    d = materialize(model.transform(d).select(*keys, order, rms, "_c"), "clusters")
+    d = series_kmeans(frames.select(*keys, order, rms, vec), keys, order, vec, dims, rounds=rounds, out="_c").drop(vec)
     cuts = change_points(d, keys, order, "_c").select(*keys, F.col(order).alias("_s"))
     starts = cuts.unionByName(d.select(*keys).distinct().withColumn("_s", F.lit(0).cast("bigint")))
     starts = dense_index(starts, keys, ["_s"], F.floor(F.col("_s") / 65536), "section_idx")

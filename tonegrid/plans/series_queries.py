@@ -195,7 +195,15 @@ def _(t):
     return X.hysteresis(t.stored("frames"), SONG, "frame", "rms").select("song_id", "frame", "active")
 
 
-@query("e12_ramp_mask")
+@query("e12_ramp_mask", sql("frames", """select song_id, frame, round(greatest(0e0,least(1e0,case when pt is null then m when hi-lo>1 then case when fall is not null then 1-(frame-lo)/(hi-lo-1e0) else (frame-lo)/(hi-lo-1e0) end
+ when fall is not null then 1e0 else 0e0 end)),6) as mask from (select *, greatest(pt-3,0) as lo, least(pt+3,len) as hi from near) q""",
+    pr="select song_id, quantile_cont(rms,0.2) as p from frames where rms>0.001e0 group by song_id",
+    sw="select song_id, frame, case when rms>coalesce(p,0.001e0)*1.2e0 then 1 when rms<coalesce(p,0.001e0)*0.6e0 then 0 end as sw from frames left join pr using(song_id)",
+    mk="select song_id, frame, cast(coalesce(last_value(sw ignore nulls) over(partition by song_id order by frame rows between unbounded preceding and current row),0) as double) as m from sw",
+    st="select *, count(*) over(partition by song_id) as len, lead(m) over(partition by song_id order by frame)-m as step from mk",
+    # the last switch whose ramp reaches a row
+    near="""select a.song_id, a.frame, a.m, a.len, max(b.frame) filter (where b.step<0) as fall, coalesce(max(b.frame) filter (where b.step<0), max(b.frame) filter (where b.step>0)) as pt
+ from st a left join st b on b.song_id=a.song_id and b.step<>0 and a.frame>=b.frame-3 and a.frame<b.frame+3 group by 1,2,3,4"""))
 def _(t):
     m = X.hysteresis(t.stored("frames"), SONG, "frame", "rms").withColumn("mask", F.col("active").cast("double"))
     return X.ramp_mask(m, SONG, "frame", "mask", 6).select("song_id", "frame", r6("mask").alias("mask"))

@@ -86,10 +86,42 @@ def _(t):
     return spectra(t).select("song_id", "frame", F.size("mag").cast("bigint").alias("bins"), F.round(F.col("mag")[5].cast("double"), 3).alias("bin5"))
 
 
-@query("i03_mfcc_chroma")
+def frames_at(hop: int) -> dict[str, str]:
+    """The sample frames at a hop and their magnitudes per bin, as SQL."""
+    return dict(
+        ln="select song_id, max(pos)+1 as len from samples group by song_id",
+        fr=f"select song_id, cast(f.f as bigint) as frame from (select song_id, unnest(range(0, greatest(0, (len-64)//{hop}+1))) as f from ln) f",
+        wv=f"select fr.song_id, fr.frame, s.pos-fr.frame*{hop} as i, cast(cast(s.x as float) as double) as x, s.stem from fr join samples s on s.song_id=fr.song_id and s.pos>=fr.frame*{hop} and s.pos<fr.frame*{hop}+64",
+        tw="select i, b, (0.5e0-0.5e0*cos(2*pi()*i/64))*cos(2*pi()*b*i/64) as c, (0.5e0-0.5e0*cos(2*pi()*i/64))*sin(2*pi()*b*i/64) as s from (select unnest(range(64)) as i) x, (select unnest(range(33)) as b) y",
+        sp="select song_id, frame, b, cast(cast(sqrt(re*re+im*im) as float) as double) as m from (select song_id, frame, b, sum(x*c) as re, sum(x*s) as im from wv join tw using(i) group by 1,2,3) q")
+
+
+def mel_sql(n_mels: int, n_mfcc: int, by: str = "song_id, frame") -> dict[str, str]:
+    """Mel levels in dB and their cosine transform over ``sp``, as SQL: mfcc holds k and v."""
+    return dict(
+        ed=f"select unnest(range({n_mels + 2})) as e, 700*(10**(unnest(range({n_mels + 2}))*(2595*log10(1+4000/700e0)/{n_mels + 1})/2595)-1) as f",
+        mf="""select a.e as mel, b, greatest(0e0, least((b*125e0-a.f)/(m.f-a.f), (z.f-b*125e0)/(z.f-m.f)))*2/(z.f-a.f) as w
+ from ed a join ed m on m.e=a.e+1 join ed z on z.e=a.e+2, (select unnest(range(33)) as b) y""",
+        lm=f"select {by}, mel, 10*log10(greatest(sum(m*m*w),1e-10)) as v from sp join mf using(b) group by {by}, mel",
+        mfcc=f"""select {by}, k, sum(v*cos(pi()*k*(2*mel+1)/{2 * n_mels}))*sqrt(2e0/{n_mels})*case when k=0 then 1/sqrt(2e0) else 1e0 end as v
+ from lm, (select unnest(range({n_mfcc})) as k) y group by {by}, k""")
+
+
+def pitch_sql(by: str = "song_id, frame") -> dict[str, str]:
+    """Pitch-class profile over ``sp`` with frame maximum 1, as SQL: pc holds p and v."""
+    return dict(
+        pw=f"select {by}, p, coalesce(sum(m*m) filter (where b>0 and cast(round_even(69+12*log2(greatest(b,1)*125/440e0),0) as int)%12=p),0) as v from sp, (select unnest(range(12)) as p) y group by {by}, p",
+        pc=f"select {by}, p, case when max(v) over(partition by {by})>0 then v/max(v) over(partition by {by}) else 0e0 end as v from pw")
+
+
+@query("i03_mfcc_chroma", sql("samples", """select song_id, frame, cast(n as int) as n_mfcc, round(one,3) as mfcc_1, round(rest,3) as mfcc_rest, round(top,6) as chroma_max, round(total,4) as chroma_total from (
+ select song_id, frame, count(*) as n, sum(v) filter (where k=0) as one, sum(v) filter (where k>0) as rest from mfcc group by 1,2) a join (select song_id, frame, max(v) as top, sum(v) as total from pc group by 1,2) b using(song_id, frame)""",
+    **frames_at(HOP), **mel_sql(16, 13), **pitch_sql()))
 def _(t):
     d = Z.mfcc_chroma(spectra(t), 13, SR, N_FFT, 16)
-    return d.select("song_id", "frame", F.size("mfcc").alias("n_mfcc"), r6(F.col("mfcc")[0]).alias("mfcc_1"), r6(F.array_max("chroma")).alias("chroma_max"))
+    one = F.col("mfcc")[0]
+    return d.select("song_id", "frame", F.size("mfcc").alias("n_mfcc"), F.round(one, 3).alias("mfcc_1"), F.round(total("mfcc") - one, 3).alias("mfcc_rest"),
+                    r6(F.array_max("chroma")).alias("chroma_max"), F.round(total("chroma"), 4).alias("chroma_total"))
 
 
 FEAT = """select song_id, frame, c, sqrt(list_sum(list_transform(range(0,64), lambda i: list_extract(mag,i+1)*(i*250e0-c)*(i*250e0-c)))/list_sum(mag)) as b, mag from (
@@ -103,7 +135,11 @@ def _(t):
     return d.select("song_id", "frame", *[r6(c).alias(c) for c in ("centroid", "bandwidth", "flatness")])
 
 
-@query("i04_contrast_zcr")
+@query("i04_contrast_zcr", sql("samples", """select song_id, frame, round(zcr,6) as zcr, round(rms,6) as rms, round(contrast,4) as contrast from (
+ select song_id, frame, sum(case when (x<0)<>(p<0) then 1e0 else 0e0 end)/64 as zcr, sqrt(sum(x*x)/64) as rms from (select *, lag(x) over(partition by song_id, frame order by i) as p from wv) q group by 1,2) a
+ join (select song_id, frame, avg(d) as contrast from bands group by 1,2) b using(song_id, frame)""", **frames_at(HOP),
+    # octave bands from 200 Hz of bins 125 Hz apart; a fiftieth of a band is one bin
+    bands="""select song_id, frame, case when b*125<200 then 0 else 1+cast(floor(log2(b*125/200e0)) as int) end as band, 10*log10(greatest(max(m),1e-10))-10*log10(greatest(min(m),1e-10)) as d from sp group by 1,2,3"""))
 def _(t):
     f = framed(t)
     z = Z.frame_levels(Z.zero_crossing_rate(f)).select("song_id", "frame", "zcr", "rms")
@@ -116,7 +152,13 @@ def phrase_frames(t):
     return spectra(t).select("song_id", F.floor(F.col("frame") / 8).alias("phrase"), (F.col("frame") % 8).alias("i"), "mag")
 
 
-@query("i05_harmonic_ratio")
+MIRROR = "list_aggregate(list_transform(range({at}-{h}, {at}+{h}+1), lambda j: list_extract({v}, 1+case when j<0 then -1-j when j>={n} then 2*{n}-1-j else j end)), 'median')"
+
+
+@query("i05_harmonic_ratio", sql("samples", """select song_id, phrase, round(h/(h+p+1e-8),6) as harmonic_ratio from (select song_id, phrase, sqrt(sum((m*hm)**2)/any_value(n)) as h, sqrt(sum((m*pm)**2)/any_value(n)) as p from (
+ select *, case when ha*ha+9*pe*pe>0 then ha*ha/(ha*ha+9*pe*pe) else 0.5e0 end as hm, case when pe*pe+9*ha*ha>0 then pe*pe/(pe*pe+9*ha*ha) else 0.5e0 end as pm from med) q group by 1,2) r""", **frames_at(HOP),
+    ph="select song_id, frame//8 as phrase, frame%8 as i, b, m, list(m) over(partition by song_id, frame order by b rows between unbounded preceding and unbounded following) as bins, list(m) over(partition by song_id, frame//8, b order by frame rows between unbounded preceding and unbounded following) as times from sp",
+    med=f"select song_id, phrase, m, len(times) as n, {MIRROR.format(at='i', h='(len(times)-1)', v='times', n='len(times)')} as ha, {MIRROR.format(at='b', h='15', v='bins', n='33')} as pe from ph"))
 def _(t):
     return Z.harmonic_ratio(phrase_frames(t), ["song_id", "phrase"], "i").select("song_id", "phrase", r6("harmonic_ratio").alias("harmonic_ratio"))
 
@@ -134,20 +176,55 @@ def _(t):
     return t.spectra.select(F.col("frame").alias("song_id"), r6(Z.harmonic_energy_ratio(F.col("mag"), 64)).alias("ratio"))
 
 
-@query("i08_cluster_structure")
+ROUNDS, FINE = 8, 8
+
+
+def kmeans_sql(rounds: int, dims: int) -> dict[str, str]:
+    """Clusters per song over ``vec`` (song_id, frame, v), the rounds written out: cl holds frame and cluster."""
+    near = "select f.song_id, f.frame, f.v, c.j, c.v as old, row_number() over(partition by f.song_id, f.frame order by list_sum(list_transform(range(1,{n}), lambda i: (f.v[i]-c.v[i])*(f.v[i]-c.v[i]))), c.j) as rn from vec f join c{r} c using(song_id)"
+    out = dict(sz="select song_id, count(*) as n, least(8, greatest(2, count(*)//10)) as k from vec group by 1",
+               c0="select song_id, j, v from (select song_id, n, k, unnest(range(k)) as j from sz) s join vec using(song_id) where frame=cast(floor((2*j+1)*n/(2e0*k)) as bigint)")
+    for r in range(rounds):
+        mean = ", ".join(f"coalesce(avg(v[{i}]) filter (where rn=1), any_value(old[{i}]))" for i in range(1, dims + 1))
+        out[f"c{r + 1}"] = f"select song_id, j, list_value({mean}) as v from ({near.format(n=dims + 1, r=r)}) q group by song_id, j"
+    return out | dict(cl=f"select song_id, frame, j as cluster from ({near.format(n=dims + 1, r=rounds)}) q where rn=1")
+
+
+@query("i08_cluster_structure", sql("samples", """select song_id, section_idx, start_time, end_time, round(energy,6) as energy, case when section_idx=0 and energy<m*0.75e0 then 'intro' when section_idx=top and energy<m*0.75e0 then 'outro'
+ when energy>m*1.3e0 then 'chorus' when energy<m*0.65e0 then 'breakdown' else 'verse' end as label from sec join (select song_id, quantile_cont(energy,0.5) as m, max(section_idx) as top from sec group by 1) q using(song_id)""",
+    **frames_at(FINE), **mel_sql(16, 13), vec="select song_id, frame, list(v order by k) as v from mfcc group by 1,2", **kmeans_sql(ROUNDS, 13),
+    cut="select song_id, frame, cluster, case when cluster<>lag(cluster) over(partition by song_id order by frame) then 1 else 0 end as cut from cl",
+    run="select song_id, frame, cast(sum(cut) over(partition by song_id order by frame) as bigint) as section_idx from cut",
+    sec=f"""select song_id, section_idx, min(frame)*({FINE}/{SR}e0) as start_time, (max(frame)+1)*({FINE}/{SR}e0) as end_time, sqrt(avg(e)) as energy
+ from run join (select song_id, frame, sum(x*x)/64 as e from wv group by 1,2) w using(song_id, frame) group by 1,2"""))
 def _(t):
-    f = t.stored("frames").select("song_id", "frame", "rms", F.array(F.col("rms"), F.col("rms") * F.col("rms")).alias("vec"))
-    d = Z.cluster_structure(f, SONG, "frame", "vec", "rms", k=4, hop_s=0.25)
+    chunks = Z.pack_samples(t.stored("samples").select("song_id", "pos", "x"), SONG, "pos", "x", CHUNK)
+    f = Z.frame_levels(Z.frame_samples(chunks, SONG, CHUNK, N_FFT, FINE))
+    d = Z.cluster_structure(Z.mfcc_chroma(Z.spectrum(f, N_FFT), 13, SR, N_FFT, 16), SONG, "frame", "mfcc", "rms", hop_s=FINE / SR, rounds=ROUNDS)
     return d.select("song_id", "section_idx", "start_time", "end_time", r6("energy").alias("energy"), "label")
 
 
-@query("i09_constant_beat_grid")
+@query("i09_constant_beat_grid", sql("frames", """select song_id, cast(i as bigint) as beat_idx, round((ph+i*p)/20e0,6) as t, round(tempo,6) as tempo from (
+ select song_id, tempo, p, ph, unnest(range(cast(floor((top-ph)/p) as bigint)+1)) as i from (select *, row_number() over(partition by song_id order by round(a,12) desc, ph) as rn from phs) q where rn=1) g""",
+    n="select song_id, count(*) as n, max(frame) as top from frames group by song_id",
+    ac="select a.song_id, cast(b.frame-a.frame as int) as lag, sum(a.rms*b.rms) as s from frames a join frames b on a.song_id=b.song_id and b.frame>=a.frame and b.frame<=a.frame+25 group by 1,2",
+    nrm="select ac.song_id, ac.lag, round(ac.s/z.s,12) as r, n.n, n.top from ac join ac z on z.song_id=ac.song_id and z.lag=0 and z.s<>0 join n on n.song_id=ac.song_id and n.n>=10",
+    bl="select song_id, top, 1200e0/lag as raw from (select *, row_number() over(partition by song_id order by r desc, lag) as rn from nrm where lag>=4 and lag<least(25,n-1)) q where rn=1",
+    tp="select song_id, top, case when raw<70 then raw*2 when raw>180 then raw/2 else raw end as tempo from bl",
+    phs="select song_id, top, tempo, 1200e0/tempo as p, cast(floor(frame-floor(frame/(1200e0/tempo))*(1200e0/tempo)) as int) as ph, avg(rms) as a from frames join tp using(song_id) group by 1,2,3,4,5"))
 def _(t):
     d = Z.constant_beat_grid(t.stored("frames").select("song_id", "frame", "rms"), SONG, "frame", "rms", sr=20, hop=1)
     return d.select("song_id", "beat_idx", r6("t").alias("t"), r6("tempo").alias("tempo"))
 
 
-@query("d31_handcrafted_embedding")
+@query("d31_handcrafted_embedding", sql("samples", """select song_id, cast(128 as int) as width, round(least(3e0,(100e0+song_id)/200),6) as tempo_value, round(least(3e0,(100e0+song_id)/200)+sum(greatest(-3e0,least(3e0,v))),4) as total from val group by song_id""",
+    **{n: q.replace("s.x as float", "case when tr.track in ('mix', s.stem) then s.x else 0 end as float").replace("select fr.song_id,", "select tr.track, fr.song_id,") + " cross join (select unnest(['mix','vocals','drums','bass','other']) as track) tr" if n == "wv" else q.replace("song_id, frame, b", "track, song_id, frame, b").replace("by 1,2,3", "by 1,2,3,4") if n == "sp" else q
+       for n, q in frames_at(HOP).items()}, **mel_sql(24, 20, "track, song_id, frame"), **pitch_sql("track, song_id, frame"),
+    lev="select track, song_id, frame, sum(x*x)/64 as e, sum(case when (x<0)<>(p<0) then 1e0 else 0e0 end)/64 as z from (select *, lag(x) over(partition by track, song_id, frame order by i) as p from wv) q group by 1,2,3",
+    cen="select track, song_id, frame, case when sum(m)>0 then sum(m*b*125e0)/sum(m) else 0e0 end as c from sp group by 1,2,3",
+    val="""select song_id, avg(v) as v from mfcc where track='mix' group by song_id, k union all select song_id, stddev_pop(v) from mfcc where track='mix' group by song_id, k
+ union all select song_id, avg(v) from pc where track='mix' group by song_id, p union all select song_id, greatest(0e0,least(1e0,sqrt(avg(e))*10)) from lev where track<>'mix' group by song_id, track
+ union all select song_id, avg(c)/8000e0 from cen where track<>'mix' group by song_id, track union all select song_id, avg(z) from lev where track='vocals' group by song_id"""))
 def _(t):
     # the mix has every sample, a stem its own and silence in between
     heard = F.array(F.lit("mix"), *[F.lit(s) for s in ("vocals", "drums", "bass", "other")])
@@ -164,7 +241,17 @@ def _(t):
     return d.select("song_id", F.size("embedding").alias("width"), r6(F.element_at("embedding", 53)).alias("tempo_value"), F.round(total("embedding"), 4).alias("total"))
 
 
-@query("d35_vibrato")
+@query("d35_vibrato", sql("frames", """select song_id, case when g is null then false else hz between 4 and 8 and depth>20 end as detected, round(case when g is null then 0e0 else hz end,6) as rate_hz,
+ round(case when g is null then 0e0 else depth end,6) as depth_cents, round(case when g>0 then 1-s/g end,6) as regularity from (select *, case when g>0 then 1/g else 0e0 end as hz from every left join dp using(song_id) left join gp using(song_id)) q""",
+    every="select distinct song_id from frames", vo="select song_id, frame*0.05e0 as t, 200+rms*20 as f0 from frames where stem<>'noise'",
+    ct="select song_id, t, 1200*log2(f0/a) as c from vo join (select song_id, avg(f0) as a from vo group by 1 having count(*)>=10) q using(song_id)",
+    dp="select song_id, stddev_pop(c)*2 as depth from ct group by 1",
+    fl="select song_id, t, c, cast(row_number() over(partition by song_id order by t) as int) as i from (select *, lag(c) over(partition by song_id order by t) as p from ct) q where p is null or p<>c",
+    tops="select * from (select *, lag(c) over(partition by song_id order by i) as p, lead(c) over(partition by song_id order by i) as q from fl) w where c>p and c>q",
+    # next higher ground on both sides, and the deepest point before it
+    hi="select a.song_id, a.i, a.t, a.c, coalesce(max(b.i) filter (where b.i<a.i and b.c>a.c),0) as l, coalesce(min(b.i) filter (where b.i>a.i and b.c>a.c),1000000000) as r from tops a join fl b using(song_id) group by 1,2,3,4",
+    pk="select a.song_id, a.t from hi a join fl b on b.song_id=a.song_id and b.i>a.l and b.i<a.r group by a.song_id, a.i, a.t, a.c having a.c-greatest(min(b.c) filter (where b.i<a.i), min(b.c) filter (where b.i>a.i))>=10",
+    gp="select song_id, avg(d) as g, stddev_pop(d) as s from (select song_id, t-lag(t) over(partition by song_id order by t) as d from pk) q where d is not null group by 1"))
 def _(t):
     from tonegrid.operators.vibrato import vibrato
 
