@@ -52,32 +52,44 @@ def energy_consistency(rms: DataFrame, keys: Sequence[str], order: str, x: str,
     return a.select(*keys, F.when(bare, 0.5).otherwise(clip(score, 0, 1)).alias("energy_consistency"))
 
 
-def lag_products(df: DataFrame, keys: Sequence[str], order: str, x: str, max_lag: int, chunk: int = CHUNK) -> DataFrame:
+def lag_products(df: DataFrame, keys: Sequence[str], order: str, x: str, max_lag: int, chunk: int = 1024) -> DataFrame:
     """Sum of x[i]*x[i+lag] per lag 0..max_lag: keys, lag, total.
 
-    Each position chunk, with the ``max_lag`` rows before it, is multiplied out in one task; the
-    per-lag sums of the chunks add up.
+    A stretch of ``chunk`` positions and the ``max_lag`` before it is one packed row; the stretches of an Arrow batch,
+    whatever series they come from, are laid side by side and multiplied out together. Only sums per lag leave a batch.
     """
-    fields = [f for f in df.schema.fields if f.name in keys]
-    d = df.select(*keys, F.col(order).alias("_o"), F.col(x).cast("double").alias("_x"))
+    d = df.select(*keys, F.col(order).alias("_o"), F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     d = d.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_o") / chunk), F.floor((F.col("_o") + max_lag) / chunk))))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["_chunk"].iloc[0]) * chunk
-        size = min(chunk, int(pdf["_o"].max()) - start + 1)
-        v = np.zeros(max_lag + max(size, 0))
-        v[pdf["_o"].to_numpy() - start + max_lag] = pdf["_x"].to_numpy()
-        home = v[max_lag:]
-        total = [float(home @ v[max_lag - lag:max_lag - lag + len(home)]) for lag in range(max_lag + 1)]
-        return plain(pd.DataFrame({**{k: [pdf[k].iloc[0]] * (max_lag + 1) for k in keys}, "lag": range(max_lag + 1), "total": total}))
-
-    part = d.groupBy(*keys, "_chunk").applyInPandas(multiply, T.StructType([
-        *fields, T.StructField("lag", T.IntegerType()), T.StructField("total", T.DoubleType())]))
-    return part.groupBy(*keys, "lag").agg(F.sum("total").alias("total"))
+    packed = d.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct((F.col("_o") - F.col("_chunk") * chunk + max_lag).cast("int").alias("i"), "_x")).alias("_v"))
+    packed = packed.select(*keys, F.col("_v.i").alias("_at"), F.col("_v._x").alias("_x"))
+    fields = [f for f in packed.schema.fields if f.name in keys]
+
+    def multiply(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            # every stretch has its look-back first, then its own positions up to the last one filled
+            width = np.array([max_lag + max(int(a.max()) + 1 - max_lag, 1) for a in pdf["_at"]])
+            start = np.cumsum(width) - width
+            at = np.concatenate(pdf["_at"].to_numpy()) + np.repeat(start, pdf["_at"].map(len).to_numpy())
+            v, own = np.zeros(int(width.sum())), np.ones(int(width.sum()))
+            v[at] = np.concatenate(pdf["_x"].to_numpy())
+            own[(start[:, None] + np.arange(max_lag)).ravel()] = 0.0
+            own *= v
+            sums = np.zeros((len(pdf), max_lag + 1))
+            for lag in range(max_lag + 1):
+                product = own.copy()
+                product[lag:] *= v[:len(v) - lag]
+                sums[:, lag] = np.add.reduceat(product, start)
+            yield plain(pdf[list(keys)].assign(total=list(sums)))
+
+    part = packed.mapInPandas(multiply, T.StructType([*fields, T.StructField("total", T.ArrayType(T.DoubleType()))]))
+    each = part.select(*keys, F.posexplode("total").alias("lag", "total"))
+    return each.groupBy(*keys, "lag").agg(F.sum("total").alias("total"))
 
 
 def beat_coherence(onset: DataFrame, keys: Sequence[str], order: str, x: str, sr: int = K.SAMPLE_RATE, hop: int = 512,
-                   chunk: int = CHUNK) -> DataFrame:
+                   chunk: int = 1024) -> DataFrame:
     """Strength and sharpness of the onset autocorrelation peak: keys, beat_coherence, best_lag."""
     lo, hi = int(0.20 * sr / hop), int(1.25 * sr / hop)
     n = onset.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

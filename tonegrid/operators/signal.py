@@ -196,20 +196,29 @@ def bridge_gaps(df: DataFrame, keys: Sequence[str], order: str, active: str, out
     Filling runs left to right and sees its own fills. For a gap of L frames between two active
     frames that means: nothing is filled above 2*reach-2, else its last min(L, reach-1) frames are.
     """
+    far = 2 * reach - 2
+    return halo_window(df, keys, order, far, far, {out: _bridged(order, active, reach)}, chunk)
+
+
+def _bridged(order: str, active: str, reach: int):
     far = 2 * reach - 2
     on = F.when(F.col(active), F.col(order))
-    d = halo_window(df, keys, order, far, far, {
-        "_prev": lambda w: F.max(on).over(w.rowsBetween(-far, -1)),
-        "_next": lambda w: F.min(on).over(w.rowsBetween(1, far))}, chunk)
-    length = F.col("_next") - F.col("_prev") - 1
-    filled = (length <= far) & (F.col("_next") - F.col(order) <= reach - 1)
-    value = F.when(F.col(active), 1.0).when(filled, 0.5).otherwise(0.0)
-    return d.withColumn(out, value).drop("_prev", "_next")
+
+    def value(w):
+        before, after = F.max(on).over(w.rowsBetween(-far, -1)), F.min(on).over(w.rowsBetween(1, far))
+        filled = (after - before - 1 <= far) & (after - F.col(order) <= reach - 1)
+        return F.when(F.col(active), 1.0).when(filled, 0.5).otherwise(0.0)
+
+    return value
 
 
 def drop_short_runs(df: DataFrame, keys: Sequence[str], order: str, activity: str, n: int = 2,
                     chunk: int = CHUNK) -> DataFrame:
     """Zero ``activity`` in positive runs shorter than n frames, in place."""
+    return halo_window(df, keys, order, n, n, {activity: _long_runs(order, activity, n)}, chunk)
+
+
+def _long_runs(order: str, activity: str, n: int):
     off = F.when(F.col(activity) <= 0, F.col(order))
 
     def before(w):
@@ -221,9 +230,10 @@ def drop_short_runs(df: DataFrame, keys: Sequence[str], order: str, activity: st
         held = F.count(F.lit(1)).over(seen)
         return F.coalesce(F.min(off).over(seen), F.when(held < n, F.col(order) + held + 1))
 
-    d = halo_window(df, keys, order, n, n, {"_b": before, "_a": after}, chunk)
-    short = (F.col("_a") - F.col("_b") - 1 < n)
-    return d.withColumn(activity, F.when(F.coalesce(short, F.lit(False)), 0.0).otherwise(F.col(activity))).drop("_a", "_b")
+    def value(w):
+        return F.when(F.coalesce(after(w) - before(w) - 1 < n, F.lit(False)), 0.0).otherwise(F.col(activity))
+
+    return value
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, activity: str, x: str, hop_s: float = 0.25,
@@ -239,10 +249,14 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, activity: str, x: st
 
 def active_phrases(frames: DataFrame, keys: Sequence[str], order: str, x: str, hop_s: float = 0.25,
                    chunk: int = CHUNK) -> DataFrame:
-    """Threshold, bridge, drop short bursts, cut into phrases."""
-    a = activity_rms(frames, keys, order, x)
-    a = bridge_gaps(a, keys, order, "active", chunk=chunk)
-    a = drop_short_runs(a, keys, order, "activity", 2, chunk=chunk)
+    """Threshold, bridge, drop short bursts, cut into phrases.
+
+    Bridging and dropping share one pass whose copied rows reach as far as both together.
+    """
+    reach, n = 4, 2
+    a = activity_rms(frames, keys, order, x).select(*keys, order, x, "active")
+    halo = 2 * reach - 2 + n
+    a = halo_window(a, keys, order, halo, halo, {"_bridged": _bridged(order, "active", reach), "activity": _long_runs(order, "_bridged", n)}, chunk)
     return materialize(islands(a, keys, order, "activity", x, hop_s, chunk=chunk), "phrases")
 
 
