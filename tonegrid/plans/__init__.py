@@ -7,8 +7,7 @@ import importlib
 from tonegrid.plans.registry import QUERIES, SQL
 
 MODULES = ["scalars", "series", "structure", "similarity", "pairing", "quality", "timeline", "catalogue", "learning",
-           "spectral", "streams"]
-
+           "spectral", "analysis", "streams"]
 
 
 def _load() -> None:

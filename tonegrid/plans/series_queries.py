@@ -116,6 +116,9 @@ COMBINED = dict(vec=VECTOR, nov=NOVEL, sm=f"select song_id, frame, {_MA('a')} as
                 cmb="select song_id, frame, a*0.40e0+b*0.35e0+c*0.25e0 as novelty from mm",
                 lim="select song_id, quantile_cont(novelty,0.5)+0.5e0*stddev_pop(novelty) as threshold from cmb group by song_id")
 
+PEAK_ROWS = """select song_id, frame from (select song_id, frame, novelty, lag(novelty) over w as p, lead(novelty) over w as n, threshold
+ from cmb join lim using(song_id) window w as (partition by song_id order by frame)) q where novelty>p and novelty>n and novelty>threshold"""
+
 
 @query("e04_combined_novelty", sql("frames", "select song_id, frame, round(novelty,6) as novelty, round(threshold,6) as threshold from cmb join lim using(song_id)", **COMBINED))
 def _(t):

@@ -8,7 +8,7 @@ from tonegrid.operators.folds import spaced_points
 from tonegrid.plans.adapters import sql
 from tonegrid.plans.registry import query
 from tonegrid.session import materialize
-from tonegrid.plans.series_queries import COMBINED, SONG, r6, upto, vector_frames
+from tonegrid.plans.series_queries import COMBINED, PEAK_ROWS, SONG, r6, upto, vector_frames
 
 IV = dict(iv="select *, t-lag(t) over(partition by song_id order by beat_idx) as d from beats")
 
@@ -159,8 +159,7 @@ def _(t):
     return d.withColumn("cutoff", r6("cutoff"))
 
 
-PEAKS = dict(COMBINED, pk="""select song_id, frame from (select song_id, frame, novelty, lag(novelty) over w as p, lead(novelty) over w as n, threshold
- from cmb join lim using(song_id) window w as (partition by song_id order by frame)) q where novelty>p and novelty>n and novelty>threshold""",
+PEAKS = dict(COMBINED, pk=PEAK_ROWS,
     pick="""select song_id, min(frame) as frame from pk group by song_id union all select p.song_id, min(k.frame) from pick p join pk k
  on k.song_id=p.song_id and k.frame-p.frame>=6 group by p.song_id, p.frame""")
 
