@@ -106,11 +106,82 @@ def test_automaton_is_a_distribution(order):
             single = block.counted(1)
             machine = ngram_scores.Automaton(block, answers, {"texts": 4, "tokens": int(single.sum()), "different": int((single > 0).sum())})
             weights = np.tile(np.linspace(0.2, 0.7, ngram_scores.CLASSES), (order + 1, 1))
-            arcs = machine.arcs(weights)
-            chance += arcs[block.starts[-1] + len(history)]
+            machine.build(weights)
+            state = ngram_scores.BEGUN
+            for place in range(block.starts[-1], block.starts[-1] + len(history) + 1):
+                state, gained = step(machine, state, int(machine.token[place]))
+            chance += 10**gained
         assert chance == pytest.approx(1)
 
 
+def step(machine, state, token):
+    """One token from one state, read off the arcs one by one."""
+    arcs = {int(a): (int(e), float(c)) for a, e, c in zip(machine.arc, machine.arc_end, machine.arc_chance, strict=True)}
+    gained = 0.0
+    while state != ngram_scores.EMPTY:
+        if (state << 32) | token in arcs:
+            end, chance = arcs[(state << 32) | token]
+            return end, gained + chance
+        gained += float(machine.back[state])
+        state = int(machine.failure[state])
+    return int(machine.first_end[token]), gained + float(machine.first_chance[token])
+
+
+def plain_scores(texts, learns, order):
+    """Log10 probabilities by interpolated n-grams counted in dictionaries, weights as the likeliest per class of histories."""
+    runs = [["<", *words_of(t)] for t in texts]
+    counts, grid = Counter(), [float(w) for w in ngram_scores.GRID]
+    for run, learn in zip(runs, learns, strict=True):
+        for i in range(1, len(run) if learn else 0):
+            counts[run[i],] += 1
+            for k in range(2, min(order, i + 1) + 1):
+                counts[tuple(run[i - k + 1 : i + 1])] += 1
+    total, different = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    # a history's count is that of its occurrences, also where a text ends after it
+    seen = lambda history: sum(map(bool, learns)) if history == ("<",) else counts[history]
+    kind = lambda n: int(math.log2(n))
+    weights: dict = {}
+
+    def chance(run, i, upto, less):
+        p = (counts[run[i],] - less + 1) / (total - less + different + 1)
+        for k in range(2, min(upto, i + 1) + 1):
+            gram = tuple(run[i - k + 1 : i + 1])
+            n = seen(gram[:-1]) - less
+            if n > 0:
+                w = weights.get((k, kind(n)), 0.0)
+                p = w * max(counts[gram] - less, 0) / n + (1 - w) * p
+        return p
+
+    for k in range(2, order + 1):
+        met = defaultdict(list)
+        for run, learn in zip(runs, learns, strict=True):
+            for i in range(k - 1, len(run) if learn else 0):
+                gram = tuple(run[i - k + 1 : i + 1])
+                if seen(gram[:-1]) > 1:
+                    n = seen(gram[:-1]) - 1
+                    met[kind(n)].append(((counts[gram] - 1) / n, chance(run, i, k - 1, 1)))
+        for c, values in met.items():
+            own, lower = np.array(values).T
+            weights[k, c] = grid[int(np.argmax([np.log(w * own + (1 - w) * lower).sum() for w in grid]))]
+    for k in range(2, order + 1):  # classes that training never meets are like the nearest smaller one, else larger
+        known = sorted(c for q, c in weights if q == k)
+        for c in range(ngram_scores.CLASSES if known else 0):
+            weights[k, c] = weights[k, max([x for x in known if x <= c], default=known[0])]
+    return [sum(math.log10(chance(run, i, order, 0)) for i in range(1, len(run))) for run in runs]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_plain_counts(spark, order):
+    """Also over a text of many stretches, repeated texts, texts without words, and held-out texts with unknown words."""
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("a b c d e ff".split()) for _ in range(rng.randrange(12))) for _ in range(90)]
+    texts += [" ".join(rng.choice("a b c d e ff gg".split()) for _ in range(2500)), "", "a b a b a b", "a b a b a b", "zz a b yy zz", "lang " * 1500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("learns", F.col("doc_id") % 3 != 1).coalesce(1)
+    want = plain_scores(texts, [i % 3 != 1 for i in range(len(texts))], order)
+    got = {r["doc_id"]: r["score"] for r in ngram_scores.score(docs, "learns", order).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_packing_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (ngram_scores.expand_sorted(ngram_scores.squeeze_sorted(keys)) == keys).all()

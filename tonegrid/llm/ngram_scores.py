@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from tonegrid.llm.common import slices, whole
 from tonegrid.session import materialize
 
-#: Characters of a block; n-grams of a shard.
-BLOCK, SHARD = 1 << 23, 1_500_000
+#: Characters of a block; n-grams of a shard; tokens that one run of the traversal takes before the next text's or stretch's run.
+BLOCK, SHARD, STRETCH = 6 << 20, 1_500_000, 512
+#: States that every block has: the empty history, and the beginning of a text.
+EMPTY, BEGUN = 0, 1
 #: Odd multipliers that mix 64 bits, and the hashes of the text's end and beginning.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 END, BEGIN = np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
@@ -72,18 +74,26 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, learns_col: str) -
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(learns_col), F.lit(False)).alias("_learns"), whole(F.col(text_col)).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
 
+    def packed(number: int, ids: pa.Array, learns: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        hashes, tokens, ends = tokenise(texts)
+        one = pa.array([0, len(ids)], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([len(tokens)]), pa.ListArray.from_arrays(one, ids), pa.array([learns.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()]), pa.array([squeeze(ends.astype(np.int64))]), pa.array([squeeze(tokens)]), pa.array([hashes.tobytes()])],
+            ["block", "n", "ids", "learns", "ends", "tokens", "hashes"],
+        )
+
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for a, b in slices(pc.utf8_length(batch.column(2)).to_pylist(), BLOCK):
-                hashes, tokens, ends = tokenise(batch.column(2).slice(a, b - a))
-                ids, learns = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-                one = pa.array([0, b - a], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([len(tokens)]), pa.ListArray.from_arrays(one, ids), pa.array([learns.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()]), pa.array([squeeze(ends.astype(np.int64))]), pa.array([squeeze(tokens)]), pa.array([hashes.tobytes()])],
-                    ["block", "n", "ids", "learns", "ends", "tokens", "hashes"],
-                )
-                number += 1
+            lengths = pc.utf8_length(batch.column(2)).to_pylist()
+            for a, b in slices(lengths, BLOCK):
+                if held and size + sum(lengths[a:b]) > BLOCK:
+                    yield packed(number, *(pa.concat_arrays(x) for x in zip(*held, strict=True)))
+                    number, held, size = number + 1, [], 0
+                held.append([batch.column(i).slice(a, b - a) for i in range(3)])
+                size += sum(lengths[a:b])
+        if held:
+            yield packed(number, *(pa.concat_arrays(x) for x in zip(*held, strict=True)))
 
     return materialize(rows.mapInArrow(run, f"block long, n long, ids array<{kind}>, learns binary, ends binary, tokens binary, hashes binary"), "lm_blocks")
 
@@ -163,48 +173,155 @@ def class_of(counts: np.ndarray) -> np.ndarray:
 class Automaton:
     """The states, arcs and failure arcs that one block's texts can visit.
 
-    A state is a history of up to order - 1 tokens that occurs in training, with its count c. Its own arc for a token
-    holds weight * count / c of the next longer n-gram; its failure arc leads to the history without its first token and
-    holds 1 - weight. Every state has a chain of failure arcs down to the empty history, whose arcs hold the smoothed
-    token frequencies and one for all unknown tokens, so the weights of a state's arcs sum to one.
+    A state is a history of up to order - 1 tokens that occurs in training, with its count c; the beginning of a text is
+    a token of histories. Its own arc for a token holds the smoothed chance weight * count / c of the next longer n-gram +
+    (1 - weight) * chance of the shorter n-gram, and leads to the longest history that is a state; its failure arc leads to
+    the history without its first token and holds 1 - weight. Every state has a chain of failure arcs down to the empty
+    history, whose arcs hold the smoothed token frequencies and one for all unknown tokens, so the chances of a state's
+    next tokens sum to one.
     """
 
     def __init__(self, block: Block, answers: list[dict], totals: dict):
         self.block, self.order, self.totals = block, len(block.grams), totals
-        n = int(block.ends[-1]) if len(block.ends) else 0
-        #: Per order and place: training count of the n-gram that ends there.
-        self.counts = np.zeros((self.order + 1, n), np.int64)
-        for k, (at, keys, place) in enumerate(block.grams, 1):
+        self.n = int(block.ends[-1]) if len(block.ends) else 0
+        #: Per order: training count of each different n-gram of the block.
+        self.known = [np.zeros(0, np.int64)]
+        for k, (_, keys, _) in enumerate(block.grams, 1):
             parts = sorted((a["shard"], a["counts"]) for a in answers if a["order"] == k)
-            if len(keys):
-                self.counts[k, at] = np.concatenate([expand(c, np.int64) for _, c in parts])[place]
-        #: Per order and place: count of the state that is left there by an arc of that order.
-        self.states = np.zeros((self.order + 1, n), np.int64)
-        for k in range(2, self.order + 1):
-            self.states[k, 1:] = self.counts[k - 1, :-1]
-            self.states[k, block.starts] = totals["texts"] if k == 2 else 0
+            self.known.append(np.concatenate([expand(c, np.int64) for _, c in parts]) if len(keys) else np.zeros(0, np.int64))
 
-    def arcs(self, weights: np.ndarray, leave_out: bool = False, upto: int | None = None) -> np.ndarray:
-        """Per place the probability along the arcs of one left-to-right run.
+    def build(self, weights: np.ndarray) -> None:
+        """Number the states of the block, and write their arcs and failure arcs with log10 chances.
 
-        The run is in the longest state that its last tokens are; it takes the token's own arc, adding what the failure
-        arcs hold for it. ``leave_out`` takes each occurrence out of the counts it meets.
+        ``failure`` and ``back`` are the failure arc's end and weight per state; ``arc`` holds (state, token) of all other arcs
+        in order, ``arc_chance`` and ``arc_end`` what they weigh and where they lead. Arcs of the empty history are one per
+        token of the block: ``first_chance``, ``first_end``.
+        """
+        texts = self.totals["texts"]
+        vocabulary = len(self.block.grams[0][1])
+        #: Per place, its token, and per order the state of the history that ends there (-1: none).
+        self.token = np.zeros(self.n, np.int64)
+        self.token[self.block.grams[0][0]] = self.block.grams[0][2]
+        begins = np.zeros(self.n, bool)
+        begins[self.block.starts] = True
+        failure, back, counts, ends_at = [np.array([EMPTY, EMPTY])], [], [np.array([0, texts])], []
+        number = 2
+        for k in range(1, self.order):
+            at, keys, place = self.block.grams[k - 1]
+            states = np.full(len(keys), -1)
+            trained = self.known[k] > 0
+            states[trained] = np.arange(number, number + trained.sum())
+            number += int(trained.sum())
+            there = np.full(self.n, -1)
+            there[at] = states[place]
+            shown = np.zeros(len(keys), np.int64)  # a place that ends each history
+            shown[place] = at
+            failure.append(ends_at[-1][shown[trained]] if k > 1 else np.full(trained.sum(), EMPTY))
+            counts.append(self.known[k][trained])
+            ends_at.append(there)
+        self.failure, counts = np.concatenate(failure), np.concatenate(counts)
+        lengths = np.concatenate([[0, 1], *[np.full(len(x), k) for k, x in enumerate(failure[1:], 1)]]).astype(np.int64)
+        weight = np.where((lengths > 0) & (counts > 0), weights[np.minimum(lengths + 1, self.order), class_of(counts)], 0.0)
+        self.back = np.log10(1 - weight)
+
+        longest = lambda k, places: ends_at[min(k, self.order - 1) - 1][places] if self.order > 1 else np.full(len(places), EMPTY)
+        chance = (self.known[1] + 1) / (self.totals["tokens"] + self.totals["different"] + 1)
+        self.first_chance, self.first_end = np.log10(chance), np.full(vocabulary, EMPTY)
+        if vocabulary:
+            shown = np.zeros(vocabulary, np.int64)
+            shown[self.token] = np.arange(self.n)
+            self.first_end = np.maximum(longest(1, shown), EMPTY)
+        arcs, chances, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        of_place = chance[self.token]
+        for k in range(2, self.order + 1):
+            at, keys, place = self.block.grams[k - 1]
+            shown = np.zeros(len(keys), np.int64)
+            shown[place] = at
+            trained = np.flatnonzero(self.known[k] > 0)
+            places = shown[trained]
+            source = np.where(begins[places], BEGUN, ends_at[k - 2][places - 1])
+            own = weight[source]
+            smoothed = own * self.known[k][trained] / counts[source] + (1 - own) * of_place[places]
+            arcs.append((source << 32) | self.token[places])
+            chances.append(smoothed)
+            ends.append(np.maximum(longest(k, places), EMPTY))
+            of_gram = np.zeros(len(keys))
+            of_gram[trained] = smoothed
+            of_place = np.zeros(self.n)
+            of_place[at] = of_gram[place]
+        arcs = np.concatenate(arcs)
+        order = np.argsort(arcs)
+        self.arc, self.arc_chance, self.arc_end = arcs[order], np.log10(np.concatenate(chances)[order]), np.concatenate(ends)[order]
+
+    def walk(self) -> np.ndarray:
+        """Log10 probability of every text: all texts of the block are traversed from left to right at once.
+
+        Each carries its state: it takes the state's arc for the next token if there is one, else the failure arcs down to
+        a state that has one. A long text runs as stretches side by side. The state depends on the last order - 1 tokens
+        only, so a stretch first walks those before it, without counting them, and is then in the state it would be handed.
         """
-        less = 1 if leave_out else 0
-        chance = (self.counts[1] - less + 1) / (self.totals["tokens"] - less + self.totals["different"] + 1)
-        for k in range(2, (upto or self.order) + 1):
-            states, seen = self.states[k] - less, self.counts[k] - less
+        starts, ends = self.block.starts, self.block.ends
+        pieces = -(-(ends - starts) // STRETCH)
+        of = np.repeat(np.arange(len(starts)), pieces)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = starts[of] + nth * STRETCH
+        last = np.minimum(first + STRETCH, ends[of])
+        start = np.maximum(first - (self.order - 1), starts[of])
+        by_length = np.argsort(start - last, kind="stable")  # longest first: those still running are always the first ones
+        of, first, last, at = of[by_length], first[by_length], last[by_length], start[by_length]
+        state = np.where(at == starts[of], BEGUN, EMPTY)
+        total = np.zeros(len(of))
+        lengths = last - at
+        for step in range(int(lengths.max(initial=0))):
+            running = int(np.searchsorted(-lengths, -step, side="left"))
+            here = at[:running] + step
+            token, now = self.token[here], state[:running].copy()
+            gained, reached = np.zeros(running), np.zeros(running, np.int64)
+            open_ = np.arange(running)
+            while len(open_):
+                wanted = (now[open_] << 32) | token[open_]
+                arc = np.minimum(np.searchsorted(self.arc, wanted), max(len(self.arc) - 1, 0))
+                base = now[open_] == EMPTY
+                found = ~base & (self.arc[arc] == wanted) if len(self.arc) else np.zeros(len(open_), bool)
+                taken = open_[found]
+                gained[taken] += self.arc_chance[arc[found]]
+                reached[taken] = self.arc_end[arc[found]]
+                taken = open_[base]
+                gained[taken] += self.first_chance[token[taken]]
+                reached[taken] = self.first_end[token[taken]]
+                open_ = open_[~found & ~base]
+                gained[open_] += self.back[now[open_]]
+                now[open_] = self.failure[now[open_]]
+            state[:running] = reached
+            total[:running] += np.where(here >= first[:running], gained, 0.0)
+        return np.bincount(of, total, len(starts))
+
+    def left_out(self, weights: np.ndarray, upto: int) -> np.ndarray:
+        """Per place the chance of its token by n-grams of at most ``upto`` tokens, each occurrence taken out of the counts it meets."""
+        chance = self.counts[1] / max(self.totals["tokens"] + self.totals["different"], 1)
+        for k in range(2, upto + 1):
+            states, seen = self.states[k] - 1, self.counts[k] - 1
             here = states > 0  # elsewhere the state is shorter and has no arc of this order
             weight = weights[k, class_of(states)]
             chance = np.where(here, weight * np.maximum(seen, 0) / np.maximum(states, 1) + (1 - weight) * chance, chance)
         return chance
 
+    def per_place(self) -> None:
+        """Counts of the n-gram that ends at each place, and of the history before it, per order."""
+        self.counts, self.states = (np.zeros((self.order + 1, self.n), np.int64) for _ in range(2))
+        for k, (at, _, place) in enumerate(self.block.grams, 1):
+            self.counts[k, at] = self.known[k][place]
+        for k in range(2, self.order + 1):
+            self.states[k, 1:] = self.counts[k - 1, :-1]
+            self.states[k, self.block.starts] = self.totals["texts"] if k == 2 else 0
+
     def trials(self) -> list[tuple[int, int, np.ndarray]]:
         """(order, class, log-likelihood of the left-out training tokens per weight of the grid)."""
+        self.per_place()
         out = []
         weights = np.zeros((self.order + 1, CLASSES))
         for k in range(2, self.order + 1):
-            lower = self.arcs(weights, leave_out=True, upto=k - 1)
+            lower = self.left_out(weights, k - 1)
             use = self.block.learnt & (self.states[k] > 1)
             states, seen, lower = self.states[k][use] - 1, self.counts[k][use] - 1, lower[use]
             kinds = class_of(states)
@@ -220,10 +337,9 @@ class Automaton:
     def scores(self, weights: np.ndarray) -> dict:
         """Per text: tokens, known tokens, base score, score."""
         lengths = self.block.ends - self.block.starts
-        base = np.log10((self.counts[1] + 1) / (self.totals["tokens"] + self.totals["different"] + 1))
-        runs = np.log10(self.arcs(weights))
+        self.build(weights)
         sums = lambda x: np.add.reduceat(x, self.block.starts) if len(x) else np.zeros(0)
-        return {"n_tokens": lengths, "n_known": sums((self.counts[1] > 0).astype(np.int64)), "base_score": sums(base), "score": sums(runs)}
+        return {"n_tokens": lengths, "n_known": sums((self.known[1] > 0)[self.token].astype(np.int64)), "base_score": sums(self.first_chance[self.token]), "score": self.walk()}
 
 
 def best_weights(fits: list[dict], order: int) -> np.ndarray:
@@ -234,13 +350,14 @@ def best_weights(fits: list[dict], order: int) -> np.ndarray:
     return pd.DataFrame(weights).ffill(axis=1).bfill(axis=1).fillna(0.0).to_numpy()
 
 
-def score(docs: DataFrame, learns_col: str, order: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, learns_col: str, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Log10 probabilities of all whole texts under an automaton learnt from those with ``learns_col``.
 
     Columns: id, n_tokens, n_known, train_tokens, base_score (add-one token frequencies), score. Tokens are words between
     ASCII blanks with A-Z in lower case, and one end per text, so an empty or null text has one token. All n-grams of all
     training texts are counted; nothing is pruned. The weights of the arcs are chosen per order and class of states, as
-    the likeliest for training tokens left out of the counts. Texts travel once as packed blocks; counts come back by
+    the likeliest for training tokens left out of the counts. Each block builds the automaton its texts can visit from the
+    counts and walks it. Texts travel once as packed blocks; counts come back by
     ``exchange``. Repeated rows are scored one by one; a null in ``learns_col`` means no. Words and n-grams are known by
     64-bit hashes. The driver holds three totals.
     """
