@@ -221,3 +221,15 @@ def test_edited_digests(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert queries.edited_digests(docs.limit(0)).count() == 0
     assert queries.edited_digests(docs.where("doc_id = 50")).head()["near_next"] == 1
+
+
+def test_next_of_large_ids(spark):
+    """Ids that are one as doubles follow each other as integers."""
+    base = 1 << 53
+    ids = [base + i for i in range(60)] + [None, 3, -7, (1 << 62) + 1, 1 << 62]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(5)
+    ordered = [None, *sorted(i for i in ids if i is not None)]
+    want = {i: f"t{n}" for i, n in zip(ordered, [*ordered[1:], ordered[0]], strict=True)}
+    for parts in (1, 4, 16):
+        got = digests.with_next(rows, "doc_id", ("text",), parts).collect()
+        assert len(got) == len(ids) and {r["doc_id"]: r["next_text"] for r in got} == want

@@ -103,7 +103,9 @@ def with_next(rows: DataFrame, id_col: str, columns: tuple[str, ...], parts: int
     def same(value) -> Column:
         return F.col(id_col).eqNullSafe(F.lit(value))
 
-    firsts = ranged(rows.select(id_col)).groupBy("_range").agg(F.min_by(id_col, F.coalesce(F.col(id_col).cast("double"), F.lit(-math.inf))).alias("id")).orderBy("_range").collect()
+    # compared in their own type: doubles only cut the ranges, and ids of one double share a range
+    least = F.min(F.struct(F.col(id_col).isNotNull().alias("has"), F.col(id_col).alias("id")))
+    firsts = ranged(rows.select(id_col)).groupBy("_range").agg(least["id"].alias("id")).orderBy("_range").collect()
     if not firsts:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     to = {f["id"]: firsts[i - 1]["_range"] for i, f in enumerate(firsts)}
