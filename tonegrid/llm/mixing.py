@@ -50,7 +50,7 @@ def balance(histogram: DataFrame, goals: DataFrame, most: float, tolerance: floa
     Among all document rates r from 0 to ``most`` with sum(size * r) = target, those of least relative entropy to
     taking every document once are r = min(most, exp(lambda * size / scale)), scale being the source's mean size. Each
     round is one distributed aggregate of the residual and its slope over (source, size, documents), for all sources at
-    once; a Newton step that leaves the bracket is replaced by halving it. The state is one row per source, written each
+    once; a Newton step that leaves the bracket is replaced by halving it. Rounds that do not suffice are an error. The state is one row per source, written each
     round; the driver reads the largest relative residual only.
     """
     shape = histogram.groupBy("_key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("_scale"), F.min("size").alias("_least"))
@@ -83,6 +83,8 @@ def balance(histogram: DataFrame, goals: DataFrame, most: float, tolerance: floa
         if not state.where("_open").limit(1).count():
             break
         state = state.drop("_open")
+    else:
+        raise RuntimeError(f"entropy balancing: sources still off their target after {rounds} rounds")
     return state.select("_key", "_lambda", "_scale")
 
 
@@ -115,7 +117,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     steps = units.groupBy("_key", "_step").agg(F.sum(F.when(F.col("_turn").isNotNull(), F.col("_tokens")).otherwise(0)).alias("_in"), F.sum(F.col("_tokens") * F.floor("rate")).alias("_sure"))
     in_order = Window.partitionBy("_key").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     steps = steps.select("_key", "_step", F.coalesce(F.sum("_in").over(in_order), F.lit(0)).alias("_before"), F.sum("_sure").over(Window.partitionBy("_key")).alias("_surely"))
-    within = Window.partitionBy("_key", "_step").orderBy("_turn", "_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # rows without a fraction take no part in the cut: each is a partition of its own, so that they never gather
+    units = units.withColumn("_apart", F.when(F.col("_turn").isNull(), F.col("_hash")).otherwise(0))
+    within = Window.partitionBy("_key", "_step", "_apart").orderBy("_turn", "_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("_run", F.coalesce(F.sum("_tokens").over(within), F.lit(0))).join(steps, ["_key", "_step"])
     room = (F.col("target") - F.col("_surely") - F.col("_before") - F.col("_run")) / F.col("size")
     more = F.when(F.col("_turn").isNotNull(), F.greatest(F.lit(0), F.least(F.col("_c"), F.floor(room + 0.5)))).otherwise(0)
