@@ -58,3 +58,12 @@ def test_nothing_to_compare(spark):
     emb = spark.createDataFrame([(1, [1.0, 0.0])], "song_id long, embedding array<float>")
     pairs = spark.createDataFrame([(1, 1, 1)], "pair_id long, song_a long, song_b long")
     assert R.nearest_rated(pairs, spark.createDataFrame([], "mix_id long, song_a long, song_b long"), emb).count() == 0
+
+
+def test_suggestion_reads_rated_mixes_without_vectors(spark):
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1])], "song_id long, embedding array<float>")
+    params = "mix_id long, song_a long, song_b long, direction string, key_shift int, vox_rms double, inst_rms double, duck_depth double, comp_threshold double, rating int"
+    rated = spark.createDataFrame([(m, 1, 2 + m % 2, "b_vocals", 2, 0.1, 0.2, 0.3, -18.0, 5) for m in range(4)] + [(9, 8, 9, "a_vocals", 0, 0.1, 0.2, 0.3, -18.0, 4)], params)
+    near = R.nearest_rated(spark.createDataFrame([(1, 3, 2)], "pair_id long, song_a long, song_b long"), rated, emb, 2)
+    got = R.weighted_suggestion(near.join(rated.drop("song_a", "song_b"), "mix_id")).collect()
+    assert [(r.pair_id, r.direction, r.key_shift) for r in got] == [(1, "b_vocals", 2)]
