@@ -67,3 +67,12 @@ def test_suggestion_reads_rated_mixes_without_vectors(spark):
     near = R.nearest_rated(spark.createDataFrame([(1, 3, 2)], "pair_id long, song_a long, song_b long"), rated, emb, 2)
     got = R.weighted_suggestion(near.join(rated.drop("song_a", "song_b"), "mix_id")).collect()
     assert [(r.pair_id, r.direction, r.key_shift) for r in got] == [(1, "b_vocals", 2)]
+
+
+def test_own_history_counts_without_vectors(spark):
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "song_id long, embedding array<float>")
+    params = "mix_id long, song_a long, song_b long, direction string, key_shift int, vox_rms double, inst_rms double, duck_depth double, comp_threshold double, rating int"
+    rated = spark.createDataFrame([(m, 1, 2, "a_vocals", 2, 0.1, 0.2, 0.3, -18.0, 5) for m in range(3)] + [(9, 8, 9, "b_vocals", 0, 0.1, 0.2, 0.3, -18.0, 4)], params)
+    pairs = spark.createDataFrame([(1, 1, 2), (2, 8, 9)], "pair_id long, song_a long, song_b long")
+    got = {r.pair_id: (r.direction, r.vox_rms) for r in R.suggest_params(pairs, rated, emb).collect()}
+    assert got[1][0] == "a_vocals" and abs(got[1][1] - 0.1) < 1e-12 and got[2] == ("b_vocals", None)
