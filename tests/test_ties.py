@@ -34,3 +34,11 @@ def events(values, kinds="view", user=1, step=1):
 def test_pitch_ignores_unvoiced_frames(spark, tmp_path):
     got = same(spark, tmp_path, "b03_voice_type_pitch", events=events([0, 0, 60, 70]))
     assert got[1] == (130.0, "baritone")
+
+
+def test_stream_reads_a_folder_of_parts(spark, tmp_path):
+    for table, ids in (("documents", [[1, 2], [3, 4, 5]]), ("labels", [[2], [4]])):
+        (tmp_path / f"{table}.parquet").mkdir()
+        for i, part in enumerate(ids):
+            pq.write_table(pa.table({"doc_id": part}), tmp_path / f"{table}.parquet" / f"part-{i}.parquet")
+    assert sorted(r[0] for r in plans.queries()["k01_new_entries"](spark, str(tmp_path)).collect()) == [1, 3, 5]

@@ -15,9 +15,9 @@ def r6(c):
 
 
 def replay(t, name):
-    """A given table as a file stream."""
+    """A given table as a file stream. A pattern names a folder of parts as well as a single file."""
     schema = t.raw(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.dir}/{name}.parque[t]")
 
 
 def replay_df(t, df, name):
