@@ -42,3 +42,18 @@ def test_stream_reads_a_folder_of_parts(spark, tmp_path):
         for i, part in enumerate(ids):
             pq.write_table(pa.table({"doc_id": part}), tmp_path / f"{table}.parquet" / f"part-{i}.parquet")
     assert sorted(r[0] for r in plans.queries()["k01_new_entries"](spark, str(tmp_path)).collect()) == [1, 3, 5]
+
+
+def lines(rows):
+    """lineitem: song, line, quantity per position."""
+    n = len(rows)
+    return {"l_suppkey": [r[0] for r in rows], "l_orderkey": list(range(n)), "l_linenumber": [1 + i % 4 for i in range(n)], "l_partkey": [1] * n, "l_extendedprice": [1.0] * n,
+            "l_quantity": [float(r[1]) for r in rows], "l_discount": [r[2] if len(r) > 2 else 0.05 for r in rows], "l_tax": [0.02] * n, "l_returnflag": ["A"] * n, "l_linestatus": ["O"] * n}
+
+
+def test_phase_on_a_step(spark, tmp_path):
+    # half of its stems: .6 just below the step, .5 from it on; the last song is silent
+    rows = [(song, 1 + (song * 31 + i * i * 17 + i * 7) % 50) for song in range(1, 400, 4) for i in range(92)]
+    rows += [(1001, 25.5)] * 8
+    got = same(spark, tmp_path, "d16_phase_coherence_stems", lineitem=lines(rows))
+    assert {v[0] for s, v in got.items() if s < 1001} == {0.5} and got[1001] == (0.5,)

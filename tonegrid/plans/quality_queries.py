@@ -85,8 +85,8 @@ def _(t):
     return Q.phase_coherence_mix(s, SONG, "mag").select("song_id", r6("phase_coherence").alias("phase_coherence"))
 
 
-@query("d16_phase_coherence_stems", sql("samples", """select song_id, round(greatest(0e0,least(1e0,case when r<0.3 then 0.2e0 when r<0.5 then 0.2e0+(r-0.3e0)/0.2e0*0.4e0 when r<=0.95 then 0.6e0+0.4e0*(1-abs(r-0.75e0)/0.2e0)
- else 0.8e0 end)),6) as phase_coherence from (select song_id, sqrt(avg(m*m))/sqrt(avg(s*s)) as r from (select song_id, pos//4 as p, sum(x) as s, avg(x)*(1+song_id%4) as m from samples group by song_id, pos//4) a group by song_id) b"""))
+@query("d16_phase_coherence_stems", sql("samples", """select song_id, round(greatest(0e0,least(1e0,case when r is null then 0.5e0 when r<0.3 then 0.2e0 when r<0.5 then 0.2e0+(r-0.3e0)/0.2e0*0.4e0 when r<=0.95 then 0.6e0+0.4e0*(1-abs(r-0.75e0)/0.2e0)
+ else 0.8e0 end)),6) as phase_coherence from (select song_id, case when sqrt(avg(s*s))>=1e-10 then round(sqrt(avg(m*m))/sqrt(avg(s*s)),12) end as r from (select song_id, pos//4 as p, sum(x) as s, avg(x)*(1+song_id%4) as m from samples group by song_id, pos//4) a group by song_id) b"""))
 def _(t):
     stems = t.samples.select("song_id", F.floor(F.col("pos") / 4).alias("pos"), "x")
     mix = stems.groupBy("song_id", "pos").agg((F.avg("x") * (1 + F.col("song_id") % 4)).alias("x"))
