@@ -57,3 +57,20 @@ def test_phase_on_a_step(spark, tmp_path):
     rows += [(1001, 25.5)] * 8
     got = same(spark, tmp_path, "d16_phase_coherence_stems", lineitem=lines(rows))
     assert {v[0] for s, v in got.items() if s < 1001} == {0.5} and got[1001] == (0.5,)
+
+
+def test_tempo_spread_at_its_limit(spark, tmp_path):
+    # intervals of 4 and 1 steps in equal number and any order: mean 2.5, deviation 1.5, their ratio just .6
+    import random
+
+    songs, kinds = [], []
+    for song in range(60):
+        gaps = [1, 4] * (20 + song)
+        random.Random(song).shuffle(gaps)
+        for gap in [1, *gaps]:
+            songs += [song] * gap
+            kinds += ["view"] * (gap - 1) + ["click"]
+    e = events([50] * len(songs), kinds)
+    e["user_id"] = songs
+    got = same(spark, tmp_path, "d22_tempo_stable", events=e)
+    assert {v[0] for v in got.values()} == {False}

@@ -36,7 +36,7 @@ def tempo_stable(beats: DataFrame, keys: Sequence[str], beat_idx: str, t: str, c
     """Interval spread below ``cv`` of the mean; up to four beats count as stable."""
     s = beat_intervals(beats, keys, beat_idx, t).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.avg("interval").alias("_m"), F.stddev_pop("interval").alias("_s"))
-    ratio = F.when(F.col("_m") > 0, F.col("_s") / F.col("_m")).otherwise(1.0)
+    ratio = F.when(F.col("_m") > 0, F.round(F.col("_s") / F.col("_m"), 12)).otherwise(1.0)
     return s.select(*keys, F.when(F.col("_n") > 4, ratio < cv).otherwise(True).alias("stable"))
 
 

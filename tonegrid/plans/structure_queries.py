@@ -19,7 +19,7 @@ def _(t):
     return B.tempo_from_beats(t.stored("beats"), SONG, "beat_idx", "t").select("song_id", r6("tempo").alias("tempo"))
 
 
-@query("d22_tempo_stable", sql("beats", """select song_id, case when count(*)>4 then (case when avg(d)>0 then stddev_pop(d)/avg(d) else 1 end)<0.6e0 else true end as stable
+@query("d22_tempo_stable", sql("beats", """select song_id, case when count(*)>4 then (case when avg(d)>0 then round(stddev_pop(d)/avg(d),12) else 1 end)<0.6e0 else true end as stable
  from iv group by song_id""", **IV))
 def _(t):
     return B.tempo_stable(t.beats, SONG, "beat_idx", "t", cv=0.6)
