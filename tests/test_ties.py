@@ -74,3 +74,17 @@ def test_tempo_spread_at_its_limit(spark, tmp_path):
     e["user_id"] = songs
     got = same(spark, tmp_path, "d22_tempo_stable", events=e)
     assert {v[0] for v in got.values()} == {False}
+
+
+def test_vibrato_at_four_beats_a_second(spark, tmp_path):
+    # a peak every fifth frame of 50 ms, each song with its own start and length
+    values, kinds, songs = [], [], []
+    for song in range(40):
+        n, quiet = 60 + 5 * song, 3 * song + 1
+        values += [50.0] * quiet + [50.0 + 400 * (i % 5 == 2) for i in range(n)]
+        kinds += ["noise"] * quiet + ["view"] * n
+        songs += [song] * (quiet + n)
+    e = events(values, kinds)
+    e["user_id"] = songs
+    got = same(spark, tmp_path, "d35_vibrato", events=e)
+    assert {v[0] for v in got.values()} == {True}

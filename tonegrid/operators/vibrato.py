@@ -135,8 +135,9 @@ def vibrato(f0_frames: DataFrame, keys: Sequence[str], order: str, t: str, f0: s
     gaps = halo_window(materialize(peaks, "peaks"), keys, "_k", 1, 0, {"_gap": lambda w: F.col("_t") - F.lag("_t").over(w)})
     rate = gaps.groupBy(*keys).agg(F.avg("_gap").alias("_g"), F.stddev_pop("_gap").alias("_s"))
     d = every.join(depth.join(rate.where(F.col("_g").isNotNull()), list(keys)), list(keys), "left")
-    hz = F.when(F.col("_g") > 0, 1.0 / F.col("_g")).otherwise(0.0)
+    # rates and depths on a limit do not hang on the order of summation
+    hz = F.when(F.col("_g") > 0, F.round(1.0 / F.col("_g"), 9)).otherwise(0.0)
     none = F.col("_g").isNull()
-    return d.select(*keys, F.when(none, False).otherwise(hz.between(4.0, 8.0) & (F.col("depth_cents") > 20)).alias("detected"),
+    return d.select(*keys, F.when(none, False).otherwise(hz.between(4.0, 8.0) & (F.round("depth_cents", 9) > 20)).alias("detected"),
                     F.when(none, 0.0).otherwise(hz).alias("rate_hz"), F.when(none, 0.0).otherwise(F.col("depth_cents")).alias("depth_cents"),
                     F.when(~none & (F.col("_g") > 0), 1.0 - F.col("_s") / F.col("_g")).alias("regularity"))
