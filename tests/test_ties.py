@@ -88,3 +88,22 @@ def test_vibrato_at_four_beats_a_second(spark, tmp_path):
     e["user_id"] = songs
     got = same(spark, tmp_path, "d35_vibrato", events=e)
     assert {v[0] for v in got.values()} == {True}
+
+
+def tied_bars(n=60):
+    """Nine bars a song, three each of one mean, whose four frames come in any order."""
+    import random
+
+    values, songs = [], []
+    for song in range(n):
+        for bar in range(9):
+            four = [0.1 + 3 * (bar % 3), 0.2, 0.3, 0.7 + bar % 3]
+            random.Random(song * 100 + bar).shuffle(four)
+            values, songs = values + four, songs + [song] * 4
+    return events(values) | {"user_id": songs}
+
+
+def test_label_counts_of_equal_bars(spark, tmp_path):
+    same(spark, tmp_path, "d36_label_counts", events=tied_bars())
+    got = {(r.song_id, r.label): r.n for r in plans.queries()["d36_label_counts"](spark, str(tmp_path)).collect()}
+    assert set(got.values()) == {3}

@@ -130,13 +130,13 @@ def _(t):
     return B.label_sections_median(t.stored("sections"), SONG).select("song_id", "section_idx", "label")
 
 
-LABELLED = "select song_id, floor(frame/4e0) as bar, avg(rms) as energy from frames group by song_id, floor(frame/4e0)"
+LABELLED = "select song_id, floor(frame/4e0) as bar, round(avg(rms),12) as energy from frames group by song_id, floor(frame/4e0)"
 LBL = """select song_id, cast(bar as bigint) as bar, case when energy>=p75 then 'drop' when energy>=p40 then 'groove' when energy>=p20 then 'build' else 'breakdown' end as label
  from b join (select song_id, quantile_cont(energy,0.75) as p75, quantile_cont(energy,0.4) as p40, quantile_cont(energy,0.2) as p20 from b group by song_id) q using(song_id)"""
 
 
 def labelled_bars(t):
-    b = t.frames.groupBy("song_id", F.floor(F.col("frame") / 4).alias("bar")).agg(F.avg("rms").alias("energy"))
+    b = t.frames.groupBy("song_id", F.floor(F.col("frame") / 4).alias("bar")).agg(F.round(F.avg("rms"), 12).alias("energy"))
     return B.label_bars(materialize(b, "bars"), SONG)
 
 
