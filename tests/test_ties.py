@@ -107,3 +107,9 @@ def test_label_counts_of_equal_bars(spark, tmp_path):
     same(spark, tmp_path, "d36_label_counts", events=tied_bars())
     got = {(r.song_id, r.label): r.n for r in plans.queries()["d36_label_counts"](spark, str(tmp_path)).collect()}
     assert set(got.values()) == {3}
+
+
+def test_sweeps_before_equal_bars(spark, tmp_path):
+    same(spark, tmp_path, "h07_sweep_schedule", events=tied_bars())
+    got = plans.queries()["h07_sweep_schedule"](spark, str(tmp_path))
+    assert {r[0] for r in got.select("drop_bar").distinct().collect()} == {2, 5, 8}
