@@ -113,3 +113,8 @@ def test_sweeps_before_equal_bars(spark, tmp_path):
     same(spark, tmp_path, "h07_sweep_schedule", events=tied_bars())
     got = plans.queries()["h07_sweep_schedule"](spark, str(tmp_path))
     assert {r[0] for r in got.select("drop_bar").distinct().collect()} == {2, 5, 8}
+
+
+def test_drops_of_equal_bars(spark, tmp_path):
+    same(spark, tmp_path, "e18_drop_starts", events=tied_bars())
+    assert plans.queries()["e18_drop_starts"](spark, str(tmp_path)).count() == 60 * 3
