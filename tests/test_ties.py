@@ -118,3 +118,20 @@ def test_sweeps_before_equal_bars(spark, tmp_path):
 def test_drops_of_equal_bars(spark, tmp_path):
     same(spark, tmp_path, "e18_drop_starts", events=tied_bars())
     assert plans.queries()["e18_drop_starts"](spark, str(tmp_path)).count() == 60 * 3
+
+
+def test_recommendation_on_its_threshold(spark, tmp_path):
+    # a mean discount of .05 makes a score of just .5
+    import random
+
+    from tonegrid import constants as K
+
+    below = next(b for d, b, *_ in K.RECOMMENDATIONS if d == "beat_coherence")
+    rows = []
+    for song in range(60):
+        part = [round(below / 10 + s * d / 100, 2) for d in (0, 1, 2, 3) for s in (1, -1)] * (3 + song)
+        random.Random(song).shuffle(part)
+        rows += [(song, 10, v) for v in part]
+    same(spark, tmp_path, "b18_recommend", lineitem=lines(rows))
+    got = plans.queries()["b18_recommend"](spark, str(tmp_path))
+    assert got.where("dimension = 'beat_coherence'").count() == 0

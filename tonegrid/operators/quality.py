@@ -254,7 +254,7 @@ def recommend(scores: DataFrame, mix_id: str) -> DataFrame:
     """Triggered recommendations per mix in priority order (stable)."""
     items = F.array(*[F.struct(F.lit(pri).alias("priority"), F.lit(i).alias("ord"), F.lit(dim).alias("dimension"), F.lit(action).alias("action"),
                                F.lit(par).alias("parameter"), F.lit(cur).alias("current_value"), F.lit(sug).alias("suggested_value"),
-                               F.lit(why).alias("reason"), (F.col(dim) < below).alias("due"))
+                               F.lit(why).alias("reason"), (F.round(dim, 12) < below).alias("due"))
                       for i, (dim, below, action, par, cur, sug, why, pri) in enumerate(K.RECOMMENDATIONS)])
     due = F.sort_array(F.filter(items, lambda r: r["due"]))
     names = ["dimension", "action", "parameter", "current_value", "suggested_value", "reason", "priority"]

@@ -129,7 +129,7 @@ def _(t):
 
 
 DUE = " union all ".join(
-    f"select mix_id, {i} as ord, '{d}' as dimension, '{a}' as action, '{p}' as parameter, '{c}' as current_value, '{s}' as suggested_value, '{why}' as reason, {pri} as priority from mix_scores where {d}<{b}"
+    f"select mix_id, {i} as ord, '{d}' as dimension, '{a}' as action, '{p}' as parameter, '{c}' as current_value, '{s}' as suggested_value, '{why}' as reason, {pri} as priority from mix_scores where round({d},12)<{b}"
     for i, (d, b, a, p, c, s, why, pri) in enumerate(K.RECOMMENDATIONS))
 
 
