@@ -34,3 +34,17 @@ def test_too_few_rows_and_wrong_width(spark):
                                   "pair_id long, emb_a array<double>, emb_b array<double>, direction string, key_shift int")
     got = {r.pair_id: r.quality for r in R.predict_quality(model, pairs).collect()}
     assert got[2] == 0.5 and 0 < got[1] < 1 and got[1] != 0.5
+
+
+def test_an_epoch_is_one_job(spark):
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=(50, 6)).tolist(), "y": rng.random(50)})).persist()
+
+    def jobs(epochs, group):
+        spark.sparkContext.setJobGroup(group, group)
+        R.train_layers(df, "x", "y", hidden=(5, 4), epochs=epochs, rows_per_block=5, rows_per_task=10)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    jobs(1, "epochs-first")
+    assert jobs(4, "epochs-more") - jobs(1, "epochs-few") == 3
+    df.unpersist()

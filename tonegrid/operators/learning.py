@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,22 +145,26 @@ def _step(layers, flat, lr):
     return out
 
 
+#: Gradients of one epoch that the driver adds up itself; more are added up in a tree first.
+SUMS = 64
 _SUM = T.StructType([T.StructField("g", T.BinaryType())])
 
 
 def train_layers(features: DataFrame, x: str, y: str, hidden: Sequence[int] = (64, 32), epochs: int = 500, lr: float = 0.01, seed: int = 42,
-                 layers=None, rows_per_block: int = 8192, rows_per_task: int = 1 << 14) -> list[tuple[np.ndarray, np.ndarray]] | None:
+                 layers=None, rows_per_block: int = 1 << 16, rows_per_task: int = 1 << 14) -> list[tuple[np.ndarray, np.ndarray]] | None:
     """Full-batch gradient descent; None with fewer than three rows.
 
-    Up to ``rows_per_task`` rows are one task's work: it holds them and takes all steps without a job per epoch. More rows are packed once into blocks that stay cached on the executors; every epoch sends the weights out and
-    adds up one gradient per partition. Only the gradient sum, whose size is that of the model, reaches the driver.
+    Up to ``rows_per_task`` rows are one task's work: it holds them and takes all steps without a job per epoch. More rows are packed once into blocks that stay cached on the executors; every epoch is one job of plain tasks
+    that sends the weights out and adds up one gradient per partition. At most ``SUMS`` gradients, each of the size of the model, reach the driver.
     """
     d = features.select(F.col(x).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y")).where(F.col("x").isNotNull())
     head = d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("w")).collect()[0]
     n, width = head["n"], head["w"]
     if n < K.MIN_RATINGS_TO_TRAIN:
         return None
-    parts = max(1, -(-n // rows_per_block))
+    # every core gets as many blocks as any other
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    parts = -(-n // (rows_per_block * cores)) * cores
     packed = T.StructType([T.StructField("x", T.BinaryType()), T.StructField("y", T.BinaryType())])
 
     def pack(batches):
@@ -180,35 +185,21 @@ def train_layers(features: DataFrame, x: str, y: str, hidden: Sequence[int] = (6
         flat = np.frombuffer(d.coalesce(1).mapInPandas(all_epochs, _SUM).collect()[0]["g"])
         # a step of minus one from zero is the weights themselves
         return _step([(np.zeros_like(w), np.zeros_like(b)) for w, b in layers], flat, -1.0)
-    blocks = d.repartition(parts).mapInPandas(pack, packed).persist()
-    groups = int(np.ceil(np.sqrt(parts)))
-
-    def add(batches):
-        total = 0.0
-        for pdf in batches:
-            for g in pdf["g"]:
-                total = total + np.frombuffer(g)
-        if not np.isscalar(total):
-            yield pd.DataFrame({"g": [total.tobytes()]})
-
+    blocks = d.repartition(parts).mapInPandas(pack, packed).rdd.map(lambda r: (bytes(r["x"]), bytes(r["y"]))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(epochs):
             current = layers
 
-            def gradient(batches):
+            def gradient(held):
                 total = 0.0
-                for pdf in batches:
-                    for bx, by in zip(pdf["x"], pdf["y"]):
-                        yy = np.frombuffer(by)
-                        total = total + _gradient(current, np.frombuffer(bx).reshape(len(yy), -1), yy, n)
+                for bx, by in held:
+                    yy = np.frombuffer(by)
+                    total = total + _gradient(current, np.frombuffer(bx).reshape(len(yy), -1), yy, n)
                 if not np.isscalar(total):
-                    yield pd.DataFrame({"g": [total.tobytes()]})
+                    yield total
 
-            sums = blocks.mapInPandas(gradient, _SUM)
-            if groups > 1:
-                sums = sums.repartition(groups).mapInPandas(add, _SUM)
-            flat = sum(np.frombuffer(r["g"]) for r in sums.collect())
-            layers = _step(layers, flat, lr)
+            sums = blocks.mapPartitions(gradient)
+            layers = _step(layers, sums.treeReduce(np.add) if parts > SUMS else sum(sums.collect()), lr)
     finally:
         blocks.unpersist()
     return layers
