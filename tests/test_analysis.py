@@ -2,6 +2,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from tonegrid.constants import NOTE_NAMES
+from tonegrid.functions.arrays import detect_key
 from tonegrid.operators.analysis import analyse_songs, nest_songs
 
 FRAMES = "song_id string, frame long, rms double, mfcc array<double>, chroma array<double>, centroid double, vocals double, drums double, key_chroma array<double>"
@@ -37,3 +39,12 @@ def test_song_records(spark):
 def test_no_songs(spark):
     parts = analyse_songs(spark.createDataFrame([], FRAMES), spark.createDataFrame([], BEATS), ["song_id"])
     assert nest_songs(parts, ["song_id"]).count() == 0
+
+
+def test_keys_six_semitones_apart_tie(spark):
+    # equal halves fit a root and the one six above it alike; these lay on either side of a twelfth decimal
+    halves = [[0.68351, 0.8284000000000001, 1.26307, 0.8497600000000002, 1.26307, 0.8284000000000001], [0.9656133333333333, 1.1757199999999999, 1.38312, 1.5130933333333332, 1.38312, 1.1757199999999999],
+              [1.0519433333333332, 1.2011466666666666, 0.6966766666666667, 0.7522933333333333, 0.6966766666666667, 1.2011466666666666], [1.23962, 1.4231333333333334, 0.9639933333333334, 0.68908, 0.9639933333333334, 1.4231333333333334]]
+    d = spark.createDataFrame([(h + h,) for h in halves], "c array<double>")
+    roots = [r.key.split()[0] for r in d.select(detect_key(F.col("c"))["key"].alias("key")).collect()]
+    assert set(roots) <= set(NOTE_NAMES[:6])

@@ -75,7 +75,7 @@ def chroma_compatibility(a: Column, b: Column, otherwise: Column) -> Column:
 
 
 def detect_key(chroma: Column) -> Column:
-    """struct(key, corr): best of 24 rotated key profiles; root-major before root-minor, first wins."""
+    """struct(key, corr): best of 24 rotated key profiles; root-major before root-minor, the first wins among those within 1e-9 of the best."""
     from tonegrid.constants import MAJOR_PROFILE, MINOR_PROFILE, NOTE_NAMES
 
     def unit(p):
@@ -84,18 +84,16 @@ def detect_key(chroma: Column) -> Column:
         return [(v - m) / size for v in p]
 
     modes = [("major", unit(MAJOR_PROFILE)), ("minor", unit(MINOR_PROFILE))]
-    table = F.array(*[F.struct(F.lit(f"{NOTE_NAMES[r]} {mode}").alias("key"), F.lit(-(2 * r + i)).alias("rank"),
-                               F.array(*[F.lit(z[(p - r) % 12]) for p in range(12)]).alias("z"))
-                      for r in range(12) for i, (mode, z) in enumerate(modes)])
+    table = F.array(*[F.struct(F.lit(f"{NOTE_NAMES[r]} {mode}").alias("key"), F.array(*[F.lit(z[(p - r) % 12]) for p in range(12)]).alias("z"))
+                      for r in range(12) for mode, z in modes])
 
     def fit(c, size):
-        fits = F.transform(table, lambda t: F.struct(
-            F.round(_sum(F.zip_with(c, t["z"], lambda x, y: x * y)) / size, 12).alias("corr"), t["rank"].alias("rank"),
-            t["key"].alias("key")))
-        return F.when(size > 0, F.array_max(fits))
+        fits = F.transform(table, lambda t: F.struct((_sum(F.zip_with(c, t["z"], lambda x, y: x * y)) / size).alias("corr"), t["key"].alias("key")))
+        first = lambda f: let(F.array_max(F.transform(f, lambda x: x["corr"])), lambda top: F.get(F.filter(f, lambda x: x["corr"] >= top - 1e-9), F.lit(0)))
+        return F.when(size > 0, let(fits, first))
 
     best = let(_centred(chroma), lambda c: let(norm(c), lambda size: fit(c, size)))
-    return F.struct(F.coalesce(best["key"], F.lit("C major")).alias("key"), best["corr"].alias("corr"))
+    return F.struct(F.coalesce(best["key"], F.lit("C major")).alias("key"), F.round(best["corr"], 12).alias("corr"))
 
 
 def simple_key(chroma: Column) -> Column:

@@ -70,7 +70,7 @@ def _(t):
  left join (select song_id, case when x<70 then x*2 when x>180 then x/2 else x end as tempo from (select song_id, 60e0/nullif(quantile_cont(d,0.5),0) as x from (select *, t-lag(t) over(partition by song_id order by beat_idx) as d from beats) i group by 1) q) a using(song_id)
  left join (select song_id, count(*) as n_beats from beats group by 1) b using(song_id) left join (select song_id, avg(e) as e from cv group by 1) c using(song_id)
  left join (select song_id, count(*) as n_phrases, bool_or(energy>0.03) as strong from ph group by 1) p using(song_id)
- left join (select song_id, list_extract({NAMES}, cast(root+1 as int)) || case when mode=0 then ' major' else ' minor' end as key from (select *, row_number() over(partition by song_id order by round(r,12) desc, root*2+mode) as rn from fit) q where rn=1) k using(song_id)
+ left join (select song_id, list_extract({NAMES}, cast(root+1 as int)) || case when mode=0 then ' major' else ' minor' end as key from (select *, row_number() over(partition by song_id order by root*2+mode) as rn from (select *, max(r) over(partition by song_id) as top from fit) f where coalesce(r>=top-1e-9,true)) q where rn=1) k using(song_id)
  left join (select song_id, cast(count(*) as int) as n_sections, string_agg(classification, '/' order by section_idx) as labels from cl group by 1) s using(song_id)""", **PARTS,
     kc="select song_id, i, avg(((frame*7+i*i+song_id)%12)*rms) as v from frames, (select unnest(range(12)) as i) i where stem='other' group by 1,2",
     fit=f"select c.song_id, t.root, m.mode, corr(c.v, list_extract(case when m.mode=0 then {MAJ} else {MIN} end, cast((c.i-t.root+12)%12+1 as int))) as r from kc c, range(0,12) t(root), range(0,2) m(mode) group by 1,2,3"))
