@@ -355,3 +355,6 @@ def test_licences_inside_longer_texts(spark):
     found = sorted((r["doc_id"], r["unit"], r["place"], r["licence"], round(r["dice"], 6)) for r in got)
     assert found == [(1, "window", 5, "MIT", 1.0), (2, "window", 6, "MIT", 1.0), (3, "window", 7, "Apache-2.0", 1.0), (4, "line", 1, "MIT", 1.0)]
     assert license_scan.scan(frame(spark, []), windows=True).count() == 0
+    # all texts are searched for needles once, before the two kinds of units part
+    searched = [license_scan.scan(frame(spark, rows), windows=w)._jdf.queryExecution().optimizedPlan().toString().count(" OR Contains(") > 0 for w in (False, True)]
+    assert searched == [True, False]

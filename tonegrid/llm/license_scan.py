@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegrid.llm.common import whole
+from tonegrid.session import materialize
 
 #: Fixed texts: notices by which works are put under common licences, as their publishers word them.
 TEMPLATES = [
@@ -84,7 +85,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     that can still reach ``least``: smaller / larger >= least / (2 - least). Per unit and licence the best template
     counts. Texts without any bigram that a match must have are not split at all. Null and empty texts and units of one
     word match nothing; repeated rows are scanned one by one. The templates are a fixed list of literals; no row moves.
-    With ``windows``, notices inside something longer are found too: see ``window_rows``.
+    With ``windows``, notices inside something longer are found too: see ``window_rows``. The texts with such a bigram are
+    then written once, so that all texts are searched once for both.
     """
     sets = template_sets(templates)
     table = F.array(*[F.struct(F.lit(name).alias("licence"), F.array(*map(F.lit, pairs)).alias("pairs"), F.lit(len(pairs)).alias("size")) for name, pairs in sets])
@@ -93,6 +95,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     # one element, so that the normalised text is made once for all needles
     likely = F.exists(F.array(normal), lambda t: functools.reduce(lambda a, b: a | b, [t.contains(n) for n in needles(sets, least)]))
     rows = docs.where(likely).select(F.col(id_col).alias("_id"), text.alias("_text"))
+    if windows:
+        rows = materialize(rows, "licence-texts")
     several = F.filter(F.transform(F.split("_text", r"\n[ \t\r]*\n"), lambda p, i: F.struct(F.lit("paragraph").alias("unit"), (i + 1).alias("place"), p.alias("text"))), lambda p: p["text"].contains("\n"))
     lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(F.lit("line").alias("unit"), (i + 1).alias("place"), x.alias("text")))
     units = rows.select("_id", F.explode(F.concat(lines, several)).alias("_u")).withColumn("_words", normal_words(F.col("_u.text")))
