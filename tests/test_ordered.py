@@ -125,6 +125,15 @@ def test_spaced_points(spark):
             assert sorted(got[got.k == k].p) == want, (k, gap)
 
 
+def test_short_series_are_spaced_without_python(spark):
+    d = spark.range(4000).selectExpr("id div 4 as k", "(id % 4) * 5 as p")
+    got = spaced_points(d, ["k"], "p", 6.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # step tables and their chain, both of series of several chunks only; the picks themselves are columns
+    assert plan.count("FlatMapGroupsInPandas") == 2 and "LeftSemi" in plan
+    assert {(r.p, r["count"]) for r in got.groupBy("p").count().collect()} == {(0, 1000), (10, 1000)}
+
+
 def test_bridge_and_drop_like_the_loop(spark):
     rng = np.random.default_rng(2)
     data = {f"v{i}": (rng.random(rng.integers(1, 40)) > 0.6) for i in range(200)}

@@ -3,7 +3,7 @@
 The rule is sequential: a point is taken when it lies at least ``gap`` behind the last taken one. A
 chunk is summed up as a small step table "first allowed position on entry -> first allowed position
 on exit"; chaining these tables (one row per chunk) gives every chunk its entry state, after which
-the chunks are picked independently.
+the chunks are picked independently. A series within one chunk has no step table and never leaves the JVM.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ def spaced_points(points: DataFrame, keys: Sequence[str], pos: str, gap: float,
         raise ValueError("a chunk must be at least as wide as the gap")
     d = (points.select(*keys, F.col(pos).cast("double").alias("_p")).distinct()
          .withColumn("_chunk", F.floor(F.col("_p") / width).cast("bigint")))
-    d = materialize(d, "spaced-points")
+    d = materialize(d.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list("_p")).alias("_ps")), "spaced-points")
+    # a series within one chunk has no state to hand on
+    several = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
     key_fields = [f for f in d.schema.fields if f.name in keys]
     names = list(keys)
 
     def step_table(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(pdf["_p"].to_numpy())
+        p = np.asarray(pdf["_ps"].iloc[0])
         nxt = _chain(p, gap)
         last = np.arange(len(p))
         for i in range(len(p) - 1, -1, -1):
@@ -49,7 +51,7 @@ def spaced_points(points: DataFrame, keys: Sequence[str], pos: str, gap: float,
         row = {n: [pdf[n].iloc[0]] for n in [*names, "_chunk"]}
         return plain(pd.DataFrame({**row, "_upto": [p[:k][edge].tolist()], "_exit": [out[edge].tolist()]}))
 
-    steps = d.groupBy(*keys, "_chunk").applyInPandas(step_table, T.StructType([
+    steps = d.join(several, names, "left_semi").groupBy(*keys, "_chunk").applyInPandas(step_table, T.StructType([
         *key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_upto", T.ArrayType(T.DoubleType())),
         T.StructField("_exit", T.ArrayType(T.DoubleType()))]))
 
@@ -66,15 +68,11 @@ def spaced_points(points: DataFrame, keys: Sequence[str], pos: str, gap: float,
     entry = steps.groupBy(*keys).applyInPandas(entries, T.StructType([
         *key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_entry", T.DoubleType())]))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(pdf["_p"].to_numpy())
-        i, taken = int(np.searchsorted(p, pdf["_entry"].iloc[0], side="left")), []
-        while i < len(p):
-            taken.append(p[i])
-            i = int(np.searchsorted(p, p[i] + gap, side="left"))
-        return plain(pd.DataFrame({**{n: [pdf[n].iloc[0]] * len(taken) for n in names}, "_p": taken}))
+    def pick(state, p):
+        taken = F.struct((p + gap).alias("next"), F.concat(state["taken"], F.array(p)).alias("taken"))
+        return F.when(p >= state["next"], taken).otherwise(state)
 
-    picked = d.join(entry, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(
-        pick, T.StructType([*key_fields, T.StructField("_p", T.DoubleType())]))
+    first = F.struct(F.coalesce("_entry", F.lit(float("-inf"))).alias("next"), F.array().cast("array<double>").alias("taken"))
+    picked = d.join(entry, [*keys, "_chunk"], "left").select(*keys, F.explode(F.aggregate("_ps", first, pick, lambda state: state["taken"])).alias("_p"))
     kind = dict(points.dtypes)[pos]
     return picked.select(*keys, F.col("_p").cast(kind).alias(pos))
