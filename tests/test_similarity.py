@@ -109,3 +109,24 @@ def test_next_song_by_key_profiles(spark):
     for i, rows in got.groupby("song_id"):
         want = sorted((-round(0.5 * e[i] @ e[j] + 0.3 * key(i, j) + 0.2, 9), j) for j in range(30) if j != i)[:2]
         assert rows.sort_values("score", ascending=False).next_id.tolist() == [j for _, j in want]
+
+
+def test_only_pairs_that_can_reach_a_list_are_scored():
+    """Two parts of the score are bounded: a product too low for the floor is never scored, and few products are held at once."""
+    rng = np.random.default_rng(2)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 1500, 32)))
+    extra, other = rng.random(1500), rng.random(1500)
+    scored = []
+
+    def score(q, b, row, col, dots, least):
+        scored.append(len(row))
+        return 0.5 * dots + 0.5 * (1 - np.abs(q["e"].to_numpy()[row] - b["e"].to_numpy()[col]))
+
+    hits = balls._hits(pd.DataFrame({"e": extra}), pd.DataFrame({"e": other}), x, y, np.full(1500, -np.inf), 3, score, lambda dots: 0.5 * dots + 0.5)
+    row, col, value = (np.concatenate(p) for p in zip(*hits))
+    whole = 0.5 * (x @ y.T) + 0.5 * (1 - np.abs(extra[:, None] - other[None, :]))
+    best = np.argsort(-whole, axis=1)[:, :3]
+    found = set(zip(row.tolist(), col.tolist()))
+    assert all((i, j) in found for i in range(1500) for j in best[i].tolist())
+    assert np.allclose(value, whole[row, col], atol=1e-12)
+    assert max(scored) <= balls.SCORED and sum(scored) < 0.25 * whole.size

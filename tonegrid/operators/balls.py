@@ -30,6 +30,8 @@ GROWTH = 16
 COPY = 1024
 # an angle bound is loosened by this much so rounding can never hide a match
 SLACK = 1e-6
+#: Products that are held at once, pairs that are scored at once, pairs that give a query its first floor.
+CELLS, SCORED, SEEDS = 1 << 19, 1 << 16, 64
 
 STATE = "node long, block long, idx array<int>, rep array<long>, match array<long>, score array<double>, floors array<double>, floor double"
 
@@ -187,6 +189,54 @@ def _floors(idx, score, n, want):
     return np.where(counts >= want, low, -np.inf)
 
 
+def _below(edge: np.ndarray, bound: Callable, reach: float) -> np.ndarray:
+    """Products at most ``reach`` in size whose highest score is just too low for each edge."""
+    low, high = np.full(len(edge), -reach), np.full(len(edge), reach)
+    for _ in range(40):
+        mid = (low + high) / 2
+        enough = bound(mid) >= edge
+        low, high = np.where(enough, low, mid), np.where(enough, mid, high)
+    return np.where(bound(np.full(len(edge), -reach)) >= edge, -np.inf, low)
+
+
+def _hits(qx: pd.DataFrame, by: pd.DataFrame, x: np.ndarray, y: np.ndarray, floors: np.ndarray, want: int, score: Callable, bound: Callable):
+    """Pairs of two blocks that may be among the best: row, col, score, for a few rows at a time.
+
+    Only pairs whose product alone lets them reach the floor are scored. A row without a floor gets one from its pairs
+    of highest product.
+    """
+    def scored(row, col, dots, least):
+        cuts = [slice(c, c + SCORED) for c in range(0, len(row), SCORED)]
+        return np.concatenate([np.zeros(0), *[score(qx, by, row[c], col[c], dots[c], least[c]) for c in cuts]])
+
+    step = max(1, CELLS // max(1, len(y)))
+    longest = lambda v: np.nan_to_num(np.linalg.norm(v, axis=1)).max(initial=0.0)
+    reach = longest(x) * longest(y) * (1 + 1e-9) + 1e-9
+    for top in range(0, len(x) if len(y) else 0, step):
+        dots = x[top:top + step] @ y.T
+        edge = floors[top:top + step].copy()
+        if len(bare := np.flatnonzero(edge == -np.inf)):
+            few, keep = min(max(SEEDS, want), len(y)), min(want, len(y))
+            col = np.argpartition(-dots[bare], few - 1, axis=1)[:, :few].ravel()
+            row = np.repeat(bare, few)
+            seeds = np.nan_to_num(scored(row + top, col, dots[row, col], np.full(len(row), -np.inf)), nan=-np.inf).reshape(-1, few)
+            edge[bare] = -np.partition(-seeds, keep - 1, axis=1)[:, keep - 1]
+        edge = np.maximum(edge - 1e-9, np.finfo(float).min)
+        row, col = np.divmod(np.flatnonzero(dots >= _below(edge - 1e-9, bound, reach)[:, None]), len(y))
+        value = scored(row + top, col, dots[row, col], edge[row])
+        good = value >= edge[row]
+        yield row[good] + top, col[good], value[good]
+
+
+def _named(ids: pa.Array, reps: np.ndarray, row, col, value, want):
+    """Hits as query index, query, match and score, the ``want`` best of every query; a base row stands for a few equal ones."""
+    sizes = np.diff(ids.offsets.to_numpy())[col]
+    starts = ids.offsets.to_numpy()[:-1][col] - ids.offsets[0].as_py()
+    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    idx = np.repeat(row, sizes).astype(np.int32)
+    return _trim(idx, reps[idx], ids.flatten().to_numpy()[at], np.repeat(np.round(value, 9), sizes), want)
+
+
 def _state(node, block, found, floors) -> pa.Table:
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64())
     lists = [pa.array([x], pa.list_(k)) for x, k in zip(found, kinds, strict=True)]
@@ -202,7 +252,8 @@ def search(asking: DataFrame, base: DataFrame, want: int, extra: Sequence[str],
     """Best ``want`` matches of every query vector: ``rep``, ``match``, ``score`` (equal scores by lower match).
 
     ``asking`` has the payload ``rep``, ``base`` the payload ``ids`` (equal vectors' ids, lowest first), both the ``extra``
-    columns. ``lowest(found)``, if given, is a score that no other pair has to be below to be of use. The driver holds
+    columns. ``score(q, b, row, col, dots, least)`` scores pairs of rows of two frames of
+    these; a pair that cannot reach its ``least`` may get any lower score. ``lowest(found)``, if given, is a score that no other pair has to be below to be of use. The driver holds
     the number of nodes and that score. ``trace`` gathers the node pairs of every round.
     """
 
@@ -224,21 +275,9 @@ def search(asking: DataFrame, base: DataFrame, want: int, extra: Sequence[str],
             for j in np.argsort(-ub, kind="stable"):
                 if ub[j] < floors.min() - 1e-9:
                     break
-                y = _list(right, "vecs", j).to_numpy().reshape(-1, w)
-                s = score(qx, frames(right, j), x @ y.T)
-                edge = floors.copy()
-                if len(bare := np.flatnonzero(edge == -np.inf)):  # no floor yet: the best few of this block
-                    keep = min(want, s.shape[1])
-                    edge[bare] = -np.partition(-s[bare], keep - 1, axis=1)[:, keep - 1]
-                row, col = np.nonzero(s >= np.maximum(edge - 1e-9, np.finfo(float).min)[:, None])
-                value = np.round(s[row, col], 9)
-                ids = _list(right, "ids", j)
-                sizes = np.diff(ids.offsets.to_numpy())[col]  # a base row stands for a few equal ones
-                starts = ids.offsets.to_numpy()[:-1][col] - ids.offsets[0].as_py()
-                at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                idx = np.repeat(row, sizes).astype(np.int32)
-                new = (idx, reps[idx], ids.flatten().to_numpy()[at], np.repeat(value, sizes))
-                found = _trim(*(np.concatenate(p) for p in zip(found, new, strict=True)), want)
+                y, by, ids = _list(right, "vecs", j).to_numpy().reshape(-1, w), frames(right, j), _list(right, "ids", j)
+                new = [_named(ids, reps, *hit, want) for hit in _hits(qx, by, x, y, floors, want, score, bound)]
+                found = _trim(*(np.concatenate(p) for p in zip(found, *new, strict=True)), want)
                 floors = np.maximum(before, _floors(found[0], found[3], n, want))
             if len(found[0]):
                 out.append(_state(left.column("node")[i].as_py(), left.column("block")[i].as_py(), found, floors))

@@ -33,8 +33,9 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
     """Best ``k`` base rows per query by vector score: id, match, score.
 
     Both inputs carry ``id`` (bigint) and ``vec`` (array<double>) plus ``extra`` columns. Only vectors of one width
-    meet. ``score(q, b, dots)`` turns a block of dot products into scores (default: the dot product; minus infinity is
-    no match) and ``bound(dot)`` is the highest score any pair with at most that dot product may have. Scores are
+    meet. ``score(q, b, row, col, dots, least)`` gives the scores of pairs from their dot products and their rows in two frames of
+    the ``extra`` columns (default: the dot product; minus infinity is no match; below ``least`` any lower score will do), and ``bound(dots)`` is the highest score
+    any pair with at most that dot product may have: only pairs that can reach a list are scored. Scores are
     compared at nine decimals, equal ones go to the lower match id. ``skip_same`` leaves out a row
     matching its own id. With ``global_top`` only pairs that can reach the overall best ``k`` are
     searched and lists may be incomplete below that. ``trace`` gathers the node pairs that were searched.
@@ -51,7 +52,7 @@ def top_matches(queries: DataFrame, base: DataFrame, k: int, extra: Sequence[str
         best = other.orderBy(F.desc("score")).limit(2 * k).collect()  # 2k rows: a pair may be seen from both ends
         return best[-1]["score"] if len(best) == 2 * k else float("-inf")
 
-    found = balls.search(asking, packed, want, extra, score or (lambda q, b, dots: dots), bound or (lambda dot: dot), kth if global_top else None, trace)
+    found = balls.search(asking, packed, want, extra, score or (lambda q, b, row, col, dots, least: dots), bound or (lambda dot: dot), kth if global_top else None, trace)
     per_query = q.join(reps, ["_h", *features]).select("id", "rep").join(found, "rep").drop("rep")
     if skip_same:
         per_query = per_query.where(F.col("id") != F.col("match"))
@@ -89,7 +90,7 @@ def best_match(emb: DataFrame, song_id: str = "song_id", embedding: str = "embed
 
 
 def _tempo_scores(ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
-    hi, low = np.maximum(ta[:, None], tb[None, :]), np.minimum(ta[:, None], tb[None, :])
+    hi, low = np.maximum(ta, tb), np.minimum(ta, tb)
     r = hi / np.maximum(low, 1.0)
     a, b, double, _ = K.TEMPO_DOUBLE
     steps = [(r < below, s) for below, s, _ in K.TEMPO_STEPS]
@@ -97,22 +98,24 @@ def _tempo_scores(ta: np.ndarray, tb: np.ndarray) -> np.ndarray:
     return np.select([c for c, _ in steps], [s for _, s in steps], K.TEMPO_FAR[0])
 
 
-def _chroma_scores(a: pd.Series, b: pd.Series, fallback: np.ndarray) -> np.ndarray:
-    """Rotation-invariant correlation score where both sides have twelve values."""
-    ok_a, ok_b = (np.array([v is not None and len(v) == 12 for v in s]) for s in (a, b))
-    if not ok_a.any() or not ok_b.any():
-        return fallback
-
-    def units(s, ok):
-        m = np.array([v for v, o in zip(s, ok) if o], dtype=np.float64)
+def _chroma_scores(a: pd.Series, b: pd.Series, row: np.ndarray, col: np.ndarray, fallback: np.ndarray) -> np.ndarray:
+    """Rotation-invariant correlation score of pairs of rows where both sides have twelve values."""
+    def units(s, used):
+        used, at = np.unique(used, return_inverse=True)
+        ok = np.array([v is not None and len(v) == 12 for v in s.iloc[used]], dtype=bool)
+        m = np.full((len(used), 12), np.nan)
+        if ok.any():
+            m[ok] = np.array([v for v, o in zip(s.iloc[used], ok) if o], dtype=np.float64)
         m = m - m.mean(axis=1, keepdims=True)
         size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.where(size > 0, m / np.where(size > 0, size, 1.0), np.nan)
+        return np.where(size > 0, m / np.where(size > 0, size, 1.0), np.nan), ok, at
 
-    ua, ub = units(a, ok_a), units(b, ok_b)
-    best = np.max([ua @ np.roll(ub, s, axis=1).T for s in range(12)], axis=0)
+    (ua, ok_a, at_a), (ub, ok_b, at_b) = units(a, row), units(b, col)
     out = fallback.copy()
-    out[np.ix_(ok_a, ok_b)] = np.nan_to_num(np.clip((best + 0.5) / 1.5, 0.0, 1.0), nan=0.0)
+    both = np.flatnonzero(ok_a[at_a] & ok_b[at_b])
+    left, right = ua[at_a[both]], ub[at_b[both]]
+    best = np.max([(left * np.roll(right, s, axis=1)).sum(axis=1) for s in range(12)], axis=0)
+    out[both] = np.nan_to_num(np.clip((best + 0.5) / 1.5, 0.0, 1.0), nan=0.0)
     return out
 
 
@@ -134,12 +137,16 @@ def next_song(songs: DataFrame, emb: DataFrame, ids: DataFrame | None = None, k:
                  (F.col("tempo").isNotNull() | F.col("key").isNotNull()).alias("known"), "chroma")
     table = np.array([K.INTERVAL_SCORES[i] for i in range(12)])
 
-    def score(q, b, dots):
-        interval = np.abs(q["root"].to_numpy()[:, None] - b["root"].to_numpy()[None, :]) % 12
-        key = _chroma_scores(q["chroma"], b["chroma"], table[interval])
-        tempo = _tempo_scores(q["tempo"].to_numpy(), b["tempo"].to_numpy())
-        both = q["known"].to_numpy()[:, None] & b["known"].to_numpy()[None, :]
-        return 0.5 * dots + np.where(both, 0.3 * key + 0.2 * tempo, 0.25)
+    def score(q, b, row, col, dots, least):
+        of = lambda c, at: (q[c].to_numpy()[row[at]], b[c].to_numpy()[col[at]])
+        known, also = of("known", slice(None))
+        both = known & also
+        out = 0.5 * dots + np.where(both, 0.2 * _tempo_scores(*of("tempo", slice(None))), 0.25)
+        # keys are compared where the best key score would do
+        near = np.flatnonzero(both & (out + 0.3 >= least - 1e-9))
+        root, other = of("root", near)
+        out[near] += 0.3 * _chroma_scores(q["chroma"], b["chroma"], row[near], col[near], table[np.abs(root - other) % 12])
+        return out
 
     asked = s if ids is None else s.join(ids.select(F.col("song_id").cast("bigint").alias("id")), "id", "left_semi")
     m = top_matches(asked, s, k, ["tempo", "root", "known", "chroma"], score, lambda dot: 0.5 * dot + 0.5, skip_same=True, **opts)

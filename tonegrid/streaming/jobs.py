@@ -74,7 +74,7 @@ def stream_best_match(stream: DataFrame, emb_path: str, out_path: str, embed: Ca
         # stored songs came before any of the batch
         placed = lambda d, at: d.where(F.col("embedding").isNotNull()).select(F.col("song_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), at.alias("came"))
         asked = placed(new, F.col("song_id"))
-        earlier = lambda q, b, dots: np.where(b["came"].to_numpy()[None, :] < q["came"].to_numpy()[:, None], dots, -np.inf)
+        earlier = lambda q, b, row, col, dots, least: np.where(b["came"].to_numpy()[col] < q["came"].to_numpy()[row], dots, -np.inf)
         m = top_matches(asked, asked.unionByName(placed(known, F.lit(-(1 << 62)))), 1, ["came"], earlier).where(F.col("score") > float("-inf"))
         res = new.select(F.col("song_id").alias("id")).join(m, "id", "left").select(F.col("id").alias("song_id"), F.col("match").alias("match_id"), F.col("score").alias("similarity"))
         res.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
