@@ -135,3 +135,22 @@ def test_recommendation_on_its_threshold(spark, tmp_path):
     same(spark, tmp_path, "b18_recommend", lineitem=lines(rows))
     got = plans.queries()["b18_recommend"](spark, str(tmp_path))
     assert got.where("dimension = 'beat_coherence'").count() == 0
+
+
+def bars_on_the_limit(n=60):
+    """Nine bars a song, every second one of the same four frames in any order: the upper quartile lies among the equal ones."""
+    import random
+
+    values, songs = [], []
+    for song in range(n):
+        for bar in range(9):
+            four = [3.1, 0.2, 0.3, 0.7] if bar % 2 else [0.01 * bar, 0.02, 0.03, 0.04]
+            random.Random(song * 100 + bar).shuffle(four)
+            values, songs = values + four, songs + [song] * 4
+    return events(values) | {"user_id": songs}
+
+
+def test_sweeps_before_bars_on_the_limit(spark, tmp_path):
+    same(spark, tmp_path, "h07_sweep_schedule", events=bars_on_the_limit())
+    got = plans.queries()["h07_sweep_schedule"](spark, str(tmp_path)).select("song_id", "drop_bar").distinct()
+    assert sorted(map(tuple, got.collect())) == [(song, bar) for song in range(60) for bar in (1, 3, 5, 7)]
