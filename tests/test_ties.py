@@ -154,3 +154,8 @@ def test_sweeps_before_bars_on_the_limit(spark, tmp_path):
     same(spark, tmp_path, "h07_sweep_schedule", events=bars_on_the_limit())
     got = plans.queries()["h07_sweep_schedule"](spark, str(tmp_path)).select("song_id", "drop_bar").distinct()
     assert sorted(map(tuple, got.collect())) == [(song, bar) for song in range(60) for bar in (1, 3, 5, 7)]
+
+
+def test_drops_of_bars_on_the_limit(spark, tmp_path):
+    same(spark, tmp_path, "e18_drop_starts", events=bars_on_the_limit())
+    assert plans.queries()["e18_drop_starts"](spark, str(tmp_path)).count() == 60 * 4
