@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tonegrid.operators import learning as R
 
 
@@ -48,3 +50,39 @@ def test_an_epoch_is_one_job(spark):
     jobs(1, "epochs-first")
     assert jobs(4, "epochs-more") - jobs(1, "epochs-few") == 3
     df.unpersist()
+
+
+def test_equal_times_give_the_same_rating_in_any_order(spark):
+    rows = [(1, "t", 3), (1, "t", 5), (1, "s", 4)]
+    got = [[tuple(r) for r in R.latest_ratings(spark.createDataFrame(x, "mix_id long, rated_at string, rating int").coalesce(1)).collect()] for x in (rows, rows[::-1])]
+    assert got == [[(1, "t", 5)]] * 2
+
+
+def test_few_neighbors_do_not_shuffle_the_mixes(spark):
+    mixes = spark.range(200_000).select(F.col("id").alias("mix_id"), F.lit(0).alias("song_a"), F.lit(1).alias("song_b"), (F.col("id") % 5).alias("rating"))
+    # as after a search, whose size no plan knows
+    near = spark.range(10).select(F.col("id").alias("pair_id"), F.col("id").alias("mix_id"), F.lit(1.0).alias("similarity")).mapInPandas(
+        lambda batches: batches, "pair_id long, mix_id long, similarity double").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+        found = R.rated_neighbors(near, mixes)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert found.count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_half_a_key_goes_to_the_even_one_in_any_order(spark):
+    """Six shifts that average -2.5 with weights whose sums are off by a last digit in some orders."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for pair in range(300):
+        for shift, weight in zip((-4, -1, -5, 0, -3, -2), np.repeat(rng.random(3), 2), strict=True):
+            rows.append((pair, float(weight), 5, "a_vocals", shift, 0.1, 0.1, 0.3, -18.0))
+    rng.shuffle(rows)
+    schema = "pair_id long, similarity double, rating int, direction string, key_shift int, vox_rms double, inst_rms double, duck_depth double, comp_threshold double"
+    rows = [(int(p), float(s), int(r), d, int(k), *map(float, more)) for p, s, r, d, k, *more in rows]
+    got = R.weighted_suggestion(spark.createDataFrame(rows, schema)).select("key_shift").distinct().collect()
+    assert [r.key_shift for r in got] == [-2]

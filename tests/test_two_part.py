@@ -76,3 +76,16 @@ def test_own_history_counts_without_vectors(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (2, 8, 9)], "pair_id long, song_a long, song_b long")
     got = {r.pair_id: (r.direction, r.vox_rms) for r in R.suggest_params(pairs, rated, emb).collect()}
     assert got[1][0] == "a_vocals" and abs(got[1][1] - 0.1) < 1e-12 and got[2] == ("b_vocals", None)
+
+
+def test_cells_meet_their_songs_without_a_join_of_their_own(spark, small):
+    """Apart from the few names and jobs, which are copied, cells, songs and queries are joined with nothing."""
+    emb, asked, mixes, _ = tables(spark)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, song_a long, song_b long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = two_part.nearest_pairs(frame(asked), frame(mixes), emb, 3)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sum("Join " in line for line in plan.splitlines()) <= 4
