@@ -112,3 +112,13 @@ def test_sections_like_a_plain_loop(spark):
     got = L.place_sections(spark.createDataFrame(vox, sec), spark.createDataFrame(beat, sec),
                            spark.createDataFrame(mixes, "pair long, bar_s double, region_start double, total_s double, vocal_samples long, stretch double"), "pair", sr=10)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_mixes_share_python_calls(spark):
+    bars = spark.createDataFrame([(m, b, "drop") for m in range(3) for b in range(40 if m else 5)], "pair long, bar long, label string")
+    phrases = spark.createDataFrame([(m, i, i * 4.0, 2.0, 0.1 * i) for m in range(4) for i in range(5)], "pair long, phrase_idx long, start_time double, duration double, energy double")
+    got = L.place_phrases(phrases, bars, "pair", 2.0)
+    assert "CoGroup" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(tuple(r)[:3] for r in got.collect())
+    # a mix of five bars and one without any take the loudest phrase
+    assert [r for r in rows if r[0] in (0, 3)] == [(0, 4, 0), (3, 4, 0)] and [r for r in rows if r[0] == 1] == [(1, 0, 8), (1, 1, 16), (1, 2, 24), (1, 3, 10), (1, 4, 12)]

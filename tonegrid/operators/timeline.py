@@ -296,32 +296,44 @@ def place_phrases(phrases: DataFrame, bars: DataFrame, pair: str, bar_s: float)
     """Phrases on an 8-bar grid of the beat, in song order, never overlapping: pair, phrase_idx, bar, type.
 
     ``phrases``: pair, phrase_idx, start_time, duration, energy; ``bars``: pair, bar, label. Every choice depends on all
-    earlier ones of its mix, so one task handles the bar line of one pair, a few bytes per bar; pairs run in parallel.
+    earlier ones of its mix, so a mix is one row, a few bytes per bar and phrase; mixes run in parallel, and one Arrow
+    batch takes many.
     """
-    p = label_phrases(phrases, [pair]).select(pair, "phrase_idx", "start_time", "duration", "energy", "type")
-    b = bars.select(pair, "bar", "label")
-    key = [f for f in p.schema.fields if f.name == pair][0]
-    out = T.StructType([key, T.StructField("phrase_idx", T.LongType()), T.StructField("bar", T.LongType()), T.StructField("type", T.StringType())])
     names = [*dict.fromkeys([*K.PHRASE_FALLBACK, *sum(K.PHRASE_PREFERENCES.values(), []), "breakdown"])]
     ranks = {}
     for kind, liked in K.PHRASE_PREFERENCES.items():
         wanted = [*dict.fromkeys([*liked, *K.PHRASE_FALLBACK])]
         ranks[kind] = np.array([wanted.index(x) if x in wanted else len(names) for x in [*names, None]])
 
-    def lay(name, ph: pd.DataFrame, bl: pd.DataFrame) -> pd.DataFrame:
-        n = int(bl["bar"].max()) + 1 if len(bl) else 0
-        if n < 12 or not len(ph):
-            top = ph.sort_values(["energy", "phrase_idx"], ascending=[False, True]).head(1)
-            return plain(top.assign(bar=0)[[pair, "phrase_idx", "bar", "type"]])
-        ph = ph.sort_values(["start_time", "phrase_idx"])
-        labels = np.full(n, len(names))
-        labels[bl["bar"].to_numpy()] = bl["label"].map({x: i for i, x in enumerate(names)}).fillna(len(names)).astype(int)
-        size = np.maximum(1, np.ceil(ph["duration"].to_numpy() / bar_s)).astype(int)
-        need = size + np.clip(size // 2, 1, 3)
-        spots = _lay(labels, labels == names.index("breakdown"), ranks, ph["type"], need)
-        return plain(ph.assign(bar=spots).dropna(subset=["bar"]).astype({"bar": "int64"})[[pair, "phrase_idx", "bar", "type"]])
-
-    return fresh(p).groupBy(pair).cogroup(fresh(b).groupBy(pair)).applyInPandas(lay, out)
+    size = F.greatest(F.lit(1), F.ceil(F.col("duration") / bar_s))
+    need = (size + F.greatest(F.lit(1), F.least(F.lit(3), F.floor(size / 2)))).cast("int")
+    p = label_phrases(phrases, [pair]).select(pair, F.struct("start_time", F.col("phrase_idx").cast("bigint").alias("idx"), need.alias("need"), "type", "energy").alias("p"))
+    code = F.coalesce(F.try_element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), "label"), F.lit(len(names)))
+    b = bars.select(pair, F.struct(F.col("bar").cast("int").alias("bar"), code.alias("code")).alias("b"))
+    mixes = p.groupBy(pair).agg(F.sort_array(F.collect_list("p")).alias("_p")).join(
+        b.groupBy(pair).agg(F.sort_array(F.collect_list("b")).alias("_b"), (F.max("b.bar") + 1).alias("_n")), pair, "left")
+    mixes = materialize(mixes.withColumn("_n", F.coalesce("_n", F.lit(0))), "mixes-to-lay")
+
+    loudest = F.array_max(F.transform("_p", lambda x: F.struct(F.nanvl(x["energy"], F.lit(None)).alias("energy"), (-x["idx"]).alias("idx"), x["type"].alias("type"))))
+    short = mixes.where("_n < 12").select(pair, loudest.alias("_l")).select(
+        pair, (-F.col("_l.idx")).alias("phrase_idx"), F.lit(0).cast("bigint").alias("bar"), F.col("_l.type").alias("type"))
+
+    def lay(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            spots = []
+            for n, at, codes, kinds, needs in zip(pdf["n"], pdf["bars"], pdf["codes"], pdf["types"], pdf["needs"], strict=True):
+                labels = np.full(n, len(names))
+                labels[at] = codes
+                spots.append(_lay(labels, labels == names.index("breakdown"), ranks, kinds, needs))
+            laid = pd.DataFrame({pair: np.repeat(pdf[pair].to_numpy(), [len(s) for s in spots]), "phrase_idx": np.concatenate(pdf["idx"].to_numpy()),
+                                 "bar": pd.array([x for s in spots for x in s], dtype="Int64"), "type": np.concatenate(pdf["types"].to_numpy())})
+            yield plain(laid.dropna(subset=["bar"]).astype({"bar": "int64"}))
+
+    long = mixes.where("_n >= 12").select(pair, F.col("_n").alias("n"), F.col("_b.bar").alias("bars"), F.col("_b.code").alias("codes"),
+                                          F.col("_p.idx").alias("idx"), F.col("_p.type").alias("types"), F.col("_p.need").alias("needs"))
+    return short.unionByName(long.mapInPandas(lay, short.schema))
 
 
 def place_sections(vox: DataFrame, beat: DataFrame, mixes: DataFrame, pair: str, sr: int = K.SAMPLE_RATE) -> DataFrame:
