@@ -86,3 +86,30 @@ def test_half_a_key_goes_to_the_even_one_in_any_order(spark):
     rows = [(int(p), float(s), int(r), d, int(k), *map(float, more)) for p, s, r, d, k, *more in rows]
     got = R.weighted_suggestion(spark.createDataFrame(rows, schema)).select("key_shift").distinct().collect()
     assert [r.key_shift for r in got] == [-2]
+
+
+@pytest.mark.parametrize(("rows_per_task", "songs"), [(1000, 100), (5, 100), (5, 4)])
+def test_training_from_ids_equals_training_from_vectors(spark, monkeypatch, rows_per_task, songs):
+    """Two widths that add up to the same, mixes without a vector, one mix of another width."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(R, "SONGS", songs)
+    emb = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=(3, 5)[i % 2])] if i != 13 else None) for i in range(14)], "song_id long, embedding array<float>")
+    rows = [(m, *[(2 * int(a), 2 * int(b) + 1), (2 * int(a) + 1, 2 * int(b))][m % 2], ["a_vocals", "b_vocals", None][m % 3], [None, 2, -5][m % 3], 1 + m % 5)
+            for m, (a, b) in enumerate(rng.integers(0, 7, size=(60, 2)))] + [(99, 0, 2, "a_vocals", 1, 5), (98, 0, 77, "a_vocals", 1, 5)]
+    rated = spark.createDataFrame(rows, "mix_id long, song_a long, song_b long, direction string, key_shift int, rating int")
+    e = lambda s: emb.select(F.col("song_id").alias(f"song_{s}"), F.col("embedding").alias(f"emb_{s}"))
+    read = lambda m: np.concatenate([np.concatenate([np.ravel(r["W"]), r["b"]]) for r in sorted(m.collect(), key=lambda r: r["layer"])])
+    want = read(R.train_quality(rated.join(e("a"), "song_a").join(e("b"), "song_b"), (5, 4), 6, 0.1))
+    written = []
+    keep = R.materialize
+    monkeypatch.setattr(R, "materialize", lambda d, name: written.append(keep(d, name)) or written[-1])
+    got = read(R.train_mixes(rated, emb, (5, 4), 6, 0.1, rows_per_block=7, rows_per_task=rows_per_task))
+    assert got == pytest.approx(want, abs=1e-12)
+    # no table that has a row per mix has vectors
+    assert not [c for d in written if "mix_id" in d.columns for c, kind in d.dtypes if kind.startswith("array")]
+
+
+def test_training_from_too_few_ids(spark):
+    emb = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "song_id long, embedding array<float>")
+    rated = spark.createDataFrame([(m, 1, 2, "a_vocals", 0, 3) for m in range(2)], "mix_id long, song_a long, song_b long, direction string, key_shift int, rating int")
+    assert R.train_mixes(rated, emb).count() == 0

@@ -126,14 +126,14 @@ def _(t):
 
 @query("j01_train_quality")
 def _(t):
-    m = R.train_quality(rated(t))
+    m = R.train_mixes(rated(t, False), t.embeddings)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
     return m.select("layer", F.size("W").alias("inputs"), F.size("b").alias("outputs"), r6(total(F.flatten("W"))).alias("weight_sum"), r6(total("b")).alias("bias_sum"))
 
 
 @query("j02_predict_quality")
 def _(t):
-    m = R.train_quality(rated(t))
+    m = R.train_mixes(rated(t, False), t.embeddings)
     p = query_pairs(t).withColumn("direction", F.lit("a_vocals")).withColumn("key_shift", F.lit(0))
     return R.predict_quality(m, p).select("pair_id", r6("quality").alias("quality"))
 
