@@ -109,6 +109,21 @@ def test_training_from_ids_equals_training_from_vectors(spark, monkeypatch, rows
     assert not [c for d in written if "mix_id" in d.columns for c, kind in d.dtypes if kind.startswith("array")]
 
 
+def test_cells_of_training_mixes_share_no_first_songs_but_at_their_edges(spark, monkeypatch):
+    """Vectors are read anew in every epoch, so a first song's lies in one cell, and in two where a cell ends in its mixes."""
+    rng = np.random.default_rng(4)
+    emb = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "song_id long, embedding array<float>")
+    rows = [(m, int(a), int(b), "a_vocals", 0, 1 + m % 5) for m, (a, b) in enumerate(rng.integers(0, 40, size=(600, 2)))]
+    rows += [(600 + m, 7, m % 40, "b_vocals", 0, 3) for m in range(600)]  # one song of half the mixes is shared out
+    rated = spark.createDataFrame(rows, "mix_id long, song_a long, song_b long, direction string, key_shift int, rating int")
+    held = []
+    monkeypatch.setattr(R, "_descend", lambda blocks, gradient, layers, *_: held.extend(blocks.collect()) or layers)
+    R.train_mixes(rated, emb, rows_per_task=10)
+    first, mixes = [len(block[0]) for block in held], [len(block[-1]) for block in held]
+    assert len(held) > 1 and sum(first) <= 40 + len(held) - 1
+    assert sum(mixes) == 1200 and max(mixes) < 2 * 1200 / len(held)
+
+
 def test_training_from_too_few_ids(spark):
     emb = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "song_id long, embedding array<float>")
     rated = spark.createDataFrame([(m, 1, 2, "a_vocals", 0, 3) for m in range(2)], "mix_id long, song_a long, song_b long, direction string, key_shift int, rating int")

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from tonegrid import constants as K
 from tonegrid.functions.scalars import clamp_rating
 from tonegrid.operators.ordered import argmax_first
 from tonegrid.operators.two_part import nearest_pairs
-from tonegrid.session import materialize
+from tonegrid.session import fresh, materialize
 
 # ---- ratings ------------------------------------------------------------------------------------
 
@@ -229,14 +231,14 @@ def _mix_gradient(layers, block, n):
     ea, eb, ia, ib, more, y = block
     (w, b), rest = layers[0], layers[1:]
     wa, wb = ea.shape[1], eb.shape[1]
-    at_a, at_b = ea @ w[:wa], eb @ w[wa:wa + wb]
-    of_a, of_b, of_more, of_b1, others = np.zeros_like(at_a), np.zeros_like(at_b), 0.0, 0.0, 0.0
+    ea, eb = ea.astype(np.float64, copy=False), eb.astype(np.float64, copy=False)
+    at_a, at_b = ea @ w[:wa] + b, eb @ w[wa:wa + wb]
+    of_a, of_b, of_more, of_b1, others = np.zeros_like(at_a), 0.0, 0.0, 0.0, 0.0
     for lo in range(0, len(y), SLICE):
         a, c, own = ia[lo:lo + SLICE], ib[lo:lo + SLICE], more[lo:lo + SLICE]
         z = at_a[a]
         z += at_b[c]
         z += own @ w[wa + wb:]
-        z += b
         acts = _forward(rest, np.maximum(z, 0.0, out=z))
         out = acts[-1][:, 0]
         delta = (2.0 * (out - y[lo:lo + SLICE]) / n)[:, None] * acts[-1] * (1.0 - acts[-1])
@@ -247,87 +249,81 @@ def _mix_gradient(layers, block, n):
             delta *= acts[i] > 0
         others = others + np.concatenate(parts[::-1])
         of_more, of_b1 = of_more + own.T @ delta, of_b1 + delta.sum(axis=0)
-        # rows of one song lie together in ``a``; in ``c`` they are brought together
-        by = np.argsort(c, kind="stable")
-        for total, at, d in ((of_a, a, delta), (of_b, c[by], delta[by])):
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            total[at[first]] += np.add.reduceat(d, first, axis=0)
-    return np.concatenate([(ea.T @ of_a).ravel(), (eb.T @ of_b).ravel(), of_more.ravel(), of_b1, others])
+        # first songs lie together, so they are summed up as runs; second songs seldom repeat in a slice
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        of_a[a[first]] += np.add.reduceat(delta, first, axis=0)
+        of_b = of_b + eb[c].T @ delta
+    return np.concatenate([(ea.T @ of_a).ravel(), of_b.ravel(), of_more.ravel(), of_b1, others])
 
 
 #: Mixes whose activations are held at once, so that they stay in a core's cache.
-SLICE = 1 << 11
-#: Songs of a block of training mixes at most, on either side (about).
-SONGS = 1 << 15
+SLICE = 1 << 10
+#: Second songs that a cell of training mixes meets at most (about), two such numbers at an edge.
+SONGS = 1 << 17
 
 
 def train_mixes(rated: DataFrame, emb: DataFrame, hidden: Sequence[int] = (64, 32), epochs: int = 500, lr: float = 0.01, seed: int = 42,
-                rows_per_block: int = 1 << 16, rows_per_task: int = 1 << 14) -> DataFrame:
+                rows_per_block: int = 1 << 19, rows_per_task: int = 1 << 14) -> DataFrame:
     """The model of ``train_quality`` from ids: a mix travels as its two songs, never as its vectors.
 
-    ``rated``: mix_id, song_a, song_b, direction, key_shift, rating; ``emb``: song_id, embedding. Songs are packed into blocks by hash, mixes into
-    cells of two of them, a cell of at most ``rows_per_block`` mixes per core's turn. Mixes of the most common width are trained on; on a tie that of the
-    lowest mix id. The driver holds one count per combination of widths and song blocks.
+    ``rated``: mix_id, song_a, song_b, direction, key_shift, rating; ``emb``: song_id, embedding. Mixes are dealt by ranges of their first song into
+    cells, as many for every core, of about ``rows_per_block`` mixes at most; a cell holds the vectors of its songs once. Mixes of the most common width are
+    trained on; on a tie that of the lowest mix id. The driver holds one count per combination of widths.
     """
     spark = rated.sparkSession
     songs = emb.where(F.col("embedding").isNotNull()).select("song_id", F.col("embedding").alias("e"), F.size("embedding").alias("w"))
-    songs = songs.withColumn("h", F.pmod(F.xxhash64("song_id"), F.lit(max(1, -(-songs.count() // SONGS)))))
-    side = lambda d, s: d.select(*[F.col(c).alias({"song_id": f"song_{s}"}.get(c, c + s)) for c in d.columns])
-    place = songs.select("song_id", "w", "h")
+    place = songs.select("song_id", "w", F.pmod(F.xxhash64("song_id"), F.lit(max(1, -(-songs.count() // SONGS)))).alias("h"))
+    side = lambda s: place.select(*[F.col(c).alias({"song_id": f"song_{s}"}.get(c, c + s)) for c in place.columns])
     flag = F.when(F.col("direction") == "a_vocals", 1.0).otherwise(0.0)
     mixes = rated.select("mix_id", "song_a", "song_b", flag.alias("flag"), (F.coalesce("key_shift", F.lit(0)) / F.lit(6.0)).alias("shift"), (F.col("rating") / 5.0).alias("y"))
-    mixes = materialize(mixes.join(side(place, "a"), "song_a").join(side(place, "b"), "song_b"), "training-mixes")
-    kinds = ["wa", "ha", "wb", "hb"]
-    counts = mixes.groupBy(*kinds).agg(F.count(F.lit(1)).alias("n"), F.min("mix_id").alias("first")).collect()
-    widths = {}
-    for r in counts:
-        n, first = widths.get(r["wa"] + r["wb"], (0, r["first"]))
-        widths[r["wa"] + r["wb"]] = (n + r["n"], min(first, r["first"]))
-    width = max(widths, key=lambda w: (widths[w][0], -widths[w][1]), default=0)
-    n = widths.get(width, (0, 0))[0]
+    mixes = materialize(mixes.join(side("a").drop("ha"), "song_a").join(side("b"), "song_b"), "training-mixes")
+    widths = mixes.groupBy((F.col("wa") + F.col("wb")).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("mix_id").alias("first"))
+    width, n, _ = max(map(tuple, widths.collect()), key=lambda r: (r[1], -r[2]), default=(0, 0, 0))
     if n < K.MIN_RATINGS_TO_TRAIN:
         return save_model(spark, None)
     cores = spark.sparkContext.defaultParallelism
-    each, cells, at = max(1, min(rows_per_block, -(-n // cores))), [], 0
-    for r in counts:
-        if r["wa"] + r["wb"] == width:
-            cells.append((*[r[k] for k in kinds], at, cuts := -(-r["n"] // each)))
-            at += cuts
-    grid = spark.createDataFrame(cells, "wa int, ha bigint, wb int, hb bigint, at int, cuts int")
-    cut = mixes.join(grid, kinds).withColumn("cell", (F.col("at") + F.pmod(F.xxhash64("mix_id"), F.col("cuts"))).cast("int"))
-    dealt = cut.groupBy("cell", *kinds).agg(F.sort_array(F.collect_list(F.struct("song_a", "song_b", "flag", "shift", "y"))).alias("m"))
-    packed = songs.groupBy("w", "h").agg(F.sort_array(F.collect_list(F.struct("song_id", "e"))).alias("s"))
-    packed = materialize(packed.select("w", "h", F.col("s.song_id").alias("ids"), F.flatten("s.e").alias("vecs")), "training-songs")
-    names = ("song_a", "song_b", "flag", "shift", "y")
-    met = dealt.join(side(packed, "a"), ["wa", "ha"]).join(side(packed, "b"), ["wb", "hb"]).select("cell", "wa", "wb", *[F.col(f"m.{c}").alias(c) for c in names], "idsa", "vecsa", "idsb", "vecsb")
-
-    def pack(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                held = {}
-                for s, asked in (("a", r.song_a), ("b", r.song_b)):
-                    row, place = np.unique(np.searchsorted(getattr(r, f"ids{s}"), asked), return_inverse=True)
-                    vecs = np.asarray(getattr(r, f"vecs{s}")).reshape(-1, getattr(r, f"w{s}"))[row]
-                    held[s] = (vecs.astype(np.float64).tobytes(), place.astype(np.int64).tobytes())
-                more = np.stack([r.flag, r.shift], axis=1)
-                yield pd.DataFrame({"cell": [r.cell], "wa": [r.wa], "wb": [r.wb], "ea": [held["a"][0]], "eb": [held["b"][0]], "ia": [held["a"][1]], "ib": [held["b"][1]],
-                                    "more": [more.tobytes()], "y": [np.asarray(r.y, dtype=np.float64).tobytes()]})
-
-    blocks = met.mapInPandas(pack, "cell int, wa int, wb int, ea binary, eb binary, ia binary, ib binary, more binary, y binary").rdd
-    parts = at if n > rows_per_task else 1
-    blocks = blocks.map(lambda r: (r["cell"], (r["wa"], r["wb"], *[bytes(r[c]) for c in ("ea", "eb", "ia", "ib", "more", "y")]))).partitionBy(parts, int).values()
-
-    def opened(block):
-        wa, wb, ea, eb, ia, ib, more, y = block
-        read = lambda raw, w: np.frombuffer(raw).reshape(-1, w)
-        return read(ea, wa), read(eb, wb), np.frombuffer(ia, np.int64), np.frombuffer(ib, np.int64), read(more, 2), np.frombuffer(y)
-
+    parts = -(-n // (rows_per_block * cores)) * cores if n > rows_per_task else 1
+    # a range ends inside a song that many mixes share
+    cells = mixes.where(F.col("wa") + F.col("wb") == width).repartitionByRange(parts, "hb", "song_a", "mix_id")
+    cells = materialize(cells.select(F.spark_partition_id().alias("cell"), "mix_id", "song_a", "song_b", "wa", "wb", "flag", "shift", "y"), "training-cells")
+    used = cells.select("cell", F.explode(F.array("song_a", "song_b")).alias("song_id")).distinct()
+    vectors = used.join(songs, "song_id").select("cell", "song_id", "w", "e")
+    precision = np.float32 if emb.schema["embedding"].dataType.elementType == T.FloatType() else np.float64
+
+    def pack(held: pa.Table, met: pa.Table) -> pa.Table:
+        out = []
+        tables = {}
+        for w in met.column("w").unique().to_pylist():
+            at = met.filter(pc.equal(met.column("w"), w)).sort_by("song_id")
+            vecs = at.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(precision, copy=False)
+            tables[w] = (at.column("song_id").to_numpy(), vecs.reshape(len(at), w))
+        for wa in held.column("wa").unique().to_pylist():
+            rows = held.filter(pc.equal(held.column("wa"), wa)).sort_by([("song_a", "ascending"), ("mix_id", "ascending")])
+            block = {"wa": wa}
+            for s, w in (("a", wa), ("b", width - wa)):
+                ids, vecs = tables[w]
+                row, places = np.unique(np.searchsorted(ids, rows.column(f"song_{s}").to_numpy()), return_inverse=True)
+                block |= {f"e{s}": vecs[row].tobytes(), f"i{s}": places.astype(np.int32).tobytes()}
+            block["more"] = np.stack([rows.column("flag").to_numpy(), rows.column("shift").to_numpy()], axis=1).tobytes()
+            block["y"] = rows.column("y").to_numpy().tobytes()
+            out.append({"cell": rows.column("cell")[0].as_py()} | block)
+        return pa.Table.from_pylist(out, pa.schema([("cell", pa.int32()), ("wa", pa.int32()), *[(c, pa.binary()) for c in ("ea", "ia", "eb", "ib", "more", "y")]]))
+
+    met = cells.groupBy("cell").cogroup(fresh(vectors).groupBy("cell"))
+    blocks = met.applyInArrow(pack, "cell int, wa int, ea binary, ia binary, eb binary, ib binary, more binary, y binary").rdd
+
+    def opened(r):
+        read = lambda c, kind, w: np.frombuffer(bytes(r[c]), kind).reshape(-1, w)
+        return (read("ea", precision, r["wa"]), read("eb", precision, width - r["wa"]), read("ia", np.int32, 1)[:, 0], read("ib", np.int32, 1)[:, 0],
+                read("more", np.float64, 2), read("y", np.float64, 1)[:, 0])
+
+    blocks = blocks.map(lambda r: (r["cell"], opened(r))).partitionBy(parts, int).values()
     layers = initial_layers(width + 2, hidden, seed)
     if parts > 1:
-        return save_model(spark, _descend(blocks.persist(StorageLevel.MEMORY_AND_DISK), lambda current, block: _mix_gradient(current, opened(block), n), layers, epochs, lr, parts))
+        return save_model(spark, _descend(blocks.persist(StorageLevel.MEMORY_AND_DISK), lambda current, block: _mix_gradient(current, block, n), layers, epochs, lr, parts))
 
     def all_epochs(held):
-        held, current = [opened(b) for b in held], layers
+        held, current = list(held), layers
         for _ in range(epochs):
             current = _step(current, sum(_mix_gradient(current, b, n) for b in held), lr)
         yield current
