@@ -89,3 +89,22 @@ def test_cells_meet_their_songs_without_a_join_of_their_own(spark, small):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert sum("Join " in line for line in plan.splitlines()) <= 4
+
+
+def test_pairs_of_a_cell_share_its_songs_and_gather_in_small_rows(spark, monkeypatch):
+    """Six song blocks make the grid although one could hold all songs; a row of a cell has about so many pairs as are asked for, however many the cell has."""
+    for name, value in {"CELLS": 36, "LEAST": 20, "GATHERED": 20}.items():
+        monkeypatch.setattr(two_part, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    emb = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(60)], "song_id long, embedding array<double>")
+    mixes = spark.createDataFrame([(m, int(a), int(b)) for m, (a, b) in enumerate(rng.integers(0, 60, size=(6000, 2)))], "id long, song_a long, song_b long")
+    written = {}
+    keep = two_part.materialize
+    monkeypatch.setattr(two_part, "materialize", lambda d, name: written.setdefault(name, keep(d, name)))
+    two_part.nearest_pairs(mixes.limit(3), mixes, emb, 2).count()
+    rows = written["pair-cells"].collect()
+    songs = {}
+    for r in rows:
+        for s in ("sa", "sb"):
+            songs.setdefault((r.cell, s), set()).update(r[s])
+    assert sum(len(v) for v in songs.values()) <= 2 * 6 * 60 and max(len(r.ids) for r in rows) < 3 * 20
