@@ -180,6 +180,15 @@ def test_rewriting_templates_are_found(spark):
     assert chats[1]["rewrites"] and chats[1]["turns"] == [] and not chats[2]["rewrites"]
 
 
+def test_a_turn_is_escaped_once_however_many_prefixes_it_is_in(monkeypatch):
+    seen = []
+    monkeypatch.setattr(chat_format, "escape", lambda text, escape=chat_format.escape: seen.append(text) or escape(text))
+    turns = [(f"role {i}", f"text <|{i}|>") for i in range(30)]
+    formatted, spans = chat_format.locate(turns, chat_format.marked)
+    assert formatted == chat_format.marked(turns) and len(spans) == 30
+    assert seen[: -2 * 30].count("text <|0|>") == 1 and len(seen) <= 10 * 30
+
+
 def test_chat_digests_on_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string, _conv string, _row string"
     rows = [(1, 1, "assistant", None), (1, 0, "user", "q"), (1, 0, "user", "q"), (1, None, None, "sys"), (None, 0, "assistant", "<|im_end|>"), (None, 1, "tool\nx", "")]

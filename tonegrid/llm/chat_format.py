@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os.path
 import re
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +46,19 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.DOTALL)
 
 
+def marked_turn(role: str, text: str) -> str:
+    return f"{START}{escape_role(role)}\n{escape(text)}{END}\n"
+
+
 def marked(turns: Turns) -> str:
     """Default template: every turn between control strings, texts escaped."""
-    return "".join([f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns])
+    return "".join([marked_turn(role, text) for role, text in turns])
+
+
+def marked_once() -> Template:
+    """The default template for the prefixes of one conversation: a turn is escaped once, however many prefixes it is in."""
+    piece = functools.cache(marked_turn)
+    return lambda turns: "".join(itertools.starmap(piece, turns))
 
 
 def read_marked(formatted: str) -> Turns:
@@ -63,6 +76,8 @@ def locate(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int,
     Two probes in place of a turn's text tell the frame around it: their common beginning and common end. A prefix
     that is not continued by the next one was rewritten: then the spans are None.
     """
+    if template is marked:
+        template = marked_once()
     spans, last = [], template([])
     for k, (role, _) in enumerate(turns):
         now = template(turns[: k + 1])
@@ -79,6 +94,13 @@ def locate(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int,
     return last, spans
 
 
+def structs(lists: pa.Array, *fields: str) -> list[list[tuple]]:
+    """Lists of structs as tuples of some fields, converted column by column and not struct by struct."""
+    flat = lists.flatten()
+    rows = zip(*[flat.field(f).to_pylist() for f in fields], strict=True)
+    return [list(itertools.islice(rows, n)) for n in pc.list_value_length(lists).to_pylist()]
+
+
 def format_chats(turns: DataFrame, template: Template = marked, learn: tuple[str, ...] = ("assistant",), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: its id, ``formatted``, ``turns`` (spans in code points, ends open) and ``rewrites``.
 
@@ -94,11 +116,9 @@ def format_chats(turns: DataFrame, template: Template = marked, learn: tuple[str
     @F.arrow_udf(f"struct<formatted:string,turns:{TURNS},rewrites:boolean>")
     def render(lists: pa.Array) -> pa.Array:
         out = []
-        for chat in lists.to_pylist():
-            said = [(row["role"], row["text"]) for row in chat]
+        for said in structs(lists, "role", "text"):
             formatted, spans = locate(said, template)
-            names = _TURN.names
-            out.append({"formatted": formatted, "rewrites": spans is None, "turns": [dict(zip(names, (role, *span, role in learn), strict=True)) for (role, _), span in zip(said, spans or [], strict=spans is not None)]})
+            out.append((formatted, [(role, *span, role in learn) for (role, _), span in zip(said, spans or [], strict=spans is not None)], spans is None))
         return pa.array(out, pa.struct([("formatted", pa.string()), ("turns", pa.list_(_TURN)), ("rewrites", pa.bool_())]))
 
     chats = rows.groupBy("_conv").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
@@ -109,10 +129,11 @@ def format_chats(turns: DataFrame, template: Template = marked, learn: tuple[str
 def read_turns(formatted: pa.Array) -> pa.Array:
     """Roles and texts read back from what the default template rendered."""
     kind = pa.struct([("role", pa.string()), ("text", pa.string())])
-    return pa.array([[{"role": r, "text": t} for r, t in read_marked(x)] for x in formatted.to_pylist()], pa.list_(kind))
+    return pa.array([read_marked(x) for x in formatted.to_pylist()], pa.list_(kind))
 
 
 @F.arrow_udf(T.StringType())
 def loss_text(formatted: pa.Array, turns: pa.Array) -> pa.Array:
     """All text under the loss, unescaped, in order."""
-    return pa.array(["".join([unescape(x[t["text_start"] : t["text_end"]]) for t in spans if t["loss"]]) for x, spans in zip(formatted.to_pylist(), turns.to_pylist(), strict=True)], pa.string())
+    spans = structs(turns, "text_start", "text_end", "loss")
+    return pa.array(["".join([unescape(x[start:end]) for start, end, loss in own if loss]) for x, own in zip(formatted.to_pylist(), spans, strict=True)], pa.string())
